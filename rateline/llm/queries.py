@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op7_best_fit_packing
+from .simhash import op5_simhash_components
 from .token_counts import op6_token_counts
 from .token_files import op10_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op5_simhash_components,
         op6_token_counts,
         op7_best_fit_packing,
         op10_token_files,
