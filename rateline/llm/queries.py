@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP4_SQL, op4_chat_formatting
 from .packing import op7_best_fit_packing
 from .simhash import op5_simhash_components
 from .token_counts import op6_token_counts
@@ -14,6 +15,7 @@ from .token_files import op10_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op4_chat_formatting,
         op5_simhash_components,
         op6_token_counts,
         op7_best_fit_packing,
@@ -22,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Only what DuckDB can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
