@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP4_SQL, op4_chat_formatting
+from .decontaminate import OP3_SQL, op3_decontamination
 from .packing import op7_best_fit_packing
 from .simhash import op5_simhash_components
 from .token_counts import op6_token_counts
@@ -15,6 +16,7 @@ from .token_files import op10_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_decontamination,
         op4_chat_formatting,
         op5_simhash_components,
         op6_token_counts,
@@ -24,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Only what DuckDB can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_chat_formatting": OP4_SQL}
