@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP4_SQL, op4_chat_formatting
+from .line_dedup import OP1_SQL, op1_line_dedup
+from .imatch import op2_document_fingerprints
 from .decontaminate import OP3_SQL, op3_decontamination
 from .packing import op7_best_fit_packing
 from .simhash import op5_simhash_components
@@ -16,6 +18,8 @@ from .token_files import op10_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
+        op2_document_fingerprints,
         op3_decontamination,
         op4_chat_formatting,
         op5_simhash_components,
@@ -26,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Only what DuckDB can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_chat_formatting": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_chat_formatting": OP4_SQL}
