@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP4_SQL, op4_chat_formatting
-from .line_dedup import OP1_SQL, op1_line_dedup
-from .imatch import op2_document_fingerprints
 from .decontaminate import OP3_SQL, op3_decontamination
+from .imatch import op2_document_fingerprints
+from .language import op9_language_id
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op7_best_fit_packing
 from .simhash import op5_simhash_components
 from .token_counts import op6_token_counts
@@ -25,9 +26,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash_components,
         op6_token_counts,
         op7_best_fit_packing,
+        op9_language_id,
         op10_token_files,
     )
 }
 
 #: Only what DuckDB can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_chat_formatting": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op4_chat_formatting": OP4_SQL,
+}
