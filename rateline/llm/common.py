@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that are done: Spark deletes them once nothing refers to them any more, which only a collection of garbage tells."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches. Texts may be long, so the default of 10 000 rows a batch is too many."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -13,6 +13,7 @@ from .language import op9_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op7_best_fit_packing
 from .simhash import op5_simhash_components
+from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op6_token_counts
 from .token_files import op10_token_files
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash_components,
         op6_token_counts,
         op7_best_fit_packing,
+        op8_suffix_dedup,
         op9_language_id,
         op10_token_files,
     )
