@@ -80,8 +80,13 @@ def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text"
     return written(out.select("item", "size", "hash", "said").distinct(), "windows"), short
 
 
+def row_hash(text: str) -> Column:
+    """Tells rows of one key apart."""
+    return F.xxhash64(text, F.length(text))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_words, n_hit, n_items, items`` (sorted ids, as strings) ``, contaminated`` of each row of ``docs``.
+    """``key, text_hash, n_words, n_hit, n_items, items`` (sorted ids, as strings) ``, contaminated`` of each row of ``docs``; ``text_hash`` is ``row_hash(text)``.
 
     A word is hit if it lies in an occurrence of a window of an item. Null and
     empty texts have no words; items without words have no window; an item's
@@ -90,7 +95,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     are fine, and no other columns are read.
     """
     bench, short = benchmark_windows(items)
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text, F.length(text)).alias("of"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), row_hash(text).alias("of"), F.col(text).alias("text"))
     words = rows.select("key", "of", words_of(F.col("text")).alias("words"))
     sifted = words.withColumn("grams", _grams(GRAM)).select("key", "of", F.array_distinct(F.concat(_kept(WINDOW), *[_grams(n) for n in short])).alias("kept"))
     met = sifted.select("key", "of", F.explode_outer("kept").alias("hash")).join(bench.select("hash").distinct(), "hash", "left_semi")
@@ -108,7 +113,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     counted = rows.select("key", "of", F.coalesce(F.regexp_count("text", F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("long").alias("n_words"))
     whole = counted.join(found, F.col("key").eqNullSafe(F.col("k")) & (F.col("of") == F.col("o")), "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return whole.select(F.col("key").alias(key), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (n_hit > 0).alias("contaminated"))
+    return whole.select(F.col("key").alias(key), F.col("of").alias("text_hash"), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,8 +232,8 @@ def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     return sorted((r["t"], r["l"]) for r in picked.collect())
 
 
-def identify_languages(docs: DataFrame, model: Field, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
-    """``key, lang_pred, score`` of each row, and with ``spans`` the runs of words of one language, in code points: ``spans array<struct<start, end, lang>>``.
+def identify_languages(docs: DataFrame, model: Field, key: str = "doc_id", text: str = "text", spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key`` (or the columns ``keep`` in its place), ``lang_pred, score`` of each row, and with ``spans`` the runs of words of one language, in code points: ``spans array<struct<start, end, lang>>``.
 
     ``score`` is the mean marginal of the language over all words. Null texts,
     and those without a letter (or without a trained label), are ``und`` with
@@ -244,14 +244,17 @@ def identify_languages(docs: DataFrame, model: Field, key: str = "doc_id", text:
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    schema = docs.select(key).schema.add("lang_pred", "string").add("score", "double")
+    own = list(keep) or [key]
+    if clash := {"lang_pred", "score", "spans"} & set(own):
+        raise ValueError(f"keep: {clash} are results")
+    schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double")
     if spans:
         schema = schema.add("spans", DataType.fromDDL("array<struct<start:long,end:long,lang:string>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(len(own)).to_pylist()
             words = [words_of(t) if m.labels else [] for t in texts]
             langs, scores, runs = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             todo = [i for i, w in enumerate(words) if w]
@@ -260,19 +263,19 @@ def identify_languages(docs: DataFrame, model: Field, key: str = "doc_id", text:
                 while upto < len(todo) and (size == 0 or size + len(words[todo[upto]]) <= BATCH_WORDS):
                     size += len(words[todo[upto]])
                     upto += 1
-                own, todo = todo[:upto], todo[upto:]
-                for i, p in zip(own, m.marginals([words[i] for i in own])):
+                some, todo = todo[:upto], todo[upto:]
+                for i, p in zip(some, m.marginals([words[i] for i in some])):
                     mean = p.mean(0)
                     best = int(mean.argmax())
                     langs[i], scores[i] = m.labels[best], float(min(1.0, mean[best]))
                     if spans:
                         runs[i] = _runs(texts[i], p.argmax(1), m.labels)
-            cols = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            cols = [*batch.columns[: len(own)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             if spans:
                 cols.append(pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(*own, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def _runs(text: str, best: np.ndarray, labels: list[str]) -> list[dict]:
