@@ -18,6 +18,11 @@ def r6(*cols: str) -> list:
     return [F.round(c, 6).alias(c) for c in cols]
 
 
+def r9(*cols: str) -> list:
+    """For values whose sixth decimal may be followed by an exact 5; no negative zero."""
+    return [(F.round(c, 9) + F.lit(0.0)).alias(c) for c in cols]
+
+
 def dup_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.collapse_duplicates(star_schema.load(spark, sf_dir).consumption)
     return rows.select("item_code", "line", "output_type", F.date_format("period_start", "yyyy-MM").alias("period"), *r6("qty_base", "qty_ton", "rate"), F.round("cost", 2).alias("cost"))
