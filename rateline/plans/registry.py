@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import forecasting, prepared, profiled, validated
+from . import conditions, forecasting, prepared, profiled, validated
 
-MODULES = (prepared, validated, profiled, forecasting)
+MODULES = (prepared, validated, profiled, conditions, forecasting)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 FLAGSHIP = forecasting.entry_query
