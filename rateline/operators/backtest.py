@@ -16,9 +16,16 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 
-S = Window.partitionBy("series_id")
-BY = S.orderBy("idx")
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
+def S():  # a window needs a session, so none is made on import
+    return Window.partitionBy("series_id")
+
+
+def BY():
+    return S().orderBy("idx")
+
+
+def BEFORE():
+    return BY().rowsBetween(Window.unboundedPreceding, -1)
 
 
 @dataclass(frozen=True)
@@ -60,25 +67,25 @@ def levels(fit: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """``series_id, idx, n, y, valid, scale``, and for each candidate ``level_i, slope_i``: its forecast from before this row is level + slope * step. The seasonal one has an array ``season`` instead."""
     rows = with_sentinel(fit)
     w = F.coalesce("weight", F.lit(0.0))
-    rows = rows.withColumn("n", F.max("idx").over(S)).withColumn("w", w).withColumn("wy", w * F.col("y")).withColumn("jwy", w * F.col("y") * F.col("idx")).withColumn("jw", w * F.col("idx")).withColumn("jy", F.col("y") * F.col("idx"))
-    rows = rows.withColumn("step_abs", F.abs(F.col("y") - F.lag("y").over(BY)))
-    rows = rows.withColumn("scale", F.avg("step_abs").over(BEFORE))
+    rows = rows.withColumn("n", F.max("idx").over(S())).withColumn("w", w).withColumn("wy", w * F.col("y")).withColumn("jwy", w * F.col("y") * F.col("idx")).withColumn("jw", w * F.col("idx")).withColumn("jy", F.col("y") * F.col("idx"))
+    rows = rows.withColumn("step_abs", F.abs(F.col("y") - F.lag("y").over(BY())))
+    rows = rows.withColumn("scale", F.avg("step_abs").over(BEFORE()))
     out = {}
     for c in candidates(cfg):
         if c.name == "Naive":
-            out[c.name] = (F.lag("y").over(BY), F.lit(0.0))
+            out[c.name] = (F.lag("y").over(BY()), F.lit(0.0))
         elif c.name == "Drift":
-            last, first = F.lag("y").over(BY), F.first("y").over(BEFORE)
+            last, first = F.lag("y").over(BY()), F.first("y").over(BEFORE())
             out[c.name] = (last, (last - first) / F.nullif(F.col("idx") - 1, F.lit(0)))
         elif c.name == "Mean":
-            total = F.sum("w").over(BEFORE)
-            out[c.name] = (F.when(total > 0, F.sum("wy").over(BEFORE) / F.when(total > 0, total)).otherwise(F.avg("y").over(BEFORE)), F.lit(0.0))
+            total = F.sum("w").over(BEFORE())
+            out[c.name] = (F.when(total > 0, F.sum("wy").over(BEFORE()) / F.when(total > 0, total)).otherwise(F.avg("y").over(BEFORE())), F.lit(0.0))
         elif c.window and c.name.startswith("Moving"):
-            f = BY.rowsBetween(-c.window, -1)
+            f = BY().rowsBetween(-c.window, -1)
             total = F.sum("w").over(f)
             out[c.name] = (F.when(total > 0, F.sum("wy").over(f) / F.when(total > 0, total)).otherwise(F.avg("y").over(f)), F.lit(0.0))
         elif c.window:
-            f = BY.rowsBetween(-c.window, -1)
+            f = BY().rowsBetween(-c.window, -1)
             back = F.col("idx") - c.window - 1
             total, wt = F.sum("w").over(f), F.sum("jw").over(f) - back * F.sum("w").over(f)
             plain = (F.sum("jy").over(f) - back * F.sum("y").over(f)) / (c.window * (c.window + 1) / 2)
@@ -87,7 +94,7 @@ def levels(fit: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
         if c.name in out:
             level, slope = out[c.name]
             rows = rows.withColumn(f"level_{c.ordinal}", level).withColumn(f"slope_{c.ordinal}", slope)
-    season = F.array(*[F.lag("y", cfg.season - k).over(BY) for k in range(cfg.season)])
+    season = F.array(*[F.lag("y", cfg.season - k).over(BY()) for k in range(cfg.season)])
     return rows.withColumn("season", season).drop("w", "wy", "jwy", "jw", "jy", "step_abs")
 
 
@@ -102,7 +109,7 @@ def folds(fit: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     h = cfg.cv.horizon
     rows = levels(fit, cfg)
     for s in range(h):
-        rows = rows.withColumn(f"a_{s}", F.lead("y", s).over(BY)).withColumn(f"v_{s}", F.lead("valid", s).over(BY))
+        rows = rows.withColumn(f"a_{s}", F.lead("y", s).over(BY())).withColumn(f"v_{s}", F.lead("valid", s).over(BY()))
     rows = rows.where((F.col("idx") <= F.col("n") - h) & (F.col("idx") >= F.col("n") - h - cfg.cv.max_origins + 1))
     made = []
     for c in candidates(cfg):
@@ -136,8 +143,8 @@ def results(rows: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
 
 def with_ensemble(rows: DataFrame, scored: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """``scored`` and, where the best 2 or 3 are close, their mean as a candidate of its own, scored from the fold predictions they share (SEL3, SET5)."""
-    ok = scored.where("status = 'ok' AND mase IS NOT NULL").withColumn("r", F.row_number().over(S.orderBy("mase", "ordinal"))).where("r <= 3")
-    close = ok.withColumn("best", F.min("mase").over(S)).withColumn("worst", F.max("mase").over(S)).withColumn("k", F.count(F.lit(1)).over(S)).withColumn("params", F.sum("n_params").over(S))
+    ok = scored.where("status = 'ok' AND mase IS NOT NULL").withColumn("r", F.row_number().over(S().orderBy("mase", "ordinal"))).where("r <= 3")
+    close = ok.withColumn("best", F.min("mase").over(S())).withColumn("worst", F.max("mase").over(S())).withColumn("k", F.count(F.lit(1)).over(S())).withColumn("params", F.sum("n_params").over(S()))
     close = close.where((F.col("k") >= 2) & (F.col("best") > 0) & ((F.col("worst") - F.col("best")) <= cfg.models.ensemble_mase_tolerance * F.col("best")))
     mixed = rows.join(close.select("series_id", "model", "k", "params"), ["series_id", "model"]).groupBy("series_id", "origin", "step", "actual", "valid", "scale", "k", "params").agg(F.avg("y_hat").alias("y_hat"), F.count(F.lit(1)).alias("have")).where("have = k")
     mixed = mixed.withColumn("model", F.lit("Ensemble")).withColumn("ordinal", F.lit(99)).withColumn("n_params", F.col("params").cast("int"))
@@ -147,14 +154,14 @@ def with_ensemble(rows: DataFrame, scored: DataFrame, cfg: EngineConfig = Engine
 def winners(scored: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """SEL4: of the models within tolerance of the best, the most stable, least biased, smallest, first by name."""
     t = cfg.selection.simplicity_mase_tolerance
-    pool = scored.where("status = 'ok' AND mase IS NOT NULL").withColumn("best", F.min("mase").over(S)).where(F.col("mase") <= F.when(F.col("best") > 0, F.col("best") * (1 + t)).otherwise(t))
-    order = S.orderBy(F.round("stability", 6), F.round(F.abs("bias"), 9), "n_params", "model")
+    pool = scored.where("status = 'ok' AND mase IS NOT NULL").withColumn("best", F.min("mase").over(S())).where(F.col("mase") <= F.when(F.col("best") > 0, F.col("best") * (1 + t)).otherwise(t))
+    order = S().orderBy(F.round("stability", 6), F.round(F.abs("bias"), 9), "n_params", "model")
     return pool.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "best")
 
 
 def croston(fit: DataFrame, alpha: float = 0.1) -> DataFrame:
     """MOD14, MOD15: sizes of demands and gaps between them, smoothed from their means in closed form; ``croston`` and ``sba``."""
-    hit = fit.where("y > 0").withColumn("i", F.row_number().over(BY)).withColumn("k", F.count(F.lit(1)).over(S)).withColumn("gap", (F.col("idx") - F.coalesce(F.lag("idx").over(BY), F.lit(-1))).cast("double"))
+    hit = fit.where("y > 0").withColumn("i", F.row_number().over(BY())).withColumn("k", F.count(F.lit(1)).over(S())).withColumn("gap", (F.col("idx") - F.coalesce(F.lag("idx").over(BY()), F.lit(-1))).cast("double"))
     late = alpha * F.pow(F.lit(1 - alpha), F.col("k") - F.col("i"))
     start = F.pow(F.lit(1 - alpha), F.max("k"))
     out = hit.groupBy("series_id").agg((start * F.avg("y") + F.sum(late * F.col("y"))).alias("size"), F.greatest(F.lit(1.0), start * F.avg("gap") + F.sum(late * F.col("gap"))).alias("interval"))
@@ -164,7 +171,7 @@ def croston(fit: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 def tsb(fit: DataFrame, alpha: float = 0.15, beta: float = 0.1) -> DataFrame:
     """MOD16: the chance of a demand, updated each period, times its smoothed size."""
-    rows = fit.withColumn("hit", (F.col("y") > 0).cast("int")).withColumn("n", F.count(F.lit(1)).over(S)).withColumn("k", F.sum("hit").over(S)).withColumn("i", F.sum("hit").over(BY))
+    rows = fit.withColumn("hit", (F.col("y") > 0).cast("int")).withColumn("n", F.count(F.lit(1)).over(S())).withColumn("k", F.sum("hit").over(S())).withColumn("i", F.sum("hit").over(BY()))
     p = F.pow(F.lit(1 - beta), F.max("n")) * F.avg("hit") + F.sum(beta * F.pow(F.lit(1 - beta), F.col("n") - 1 - F.col("idx")) * F.col("hit"))
     size = F.pow(F.lit(1 - alpha), F.max("k")) * F.avg(F.when(F.col("hit") == 1, F.col("y"))) + F.sum(F.when(F.col("hit") == 1, alpha * F.pow(F.lit(1 - alpha), F.col("k") - F.col("i")) * F.col("y")))
     return rows.groupBy("series_id").agg(p.alias("probability"), F.coalesce(size, F.lit(0.0)).alias("size")).withColumn("tsb", F.col("probability") * F.col("size"))

@@ -39,8 +39,8 @@ def final_fits(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConf
             slope = F.when(own, F.col(f"slope_{c.ordinal}")).otherwise(slope)
     rows = rows.withColumn("level", level).withColumn("slope", slope).withColumn("grows", grows)
     end = F.col("idx") == F.col("n")
-    last = F.max(F.when(end, F.col("slope"))).over(T.S)
-    fitted = F.when(F.col("model") == "Mean", F.max(F.when(end, F.col("level"))).over(T.S)).otherwise(F.col("level") + F.when(F.col("model") == "Drift", last).otherwise(0.0))
+    last = F.max(F.when(end, F.col("slope"))).over(T.S())
+    fitted = F.when(F.col("model") == "Mean", F.max(F.when(end, F.col("level"))).over(T.S())).otherwise(F.col("level") + F.when(F.col("model") == "Drift", last).otherwise(0.0))
     rows = rows.withColumn("miss", F.col("y") - fitted)
     return rows.groupBy("series_id", "model").agg(F.max(F.when(end, F.col("level"))).alias("level"), F.max(F.when(end, F.col("slope"))).alias("slope"), F.max_by("season", "idx").alias("season"), F.when(F.count("miss") >= 2, F.stddev_pop("miss")).otherwise(F.stddev_pop("y")).alias("sigma"), F.max("grows").alias("grows"))
 

@@ -17,8 +17,14 @@ from ..functions.calendar import days_in_period, period_add, period_label, perio
 from ..sources.mapping import RawTables
 
 KEYS = ("item_code", "line", "output_type")
-BY_SERIES = Window.partitionBy(*KEYS)
-IN_ORDER = BY_SERIES.orderBy("period_start")
+
+
+def BY_SERIES():
+    return Window.partitionBy(*KEYS)
+
+
+def IN_ORDER():
+    return BY_SERIES().orderBy("period_start")
 
 
 @dataclass
@@ -54,7 +60,7 @@ def aggregate_driver(driver: DataFrame, granularity: str = "monthly") -> DataFra
 
 def fill_gaps(rows: DataFrame, granularity: str = "monthly") -> DataFrame:
     """Every period from a series' first to its last (TS4); those without a row are zeros with ``is_gap_filled``."""
-    after = period_add(F.lead("period_start").over(IN_ORDER), -1, granularity)
+    after = period_add(F.lead("period_start").over(IN_ORDER()), -1, granularity)
     wide = rows.withColumn("upto", F.coalesce(after, "period_start")).withColumn("p", F.explode(period_range(F.col("period_start"), F.col("upto"), granularity)))
     gap = F.col("p") != F.col("period_start")
     zero = [F.when(gap, 0.0).otherwise(F.col(c)).alias(c) for c in ("qty_base", "qty_ton", "cost")]
@@ -88,7 +94,7 @@ def build_series(raw: RawTables, cfg: EngineConfig = EngineConfig(), overrides:
     driver = aggregate_driver(raw.driver, g)
     combos = driver.select("line", "output_type").distinct().withColumn("driver_exists", F.lit(True))
     items = first_rows(raw.items.where("item_code IS NOT NULL"), ("item_code",), ["description", "declared_mode"]).select("item_code", F.col("declared_mode").alias("_bom"), F.col("uom").alias("_uom"))
-    rows = collapse_duplicates(raw.consumption, g).withColumn("has_rate", F.max(F.col("rate").isNotNull()).over(BY_SERIES))
+    rows = collapse_duplicates(raw.consumption, g).withColumn("has_rate", F.max(F.col("rate").isNotNull()).over(BY_SERIES()))
     obs = fill_gaps(rows, g).join(combos, ["line", "output_type"], "left").join(items, "item_code", "left")
     if overrides is not None:
         obs = obs.join(overrides.select("item_code", F.col("mode").alias("_ui")), "item_code", "left")
@@ -107,10 +113,10 @@ def build_series(raw: RawTables, cfg: EngineConfig = EngineConfig(), overrides:
     ran = d.isNotNull() & (d > 0)
     idle = ~ran & (F.col("rate").isNull() | (F.col("rate") == 0))
     obs = obs.withColumn("is_applicable", (~(relative & idle)).cast("int"))
-    enough = ran & (d >= cfg.driver.floor_fraction * F.median(d).over(BY_SERIES))
+    enough = ran & (d >= cfg.driver.floor_fraction * F.median(d).over(BY_SERIES()))
     obs = obs.withColumn("is_reliable", F.when(relative, enough.cast("int")).otherwise(1))
     obs = obs.withColumn("is_low_driver", (relative & d.isNotNull() & ~enough).cast("int")).withColumn("is_derived", (derived & F.col("rate").isNotNull()).cast("int"))
-    obs = obs.withColumn("series_id", series_id()).withColumn("period", period_label(F.col("period_start"), g)).withColumn("idx", F.row_number().over(IN_ORDER) - 1)
+    obs = obs.withColumn("series_id", series_id()).withColumn("period", period_label(F.col("period_start"), g)).withColumn("idx", F.row_number().over(IN_ORDER()) - 1)
     observations = obs.select("series_id", *KEYS, "period_start", "period", "idx", "qty_base", "qty_ton", "cost", "rate", "driver_qty", "target", "is_gap_filled", "is_reliable", "is_applicable", "is_low_driver", "is_derived", "is_orphan", "mode", "mode_source", F.col("_uom").alias("item_uom"))
     series = observations.groupBy("series_id", *KEYS, "mode", "mode_source", "item_uom").agg(
         F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.max("period_start").alias("last_start"), F.count(F.lit(1)).alias("n_periods"),
@@ -126,7 +132,7 @@ def fit_targets(obs: DataFrame) -> DataFrame:
     """``y`` for fitting (TS10): unreliable targets are interpolated between the nearest reliable ones, held beyond the ends, and 0 where none is reliable; ``valid``; ``weight``, the driver where it is usable (TS13)."""
     ok = (F.col("is_reliable") == 1) & F.col("target").isNotNull()
     known, at = F.when(ok, F.col("target")), F.when(ok, F.col("idx"))
-    back, ahead = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0), IN_ORDER.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = IN_ORDER().rowsBetween(Window.unboundedPreceding, 0), IN_ORDER().rowsBetween(0, Window.unboundedFollowing)
     y0, y1, i0, i1 = F.last(known, True).over(back), F.first(known, True).over(ahead), F.last(at, True).over(back), F.first(at, True).over(ahead)
     line = y0 + (y1 - y0) * (F.col("idx") - i0) / F.nullif(i1 - i0, F.lit(0))
     return obs.withColumn("valid", ok.cast("int")).withColumn("y", F.when(ok, F.col("target")).otherwise(F.coalesce(line, y0, y1, F.lit(0.0)))).withColumn("weight", F.when(ok, F.col("driver_qty")))

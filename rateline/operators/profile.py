@@ -16,14 +16,20 @@ ADI_CUT, CV2_CUT = 1.32, 0.49
 #: How well each demand class can be forecast at best.
 BASE = {"smooth": 0.9, "erratic": 0.55, "intermittent": 0.5, "lumpy": 0.3, "too_short": 0.2}
 ROBUST = 0.6745
-S = Window.partitionBy("series_id")
-BY = S.orderBy("idx")
+
+
+def S():
+    return Window.partitionBy("series_id")
+
+
+def BY():
+    return S().orderBy("idx")
 
 
 def applicable_rows(obs: DataFrame) -> DataFrame:
-    none = F.max("is_applicable").over(S) == 0
+    none = F.max("is_applicable").over(S()) == 0
     rows = obs.withColumn("_none", none).where((F.col("is_applicable") == 1) | F.col("_none")).drop("_none")
-    return rows.withColumn("n", F.row_number().over(BY))
+    return rows.withColumn("n", F.row_number().over(BY()))
 
 
 def demand_class(n: Column, adi: Column, cv2: Column, min_len: int = 6) -> Column:
@@ -66,7 +72,7 @@ def correlation(x: Column, y: Column) -> Column:
 
 def autocorrelation(rows: DataFrame) -> DataFrame:
     """PAT5: of each observed value and the one before."""
-    seen = rows.where("is_gap_filled = 0 AND target IS NOT NULL").withColumn("before", F.lag("target").over(BY))
+    seen = rows.where("is_gap_filled = 0 AND target IS NOT NULL").withColumn("before", F.lag("target").over(BY()))
     return seen.groupBy("series_id").agg(F.when(F.count(F.lit(1)) >= 3, correlation(F.col("before"), F.col("target"))).alias("autocorr_lag1"))
 
 
@@ -80,16 +86,16 @@ def trend(rows: DataFrame, season: int = 12) -> DataFrame:
 
 def outlier_share(rows: DataFrame) -> DataFrame:
     """PAT6: share of positive values far from the median in terms of the median deviation."""
-    pos = rows.where("target > 0").withColumn("med", F.median("target").over(S))
-    pos = pos.withColumn("dev", F.abs(F.col("target") - F.col("med"))).withColumn("mad", F.median("dev").over(S))
+    pos = rows.where("target > 0").withColumn("med", F.median("target").over(S()))
+    pos = pos.withColumn("dev", F.abs(F.col("target") - F.col("med"))).withColumn("mad", F.median("dev").over(S()))
     far = (F.col("mad") > 0) & (ROBUST * F.col("dev") > 3.5 * F.col("mad"))
     return pos.groupBy("series_id").agg(F.when(F.count(F.lit(1)) >= 4, F.avg(far.cast("double"))).otherwise(0.0).alias("outlier_pct"))
 
 
 def structural_break(rows: DataFrame, segment: int = 4, threshold: float = 2.0) -> DataFrame:
     """PAT7: the split with the largest difference of means in terms of the pooled deviation, if it is over ``threshold``; prefix and suffix sums, no loop."""
-    y = rows.where("target IS NOT NULL").withColumn("k", F.row_number().over(BY)).withColumn("m", F.count(F.lit(1)).over(S)).withColumn("dy", F.col("target") - F.avg("target").over(S))
-    left, right = BY.rowsBetween(Window.unboundedPreceding, -1), BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    y = rows.where("target IS NOT NULL").withColumn("k", F.row_number().over(BY())).withColumn("m", F.count(F.lit(1)).over(S())).withColumn("dy", F.col("target") - F.avg("target").over(S()))
+    left, right = BY().rowsBetween(Window.unboundedPreceding, -1), BY().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s1, s2 = F.sum("dy").over(left), F.sum(F.col("dy") * F.col("dy")).over(left)
     t1, t2 = F.sum("dy").over(right), F.sum(F.col("dy") * F.col("dy")).over(right)
     y = y.withColumn("n1", F.col("k") - 1).withColumn("n2", F.col("m") - F.col("k") + 1).withColumn("s1", s1).withColumn("s2", s2).withColumn("t1", t1).withColumn("t2", t2).where((F.col("n1") >= segment) & (F.col("n2") >= segment))

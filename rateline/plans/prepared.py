@@ -69,7 +69,7 @@ def trailing_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demand_gaps(y: DataFrame) -> DataFrame:
     hit = F.when(F.col("y") > 0, F.col("idx"))
-    before = F.last(hit, True).over(P.IN_ORDER.rowsBetween(P.Window.unboundedPreceding, -1))
+    before = F.last(hit, True).over(P.IN_ORDER().rowsBetween(P.Window.unboundedPreceding, -1))
     return y.withColumn("gap", hit - before).groupBy("series_id").agg((F.count(F.lit(1)) - 1 - F.coalesce(F.max(hit), F.lit(-1))).alias("trailing_zeros"), F.median("gap").alias("median_interval"))
 
 

@@ -30,7 +30,7 @@ def autocorr_lag1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trend_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the last 20 periods of each series, so that the short form applies."""
-    rows = _rows(spark, sf_dir).withColumn("r", F.row_number().over(B.S.orderBy(F.desc("idx")))).where("r <= 20")
+    rows = _rows(spark, sf_dir).withColumn("r", F.row_number().over(B.S().orderBy(F.desc("idx")))).where("r <= 20")
     return B.trend(rows).select("series_id", *r6("trend_r2"))
 
 
