@@ -110,7 +110,9 @@ def _merged(rid: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """Anchors of every document (``rid, doc, text``): ``g, c, doc, rid, a, b`` with ``a`` the place and ``b`` the reach (64 * left + right). Of neighbourhoods that a smaller document of the same task has there is only the repeated span from ``a`` to ``b``; there ``c`` is null, and ``g`` is arbitrary."""
+    """Anchors of every document (``doc, text[, rid]``): ``g, c, doc, ab[, rid]`` with the place and the reach (64 * left + right) in ``ab``. Of neighbourhoods that a smaller document of the same task has there is only the repeated span, its start and length in ``ab``; there ``c`` is null, and ``g`` is arbitrary. These rows are what is shuffled most of, so they have no more columns than that."""
+    several = "rid" in docs.columns
+    names = ["g", "c", "doc", "ab", *["rid"] * several]
 
     def combined(g, c, doc, rid, at, reach) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((doc, c, g))
@@ -120,19 +122,20 @@ def _found(docs: DataFrame) -> DataFrame:
         again = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         of, a, b = _merged(rid[again], (at - reach // 64)[again], (at + reach % 64)[again])
         ours = ~again
-        sets = [(g[ours], c[ours], doc[ours], rid[ours], at[ours], reach[ours]), (_mixed(of.astype(np.uint64) + a.astype(np.uint64)), None, of, of, a, b)]
+        sets = [(g[ours], c[ours], doc[ours], at[ours] << 31 | reach[ours], rid[ours]), (_mixed(of.astype(np.uint64) + a.astype(np.uint64)), None, of, a << 31 | (b - a), of)]
         for gs, cs, *rest in sets:
             for lo in range(0, len(gs), 50_000):
                 s = slice(lo, lo + 50_000)
                 n = len(gs[s])
                 third = pa.nulls(n, pa.int64()) if cs is None else pa.array(cs[s].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(gs[s].view(np.int64)), third, *(pa.array(x[s].astype(np.int64)) for x in rest)], names=["g", "c", "doc", "rid", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(gs[s].view(np.int64)), third, *(pa.array(x[s].astype(np.int64)) for x in rest[: len(names) - 2])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for rid, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            columns = [c.to_pylist() for c in batch.columns]
+            for doc, text, rid in zip(columns[0], columns[1], columns[-1] if several else columns[0]):
                 if not text or len(data := np.frombuffer(text.encode(), np.uint8)) < SPAN:
                     continue
                 at, g = anchors(data)
@@ -145,7 +148,7 @@ def _found(docs: DataFrame) -> DataFrame:
         if held:
             yield from combined(*map(np.concatenate, zip(*held)))
 
-    return docs.select("rid", "doc", "text").mapInArrow(run, "g long, c long, doc long, rid long, a long, b long")
+    return docs.select("doc", "text", *["rid"] * several).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def repeated(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,9 +223,14 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     distinct = rows.dropDuplicates(["rid"]) if several else rows
     by_class, by_gram = Window.partitionBy("g", "c"), Window.partitionBy("g")
     anchor, new = F.col("c").isNotNull(), F.col("c").isNotNull() & (F.col("doc") == F.col("first"))
-    told = _found(distinct).withColumn("first", F.min("doc").over(by_class)).withColumn("low", F.min(F.when(new, F.col("doc"))).over(by_gram)).withColumn("high", F.max(F.when(new, F.col("doc"))).over(by_gram))
+    # dealt by gram at once, which serves both windows; else Spark deals by class first and then again
+    dealt = _found(distinct if several else distinct.drop("rid")).repartition(partitions_for(spark), "g")
+    told = dealt.withColumn("first", F.min("doc").over(by_class)).withColumn("low", F.min(F.when(new, F.col("doc"))).over(by_gram)).withColumn("high", F.max(F.when(new, F.col("doc"))).over(by_gram))
     # either a repeated span, or (g not null) an anchor whose neighbourhood is new, of a gram that another document has
-    told = told.where(~new | (F.col("low") < F.col("high"))).select(F.when(new, F.col("g")).alias("g"), "doc", "rid", F.when(anchor & ~new, F.col("a") - F.floor(F.col("b") / 64)).otherwise(F.col("a")).alias("a"), F.when(anchor & ~new, F.col("a") + F.col("b") % 64).otherwise(F.col("b")).alias("b"))
+    place, reach = F.shiftright("ab", 31), F.col("ab").bitwiseAND(F.lit((1 << 31) - 1))
+    start = F.when(new | ~anchor, place).otherwise(place - F.shiftright(reach, 6))
+    stop = F.when(new, reach).when(anchor, place + reach.bitwiseAND(F.lit(63))).otherwise(place + reach)
+    told = told.where(~new | (F.col("low") < F.col("high"))).select(F.when(new, F.col("g")).alias("g"), "doc", F.col("rid" if several else "doc").alias("rid"), start.alias("a"), stop.alias("b"))
     told = written(told, "anchors")
     release(spark)
 
