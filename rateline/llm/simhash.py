@@ -29,8 +29,8 @@ from .common import partitions_for, small_batches, table, written
 from .components import stars
 
 BITS = 64
-#: Fingerprints in one tree at most, and what a shard should hold on average.
-SHARD_MAX, SHARD_MEAN = 20_000, 256
+#: Fingerprints in one tree at most, what a shard of blocks should hold on average, and what a shard of one minimum may hold.
+SHARD_MAX, SHARD_MEAN, CROWD = 20_000, 256, 4_096
 #: Hashes of a sketch, and hash minima by which similar documents meet.
 SKETCH, SLOTS = 128, 5
 #: Odd multipliers, one for each slot's order of hashes: a fixed rule, the first bits of multiples of the golden ratio.
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     signed = written(fingerprints(docs, words, key, text, sketch=True).withColumn("node", F.xxhash64("fp", "slots", "sketch")), "signatures")
     distinct = written(signed.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("slots").alias("slots"), F.first("sketch").alias("sketch")), "distinct")
     single = [F.struct(F.lit(i).cast("long").alias("t"), F.col("slots")[i].alias("v")) for i in range(SLOTS)]
-    crowded = written(distinct.select(F.explode(F.array(*single)).alias("k")).groupBy("k").count().where(F.col("count") > SHARD_MEAN).select("k.t", "k.v"), "crowded")
+    crowded = written(distinct.select(F.explode(F.array(*single)).alias("k")).groupBy("k").count().where(F.col("count") > CROWD).select("k.t", "k.v"), "crowded")
     nodes = distinct
     if crowded.isEmpty():
         keys = F.array(*single)
@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
         nodes = distinct.join(mine, "node", "left").withColumn("crowd", F.coalesce("crowd", F.array().cast("array<bigint>")))
         each = []
         for i in range(SLOTS):
-            others = [F.struct(F.lit(SLOTS + SLOTS * SLOTS * min(i, j) + SLOTS * max(i, j) + m).cast("long").alias("t"), F.xxhash64(F.col("slots")[min(i, j)], F.col("slots")[max(i, j)], F.col("slots")[m]).alias("v")) for j in range(SLOTS) for m in range(SLOTS) if i != j and m not in (i, j) and j < m]
+            pairs = [(min(i, j), max(i, j)) for j in range(SLOTS) if j != i]
+            others = [F.struct(F.lit(SLOTS * (1 + x) + y).cast("long").alias("t"), F.xxhash64(F.col("slots")[x], F.col("slots")[y]).alias("v")) for x, y in pairs]
             each.append(F.when(F.array_contains("crowd", F.lit(i).cast("long")), F.array(*others)).otherwise(F.array(single[i])))
         keys = F.array_distinct(F.concat(*each))
     roots = stars(_shards(nodes, keys, radius, True))
