@@ -232,7 +232,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, key: st
     distinct = written(fps.groupBy(F.col("fp").alias("node")).agg(F.min(key).alias("least")), "distinct")
     nodes = distinct.select("node", F.col("node").alias("fp"))
     roots = stars(_shards(nodes, block_keys(distinct.count(), radius), radius, False))
-    return _labelled(fps, distinct, roots, "fp")
+    return _labelled(fps, distinct, roots, "fp").select(key, "fp", "component_id")
 
 
 def _labelled(rows: DataFrame, distinct: DataFrame, roots: DataFrame, by: str) -> DataFrame:
