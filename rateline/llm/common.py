@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that are done: Spark deletes them once nothing refers to them any more, which only a collection of garbage tells."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of plans that are done.
+
+    Spark deletes them once nothing refers to them any more, which it learns
+    from a collection of garbage, and then on a thread of its own; so that is
+    asked for, and waited for a little, twice: the first lets go of what Python
+    held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def small_batches(spark: SparkSession) -> None:
