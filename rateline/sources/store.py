@@ -98,10 +98,13 @@ class Repository:
     def latest_complete(self) -> dict | None:
         return next((r for r in self.runs() if r["status"] == "complete"), None)
 
-    def delete_run(self, run_id: str) -> None:
-        """SNK18: its partitions go, then its row."""
+    def delete_run_rows(self, run_id: str) -> None:
         for t in PER_RUN:
             self._fs().delete(self._path(t, f"run_id={run_id}"), True)
+
+    def delete_run(self, run_id: str) -> None:
+        """SNK18: its partitions go, then its row."""
+        self.delete_run_rows(run_id)
         self._save([r for r in self.runs() if r["run_id"] != run_id])
 
     def delete_all(self) -> None:
