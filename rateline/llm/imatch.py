@@ -33,6 +33,10 @@ SUBSETS = len(DENSITIES) * EACH
 LEXICON_MAX = 5_000_000
 #: Terms that a task counts before it hands its counts on.
 HELD_TERMS = 1_000_000
+_DENSITY = [d for d in DENSITIES for _ in range(EACH)]
+_SALT = np.array([e + 1 for _ in DENSITIES for e in range(EACH)], np.uint64)
+_TURN = np.array([0x9E3779B97F4A7C15 + 2 * (d * EACH + e) for d in DENSITIES for e in range(EACH)], np.uint64)
+_SHIFT = np.array([64 - d for d in _DENSITY], np.uint64)
 _TERM = re.compile(r"\w+")
 EMPTY = "0" * 8
 
@@ -86,13 +90,11 @@ def fingerprint(terms: set[str], lex: np.ndarray, known: dict[str, int]) -> str:
         own = own[lex[at] == own]
     else:
         own = own[:0]
+    # all subsets at once: the first d bits of the term's hash, after a turn of its own for each subset, are zero
+    chosen = ((own[None, :] ^ _SALT[:, None]) * _TURN[:, None]) >> _SHIFT[:, None] == 0
     out = []
-    for d in DENSITIES:
-        for e in range(EACH):
-            # bits of the term's hash after a turn of its own for each subset
-            turned = (own ^ np.uint64(e + 1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * (d * EACH + e))
-            some = own[(turned >> np.uint64(64 - d)) == 0]
-            out.append(f"{xxhash.xxh32_intdigest(some.tobytes(), d) or 1:08x}" if len(some) else EMPTY)
+    for row, some, d in zip(chosen, chosen.any(1), _DENSITY):
+        out.append(f"{xxhash.xxh32_intdigest(own[row].tobytes(), d) or 1:08x}" if some else EMPTY)
     return "".join(out)
 
 
