@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.calendar import parsed_period, period_label
 from ..functions.stats import chi2_tail
+from ..shipping import ship
 
 IDLE, OTHER = "idle", "other"
 KEY = ("unit", "stream")
@@ -106,6 +107,8 @@ def significance(rows: DataFrame, cfg: EngineConfig = EngineConfig(), least: int
 
 def diagnosed(tested: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """CTX13: ``p_value`` of the statistic, and whether the effect is both significant and large."""
+    ship(tested.sparkSession)
+
     @F.pandas_udf("double")
     def tail(stat: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(s) else chi2_tail(float(s), int(n) - 1) for s, n in zip(stat, k)])

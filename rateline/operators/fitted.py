@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import EngineConfig
+from ..shipping import ship
 
 GRID = np.linspace(0.05, 0.95, 10)
 
@@ -207,6 +208,7 @@ FOLDS = "series_id string, model string, ordinal int, n_params int, origin int,
 
 def fitted_folds(fit: DataFrame, models: tuple[str, ...] = ("SES", "DampedHolt", "Theta"), cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Fold predictions in the form of ``backtest.folds``; a fit that fails takes the model out of that series, nothing more."""
+    ship(fit.sparkSession)
     h, m = cfg.cv.horizon, cfg.season
     wanted = [x for x in models if x not in cfg.models.disabled_models and (x != "ARIMA" or cfg.models.enable_arima)]
 
@@ -234,6 +236,7 @@ def fitted_folds(fit: DataFrame, models: tuple[str, ...] = ("SES", "DampedHolt",
 
 def fitted_forecasts(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """``series_id, model, step, point, sigma`` of the chosen fitted models over the whole history (SEL10)."""
+    ship(fit.sparkSession)
     h, m = cfg.forecast.horizon, cfg.season
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..shipping import ship
 
 ADI_CUT, CV2_CUT = 1.32, 0.49
 #: How well each demand class can be forecast at best.
@@ -134,6 +135,8 @@ def decomposition(rows: DataFrame, season: int = 12) -> DataFrame:
     """PAT3, PAT4 for each series, by one grouped function: ``trend_strength, seasonal_strength`` of a robust STL where there are two seasons and one more, and ``stationary`` (1, 0 or null)."""
     from ..functions.stats import adf_p_value, stl
 
+    ship(rows.sparkSession)
+
     def run(key, pdf):
         import numpy as np
         import pandas as pd
