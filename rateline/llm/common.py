@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows and bytes of an Arrow batch: bounds a Python worker's memory by texts, not by table size.
 BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
@@ -54,7 +56,8 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches. Texts may be long, so the default of 10 000 rows a batch is too many."""
+    """Get a session ready for Python stages: the package where workers are, and bounded Arrow batches. Texts may be long, so the default of 10 000 rows a batch is too many."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, BATCH_ROWS)
