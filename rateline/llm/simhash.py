@@ -189,15 +189,22 @@ def _shards(nodes: DataFrame, keys, radius: int, alike: bool) -> DataFrame:
 
 def _similar(sketches: list[bytes], least: float = 0.8) -> Callable[[int, np.ndarray], np.ndarray]:
     """Which of some sketches have at least that share of the least hashes of both unions in common."""
-    sets = [np.frombuffer(s, "<u4") for s in sketches]
+    wide = np.full((len(sketches), SKETCH), (1 << 32), np.uint64)  # beyond any hash
+    for row, sketch in zip(wide, sketches):
+        own = np.frombuffer(sketch, "<u4")
+        row[: len(own)] = own
+    # a sketch knows all hashes up to its last one, or, if it is not full, all there are
+    upto = np.where(wide[:, -1] < 1 << 32, wide[:, -1], np.uint64((1 << 32) - 1))
 
     def alike(i: int, js: np.ndarray) -> np.ndarray:
         out = np.zeros(len(js), bool)
-        for n, j in enumerate(js):
-            x, y = sets[i], sets[j]
-            k = min(SKETCH, max(len(x), len(y)))
-            union = np.union1d(x, y)[:k]
-            out[n] = np.isin(union, x).__and__(np.isin(union, y)).sum() >= least * len(union)
+        for at in range(0, len(js), 4096):
+            own = js[at : at + 4096]
+            both = np.minimum(upto[i], upto[own])
+            known = wide[own] <= both[:, None]
+            shared = (known & np.isin(wide[own], wide[i])).sum(1)
+            union = known.sum(1) + np.searchsorted(wide[i], both, "right") - shared
+            out[at : at + 4096] = shared >= least * union
         return out
 
     return alike
