@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import partitions_for, small_batches, table, written
 from .components import stars
@@ -31,8 +32,10 @@ from .components import stars
 BITS = 64
 #: Fingerprints in one tree at most, what a shard of blocks should hold on average, and what a shard of one minimum may hold.
 SHARD_MAX, SHARD_MEAN, CROWD = 20_000, 256, 4_096
-#: Hashes of a sketch, and hash minima by which similar documents meet.
-SKETCH, SLOTS = 128, 5
+#: Bytes of shingle hashes that a part of a shard holds on average.
+PART_BYTES = 16 << 20
+#: Hash minima by which similar documents meet.
+SLOTS = 5
 #: Odd multipliers, one for each slot's order of hashes: a fixed rule, the first bits of multiples of the golden ratio.
 _TURN = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(SLOTS)], dtype=np.uint64)
 
@@ -56,31 +59,55 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text", sketch: bool = False) -> DataFrame:
-    """``key, fp`` (the fingerprint's bits as a bigint) of each row; with ``sketch`` also ``slots`` (minima of the shingle hashes in several orders) and ``sketch`` (the least hashes, 32 bits each). Null texts have no words: fingerprint zero."""
+def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, fp`` (the fingerprint's bits as a bigint) of each row. Null texts have no words: fingerprint zero."""
     small_batches(docs.sparkSession)
     schema = docs.select(key).schema.add("fp", "long")
-    if sketch:
-        from pyspark.sql.types import ArrayType, LongType
 
-        schema = schema.add("slots", ArrayType(LongType())).add("sketch", "binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [simhash(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=schema.names)
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def _node(own: np.ndarray) -> int:
+    """One bigint for a set of shingle hashes, which are in order."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
+
+
+def _signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """``key, text_hash, fp, node`` (stands for the set of shingles) ``, n`` (its size) ``, slots`` (minima of the shingle hashes in several orders) of each row."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(key), F.xxhash64(text, F.length(text)).alias("text_hash"), F.col(text))
+    schema = rows.select(key, "text_hash").schema.add("fp", "long").add("node", "long").add("n", "long").add("slots", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, slots, least = [], [], []
-            for t in batch.column(1).to_pylist():
+            fps, nodes, sizes, slots = [], [], [], []
+            for t in batch.column(2).to_pylist():
                 h = shingle_hashes(t, words)
+                own = np.unique(h)
                 fps.append(simhash(h))
-                if sketch:
-                    own = np.unique(h)
-                    slots.append([int(x) for x in (own[:, None] * _TURN).min(0).view(np.int64)] if len(own) else [0] * SLOTS)
-                    least.append((own[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-            cols = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            if sketch:
-                cols += [pa.array(slots, pa.list_(pa.int64())), pa.array(least, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                nodes.append(_node(own))
+                sizes.append(len(own))
+                slots.append([int(x) for x in (own[:, None] * _TURN).min(0).view(np.int64)] if len(own) else [0] * SLOTS)
+            cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def _shingle_sets(texts: DataFrame, words: int, text: str) -> DataFrame:
+    """``node, shingles`` (the distinct shingle hashes in order, 64 bits each) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingle_hashes(t, words)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(o) for o in own], pa.int64()), pa.array([o.tobytes() for o in own], pa.binary())], names=["node", "shingles"])
+
+    return texts.select(text).mapInArrow(run, "node long, shingles binary")
 
 
 class BKTree:
@@ -153,20 +180,26 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield now, pa.Table.from_batches(held)
 
 
-def _shards(nodes: DataFrame, keys, radius: int, alike: bool) -> DataFrame:
-    """Links ``a, b`` between nodes (``node, fp[, sketch]``) that meet under one of ``keys`` (an array of bigint pairs)."""
-    spark = nodes.sparkSession
-    carried = ["node", "fp", *["sketch"] * alike]
-    dealt = nodes.select(*carried, F.explode(keys).alias("k")).select("k.t", "k.v", *carried)
+def _shards(nodes: DataFrame, keys, radius: int) -> DataFrame:
+    """Links ``a, b`` between nodes (``node, fp``) that meet under one of ``keys`` (an array of bigint pairs)."""
+    dealt = nodes.select("node", "fp", F.explode(keys).alias("k")).select("k.t", "k.v", "node", "fp")
     large = written(dealt.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_MAX), "large-shards")
     if large.isEmpty():
-        dealt = dealt.select("t", "v", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *carried)
-    else:  # parts 0..n-1 of a large shard: a task for each pair of parts, the first one's tree searched for the second
-        n = F.ceil(F.coalesce("n", F.lit(1)) / SHARD_MAX).cast("int")
-        own = F.pmod(F.xxhash64("node"), n).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"), (o < F.col("own")).cast("int").alias("side")))
-        dealt = dealt.join(large, ["t", "v"], "left").withColumn("parts", n).withColumn("own", own).select("t", "v", F.explode(pairs).alias("p"), *carried).select("t", "v", "p.i", "p.j", "p.side", *carried)
-    ordered = dealt.repartition(partitions_for(spark), "t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j", "side", "node")
+        return _links(dealt.select("t", "v", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "fp"), radius)
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / SHARD_MAX).cast("int")
+    return _links(_parted(dealt.join(large, ["t", "v"], "left").withColumn("parts", parts), ["node", "fp"]), radius)
+
+
+def _parted(dealt: DataFrame, carried: list[str]) -> DataFrame:
+    """Rows of shards in ``parts`` parts, for a task for each pair ``i, j`` of parts; the tree of the first one is searched for the second, which is ``side`` 1."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"), (o < F.col("own")).cast("int").alias("side")))
+    return dealt.withColumn("own", own).select("t", "v", F.explode(pairs).alias("p"), *carried).select("t", "v", "p.i", "p.j", "p.side", *carried)
+
+
+def _links(dealt: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """Links ``a, b`` that each shard finds; with ``similarity``, only between nodes whose ``shingles`` have at least that Jaccard similarity."""
+    ordered = dealt.repartition(partitions_for(dealt.sparkSession), "t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -174,8 +207,8 @@ def _shards(nodes: DataFrame, keys, radius: int, alike: bool) -> DataFrame:
             if rows.num_rows > 1:
                 fps, node = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy()
                 split = None if i == j else int((rows["side"].to_numpy() == 0).sum())
-                test = _similar(rows["sketch"].to_pylist()) if alike else None
                 if split is None or 0 < split < len(fps):
+                    test = None if similarity is None else _similar(rows["shingles"].to_pylist(), similarity)
                     for x, y in linked(fps, radius, split, test):
                         a.append(node[x])
                         b.append(node[y])
@@ -187,24 +220,28 @@ def _shards(nodes: DataFrame, keys, radius: int, alike: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _similar(sketches: list[bytes], least: float = 0.8) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Which of some sketches have at least that share of the least hashes of both unions in common."""
-    wide = np.full((len(sketches), SKETCH), (1 << 32), np.uint64)  # beyond any hash
-    for row, sketch in zip(wide, sketches):
-        own = np.frombuffer(sketch, "<u4")
-        row[: len(own)] = own
-    # a sketch knows all hashes up to its last one, or, if it is not full, all there are
-    upto = np.where(wide[:, -1] < 1 << 32, wide[:, -1], np.uint64((1 << 32) - 1))
+def _similar(sets: list[bytes], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of some sets of hashes have at least that share of their union in common: counted, not estimated."""
+    ends = [0, *accumulate(len(s) // 8 for s in sets)]
+    sizes = np.diff(ends)
+    placed: list[np.ndarray] = []
 
     def alike(i: int, js: np.ndarray) -> np.ndarray:
         out = np.zeros(len(js), bool)
-        for at in range(0, len(js), 4096):
-            own = js[at : at + 4096]
-            both = np.minimum(upto[i], upto[own])
-            known = wide[own] <= both[:, None]
-            shared = (known & np.isin(wide[own], wide[i])).sum(1)
-            union = known.sum(1) + np.searchsorted(wide[i], both, "right") - shared
-            out[at : at + 4096] = shared >= least * union
+        some = np.flatnonzero(np.minimum(sizes[js], sizes[i]) >= least * np.maximum(sizes[js], sizes[i]) - 1e-6)
+        if not some.size:
+            return out
+        if not placed:  # hashes by their places among all of the shard
+            all_, at = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
+            placed.extend((at, np.zeros(len(all_), bool)))
+        at, mark = placed
+        mine = at[ends[i] : ends[i + 1]]
+        mark[mine] = True
+        for x in some.tolist():
+            j = js[x]
+            shared = np.count_nonzero(mark[at[ends[j] : ends[j + 1]]])
+            out[x] = shared >= least * (sizes[i] + sizes[j] - shared) - 1e-6
+        mark[mine] = False
         return out
 
     return alike
@@ -238,7 +275,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, key: st
     fps = written(fingerprints(docs, words, key, text), "fingerprints")
     distinct = written(fps.groupBy(F.col("fp").alias("node")).agg(F.min(key).alias("least")), "distinct")
     nodes = distinct.select("node", F.col("node").alias("fp"))
-    roots = stars(_shards(nodes, block_keys(distinct.count(), radius), radius, False))
+    roots = stars(_shards(nodes, block_keys(distinct.count(), radius), radius))
     return _labelled(fps, distinct, roots, "fp").select(key, "fp", "component_id")
 
 
@@ -249,19 +286,20 @@ def _labelled(rows: DataFrame, distinct: DataFrame, roots: DataFrame, by: str) -
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, component_id``: groups of documents that share at least ``similarity`` of their word shingles (Jaccard, estimated from the 128 least shingle hashes).
+    """``key, component_id``: groups of documents that share at least ``similarity`` of their distinct word shingles (Jaccard).
 
     Two documents of Jaccard similarity 0.8 differ in 10 of 64 bits on average,
-    with a deviation of 3, so ``radius`` is wide and links are confirmed on the
-    sketches. No blocks of bits serve such a radius; shards are keyed by the
-    least shingle hash in one of five orders, of which two documents of
-    similarity 0.8 share one but in 3 of 10,000 cases. A shard that many
-    documents share by one common passage is keyed by two more of the minima.
-    Rows of equal texts are joined before. Edge cases as above; wordless texts
-    form one group.
+    with a deviation of 3, so ``radius`` is wide and links are confirmed on all
+    distinct shingle hashes. No blocks of bits serve such a radius; shards are
+    keyed by the least shingle hash in one of five orders, of which two
+    documents of similarity 0.8 share one but in 3 of 10,000 cases. A shard
+    that many documents share by one common passage is keyed by two more of the
+    minima. Only texts that meet another one are read again for their hashes,
+    one text for each set of shingles. Rows of equal sets are joined before.
+    Edge cases as above; wordless texts form one group.
     """
-    signed = written(fingerprints(docs, words, key, text, sketch=True).withColumn("node", F.xxhash64("fp", "slots", "sketch")), "signatures")
-    distinct = written(signed.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("slots").alias("slots"), F.first("sketch").alias("sketch")), "distinct")
+    signed = written(_signatures(docs, words, key, text), "signatures")
+    distinct = written(signed.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("slots").alias("slots"), F.min("text_hash").alias("text_hash")), "distinct")
     single = [F.struct(F.lit(i).cast("long").alias("t"), F.col("slots")[i].alias("v")) for i in range(SLOTS)]
     crowded = written(distinct.select(F.explode(F.array(*single)).alias("k")).groupBy("k").count().where(F.col("count") > CROWD).select("k.t", "k.v"), "crowded")
     nodes = distinct
@@ -276,7 +314,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
             others = [F.struct(F.lit(SLOTS * (1 + x) + y).cast("long").alias("t"), F.xxhash64(F.col("slots")[x], F.col("slots")[y]).alias("v")) for x, y in pairs]
             each.append(F.when(F.array_contains("crowd", F.lit(i).cast("long")), F.array(*others)).otherwise(F.array(single[i])))
         keys = F.array_distinct(F.concat(*each))
-    roots = stars(_shards(nodes, keys, radius, True))
+    dealt = nodes.select("node", "n", F.explode(keys).alias("k")).select("k.t", "k.v", "node", "n")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_MAX), F.ceil(F.sum("n") * 8 / PART_BYTES), F.lit(1)).cast("int")
+    shards = dealt.groupBy("t", "v").agg(F.count(F.lit(1)).alias("of"), parts.alias("parts")).where("of > 1")
+    met = written(dealt.join(shards, ["t", "v"]).select("t", "v", "node", "parts"), "met")
+    wanted = distinct.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", "text_hash")
+    texts = docs.select(F.xxhash64(text, F.length(text)).alias("text_hash"), text).groupBy("text_hash").agg(F.first(text).alias(text))
+    sets = _shingle_sets(texts.join(wanted, "text_hash", "left_semi"), words, text).join(wanted.select("node", "fp"), "node")
+    roots = stars(_links(_parted(met.join(sets, "node"), ["node", "fp", "shingles"]), radius, similarity))
     return _labelled(signed.select(key, "node"), distinct, roots, "node").select(key, "component_id")
 
 
