@@ -30,14 +30,14 @@ from .common import partitions_for, small_batches, table, written
 from .components import stars
 
 BITS = 64
-#: Fingerprints in one tree at most, what a shard of blocks should hold on average, and what a shard of one minimum may hold.
-SHARD_MAX, SHARD_MEAN, CROWD = 20_000, 256, 4_096
+#: Fingerprints in one tree at most, and what a shard of blocks should hold on average.
+SHARD_MAX, SHARD_MEAN = 20_000, 256
 #: Bytes of shingle hashes that a part of a shard holds on average.
 PART_BYTES = 16 << 20
 #: Hash minima by which similar documents meet.
 SLOTS = 5
-#: Odd multipliers, one for each slot's order of hashes: a fixed rule, the first bits of multiples of the golden ratio.
-_TURN = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(SLOTS)], dtype=np.uint64)
+#: What is added by xor for each slot's order of hashes: a fixed rule, the first bits of multiples of the golden ratio.
+_TURN = np.array([0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(SLOTS)], dtype=np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -72,6 +72,15 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def _minima(own: np.ndarray) -> np.ndarray:
+    """The least of some hashes in each order. A multiplication alone would not do: what is least stays so after most others, so that orders agree or fail together."""
+    x = own[:, None] ^ _TURN
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(by)
+    return (x ^ (x >> np.uint64(33))).min(0)
+
+
 def _node(own: np.ndarray) -> int:
     """One bigint for a set of shingle hashes, which are in order."""
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
@@ -92,7 +101,7 @@ def _signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 fps.append(simhash(h))
                 nodes.append(_node(own))
                 sizes.append(len(own))
-                slots.append([int(x) for x in (own[:, None] * _TURN).min(0).view(np.int64)] if len(own) else [0] * SLOTS)
+                slots.append(_minima(own).view(np.int64).tolist() if len(own) else [0] * SLOTS)
             cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=schema.names)
 
@@ -292,29 +301,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     with a deviation of 3, so ``radius`` is wide and links are confirmed on all
     distinct shingle hashes. No blocks of bits serve such a radius; shards are
     keyed by the least shingle hash in one of five orders, of which two
-    documents of similarity 0.8 share one but in 3 of 10,000 cases. A shard
-    that many documents share by one common passage is keyed by two more of the
-    minima. Only texts that meet another one are read again for their hashes,
-    one text for each set of shingles. Rows of equal sets are joined before.
-    Edge cases as above; wordless texts form one group.
+    documents of similarity 0.8 share one but in 3 of 10,000 cases, however
+    many others share it; large shards are split in parts. Only texts that meet
+    another one are read again for their hashes, one text for each set of
+    shingles. Rows of equal sets are joined before. Edge cases as above;
+    wordless texts form one group.
     """
     signed = written(_signatures(docs, words, key, text), "signatures")
     distinct = written(signed.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("slots").alias("slots"), F.min("text_hash").alias("text_hash")), "distinct")
     single = [F.struct(F.lit(i).cast("long").alias("t"), F.col("slots")[i].alias("v")) for i in range(SLOTS)]
-    crowded = written(distinct.select(F.explode(F.array(*single)).alias("k")).groupBy("k").count().where(F.col("count") > CROWD).select("k.t", "k.v"), "crowded")
-    nodes = distinct
-    if crowded.isEmpty():
-        keys = F.array(*single)
-    else:
-        mine = distinct.select("node", F.explode(F.array(*single)).alias("k")).select("node", "k.t", "k.v").join(crowded, ["t", "v"], "left_semi").groupBy("node").agg(F.collect_set("t").alias("crowd"))
-        nodes = distinct.join(mine, "node", "left").withColumn("crowd", F.coalesce("crowd", F.array().cast("array<bigint>")))
-        each = []
-        for i in range(SLOTS):
-            pairs = [(min(i, j), max(i, j)) for j in range(SLOTS) if j != i]
-            others = [F.struct(F.lit(SLOTS * (1 + x) + y).cast("long").alias("t"), F.xxhash64(F.col("slots")[x], F.col("slots")[y]).alias("v")) for x, y in pairs]
-            each.append(F.when(F.array_contains("crowd", F.lit(i).cast("long")), F.array(*others)).otherwise(F.array(single[i])))
-        keys = F.array_distinct(F.concat(*each))
-    dealt = nodes.select("node", "n", F.explode(keys).alias("k")).select("k.t", "k.v", "node", "n")
+    dealt = distinct.select("node", "n", F.explode(F.array(*single)).alias("k")).select("k.t", "k.v", "node", "n")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_MAX), F.ceil(F.sum("n") * 8 / PART_BYTES), F.lit(1)).cast("int")
     shards = dealt.groupBy("t", "v").agg(F.count(F.lit(1)).alias("of"), parts.alias("parts")).where("of > 1")
     met = written(dealt.join(shards, ["t", "v"]).select("t", "v", "node", "parts"), "met")

@@ -24,3 +24,21 @@ def test_links_are_confirmed_on_whole_texts(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[: shared + 4], *new(500 - shared)]))]
         want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + i % 2}
     assert components(spark, rows) == want
+
+
+def test_passages_of_many_texts_lose_no_pair(spark, monkeypatch):
+    """Pairs of 0.8 and more are found as in a small table where all texts share a passage, and so minima; also where these shards are split in parts."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(34)
+    rows, want = [], {}
+    for i in range(300):
+        own = new(50)
+        rows += [(2 * i + k, " ".join([*passage, *own, *new(10)])) for k in range(2)]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    monkeypatch.setattr(simhash, "CROWD", 20, raising=False)
+    assert components(spark, rows) == want
+    monkeypatch.setattr(simhash, "SHARD_MAX", 150)
+    assert components(spark, rows) == want
+    monkeypatch.setattr(simhash, "PART_BYTES", 50_000)
+    assert components(spark, rows) == want
