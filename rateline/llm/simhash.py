@@ -87,7 +87,7 @@ def _node(own: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """``key, text_hash, fp, node`` (stands for the set of shingles) ``, n`` (its size) ``, slots`` (minima of the shingle hashes in several orders) of each row."""
+    """``key, text_hash, fp`` (of the distinct shingles) ``, node`` (stands for the set of them) ``, n`` (its size) ``, slots`` (minima of the shingle hashes in several orders) of each row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.xxhash64(text, F.length(text)).alias("text_hash"), F.col(text))
     schema = rows.select(key, "text_hash").schema.add("fp", "long").add("node", "long").add("n", "long").add("slots", ArrayType(LongType()))
@@ -96,9 +96,8 @@ def _signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
         for batch in batches:
             fps, nodes, sizes, slots = [], [], [], []
             for t in batch.column(2).to_pylist():
-                h = shingle_hashes(t, words)
-                own = np.unique(h)
-                fps.append(simhash(h))
+                own = np.unique(shingle_hashes(t, words))
+                fps.append(simhash(own))
                 nodes.append(_node(own))
                 sizes.append(len(own))
                 slots.append(_minima(own).view(np.int64).tolist() if len(own) else [0] * SLOTS)
@@ -297,8 +296,8 @@ def _labelled(rows: DataFrame, distinct: DataFrame, roots: DataFrame, by: str) -
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, component_id``: groups of documents that share at least ``similarity`` of their distinct word shingles (Jaccard).
 
-    Two documents of Jaccard similarity 0.8 differ in 10 of 64 bits on average,
-    with a deviation of 3, so ``radius`` is wide and links are confirmed on all
+    Fingerprints are over distinct shingles too. Of two documents of similarity
+    0.8 they differ in 10 of 64 bits on average, with a deviation of 3, so ``radius`` is wide and links are confirmed on all
     distinct shingle hashes. No blocks of bits serve such a radius; shards are
     keyed by the least shingle hash in one of five orders, of which two
     documents of similarity 0.8 share one but in 3 of 10,000 cases, however

@@ -42,3 +42,15 @@ def test_passages_of_many_texts_lose_no_pair(spark, monkeypatch):
     assert components(spark, rows) == want
     monkeypatch.setattr(simhash, "PART_BYTES", 50_000)
     assert components(spark, rows) == want
+
+
+def test_repeated_passages_do_not_hide_copies(spark):
+    """One copy of each text has a passage a hundred times over; as sets of shingles the two are 0.96 alike."""
+    rng = random.Random(7)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(100):
+        own, passage = new(84), new(20)
+        rows += [(2 * i, " ".join([*own, *passage])), (2 * i + 1, " ".join([*own, *passage * 100]))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    assert components(spark, rows) == want
