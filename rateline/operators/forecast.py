@@ -45,14 +45,19 @@ def final_fits(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConf
     return rows.groupBy("series_id", "model").agg(F.max(F.when(end, F.col("level"))).alias("level"), F.max(F.when(end, F.col("slope"))).alias("slope"), F.max_by("season", "idx").alias("season"), F.when(F.count("miss") >= 2, F.stddev_pop("miss")).otherwise(F.stddev_pop("y")).alias("sigma"), F.max("grows").alias("grows"))
 
 
+def point(season: int) -> Column:
+    """What a fit says of ``step``. An ensemble has its points of all steps in ``season``."""
+    again = F.element_at("season", ((F.col("step") - 1) % season + 1).cast("int"))
+    return F.when(F.col("model") == "SeasonalNaive", again).when(F.col("model") == "Ensemble", F.get("season", F.col("step") - 1)).otherwise(F.col("level") + F.col("slope") * F.col("step"))
+
+
 def generate(fits: DataFrame, series: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """The horizon behind each series' own last period, clipped at 0, bands ordered (FC1-FC3)."""
     g, m = cfg.granularity, cfg.season
     rows = fits.join(series.select("series_id", *DIMENSIONS, "mode", "last_start"), "series_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(cfg.forecast.horizon))))
     start = period_add(F.col("last_start"), F.col("step"), g)
-    point = F.when(F.col("model") == "SeasonalNaive", F.element_at("season", ((F.col("step") - 1) % m + 1).cast("int"))).otherwise(F.col("level") + F.col("slope") * F.col("step"))
     wide = F.col("sigma") * F.when(F.col("grows"), F.sqrt(F.col("step").cast("double"))).otherwise(1.0)
-    rows = rows.withColumn("period_start", start).withColumn("period", period_label(F.col("period_start"), g)).withColumn("p", point).withColumn("wide", wide)
+    rows = rows.withColumn("period_start", start).withColumn("period", period_label(F.col("period_start"), g)).withColumn("p", point(m)).withColumn("wide", wide)
     at = F.greatest(F.col("p"), F.lit(0.0))
     z80, z95 = (normal_quantile(0.5 + v / 2) for v in cfg.forecast.interval_levels)
     rows = rows.withColumn("target_value", at)

@@ -65,7 +65,7 @@ def selections(fit: DataFrame, series: DataFrame, raw: RawTables, obs: DataFrame
 
 
 def point_forecasts(fit: DataFrame, chosen: DataFrame, series: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Forecasts of all chosen models in one form. An ensemble is the mean of its members, its deviation that of the members' mean misses."""
+    """Forecasts of all chosen models in one form. An ensemble is the mean of its members at each step, its deviation that of the members' mean misses."""
     flat = chosen.where("fixed_level IS NOT NULL").select("series_id", "model", F.col("fixed_level").alias("level"))
     spread = fit.join(flat.select("series_id", "level"), "series_id").groupBy("series_id").agg(F.stddev_pop(F.col("y") - F.col("level")).alias("sigma"))
     flat = flat.join(spread, "series_id").select("series_id", "model", "level", F.lit(0.0).alias("slope"), F.lit(None).cast("array<double>").alias("season"), "sigma", F.lit(False).alias("grows"))
@@ -75,7 +75,10 @@ def point_forecasts(fit: DataFrame, chosen: DataFrame, series: DataFrame, scored
     top = scored.where("status = 'ok' AND mase IS NOT NULL AND model <> 'Ensemble'").join(mixed, "series_id", "left_semi").withColumn("r", F.row_number().over(T.S().orderBy("mase", "ordinal"))).where("r <= 3").where(F.col("model").isin(*[c.name for c in members]))
     each = top.select(F.concat_ws("\x01", "series_id", "model").alias("series_id"), F.col("series_id").alias("sid"), "model")
     fits = G.final_fits(fit.join(each.select("sid", F.col("series_id").alias("own")), fit["series_id"] == F.col("sid")).drop("series_id", "sid").withColumnRenamed("own", "series_id"), each.select("series_id", "model"), cfg)
-    mean = fits.withColumn("sid", F.substring_index("series_id", "\x01", 1)).groupBy("sid").agg(F.avg(F.coalesce(F.col("level"), F.col("season")[0])).alias("level"), F.avg("slope").alias("slope"), F.avg("sigma").alias("sigma"), F.max("grows").alias("grows")).select(F.col("sid").alias("series_id"), F.lit("Ensemble").alias("model"), "level", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.lit(None).cast("array<double>").alias("season"), "sigma", "grows")
+    ahead = fits.withColumn("sid", F.substring_index("series_id", "\x01", 1)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(cfg.forecast.horizon)))).withColumn("point", G.point(cfg.season))
+    steps = ahead.groupBy("sid", "step").agg(F.avg("point").alias("point"), F.avg("sigma").alias("sigma"), F.max("grows").alias("grows"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("step", "point"))), lambda x: x["point"])
+    mean = steps.groupBy("sid").agg(path.alias("season"), F.max("sigma").alias("sigma"), F.max("grows").alias("grows")).select(F.col("sid").alias("series_id"), F.lit("Ensemble").alias("model"), F.lit(None).cast("double").alias("level"), F.lit(0.0).alias("slope"), "season", "sigma", "grows")
     return G.generate(native.unionByName(flat).unionByName(mean), series, cfg)
 
 
