@@ -1,211 +1,117 @@
-"""Token ids of a tokenizer file, as its own library gives them, at several times its speed.
+"""Token ids of a tokenizer file by its own library, which sees each common piece of text once.
 
 ``Encoder(path)`` reads a ``tokenizers`` .json (or a ``sentencepiece`` .model).
-For the two byte-level BPE layouts it knows, words are cut by the file's own
-pattern, looked up in a bounded cache, and merged by rank when new. The result
-is the library's for two reasons, both established when a file is loaded:
-
-* merging by the rank of the joined bytes equals merging by the file's pair
-  list if every token of the vocabulary, merged alone by that list, gives
-  itself. Tokens that don't are left out, since no text can produce them.
-* the fast path takes only texts of characters on which Unicode tables and
-  normalisation cannot differ (``PLAIN``); any other text goes to the library.
+For two byte-level BPE layouts a text is cut where an ASCII white space follows
+a visible character. The library gives the same ids for the pieces as for the
+whole, since at such a cut
+
+* neither layout's pattern has a match that goes on from a visible character
+  over a white space, and none looks back, so matches end and begin there;
+* no normal form composes over a white space, lower case depends on letters
+  without a break only, and no added token has white space in it or at its
+  sides (checked when a file is loaded).
+
+Ids of short pieces are kept in a bounded cache. Other files, and texts with
+characters that Python and the library might tell from white space differently,
+go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Characters whose class, case and normal form are the same in every Unicode version at hand.
+#: Characters whose class is the same in every Unicode version at hand.
 PLAIN = r"\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ſЀ-џ‐-―‘-‟…€"
 _ODD = re.compile(f"[^{PLAIN}]")
-#: White space that is more than lone spaces and line ends between words.
-_RUNS = re.compile(r"[ \n][ \n\t\r]|[\t\r]|[ \n]\Z")
-#: Stands before a word that no space precedes; not in PLAIN.
-BARE = "\x01"
-#: Units whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_UNITS = 600_000
+_PIECE = re.compile(r"\s*\S+|\s+")
+_ASCII_CUT = re.compile(r"(?<=[!-~])(?=[ \n])")
+#: Pieces whose ids a worker keeps, and how long a kept one may be; the cache is emptied when it is full.
+CACHE_PIECES, CACHE_CHARS = 600_000, 48
+#: The pattern of the byte-level step where the file does not name one, and the steps before a named one.
+BYTE_LEVEL = ["ByteLevel"]
+SPLIT_LEVEL, NORMALIZED = ["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"]
 _CACHED: dict[str, "Encoder"] = {}
 
 
-def _byte_chars() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1 bytes stand for themselves, the rest follow from U+0100."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def _spelled(pattern: str) -> str:
-    """``pattern`` with ``\\p{L}``, ``\\p{N}`` and ``\\s`` spelled out for PLAIN characters, which the standard library's faster matcher takes."""
-    import unicodedata
-
-    plain = [chr(c) for c in range(0x2100) if not _ODD.match(chr(c))]
-    kinds = {r"\p{L}": "L", r"\p{N}": "N"}
-    for name, kind in kinds.items():
-        own = [c for c in plain if unicodedata.category(c)[0] == kind]
-        runs: list[list[str]] = []
-        for c in own:
-            if runs and ord(runs[-1][1]) + 1 == ord(c):
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-        spelled = "".join(a if a == b else f"{a}-{b}" for a, b in runs)
-        pattern = pattern.replace(f"[{name}]", f"[{spelled}]")
-        pattern = re.sub(r"(\[\^?[^\[\]]*)" + re.escape(name), lambda m: m[1] + spelled, pattern)
-        pattern = pattern.replace(name, f"[{spelled}]")
-    return pattern
-
-
-def _merge(pairs: dict[tuple[str, str], int], parts: list[str]) -> list[str]:
-    """Merging by a list of pairs, the first of the lowest number at a time."""
-    while len(parts) > 1:
-        least, at = min((pairs.get(p, len(pairs)), i) for i, p in enumerate(zip(parts, parts[1:])))
-        if least == len(pairs):
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
-
-
 class Encoder:
-    """``ids(text)`` of one tokenizer file, without begin, end or added special tokens."""
+    """``ids(text)`` of one tokenizer file, without begin, end or added special tokens; special strings inside texts are handled as the library does."""
 
-    def __init__(self, path: str, fast: bool = True):
+    def __init__(self, path: str, cut: bool = True):
         self.path, self.kind = path, "sentencepiece" if path.endswith(".model") else "tokenizers"
-        self.core = None
-        self.units: dict[str, bytes] = {}
+        self.cuts = self.spaced = False
+        self.kept: dict[str, bytes] = {}
         if self.kind == "sentencepiece":
             import sentencepiece
 
             self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
             self.size = self.lib.get_piece_size()
-            self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         else:
             from tokenizers import Tokenizer
 
             self.lib = Tokenizer.from_file(path)
             self.size = self.lib.get_vocab_size()
-            self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
             self.lib.no_truncation()
             self.lib.no_padding()
-            if fast:
-                self._load(json.load(open(path, encoding="utf-8")))
-
-    def _load(self, spec: dict) -> None:
-        import tiktoken
+            if cut:
+                with open(path, encoding="utf-8") as f:
+                    self._look(json.load(f))
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
+    def _look(self, spec: dict) -> None:
+        """Whether this file's texts may be cut, and whether white space before a piece matters."""
         model, pre, norm = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        steps = pre.get("pretokenizers", [pre])
-        added = spec.get("added_tokens", [])
-        if model.get("type") != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("byte_fallback") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        steps, added = pre.get("pretokenizers", [pre]), spec.get("added_tokens", [])
+        if model.get("type") != "BPE" or model.get("dropout") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added):
             return
-        end = model.get("end_of_word_suffix") or ""
-        if [s.get("type") for s in steps] == ["ByteLevel"] and steps[0]["use_regex"] and not steps[0]["add_prefix_space"] and norm is None and not end:
-            pattern, self.lower = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False
-        elif [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0].get("invert") and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] and norm and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"].get("Regex") == r"\s+":
-            pattern, self.lower = steps[0]["pattern"]["Regex"], True
-        else:
+        kinds = [s.get("type") for s in steps]
+        if any(s.get("add_prefix_space") for s in steps):
             return
-        of_char, mark = _byte_chars(), b"\xff" if end else b""
-        pairs = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
-        order = {a + b: i for (a, b), i in pairs.items()}
-        ranks: dict[bytes, tuple[int, int]] = {}
-        vocab: dict[bytes, int] = {}
-        for token, i in model["vocab"].items():
-            word, last = (token[: -len(end)], True) if end and token.endswith(end) and len(token) > len(end) else (token, False)
-            if any(c not in of_char for c in word):
-                continue
-            vocab[raw := bytes(of_char[c] for c in word) + mark * last] = i
-            if len(word) == 1:
-                ranks[raw] = (int(last), i)  # an ending joins its last byte before any merge
-            elif token in order and _merge(pairs, [*word[:-1], word[-1] + end * last]) == [token]:
-                ranks[raw] = (2, order[token])
-        if sum(len(k) == 1 for k in ranks) != 256:
-            return
-        by_rank = sorted(ranks, key=ranks.get)
-        self.id_of_rank = np.array([vocab[k] for k in by_rank], dtype=np.uint32)
-        self.core = tiktoken.Encoding("own", pat_str="x", mergeable_ranks={k: r for r, k in enumerate(by_rank)}, special_tokens={})._encode_single_piece
-        self.rank_is_id = bool((np.diff(self.id_of_rank.astype(np.int64)) > 0).all()) and len(by_rank) == int(self.id_of_rank[-1]) + 1
-        self.code = self.dtype.char
-        self.mark, self.find = mark, re.compile(_spelled(pattern))
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
-        self.special_id = {t["content"]: t["id"] for t in added}
-
-    def _merged(self, word: str) -> bytes:
-        ranks = self.core(word.encode() + self.mark)
-        return array(self.code, ranks if self.rank_is_id else self.id_of_rank[ranks].tolist()).tobytes()
-
-    def _unit(self, key: str) -> bytes:
-        """Ids of what lies between two cuts, into the cache."""
-        text = key if self.lower or key == "\n" else key[1:] if key[0] == BARE else " " + key
-        got = b"".join(map(self._merged, self.find.findall(text)))
-        if len(self.units) >= CACHE_UNITS:
-            self.units.clear()
-        self.units[key] = got
+        if kinds == BYTE_LEVEL and steps[0]["use_regex"] and norm is None:
+            self.cuts = self.spaced = True
+        elif kinds == SPLIT_LEVEL and steps[0].get("invert") and not steps[1]["use_regex"] and norm and [n["type"] for n in norm.get("normalizers", [])] == NORMALIZED and norm["normalizers"][1]["pattern"].get("Regex") == r"\s+" and r"[^\s" in steps[0]["pattern"]["Regex"]:
+            self.cuts = True  # only what is no white space is matched at all
+
+    def _pieces(self, text: str) -> list[str]:
+        if _ODD.search(text):
+            return _ASCII_CUT.split(text)
+        return _PIECE.findall(text) if self.spaced else text.split()
+
+    def _library(self, text: str) -> bytes:
+        ids = self.lib.encode(text, num_threads=1) if self.kind == "sentencepiece" else self.lib.encode(text, add_special_tokens=False).ids
+        return np.array(ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self._library(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self.kept) >= CACHE_PIECES:
+                self.kept.clear()
+            self.kept[piece] = got
         return got
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special strings, all of PLAIN characters.
-
-        No match of either pattern runs on from a non-space over a space, and
-        what follows depends on nothing before it, so the text is cut there.
-        With lone spaces only, a space belongs to the word after it.
-        """
-        if not text:
-            return b""
-        if self.lower:
-            keys = text.lower().split()
-        elif text[0] in " \n" or _RUNS.search(text):
-            return b"".join(map(self._merged, self.find.findall(text)))
-        else:
-            keys = (BARE + text.replace("\n", f" \n {BARE}")).split(" ")
-        got = list(map(self.units.get, keys))
-        if None in got:
-            got = [self._unit(k) if g is None else g for k, g in zip(keys, got)]
-        return b"".join(got)
-
     def packed(self, text: str) -> bytes:
         """The ids of the whole text, packed as ``dtype``."""
-        if self.core is None or _ODD.search(text):
-            return np.asarray(self._library(text), dtype=self.dtype).tobytes()
-        if self.special is None or "<" not in text or not (found := list(self.special.finditer(text))):
-            return self._plain(text)
-        out, at = [], 0
-        for m in found:
-            out += [self._plain(text[at : m.start()]), np.array([self.special_id[m[0]]], self.dtype).tobytes()]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
-
-    def _library(self, text: str) -> list[int]:
-        if self.kind == "sentencepiece":
-            return self.lib.encode(text, num_threads=1)
-        return self.lib.encode(text, add_special_tokens=False).ids
+        if not self.cuts:
+            return self._library(text)
+        pieces = self._pieces(text)
+        got = list(map(self.kept.get, pieces))
+        if None in got:
+            got = [self._piece(p) if g is None else g for p, g in zip(pieces, got)]
+        return b"".join(got)
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), dtype=self.dtype)
 
-    def spans(self, text: str) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, ids) of the pieces of a text that are encoded on their own, in order."""
+    def spans(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, id) of each token of a text, in code points, as the library has them."""
         if self.kind != "tokenizers":
             raise ValueError("offsets are read from the tokenizers library only")
-        if self.core is None or _ODD.search(text):
-            e = self.lib.encode(text, add_special_tokens=False)
-            for i, (a, b) in zip(e.ids, e.offsets):
-                yield a, b, np.array([i], self.dtype)
-            return
-        at = 0
-        for m in [*(self.special.finditer(text) if self.special else ()), None]:
-            part = text[at : m.start() if m else len(text)]
-            low = part.lower() if self.lower else part  # PLAIN characters keep their places
-            for w in self.find.finditer(low):
-                yield at + w.start(), at + w.end(), np.frombuffer(self._merged(w[0]), self.dtype)
-            if m:
-                yield m.start(), m.end(), np.array([self.special_id[m[0]]], self.dtype)
-                at = m.end()
+        e = self.lib.encode(text, add_special_tokens=False)
+        for i, (a, b) in zip(e.ids, e.offsets):
+            yield a, b, i
 
 
 def encoder(path: str) -> Encoder:

@@ -3,8 +3,8 @@
 A huge text is encoded in chunks that overlap. Two encodings are spliced at a
 place inside the overlap where (1) white space follows a non-space in the text,
 which no token of these tokenizers spans and behind which nothing depends on
-what stood before, and (2) both encodings have a piece boundary and then agree
-on the following pieces up to the end of the overlap. Where there is none, the
+what stood before, and (2) both encodings have a token boundary and then agree
+on the following tokens up to the end of the overlap. Where there is none, the
 overlap is widened until there is, or the text ends.
 """
 
@@ -24,8 +24,8 @@ CHUNK_CHARS, OVERLAP_CHARS = 65_536, 512
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
-def _pieces(enc: Encoder, text: str, at: int) -> list[tuple[int, int, bytes]]:
-    return [(at + a, at + b, ids.tobytes()) for a, b, ids in enc.spans(text)]
+def _pieces(enc: Encoder, text: str, at: int) -> list[tuple[int, int, int]]:
+    return [(at + a, at + b, i) for a, b, i in enc.spans(text)]
 
 
 def resynchronised(enc: Encoder, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[np.ndarray]:
@@ -71,8 +71,8 @@ def _stable(text: str, left: list, right: list, lo: int, hi: int) -> int | None:
     return None
 
 
-def _joined(enc: Encoder, pieces: list[tuple[int, int, bytes]]) -> np.ndarray:
-    return np.frombuffer(b"".join(p[2] for p in pieces), enc.dtype)
+def _joined(enc: Encoder, pieces: list[tuple[int, int, int]]) -> np.ndarray:
+    return np.array([p[2] for p in pieces], enc.dtype)
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, text: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
