@@ -14,6 +14,14 @@ equal where runs of sufficient common prefix meet in both orders.
 
 Tasks combine equal neighbourhoods before anything is shuffled, so a passage
 that very many documents share costs one row a task and anchor.
+
+A gram may stand in very many unlike neighbourhoods (runs of spaces, common
+phrases). Beyond ``CROWD`` of them they are not sorted together but by what
+stands beside the gram: two strings of 50 bytes that are equal and hold it
+share the 17 bytes before it or the 17 bytes behind it, so each neighbourhood
+goes to these two. Contexts that are crowded still (long rules of dashes) are
+settled by an aggregation over their strings of 50 bytes. All of this concerns
+only where the work is done; the result is the same.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, release, small_batches, table, written
+from .common import partitions_for, small_batches, table, written
 from .suffix_sort import deep_shallow
 
 SPAN, GRAM = 50, 16
@@ -33,6 +41,14 @@ BEFORE = SPAN - GRAM
 WIDE = BEFORE + SPAN
 #: Window starts that are looked at together, anchors that a task combines together, and rows that are sorted together at least.
 PIECE, HELD, SORTED = 1 << 20, 1 << 20, 200_000
+#: Neighbourhoods of one gram, or of one gram and context, that are sorted together at most.
+CROWD = 2_000
+#: Bytes beside the gram that equal strings share on one side at least.
+BESIDE = (SPAN - GRAM + 1) // 2
+#: What marks an anchor of a crowded gram beside its reach, which is below ``REACH``.
+REACH, LONE = 1 << 12, 1 << 30
+#: One document in so many is looked at to see which grams are crowded before anchors are dealt out.
+LOOKED_AT = 64
 _RNG = np.random.default_rng(11)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = _RNG.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,17 +68,23 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(x[: len(x) - (n - have)], x[n - have :]) if n > have else x
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Hashes of all grams of bytes, along the last axis."""
+    g, size = _BYTE[data], 1
+    while size < GRAM:
+        n = g.shape[-1] - size
+        g = g[..., :n] * _ODD[size.bit_length()] + (g[..., size:] ^ (g[..., size:] >> np.uint64(23)))
+        size *= 2
+    return _mixed(g)
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and gram hashes of the anchors of a byte array."""
     windows = len(data) - SPAN + 1
     at, hashes = [], []
     for lo in range(0, max(0, windows), PIECE):
         hi = min(windows, lo + PIECE)
-        g, size = _BYTE[data[lo : hi + SPAN - 1]], 1
-        while size < GRAM:
-            g = g[: len(g) - size] * _ODD[size.bit_length()] + (g[size:] ^ (g[size:] >> np.uint64(23)))
-            size *= 2
-        g = _mixed(g)
+        g = _grams(data[lo : hi + SPAN - 1])
         least = _slide(g, SPAN - GRAM + 1, np.minimum)
         edge = np.zeros(BEFORE, np.uint64)
         most = _slide(np.concatenate([edge, least, edge]), SPAN - GRAM + 1, np.maximum)
@@ -84,16 +106,22 @@ def _around(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.lib.stride_tricks.sliding_window_view(padded, WIDE)[at], np.minimum(at, BEFORE), np.minimum(len(data) - at, SPAN)
 
 
-def _class(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    words = np.zeros((len(rows), 88), np.uint8)
-    words[:, :WIDE] = rows
+def _hashed(rows: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """64 bits for each row of bytes and its seed."""
+    wide = -(-rows.shape[1] // 8)
+    words = np.zeros((len(rows), 8 * wide), np.uint8)
+    words[:, : rows.shape[1]] = rows
     words = words.view("<u8")
-    h = (left * 64 + right).astype(np.uint64) * _ODD[15]
-    for j in range(words.shape[1]):
+    h = seed.astype(np.uint64) * _ODD[15]
+    for j in range(wide):
         h = _mixed((h ^ words[:, j]) * _ODD[j])
     return h
 
 
+def _class(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return _hashed(rows, left * 64 + right)
+
+
 def _merged(rid: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each document, joined where they touch."""
     if not len(a):
@@ -176,9 +204,34 @@ def repeated(rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndar
     return least, most
 
 
+def _contexts(rows: np.ndarray, left: np.ndarray, right: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which neighbourhoods go to which keys of a gram and what stands beside it."""
+    before, behind = np.flatnonzero(left >= BESIDE), np.flatnonzero(right >= GRAM + BESIDE)
+    at = BEFORE + GRAM
+    keys = _hashed(rows[before, BEFORE - BESIDE : BEFORE], _mixed(g[before])), _hashed(rows[behind, at : at + BESIDE], _mixed(g[behind] + np.uint64(1)))
+    return np.concatenate([before, behind]), np.concatenate(keys)
+
+
+def _by_strings(near: DataFrame) -> DataFrame:
+    """``rid, a, b``: repeated spans around anchors of crowded contexts, from the least document of each string of 50 bytes that holds the anchor."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, rid, at, reach = (batch.column(i).to_numpy() for i in range(4))
+            rows = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, WIDE)
+            for o in range(BEFORE + 1):
+                own = np.flatnonzero((reach // 64 >= o) & (reach % 64 >= SPAN - o))
+                h = _hashed(rows[own, BEFORE - o : BEFORE - o + SPAN], np.full(len(own), o + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[own]), pa.array(rid[own]), pa.array(at[own] - o)], names=["h", "doc", "rid", "a"])
+
+    all_ = near.select("doc", "rid", "at", "reach", "near").mapInArrow(strings, "h long, doc long, rid long, a long")
+    first = all_.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
+    return all_.join(first, "h").where("doc > low").groupBy("rid", "a").agg((F.col("a") + SPAN).alias("b"))
+
+
 def _edges(near: DataFrame) -> DataFrame:
-    """``rid, a, b``: repeated spans around anchors of new neighbourhoods (``g, doc, rid, at, reach, near``)."""
-    ordered = near.repartition(partitions_for(near.sparkSession), "g").sortWithinPartitions("g")
+    """``rid, a, b``: repeated spans around anchors of new neighbourhoods (``k, doc, rid, at, reach, near``), those of one ``k`` together."""
+    ordered = near.repartition(partitions_for(near.sparkSession), "k").sortWithinPartitions("k")
 
     def spans(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
@@ -195,7 +248,7 @@ def _edges(near: DataFrame) -> DataFrame:
             if held and sum(h.num_rows for h in held) >= SORTED and len(g):
                 last = held[-1].column(0)[-1].as_py()
                 cut = int((g == last).sum()) if g[0] == last else 0
-                if cut < len(g):  # the gram that was begun ends here
+                if cut < len(g):  # the key that was begun ends here
                     yield spans([*held, batch.slice(0, cut)])
                     held, batch = [], batch.slice(cut)
             if batch.num_rows:
@@ -206,6 +259,14 @@ def _edges(near: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "rid long, a long, b long")
 
 
+def _crowded(docs: DataFrame, parts: int) -> list[int]:
+    """Grams that seem to stand in more neighbourhoods than half of what a task gets, from the anchors of one document in ``LOOKED_AT``; ``2 * parts`` at most. They are only dealt out differently."""
+    some = _found(docs.where(F.pmod(F.xxhash64("doc"), F.lit(LOOKED_AT)) == 0)).where("c IS NOT NULL")
+    by = written(some.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "looked-at")
+    least = max((by.agg(F.sum("n")).first()[0] or 0) / (2 * parts), CROWD / LOOKED_AT)
+    return [r["g"] for r in by.where(F.col("n") > least).orderBy(F.desc("n")).limit(2 * parts).collect()]
+
+
 def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept`` (binary) of each row: every byte is removed that lies in a string of 50 bytes which also starts in a document of a smaller key.
 
@@ -221,36 +282,52 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rid = F.xxhash64(doc, text) if several else doc
     rows = docs.select(F.col(key).alias("key"), rid.alias("rid"), doc.alias("doc"), F.col(text).alias("text"))
     distinct = rows.dropDuplicates(["rid"]) if several else rows
-    by_class, by_gram = Window.partitionBy("g", "c"), Window.partitionBy("g")
+    source, parts = distinct if several else distinct.drop("rid"), partitions_for(spark)
+    crowded = _crowded(source, parts)
+    spread = F.col("g").isin(crowded) & F.col("c").isNotNull() if crowded else F.lit(False)
+    # dealt once, by gram, which serves both windows; crowded grams, which are marked in "ab", by class
+    k, mark = F.when(spread, F.xxhash64("g", "c")).otherwise(F.col("g")), F.when(spread, F.col("ab").bitwiseOR(F.lit(LONE))).otherwise(F.col("ab"))
+    dealt = _found(source).select(k.alias("k"), "c", "doc", mark.alias("ab"), *["rid"] * several).repartition(parts, "k")
+    by_class, by_gram = Window.partitionBy("k", "c"), Window.partitionBy("k")
     anchor, new = F.col("c").isNotNull(), F.col("c").isNotNull() & (F.col("doc") == F.col("first"))
-    # dealt by gram at once, which serves both windows; else Spark deals by class first and then again
-    dealt = _found(distinct if several else distinct.drop("rid")).repartition(partitions_for(spark), "g")
-    told = dealt.withColumn("first", F.min("doc").over(by_class)).withColumn("low", F.min(F.when(new, F.col("doc"))).over(by_gram)).withColumn("high", F.max(F.when(new, F.col("doc"))).over(by_gram))
-    # either a repeated span, or (g not null) an anchor whose neighbourhood is new, of a gram that another document has
-    place, reach = F.shiftright("ab", 31), F.col("ab").bitwiseAND(F.lit((1 << 31) - 1))
-    start = F.when(new | ~anchor, place).otherwise(place - F.shiftright(reach, 6))
-    stop = F.when(new, reach).when(anchor, place + reach.bitwiseAND(F.lit(63))).otherwise(place + reach)
-    told = told.where(~new | (F.col("low") < F.col("high"))).select(F.when(new, F.col("g")).alias("g"), "doc", F.col("rid" if several else "doc").alias("rid"), start.alias("a"), stop.alias("b"))
+    told = dealt.withColumn("first", F.min("doc").over(by_class)).withColumn("low", F.min(F.when(new, F.col("doc"))).over(by_gram)).withColumn("high", F.max(F.when(new, F.col("doc"))).over(by_gram)).withColumn("many", F.count(F.when(new, F.lit(1))).over(by_gram) > CROWD)
+    # either a repeated span, or (reach not null) an anchor whose neighbourhood is new, of a gram that another document may have
+    place, rest = F.shiftright("ab", 31), F.col("ab").bitwiseAND(F.lit((1 << 31) - 1))
+    reach, lone = rest.bitwiseAND(F.lit(REACH - 1)), anchor & (rest.bitwiseAND(F.lit(LONE)) != 0)
+    start = F.when(anchor & ~new, place - F.shiftright(reach, 6)).otherwise(place)
+    stop = F.when(anchor & ~new, place + reach.bitwiseAND(F.lit(63))).when(~anchor, place + rest)
+    crowd = F.when(lone | F.col("many"), F.lit(REACH)).otherwise(F.lit(0))
+    told = told.where(~new | lone | (F.col("low") < F.col("high"))).select(F.when(new, reach + crowd).alias("reach"), F.col("rid" if several else "doc").alias("rid"), start.alias("a"), stop.alias("b"))
     told = written(told, "anchors")
-    release(spark)
 
-    places = told.where(F.col("g").isNotNull()).groupBy("rid").agg(F.collect_list(F.struct("g", "a", "b")).alias("places"))
+    places = told.where(F.col("reach").isNotNull()).groupBy("rid").agg(F.collect_list(F.struct("a", "reach")).alias("places"))
 
     def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, doc, text, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                at = np.array([p["a"] for p in own], np.int64)
-                near, _, _ = _around(np.frombuffer(text.encode(), np.uint8), at)
-                n = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p["g"] for p in own], pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([rid] * n, pa.int64()), pa.array(at), pa.array([p["b"] for p in own], pa.int64()), pa.array([r.tobytes() for r in near], pa.binary())],
-                    names=["g", "doc", "rid", "at", "reach", "near"],
-                )
-
-    near = distinct.join(places, "rid").select("rid", "doc", "text", "places").mapInArrow(neighbourhoods, "g long, doc long, rid long, at long, reach long, near binary")
-    edges = written(_edges(near), "edges")
-    release(spark)
-    spans = told.where(F.col("g").isNull()).select("rid", "a", "b").unionByName(edges).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumnRenamed("rid", "of")
+                data = np.frombuffer(text.encode(), np.uint8)
+                for lo in range(0, len(own), 50_000):
+                    some = own[lo : lo + 50_000]
+                    at, reach = np.array([p["a"] for p in some], np.int64), np.array([p["reach"] for p in some], np.int64)
+                    near, left, right = _around(data, at)
+                    g = _grams(near[:, BEFORE : BEFORE + GRAM])[:, 0]
+                    plain, many = np.flatnonzero(reach < REACH), np.flatnonzero(reach >= REACH)
+                    which, keys = _contexts(near[many], left[many], right[many], g[many])
+                    to, ks = np.concatenate([plain, many[which]]), np.concatenate([g[plain], keys]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ks), pa.array(np.full(len(to), doc)), pa.array(np.full(len(to), rid)), pa.array(at[to]), pa.array(reach[to] % REACH), pa.array([r.tobytes() for r in near[to]], pa.binary()), pa.array(np.arange(len(to)) >= len(plain))],
+                        names=["k", "doc", "rid", "at", "reach", "near", "context"],
+                    )
+
+    near = distinct.join(places, "rid").select("rid", "doc", "text", "places").mapInArrow(neighbourhoods, "k long, doc long, rid long, at long, reach long, near binary, context boolean")
+    near = written(near, "neighbourhoods")
+    full = written(near.where("context").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("k"), "crowded")
+    if full.isEmpty():
+        edges = _edges(near)
+    else:
+        edges = _edges(near.join(full, "k", "left_anti")).unionByName(_by_strings(near.where("context").join(full, "k", "left_semi")))
+    edges = written(edges, "edges")
+    spans = told.where(F.col("reach").isNull()).select("rid", "a", "b").unionByName(edges).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumnRenamed("rid", "of")
     whole = rows.join(spans, F.col("rid") == F.col("of"), "left").select("key", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import numpy as np
 
 SHALLOW = 3
 #: Sets that multikey quicksort hands to a plain sort by their next words.
-FEW = 4096
+FEW = 64
 
 
 def _words(rows: np.ndarray) -> np.ndarray:
