@@ -45,7 +45,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text:
 
     Lines are shuffled as two 64-bit hashes, never as text; hot lines are
     combined in each task before, and the join back is one whose large keys
-    Spark can split.
+    Spark can split. The work on one text grows with its lines.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     body, row = F.col(text), F.xxhash64(text, F.length(text))
@@ -56,10 +56,13 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text:
     gone = lines.join(common, ["h1", "h2"]).where(~(F.struct("key", "at").eqNullSafe(F.col("first")))).select("key", "of", "at").distinct()
     cut = gone.groupBy("key", "of").agg(F.collect_set("at").alias("cut")).select(F.col("key").alias("cut_key"), F.col("of").alias("cut_of"), "cut")
     marked = docs.select(*keep, row.alias("_of")).join(cut, F.col(key).eqNullSafe(F.col("cut_key")) & (F.col("_of") == F.col("cut_of")), "left")
-    parts = F.split(body, "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("cut", i)), "\n")
+    # what stands between two cuts is one slice, so each line is copied once; the structure is named by the outer transform, else its expressions would be made anew in the inner one
+    whole = F.struct(F.split(body, "\n").alias("lines"), F.concat(F.array(F.lit(-1)), F.sort_array("cut"), F.array(F.size(F.split(body, "\n")))).alias("cuts"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w["cuts"]) - 1), lambda i: F.slice(w["lines"], F.element_at(w["cuts"], i) + 2, F.element_at(w["cuts"], i + 1) - F.element_at(w["cuts"], i) - 1))
+    left = F.get(F.transform(F.array(whole), lambda w: F.array_join(F.flatten(runs(w)), "\n")), F.lit(0))
     out = [F.when(F.col("cut").isNull(), body).otherwise(left).alias(text) if c == text else F.col(c) for c in keep]
-    return marked.select(*out, F.coalesce(F.when(body.isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("cut").isNotNull(), F.size("cut")), F.lit(0)).cast("long").alias("n_removed"))
+    n_lines = F.char_length(body) - F.char_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+    return marked.select(*out, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("cut").isNotNull(), F.size("cut")), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
