@@ -85,18 +85,42 @@ def format_chats(messages: DataFrame, train_on: tuple[str, ...] = ("assistant",)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """``conv_id, formatted, turns`` (``role, text`` of each) and ``loss`` (the texts under the loss mask), read from what ``format_chats`` gave. Each turn is looked up in its own piece, so the work grows with the text, not with turns times text."""
+    """``conv_id, formatted, turns`` (``role, text`` of each) and ``loss`` (the texts under the loss mask), read from what ``format_chats`` gave.
+
+    Turns are read from the text alone. What is under the loss mask is cut from
+    the whole ``formatted`` at the places in ``turns``: from one text under it
+    to the next, so that the work grows with the text, not with turns times
+    text. An empty table gives an empty table; a conversation is one row, so
+    one of more than 2 GB cannot be.
+    """
     pieces = F.split("formatted", r"<\|im_end\|>\n")
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("piece"), F.col("turns").alias("at"))
-    rows = formatted.select("conv_id", "formatted", zipped.alias("z"))
+    rows = formatted.select("conv_id", "formatted", F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("pieces"), "turns")
+
+    def turn(piece: Column) -> Column:
+        line = F.substring_index(piece, "\n", 1)
+        return F.struct(_role_out(F.substr(line, F.lit(len(START) + 1))).alias("role"), unescaped(F.substr(piece, F.char_length(line) + 2)).alias("text"))
+
+    return rows.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), F.transform(_cut("formatted", F.filter("turns", lambda t: t["loss"])), unescaped).alias("loss"))
+
+
+#: Code points of a block, in which places are looked up.
+BLOCK = 1024
+
+
+def _cut(text: str, spans: Column) -> Column:
+    """The pieces of ``text`` at ``spans`` (``text_start, length``, in code points). The text is cut into blocks once, and a piece is put together of those that it touches."""
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    named = F.array(F.struct(blocks.alias("b"), spans.alias("s")))
+
+    def pieces(w: Column) -> Column:
+        def one(t: Column) -> Column:
+            first, last = F.floor(t["text_start"] / BLOCK), F.floor((t["text_start"] + t["length"]) / BLOCK)
+            own = F.array_join(F.slice(w["b"], (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            return F.substr(own, (t["text_start"] - first * BLOCK + 1).cast("int"), t["length"].cast("int"))
 
-    def turn(x: Column) -> Column:
-        line = F.substring_index(x["piece"], "\n", 1)
-        return F.struct(_role_out(F.substr(line, F.lit(len(START) + 1))).alias("role"), unescaped(F.substr(x["piece"], F.char_length(line) + 2)).alias("text"))
+        return F.transform(w["s"], one)
 
-    masked = F.filter("z", lambda x: x["at"]["loss"])
-    loss = F.transform(masked, lambda x: unescaped(F.substr(x["piece"], (x["at"]["text_start"] - x["at"]["start"] + 1).cast("int"), x["at"]["length"].cast("int"))))
-    return rows.select("conv_id", "formatted", F.transform("z", turn).alias("turns"), loss.alias("loss"))
+    return F.get(F.transform(named, pieces), F.lit(0))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
