@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .bpe import encoder, vocabulary
 from .common import small_batches, table, written
 
-#: A table of counts by partition and length is broadcast up to this size, and joined by key beyond it.
-BROADCAST_BYTES = 64 << 20
-_BASE_ROW_BYTES = 24
+#: A table of counts by partition and length is broadcast up to this size, and joined by key beyond it; and what a row of it takes once it is hashed.
+BROADCAST_BYTES = 32 << 20
+BASE_ROW_BYTES = 128
 
 
 class CapacityTree:
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
         by_length[length].append(tuple(run))
     plan = spark.createDataFrame(list(by_length.items()), "length long, runs array<struct<first:long,each:long,bin:long,at:long>>")
     base = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    if counts.count() * _BASE_ROW_BYTES <= BROADCAST_BYTES:
+    if counts.count() * BASE_ROW_BYTES <= BROADCAST_BYTES:
         base = F.broadcast(base)
     rank = F.col("nth") + F.coalesce("before", F.lit(0))
     placed = pieces.join(base, ["part", "length"]).join(F.broadcast(plan), "length").withColumn("rank", rank).withColumn("run", F.expr("element_at(filter(runs, r -> r.first <= rank), -1)"))
