@@ -6,10 +6,12 @@ search for radius r follows only edges within r of the distance to the node.
 Shards are such that any two fingerprints that must be linked meet in one.
 With radius r and r + s blocks of bits, two fingerprints within r have s equal
 blocks, so there is a shard for every s blocks and value of them. s grows with
-the number of fingerprints, which keeps trees small. A tree is built where its
-shard is, by an exchange on the shard's key: one tree of all fingerprints, sent
-to every task, would have no bound. A shard beyond ``SHARD_MAX`` is split, and
-each pair of its parts is a tree and its searches.
+the number of fingerprints, which keeps trees small. Most trees are built where
+their shard is, by an exchange on the shard's key: trees of all fingerprints
+have no size bound, and must not pass the driver. Trees of shards beyond
+``SHARD_MAX``, which many tasks must search, are broadcast while they have
+``TREES_MAX`` nodes or fewer together; beyond that such shards are split, and
+each pair of parts is a tree and its searches.
 
 Shards link what they find as stars, never as all pairs.
 """
@@ -32,12 +34,14 @@ from .components import stars
 BITS = 64
 #: Fingerprints in one tree at most, and what a shard of blocks should hold on average.
 SHARD_MAX, SHARD_MEAN = 20_000, 256
+#: Nodes of all trees that are broadcast together, at some 250 bytes each.
+TREES_MAX = 1 << 18
 #: Bytes of shingle hashes that a part of a shard holds on average.
 PART_BYTES = 16 << 20
-#: Hash minima by which similar documents meet.
-SLOTS = 5
-#: What is added by xor for each slot's order of hashes: a fixed rule, the first bits of multiples of the golden ratio.
-_TURN = np.array([0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(SLOTS)], dtype=np.uint64)
+#: Similar documents meet by pairs of hash minima; so many pairs.
+PAIRS = 9
+#: What is added by xor for each order of hashes: a fixed rule, the first bits of multiples of the golden ratio.
+_TURN = np.array([0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(2 * PAIRS)], dtype=np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -72,13 +76,18 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def _minima(own: np.ndarray) -> np.ndarray:
-    """The least of some hashes in each order. A multiplication alone would not do: what is least stays so after most others, so that orders agree or fail together."""
-    x = own[:, None] ^ _TURN
+def _mixed(x: np.ndarray) -> np.ndarray:
     for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x ^= x >> np.uint64(33)
-        x *= np.uint64(by)
-    return (x ^ (x >> np.uint64(33))).min(0)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(by)
+    return x ^ (x >> np.uint64(33))
+
+
+def _meeting(own: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes, one of two minima each, the least of the hashes in two orders. Orders that only multiply would not do: what is least stays so after most others, so that they agree or fail together."""
+    least = np.full(2 * PAIRS, np.iinfo(np.uint64).max)
+    for lo in range(0, len(own), 1 << 14):
+        least = np.minimum(least, _mixed(own[lo : lo + (1 << 14), None] ^ _TURN).min(0))
+    return _mixed(_mixed(least[::2] + np.arange(PAIRS, dtype=np.uint64)) ^ least[1::2])
 
 
 def _node(own: np.ndarray) -> int:
@@ -87,21 +96,21 @@ def _node(own: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """``key, text_hash, fp`` (of the distinct shingles) ``, node`` (stands for the set of them) ``, n`` (its size) ``, slots`` (minima of the shingle hashes in several orders) of each row."""
+    """``key, text_hash, fp`` (of the distinct shingles) ``, node`` (stands for the set of them) ``, n`` (its size) ``, keys`` (of the shards where it meets similar ones) of each row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.xxhash64(text, F.length(text)).alias("text_hash"), F.col(text))
-    schema = rows.select(key, "text_hash").schema.add("fp", "long").add("node", "long").add("n", "long").add("slots", ArrayType(LongType()))
+    schema = rows.select(key, "text_hash").schema.add("fp", "long").add("node", "long").add("n", "long").add("keys", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, nodes, sizes, slots = [], [], [], []
+            fps, nodes, sizes, keys = [], [], [], []
             for t in batch.column(2).to_pylist():
                 own = np.unique(shingle_hashes(t, words))
                 fps.append(simhash(own))
                 nodes.append(_node(own))
                 sizes.append(len(own))
-                slots.append(_minima(own).view(np.int64).tolist() if len(own) else [0] * SLOTS)
-            cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))]
+                keys.append(_meeting(own).view(np.int64).tolist() if len(own) else [])
+            cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -192,12 +201,40 @@ def _shards(nodes: DataFrame, keys, radius: int) -> DataFrame:
     """Links ``a, b`` between nodes (``node, fp``) that meet under one of ``keys`` (an array of bigint pairs)."""
     dealt = nodes.select("node", "fp", F.explode(keys).alias("k")).select("k.t", "k.v", "node", "fp")
     large = written(dealt.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_MAX), "large-shards")
-    if large.isEmpty():
-        return _links(dealt.select("t", "v", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "fp"), radius)
+    total = large.agg(F.sum("n")).first()[0] or 0
+    one = lambda rows: _links(rows.select("t", "v", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "fp"), radius)
+    if not total:
+        return one(dealt)
+    if total <= TREES_MAX:
+        crowded = dealt.join(large, ["t", "v"], "left_semi")
+        return one(dealt.join(large, ["t", "v"], "left_anti")).unionByName(_by_broadcast(crowded, radius, -(-total // SHARD_MAX)))
     parts = F.ceil(F.coalesce("n", F.lit(1)) / SHARD_MAX).cast("int")
     return _links(_parted(dealt.join(large, ["t", "v"], "left").withColumn("parts", parts), ["node", "fp"]), radius)
 
 
+def _by_broadcast(rows: DataFrame, radius: int, tasks: int) -> DataFrame:
+    """Links ``a, b`` of shards (``t, v, node, fp``) whose trees every task gets; the caller has bounded their nodes. Each task searches for its share of the rows, and joins what it finds to stars over the whole tree."""
+    got = rows.toArrow().sort_by([("t", "ascending"), ("v", "ascending"), ("node", "ascending")])
+    trees = {key: (t["node"].to_numpy(), BKTree(t["fp"].to_numpy().view(np.uint64))) for key, t in _groups(iter(got.select(["t", "v", "node", "fp"]).combine_chunks().to_batches()), 2)}
+    sent = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, own in _groups(batches, 2):
+            nodes, tree = sent.value[key]
+            asked, label = np.searchsorted(nodes, own["node"].to_numpy()), np.arange(len(nodes))
+
+            def found(node: int, near: np.ndarray) -> None:
+                joined = np.unique(np.append(label[asked[near]], label[node]))
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+
+            tree.search(tree.fps[asked], radius, found)
+            some = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], names=["a", "b"])
+
+    return rows.repartition(tasks).sortWithinPartitions("t", "v", "node").mapInArrow(run, "a long, b long")
+
+
 def _parted(dealt: DataFrame, carried: list[str]) -> DataFrame:
     """Rows of shards in ``parts`` parts, for a task for each pair ``i, j`` of parts; the tree of the first one is searched for the second, which is ``side`` 1."""
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -288,28 +325,36 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, key: st
 
 
 def _labelled(rows: DataFrame, distinct: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the least ``least`` of their component's nodes, as ``component_id``."""
     whole = distinct.join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(whole.join(least, "root").select(F.col("node").alias(by), "component_id"), by)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, component_id``: groups of documents that share at least ``similarity`` of their distinct word shingles (Jaccard).
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, text_hash, component_id, is_first`` of each row: groups of documents that share at least ``similarity`` of their distinct word shingles (Jaccard). ``text_hash`` is ``xxhash64(text, length(text))``.
+
+    ``is_first`` is true for one row of each group, the one of the least key
+    (nulls last), and of these of the least text hash; rows of the same key and
+    text are all first or none. ``component_id`` is that row's key, null if no
+    row of the group has one.
 
     Fingerprints are over distinct shingles too. Of two documents of similarity
-    0.8 they differ in 10 of 64 bits on average, with a deviation of 3, so ``radius`` is wide and links are confirmed on all
-    distinct shingle hashes. No blocks of bits serve such a radius; shards are
-    keyed by the least shingle hash in one of five orders, of which two
-    documents of similarity 0.8 share one but in 3 of 10,000 cases, however
-    many others share it; large shards are split in parts. Only texts that meet
-    another one are read again for their hashes, one text for each set of
-    shingles. Rows of equal sets are joined before. Edge cases as above;
-    wordless texts form one group.
+    0.8 they differ in 10 of 64 bits on average, with a deviation of 3, so
+    ``radius`` is wide and links are confirmed on all distinct shingle hashes.
+    No blocks of bits serve such a radius; shards are keyed by pairs of hash
+    minima, of which two documents of similarity 0.8 share one but in 1 of
+    10,000 cases, at every size of table; large shards are split in parts. A
+    passage that very many documents share makes them meet only where it holds
+    both minima. Only texts that meet another one are read again for their
+    hashes, one text for each set of shingles. Rows of equal sets are joined
+    before. Null, empty and wordless texts form one group; repeated rows stay;
+    other columns aren't read; an empty table gives an empty table.
     """
     signed = written(_signatures(docs, words, key, text), "signatures")
-    distinct = written(signed.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("slots").alias("slots"), F.min("text_hash").alias("text_hash")), "distinct")
-    single = [F.struct(F.lit(i).cast("long").alias("t"), F.col("slots")[i].alias("v")) for i in range(SLOTS)]
-    dealt = distinct.select("node", "n", F.explode(F.array(*single)).alias("k")).select("k.t", "k.v", "node", "n")
+    least = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "text_hash")
+    distinct = written(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash")), "distinct")
+    dealt = distinct.select("node", "n", F.posexplode("keys").alias("t", "v")).select(F.col("t").cast("long").alias("t"), "v", "node", "n")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_MAX), F.ceil(F.sum("n") * 8 / PART_BYTES), F.lit(1)).cast("int")
     shards = dealt.groupBy("t", "v").agg(F.count(F.lit(1)).alias("of"), parts.alias("parts")).where("of > 1")
     met = written(dealt.join(shards, ["t", "v"]).select("t", "v", "node", "parts"), "met")
@@ -317,7 +362,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     texts = docs.select(F.xxhash64(text, F.length(text)).alias("text_hash"), text).groupBy("text_hash").agg(F.first(text).alias(text))
     sets = _shingle_sets(texts.join(wanted, "text_hash", "left_semi"), words, text).join(wanted.select("node", "fp"), "node")
     roots = stars(_links(_parted(met.join(sets, "node"), ["node", "fp", "shingles"]), radius, similarity))
-    return _labelled(signed.select(key, "node"), distinct, roots, "node").select(key, "component_id")
+    got = _labelled(signed.select(key, "text_hash", "node"), distinct.select("node", "least"), roots, "node")
+    first = F.col(key).eqNullSafe(F.col("component_id.key")) & (F.col("text_hash") == F.col("component_id.text_hash"))
+    return got.select(key, "text_hash", F.col("component_id.key").alias("component_id"), first.alias("is_first"))
 
 
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
