@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rateline.llm import chat_format as chat
-from rateline.llm import imatch, language, packing, simhash, suffix_sort, token_files
+from rateline.llm import bpe, imatch, language, packing, simhash, suffix_dedup, suffix_sort, token_files
 from rateline.llm.bpe import Encoder, vocabulary
 from rateline.llm.components import stars
 from rateline.llm.decontaminate import decontaminate
@@ -31,12 +32,19 @@ def library(name):
 
 
 @pytest.mark.parametrize("name", [BYTE, WORD])
-def test_ids_are_the_librarys(name, rows):
+def test_ids_are_the_librarys(name, rows, monkeypatch):
+    """With and without cuts, and where the cache has had enough."""
     enc, lib = Encoder(vocabulary(name)), library(name)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 7)
     odd = ["it's I'LL don't'", "  lead  trail  \n\n x ", "ΑΣ Σ", "é é", "İ", "\x00\x01", "a b", "<|startoftext|>A<|endoftext|>", "1234 abc123", "\t x\r\n"]
-    assert enc.core is not None
-    for t in [t or "" for _, t in rows] + odd:
+    odd += ["日本 語\u3000x  y", "a\u00a0b c\x1cd \x85 e", "e \u0301 a\u0301 \u1100\u1161 n", "Σ ΣΑΣ. ΑΣ\nB", "ends in space \n", " ", "\n\n", "x" * 100 + " y", "<|endoftext|> <|ENDOFTEXT|>a<|endoftext|>\n", "'s 't' LL'LL", "\U0001f469\u200d\U0001f4bb  z"]
+    assert enc.cuts
+    for t in [t or "" for _, t in rows] + odd + odd:
         assert enc.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids, t[:50]
+    rng, alphabet = random.Random(4), ["a", "B", " ", "  ", "\n", "\t", "'s", "1", "é", "\u0301", "日", "\u00a0", "<|endoftext|>", "-", "Σ", "\r"]
+    for _ in range(3000):
+        t = "".join(rng.choices(alphabet, k=rng.randint(1, 12)))
+        assert enc.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
 @pytest.mark.parametrize("name", [BYTE, WORD])
@@ -55,7 +63,9 @@ def test_token_counts(docs, rows, nothing):
     assert got == want and token_counts(nothing).count() == 0
 
 
-def test_packing(docs, rows, nothing):
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_packing(docs, rows, nothing, broadcast, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_BYTES", broadcast)
     lib = library(BYTE)
     got = packing.pack(docs, capacity=256).collect()
     assert packing.pack(nothing).count() == 0
@@ -154,8 +164,9 @@ def test_simhash_components(docs, rows, nothing, monkeypatch):
         if i is not None:
             least[r].append(i)
     want = Counter((i, f - (1 << 64) * (f >> 63), min(least[r], default=None)) for (i, _), f, r in zip(rows, fps, roots))
-    for limit in (20_000, 3):  # also with shards split in parts
+    for limit, trees in ((20_000, 1 << 18), (3, 1 << 18), (3, 10)):  # also with large shards' trees broadcast, and with large shards split in parts
         monkeypatch.setattr(simhash, "SHARD_MAX", limit)
+        monkeypatch.setattr(simhash, "TREES_MAX", trees)
         assert Counter(tuple(r) for r in simhash.simhash_components(docs, 4, 6).collect()) == want
     assert simhash.simhash_components(nothing).count() == 0
 
@@ -216,7 +227,23 @@ def test_line_dedup(docs, rows, nothing):
     assert sum(k[3] for k in want) > 0
 
 
-def test_suffix_dedup(docs, rows, nothing):
+def test_lines_of_a_very_long_text(spark):
+    """The work on one text grows with its lines, not with lines times removed lines: seconds, not hours."""
+    n = 100_000
+    rows = [(i, "\n".join(f"line {j}" for j in range(n)) if i == 9 else "\n".join(f"line {j}" for j in range(i, n, 10)), f"s{i}") for i in range(10)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=2).collect()}
+    last = [f"line {j}" for j in range(n) if j % 10 == 9]
+    assert got[9] == (n, n - n // 10, "\n".join(last)) and got[0] == (n // 10, 0, rows[0][1])
+
+
+@pytest.mark.parametrize("crowd", [2000, 3, 0])
+def test_suffix_dedup(spark, docs, rows, nothing, crowd, monkeypatch):
+    """Also where nearly every gram, or every one, is crowded."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "LOOKED_AT", 64 if crowd else 1)
+    rng = random.Random(1)
+    rules = [(300 + i, rng.choice("ab#") * rng.randint(1, 60) + "-" * rng.randint(20, 130) + rng.choice("xy ") * rng.randint(1, 60)) for i in range(60)]
+    docs, rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rules, "doc_id long, text string")), [*rows, *rules]
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in dedup_spans(docs).collect())
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     starts: dict[bytes, object] = {}
@@ -251,27 +278,57 @@ def test_deep_shallow_sorting(few, monkeypatch):
             assert a[:k] == b[:k] and (k == 50 or a[k] != b[k])
 
 
-def test_imatch(docs, rows, nothing):
-    got = imatch.edits(docs).collect()
-    assert len(got) == len(rows) and imatch.edits(nothing).count() == 0 and imatch.fingerprints(nothing).count() == 0
+def plain_fingerprint(text, kept):
+    """As the docstring of ``imatch`` has it, with its numbers only."""
+    words = sorted(set(re.findall(r"\w+", text.lower())))
+    hashed = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    own = [h for w, h in zip(words, hashed) if w in kept]
+    pack = lambda hs: b"".join(h.to_bytes(8, "little") for h in hs)
+    places = [xxhash.xxh32_intdigest(pack(own), 0) if own else xxhash.xxh32_intdigest(pack(hashed), 1) if hashed else 0]
+    for d in range(3, 11):
+        for e in range(6):
+            turn = 0x9E3779B97F4A7C15 + 2 * (d * 6 + e)
+            some = [h for h in own if ((h ^ (e + 1)) * turn % 2**64) >> (64 - d) == 0]
+            places.append(xxhash.xxh32_intdigest(pack(some), d) if some else 0)
+    return places
+
+
+def plain_likeness(a, b):
+    some = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in some) / len(some) if some else 1.0
+
+
+@pytest.mark.parametrize("most", [5_000_000, 3])
+def test_imatch(docs, rows, nothing, most, monkeypatch):
+    """Every column against a plain version, from the first row to the last and round to the first, with the lexicon broadcast and joined."""
+    monkeypatch.setattr(imatch, "LEXICON_MAX", most)
+    assert imatch.edits(nothing).count() == 0 and imatch.fingerprints(nothing).count() == 0
     n = len(rows)
-    df = Counter(w for _, t in rows for w in imatch.terms_of(t))
-    lex = np.unique(np.array([imatch._hash(w) for w, c in df.items() if max(2, imatch.DF_LEAST * n) <= c <= max(2, imatch.DF_MOST * n)], np.uint64))
-    plain = {t or "": imatch.fingerprint(imatch.terms_of(t), lex, {}) for _, t in rows}
-    order = sorted((t or "" for i, t in rows if i is None), reverse=True)
-    have = Counter((r["doc_id"], r["n_chars"], r["fingerprint"]) for r in got)
-    assert have == Counter((i, len(t or ""), plain[t or ""]) for i, t in rows)
-    known = sorted({i for i, _ in rows if i is not None}, reverse=True)
-    texts = defaultdict(set)
-    for i, t in rows:
-        texts[i].add(t or "")
-    for a, b in zip(known, known[1:]):
-        if len(texts[a]) == len(texts[b]) == 1 and sum(i == a for i, _ in rows) == 1:
-            t, u = next(iter(texts[a])), next(iter(texts[b]))
-            k = len(t) // 3
-            r = next(r for r in got if r["doc_id"] == a)
-            assert r["edited"] == t[: len(t) - k] + u[:k] and r["near_next"] == imatch.likeness(plain[t], plain[u])
-    assert all(0 <= r["near_edited"] <= 1 for r in got) and order is not None
+    df = Counter(w for _, t in rows for w in set(re.findall(r"\w+", (t or "").lower())))
+    kept = {w for w, c in df.items() if max(2, 0.0005 * n) <= c <= max(2, 0.1 * n)}
+    spell = lambda p: "".join(f"{x:08x}" for x in p)
+    signed = lambda t: (lambda h: h - (1 << 64) * (h >> 63))(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(((i is not None, i or 0, signed(t or ""), t or "") for i, t in rows), reverse=True)
+    want = Counter()
+    for (some, i, _, t), (_, _, _, u) in zip(order, [*order[1:], order[0]]):
+        k = len(t) // 3
+        new = t[: len(t) - k] + u[:k]
+        own, other, after = (plain_fingerprint(x, kept) for x in (t, new, u))
+        want[i if some else None, len(t), new, spell(own), spell(other), round(plain_likeness(own, other), 9), round(plain_likeness(own, after), 9)] += 1
+    got = imatch.edits(docs).collect()
+    assert Counter((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got) == want
+    assert Counter(tuple(r) for r in imatch.fingerprints(docs).collect()) == Counter((i, spell(plain_fingerprint(t or "", kept))) for i, t in rows)
+
+
+def test_imatch_likeness(spark):
+    """Unlike texts without a term of the lexicon are not alike, wordless ones are; a key of most rows is dealt to several ranges, and one row is its own next."""
+    texts = [(7, f"only{i}") for i in range(40)] + [(1, "same same"), (2, "same"), (3, "!"), (4, "?")]
+    got = imatch.edits(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sum(r["near_next"] for r in got if r["doc_id"] == 7) == 0
+    near = {r["doc_id"]: r["near_next"] for r in got if r["doc_id"] < 7}
+    assert near == {4: 1.0, 3: 0.0, 2: 1.0, 1: 0.0}
+    one = imatch.edits(spark.createDataFrame([(5, "a b c")], "doc_id long, text string")).first()
+    assert one["near_next"] == 1.0 and one["edited"] == "a b a"
 
 
 def events(spark, rows):
@@ -297,8 +354,50 @@ def test_chats_round_trip(spark):
         assert r["loss"] == [x[3] or "" for x in own if x[2] == "assistant"]
     for r in made.collect():
         for t in r["turns"]:
+            assert r["formatted"][t["start"] :].startswith("<|im_start|>") and r["formatted"][t["text_start"] + t["length"] :].startswith("<|im_end|>\n")
             if t["loss"]:
                 assert r["formatted"][t["text_start"] - len("<|im_start|>assistant\n") :].startswith("<|im_start|>assistant\n")
+    # places are those of the whole output: moved by one, what is read is not what was said
+    moved = made.withColumn("turns", F.transform("turns", lambda t: t.withField("text_start", t["text_start"] + 1)))
+    back = {r["conv_id"]: r["loss"] for r in chat.read_chats(moved).collect()}
+    assert all(back[c] != got[c]["loss"] for c in back)
+
+
+def test_chats_take_awkward_tables(spark):
+    """Nothing, columns of the same names as those of results, and one very long conversation."""
+    schema = "conv_id long, turn long, role string, text string, formatted string, turns int, nth int, start int, loss int"
+    empty = chat.format_chats(spark.createDataFrame([], schema))
+    assert empty.count() == 0 and chat.read_chats(empty).count() == 0
+    rows = [(1, t, "assistant" if t % 2 else "user", f"<|{t}|>" * (t % 5), "x", 1, 2, 3, 4) for t in range(20_000)]
+    r = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, schema))).first()
+    assert [t["text"] for t in r["turns"]] == [x[3] for x in rows] and r["loss"] == [x[3] for x in rows if x[2] == "assistant"]
+
+
+def test_logs_of_deltas_edits_and_regenerations(spark):
+    """Random logs against a fold of one event after the other."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for c in range(60):
+        live: dict[int, list] = {}
+        for seq in range(rng.randint(1, 40)):
+            kind, turn = rng.choice(["message", "delta", "delta", "edit", "regenerate", "noise"]), rng.randrange(4)
+            role, text = rng.choice(["user", "assistant", None]), rng.choice(["a", "bc", "<|im_end|>", "", None])
+            rows.append((c, seq, kind, turn, role, text))
+            if kind == "regenerate":
+                live = {t: m for t, m in live.items() if t < turn}
+            elif kind != "noise":
+                was = live.get(turn, [None, ""])
+                live[turn] = [role or was[0], (was[1] if kind == "delta" else "") + (text or "")]
+        want |= {(c, t): tuple(m) for t, m in live.items()}
+    rng.shuffle(rows)
+    folded = chat.fold_events(events(spark, rows))
+    assert {(r["conv_id"], r["turn"]): (r["role"], r["text"]) for r in folded.collect()} == want
+    said = {(r["conv_id"], i): (t["role"], t["text"]) for r in chat.read_chats(chat.format_chats(folded)).collect() for i, t in enumerate(r["turns"])}
+    order: dict[int, int] = defaultdict(int)
+    for (c, _), (role, text) in sorted(want.items()):
+        assert said.pop((c, order[c])) == (role or "", text)
+        order[c] += 1
+    assert not said
 
 
 def test_forward_backward_equals_enumeration():

@@ -44,3 +44,13 @@ def test_stages_take_empty_tables(spark, tmp_path):
     for name, stage in pipeline.STAGES:
         docs = written(stage(spark, docs, str(tmp_path)), "stage")
         assert docs.count() == 0, name
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark, tmp_path):
+    rng = random.Random(10)
+    text = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "s2"), (1, b, "s1"), (1, c, "s1"), (1, a, "s1"), (2, b, "s0"), (None, c, "s1"), (None, text(), "s1")]
+    docs = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"], r["source"]) for r in pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([("1", a, "s1"), ("1", b, "s1"), ("1", c, "s1"), ("None", rows[-1][1], "s1")])
