@@ -36,11 +36,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their 5-word shingles, the one of the least ``doc_id``. A group without any ``doc_id`` stays; of rows that share one, one stays."""
-    several = not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])) if several else kept
+    """Of each group of documents that share 0.8 of their 5-word shingles, the row of the least ``doc_id`` (nulls last), and of these of the least text hash; of rows of that same id and text, the one whose other columns are least."""
+    row = row_hash("text")
+    first = near_duplicates(docs).where("is_first").select(F.col("doc_id").alias("first"), "text_hash").distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")) & (row == F.col("text_hash")), "left_semi")
+    if kept.groupBy("doc_id", row.alias("row")).count().where("count > 1").isEmpty():
+        return kept
+    return kept.groupBy("doc_id", row.alias("row")).agg(F.min(F.struct(*docs.columns)).alias("least")).select("least.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
