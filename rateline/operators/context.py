@@ -1,4 +1,4 @@
-"""Operating conditions: which lines ran together, and whether that moves a series (CTX1-CTX14, AGG12-15, AGG20, JN12-14, MOD21, MOD22, WIN8, WIN9)."""
+"""Operating conditions: which lines ran together, and whether that moves a series (CTX1-CTX9, CTX12, CTX13, CTX15, AGG12-15, AGG20, JN12-14, MOD21, MOD22, WIN8, WIN9)."""
 
 from __future__ import annotations
 
@@ -48,27 +48,40 @@ def calendar_factors(calendar: DataFrame, cfg: EngineConfig = EngineConfig()) ->
 
 
 def with_calendar(rows: DataFrame, factors: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Conditions with a column for each factor, 0 where it has no row (JN13, CTX6). A factor holds for all units or streams where it names none."""
+    """Conditions with a column for each factor, 0 where it has no row (JN13, CTX6).
+
+    A factor's row holds for all units or streams where it names none. Where
+    several rows of one factor fit, the one that names the unit holds before
+    one that names the stream, and that before one that names neither. The
+    factors are pivoted once, by how much their rows name, so there are four
+    joins however many factors there are.
+    """
     names = sorted(r[0] for r in factors.select("name").distinct().collect())  # a factor a column
-    for n in names:
-        f = factors.where(F.col("name") == n).select("period_start", F.col("unit").alias("_u"), F.col("stream").alias("_s"), F.col("value").alias(n))
-        on = (rows["period_start"] == f["period_start"]) & (f["_u"].isNull() | (f["_u"] == rows["unit"])) & (f["_s"].isNull() | (f["_s"] == rows["stream"]))
-        rows = rows.join(f, on, "left").drop(f["period_start"]).drop("_u", "_s").withColumn(n, F.coalesce(n, F.lit(0.0)))
-    return rows, names
+    if not names:
+        return rows, names
+    own = [c for c in rows.columns if c not in names]
+    kinds = (("period_start", "unit", "stream"), ("period_start", "unit"), ("period_start", "stream"), ("period_start",))
+    for i, on in enumerate(kinds):
+        fits = factors.where(F.col("unit").isNotNull() == F.lit("unit" in on)).where(F.col("stream").isNotNull() == F.lit("stream" in on))
+        wide = fits.groupBy(*on).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"_{i}_{j}") for j, n in enumerate(names)])
+        rows = rows.join(wide, list(on), "left")
+    found = [F.coalesce(*[F.col(f"_{i}_{j}") for i in range(len(kinds))], F.lit(0.0)).alias(n) for j, n in enumerate(names)]
+    return rows.select(*own, *found), names
 
 
 def extended_labels(rows: DataFrame, names: list[str]) -> DataFrame:
-    """CTX7: factors of 2 to 4 values become part of the regime."""
-    for n in names:
-        k = rows.agg(F.countDistinct(n)).first()[0]
-        if 2 <= k <= 4:
-            rows = rows.withColumn("regime_label", F.concat("regime_label", F.lit(f" | {n}="), F.format_string("%.0f", F.col(n))))
-    return rows
+    """CTX7: factors of 2 to 4 values become part of the regime; all are counted at once."""
+    if not names:
+        return rows
+    k = rows.agg(*[F.countDistinct(n).alias(n) for n in names]).first()
+    used = [n for n in names if 2 <= k[n] <= 4]
+    whole = lambda n: F.when(F.col(n) == F.floor(n), F.col(n).cast("long").cast("string")).otherwise(F.col(n).cast("string"))
+    return rows.withColumn("regime_label", F.concat("regime_label", *[x for n in used for x in (F.lit(f" | {n.removeprefix('ctx_')}="), whole(n))])) if used else rows
 
 
 def has_variance(rows: DataFrame, names: list[str]) -> bool:
-    """CTX8: whether any condition ever changes, from one aggregate."""
-    got = rows.agg(F.countDistinct(F.when(F.col("driver_type") == "actual", F.col("regime_label"))).alias("k"), *[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"s_{c}") for c in ("own_share", "utilization", "mix_entropy", *names)]).first()
+    """CTX8: whether any condition ever changed in what happened, from one aggregate."""
+    got = rows.where("driver_type = 'actual'").agg(F.countDistinct("regime_label").alias("k"), *[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"s_{c}") for c in ("own_share", "utilization", "mix_entropy", *names)]).first()
     return got["k"] > 1 or any(v > 1e-9 for k, v in got.asDict().items() if k.startswith("s_"))
 
 
@@ -117,13 +130,6 @@ def diagnosed(tested: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFram
     return tested.withColumn("p_value", tail("statistic", "k")).withColumn("material", F.coalesce((F.col("p_value") < c.alpha) & (F.col("spread_pct") >= c.materiality), F.lit(False)).cast("int"))
 
 
-def regime_conditional(rows: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """MOD22: the mean of each pooled regime of a series, and of all."""
-    use = pooled(rows.where("valid = 1 AND y IS NOT NULL AND regime_label IS NOT NULL"), cfg.context.min_regime_obs)
-    s = Window.partitionBy("series_id")
-    return use.groupBy("series_id", "regime").agg(F.avg("y").alias("level"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("_s")).withColumn("overall", F.sum("_s").over(s) / F.sum("n").over(s)).drop("_s")
-
-
 def non_negative(aa: Column, ab: Column, bb: Column, ay: Column, by: Column) -> Column:
     """struct(x, y) that minimises |a x + b y - t|² over x, y >= 0, from the five sums: the free solution if it is not negative, else the better of the two single ones."""
     det = aa * bb - ab * ab
@@ -139,17 +145,6 @@ def non_negative(aa: Column, ab: Column, bb: Column, ay: Column, by: Column) ->
     return F.when((x >= 0) & (y >= 0), pair(x, y)).when(gain_x >= gain_y, pair(only_x, F.lit(0.0))).otherwise(pair(F.lit(0.0), only_y))
 
 
-def fixed_plus_variable(rows: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """MOD21: a standing part and one that grows with activity: rate = fixed / driver + variable, or quantity = fixed + variable * system driver; where the driver varies enough over 8 usable periods."""
-    rel = F.col("mode") == "relative"
-    act = F.when(rel, F.col("driver_qty")).otherwise(F.col("system_driver"))
-    use = rows.withColumn("act", act).where((F.col("valid") == 1) & F.col("act").isNotNull() & (~rel | (F.col("act") > 0)))
-    use = use.withColumn("a", F.when(rel, 1 / F.when(rel, F.col("act"))).otherwise(1.0)).withColumn("b", F.when(rel, 1.0).otherwise(F.col("act")))
-    sums = use.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg("act").alias("m"), F.stddev_pop("act").alias("s"), *[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "ab", "bb", "ay", "by")])
-    fit = sums.where((F.col("n") >= 8) & (F.col("m") > 0) & (F.col("s") >= cfg.context.min_driver_cv * F.col("m")))
-    return fit.withColumn("c", non_negative(*[F.col(x) for x in ("aa", "ab", "bb", "ay", "by")])).select("series_id", "n", F.col("c.x").alias("fixed"), F.col("c.y").alias("variable"))
-
-
 def driver_variation(fit: DataFrame) -> DataFrame:
     """AGG20: how much the driver varies over usable periods, of 4 or more."""
     d = F.when(F.col("valid") == 1, F.col("driver_qty"))
@@ -159,7 +154,17 @@ def driver_variation(fit: DataFrame) -> DataFrame:
 
 def humanised(label: Column) -> Column:
     """CTX15: a regime in words."""
-    ran = F.regexp_replace(F.regexp_replace(F.substring_index(label, " | ", 1), ":", " making "), r"\+", " and ")
-    return F.when(label == IDLE, "nothing running").when(label == OTHER, "other conditions").otherwise(ran)
-
-
+    ran = F.array_join(F.transform(F.split(F.substring_index(label, " | ", 1), r"\+"), lambda p: F.concat(F.substring_index(p, ":", 1), F.lit(" making "), F.substring_index(p, ":", -1))), " and ")
+    said = F.when(F.substring_index(label, " | ", 1) == IDLE, "nothing running").otherwise(ran)
+    factors = F.slice(F.split(label, r" \| "), 2, 100)
+    also = F.array_join(F.transform(factors, lambda f: F.concat(F.replace(F.substring_index(f, "=", 1), F.lit("_"), F.lit(" ")), F.when(F.substring_index(f, "=", -1) == "1", " on").when(F.substring_index(f, "=", -1) == "0", " off").otherwise(F.concat(F.lit(" "), F.substring_index(f, "=", -1))))), ", ")
+    return F.when(label == OTHER, "other conditions").when(F.size(factors) > 0, F.concat(said, F.lit(" with "), also)).otherwise(said)
+
+
+def verdict(skip: Column, p: Column, spread: Column, high: Column, low: Column, material: Column, cfg: EngineConfig = EngineConfig()) -> Column:
+    """CTX15: what was found about a series, in a sentence."""
+    by = F.concat(F.format_string("%.0f %%", 100 * spread), F.lit(" between "), humanised(low), F.lit(" and "), humanised(high))
+    found = F.when(material == 1, F.concat(F.lit("Consumption depends on what runs: it differs by "), by, F.lit(".")))
+    found = found.when((p < cfg.context.alpha) & (spread >= cfg.context.materiality), F.concat(F.lit("Consumption depends on what runs, by "), by, F.lit(", but no plan covers the horizon.")))
+    found = found.when(p < cfg.context.alpha, F.concat(F.lit("Conditions matter, but little: "), by, F.lit("."))).when(p.isNotNull(), "Conditions make no difference that could not be chance.")
+    return F.when(skip.isNotNull(), F.concat(F.lit("Not tested: "), skip, F.lit("."))).otherwise(found)

@@ -13,11 +13,15 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..shipping import ship
+from . import backtest as T
 
 GRID = np.linspace(0.05, 0.95, 10)
+#: Share of the variance below which a fit is exact.
+EXACT = 1e-12
 
 
 def _sse_ses(y: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +99,7 @@ def smoothing(y: np.ndarray, m: int = 1, trend: bool = False, damped: bool = Fal
             out.append(base if s is None else base + s if season == "add" else base * s)
         return np.array(out)
 
-    return {"ahead": ahead, "fits": np.array(fits), "k": k, "aicc": aicc}
+    return {"ahead": ahead, "fits": np.array(fits), "k": k, "aicc": aicc, "grows": trend}
 
 
 def theta(y: np.ndarray) -> dict:
@@ -148,12 +152,19 @@ def arima(y: np.ndarray, p_most: int = 2, d_most: int = 1, q_most: int = 2) -> d
 
 
 def context_regression(y: np.ndarray, x: np.ndarray, future: np.ndarray, budget: int, max_vif: float = 5.0) -> dict:
-    """Forward selection of regressors by AIC, ``budget`` at most, none that the chosen ones explain; at least one must improve."""
+    """Forward selection of regressors by AIC, ``budget`` at most, none that the chosen ones explain; at least one must improve. What is left of an exact fit is rounding, so it counts as a share of ``EXACT`` of the variance, and a fit that good takes no more regressors."""
     n, chosen = len(y), []
-    fit = lambda cols: np.linalg.lstsq(np.column_stack([np.ones(n), *[x[:, c] for c in cols]]), y, rcond=None)[0]
-    value = lambda cols: (lambda e: n * math.log(max(e @ e / n, 1e-300)) + 2 * (len(cols) + 1))(y - np.column_stack([np.ones(n), *[x[:, c] for c in cols]]) @ fit(cols))
-    now = value([])
-    while len(chosen) < budget:
+    floor = max(EXACT * float(y.var()), 1e-300)
+
+    def solved(cols: list[int]) -> tuple[np.ndarray, float]:
+        a = np.column_stack([np.ones(n), *[x[:, c] for c in cols]])
+        coef = np.linalg.lstsq(a, y, rcond=None)[0]
+        e = y - a @ coef
+        return coef, max(float(e @ e) / n, floor)
+
+    rest = solved([])[1]
+    now = n * math.log(rest) + 2
+    while len(chosen) < budget and rest > floor:
         tried = []
         for c in range(x.shape[1]):
             if c in chosen or x[:, c].std() < 1e-12:
@@ -161,25 +172,23 @@ def context_regression(y: np.ndarray, x: np.ndarray, future: np.ndarray, budget:
             if chosen:
                 a = np.column_stack([np.ones(n), x[:, chosen]])
                 e = x[:, c] - a @ np.linalg.lstsq(a, x[:, c], rcond=None)[0]
-                if x[:, c].var() / max(e.var(), 1e-300) > max_vif:
+                if x[:, c].var() > max_vif * e.var():
                     continue
-            tried.append((value([*chosen, c]), c))
-        if not tried or min(tried)[0] >= now:
+            left = solved([*chosen, c])[1]
+            tried.append((n * math.log(left) + 2 * (len(chosen) + 2), c, left))
+        if not tried or min(tried)[0] >= now - 1e-9:
             break
-        now, c = min(tried)
+        now, c, rest = min(tried)
         chosen.append(c)
     if not chosen:
         raise ValueError("no condition improves the fit")
-    coef = fit(chosen)
+    coef = solved(chosen)[0]
     design = lambda z: np.column_stack([np.ones(len(z)), z[:, chosen]])
     return {"ahead": lambda h: (design(future) @ coef)[:h], "fits": design(x) @ coef, "chosen": chosen}
 
 
-# name: (least history, parameters, place among candidates, seasonal)
-SPECS: dict[str, tuple[int, int, int, bool]] = {"SES": (5, 1, 3, False), "DampedHolt": (10, 3, 4, False), "Theta": (8, 2, 5, False), "Holt": (10, 2, 21, True), "HoltWinters": (24, 4, 22, True), "ETS": (15, 1, 23, False), "ARIMA": (24, 0, 24, True)}
-
-
 def fit_model(name: str, y: np.ndarray, m: int, seasonal: bool = True) -> dict:
+    """One model on ``y``: ``ahead(h)``, ``fits``, and ``grows`` where its form decides that. ``seasonal`` lets ETS have a season."""
     if name == "SES":
         _, level, fits = ses(y)
         return {"ahead": lambda h: np.full(h, level), "fits": fits}
@@ -203,50 +212,65 @@ def fit_model(name: str, y: np.ndarray, m: int, seasonal: bool = True) -> dict:
     return min((smoothing(y, m if f.get("season") else 1, **f) for f in forms), key=lambda r: r["aicc"])
 
 
-FOLDS = "series_id string, model string, ordinal int, n_params int, origin int, step int, y_hat double, actual double, valid int, scale double"
+def _names(cfg: EngineConfig) -> dict[str, T.Candidate]:
+    return {c.name: c for c in T.all_candidates(cfg) if c.kind == "fitted" and not (c.name == "ETS" and c.below)}
+
+
+def _open(c: T.Candidate, n_rel: int, cfg: EngineConfig) -> bool:
+    """BT1 and PRJ8 for the fitted models; between 15 and the seasonal history ETS competes without a season (CAN3)."""
+    if c.name == "ETS":
+        return n_rel >= 15
+    return n_rel >= max(c.min_history, c.reliable)
 
 
-def fitted_folds(fit: DataFrame, models: tuple[str, ...] = ("SES", "DampedHolt", "Theta"), cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Fold predictions in the form of ``backtest.folds``; a fit that fails takes the model out of that series, nothing more."""
+def fitted_folds(fit: DataFrame, models: tuple[str, ...] | None = None, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Folds (``backtest.FOLD``) of the fitted models that the series' reliable periods admit, or of those of ``models`` only; a fit that fails leaves a fold without a prediction, which takes the model out of that series, nothing more."""
     ship(fit.sparkSession)
-    h, m = cfg.cv.horizon, cfg.season
-    wanted = [x for x in models if x not in cfg.models.disabled_models and (x != "ARIMA" or cfg.models.enable_arima)]
+    h, m, enough = cfg.cv.horizon, cfg.season, cfg.gate.seasonal_min_history
+    wanted = [c for n, c in _names(cfg).items() if models is None or n in models]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         y, valid = pdf["y"].to_numpy(float), pdf["valid"].to_numpy(int)
-        n, rows = len(y), []
-        for name in wanted:
-            least, k, place, _ = SPECS[name]
-            own = []
-            try:
-                for o in range(max(least, 2, n - h - cfg.cv.max_origins + 1), n - h + 1):
-                    hat = np.asarray(fit_model(name, y[:o], m)["ahead"](h), float)
-                    if not np.isfinite(hat).all():
-                        raise ValueError("not finite")
-                    scale = float(np.abs(np.diff(y[:o])).mean()) if o > 1 else 0.0
-                    own += [(key[0], name, place, k, o, s + 1, float(hat[s]), float(y[o + s]), int(valid[o + s]), scale) for s in range(h)]
-            except (ValueError, np.linalg.LinAlgError, FloatingPointError):
+        n, n_rel, rows = len(y), int(valid.sum()), []
+        for c in wanted:
+            if not _open(c, n_rel, cfg):
                 continue
-            rows += own
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOLDS.split(", ")])
+            for o in range(max(c.min_history, 2, n - h - cfg.cv.max_origins + 1), n - h + 1):
+                try:
+                    hat = np.asarray(fit_model(c.name, y[:o], m, n_rel >= enough)["ahead"](h), float)
+                except (ValueError, np.linalg.LinAlgError, FloatingPointError):
+                    hat = np.full(h, np.nan)
+                failed = not np.isfinite(hat).all()
+                rows.append((key[0], c.name, c.ordinal, c.n_params, o, float(np.abs(np.diff(y[:o])).mean()), [None] * h if failed else hat.tolist(), y[o : o + h].tolist(), valid[o : o + h].tolist()))
+                if failed:
+                    break
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in T.FOLD.split(", ")])
 
-    return fit.select("series_id", "idx", "y", "valid").groupBy("series_id").applyInPandas(run, FOLDS)
+    return fit.select("series_id", "idx", "y", "valid").groupBy("series_id").applyInPandas(run, T.FOLD)
 
 
 def fitted_forecasts(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """``series_id, model, step, point, sigma`` of the chosen fitted models over the whole history (SEL10)."""
+    """``series_id, model, step, point, sigma, grows`` of the chosen fitted models over the whole history (SEL10); a series may have several. A series too short for a model, and a fit that fails, give no rows."""
     ship(fit.sparkSession)
-    h, m = cfg.forecast.horizon, cfg.season
+    h, m, enough, known = cfg.forecast.horizon, cfg.season, cfg.gate.seasonal_min_history, [*T.FITTED, "HoltWinters"]
+    grows, least = {n: g for n, (_, _, g) in T.FITTED.items()}, {n: k for n, (k, _, _) in T.FITTED.items()}
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        y, name = pdf["y"].to_numpy(float), pdf["model"].iloc[0]
-        got = fit_model(name, y, m)
-        sigma = float(np.std(y - got["fits"])) if len(y) > 1 else 0.0
-        return pd.DataFrame({"series_id": key[0], "model": name, "step": np.arange(1, h + 1), "point": got["ahead"](h), "sigma": sigma})
-
-    own = chosen.where(chosen["model"].isin(*SPECS)).select("series_id", "model")
-    return fit.select("series_id", "idx", "y").join(own, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, model string, step int, point double, sigma double")
-
+        y, rows = pdf["y"].to_numpy(float), []
+        for name in pdf["models"].iloc[0]:
+            if len(y) < least.get(name, 2 * m):
+                continue
+            try:
+                got = fit_model(name, y, m, int(pdf["valid"].sum()) >= enough)
+                ahead = np.asarray(got["ahead"](h), float)
+            except (ValueError, IndexError, np.linalg.LinAlgError, FloatingPointError):
+                continue
+            if np.isfinite(ahead).all():
+                sigma, wide = float(np.std(y - got["fits"])), bool(got.get("grows", grows.get(name, True)))
+                rows += [(key[0], name, i + 1, float(v), sigma, wide) for i, v in enumerate(ahead)]
+        return pd.DataFrame(rows, columns=["series_id", "model", "step", "point", "sigma", "grows"])
 
+    own = chosen.where(F.col("model").isin(*known)).groupBy("series_id").agg(F.sort_array(F.collect_set("model")).alias("models"))
+    return fit.select("series_id", "idx", "y", "valid").join(own, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, model string, step int, point double, sigma double, grows boolean")

@@ -27,37 +27,48 @@ def confidence_label(score: Column) -> Column:
     return F.when(score < 0.40, "low").when(score < 0.70, "medium").otherwise("high")
 
 
-def final_fits(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """``series_id, model, level, slope, season, sigma, grows`` of each series' chosen model over its whole history (SEL10); ``sigma`` is the population deviation of what the model missed one step ahead, for the mean of what its last level misses."""
-    rows = T.levels(fit, cfg).join(chosen.select("series_id", "model"), "series_id")
+def final_fits(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConfig(), only: set[str] | None = None) -> DataFrame:
+    """``series_id, model, level, slope, season, sigma, grows`` of each series' chosen models over its whole history (SEL10); ``sigma`` is the population deviation of what the model missed one step ahead, for the mean of what its last level misses. Frames are made for ``only``, if that is given."""
+    rows = T.levels(fit, cfg, only).join(chosen.select("series_id", "model"), "series_id")
     level, slope, grows = F.lit(None).cast("double"), F.lit(0.0), F.lit(False)
     for c in T.candidates(cfg):
+        if only is not None and c.name not in only:
+            continue
         own = F.col("model") == c.name
         grows = F.when(own, F.lit(c.grows)).otherwise(grows)
         level = F.when(own, F.col("season")[0] if c.seasonal else F.col(f"level_{c.ordinal}")).otherwise(level)
         if not c.seasonal:
             slope = F.when(own, F.col(f"slope_{c.ordinal}")).otherwise(slope)
     rows = rows.withColumn("level", level).withColumn("slope", slope).withColumn("grows", grows)
-    end = F.col("idx") == F.col("n")
-    last = F.max(F.when(end, F.col("slope"))).over(T.S())
-    fitted = F.when(F.col("model") == "Mean", F.max(F.when(end, F.col("level"))).over(T.S())).otherwise(F.col("level") + F.when(F.col("model") == "Drift", last).otherwise(0.0))
+    end, one = F.col("idx") == F.col("n"), T.Window.partitionBy("series_id", "model")
+    last = F.max(F.when(end, F.col("slope"))).over(one)
+    fitted = F.when(F.col("model") == "Mean", F.max(F.when(end, F.col("level"))).over(one)).otherwise(F.col("level") + F.when(F.col("model") == "Drift", last).otherwise(0.0))
     rows = rows.withColumn("miss", F.col("y") - fitted)
     return rows.groupBy("series_id", "model").agg(F.max(F.when(end, F.col("level"))).alias("level"), F.max(F.when(end, F.col("slope"))).alias("slope"), F.max_by("season", "idx").alias("season"), F.when(F.count("miss") >= 2, F.stddev_pop("miss")).otherwise(F.stddev_pop("y")).alias("sigma"), F.max("grows").alias("grows"))
 
 
-def point(season: int) -> Column:
-    """What a fit says of ``step``. An ensemble has its points of all steps in ``season``."""
-    again = F.element_at("season", ((F.col("step") - 1) % season + 1).cast("int"))
-    return F.when(F.col("model") == "SeasonalNaive", again).when(F.col("model") == "Ensemble", F.get("season", F.col("step") - 1)).otherwise(F.col("level") + F.col("slope") * F.col("step"))
+def points(fits: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """``series_id, model, step, point, sigma, grows`` of fits by level, slope or season (FC1)."""
+    rows = fits.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(cfg.forecast.horizon))))
+    again = F.element_at("season", ((F.col("step") - 1) % cfg.season + 1).cast("int"))
+    at = F.when(F.col("model") == "SeasonalNaive", again).otherwise(F.col("level") + F.col("slope") * F.col("step"))
+    return rows.select("series_id", "model", "step", at.alias("point"), "sigma", "grows")
 
 
-def generate(fits: DataFrame, series: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """The horizon behind each series' own last period, clipped at 0, bands ordered (FC1-FC3)."""
-    g, m = cfg.granularity, cfg.season
-    rows = fits.join(series.select("series_id", *DIMENSIONS, "mode", "last_start"), "series_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(cfg.forecast.horizon))))
+def averaged(made: DataFrame, members: DataFrame) -> DataFrame:
+    """Points of each series' ensemble (MOD20): the mean of its members' (``series_id, model``) at each step; none where a member has none. Its deviation is the mean of theirs, which the deviation of the mean does not exceed."""
+    want = members.groupBy("series_id").agg(F.count(F.lit(1)).alias("_want"))
+    rows = made.join(members, ["series_id", "model"], "left_semi").groupBy("series_id", "step").agg(F.avg("point").alias("point"), F.avg("sigma").alias("sigma"), F.max("grows").alias("grows"), F.count("point").alias("_have"))
+    return rows.join(want, "series_id").where("_have = _want").select("series_id", F.lit("Ensemble").alias("model"), "step", "point", "sigma", "grows")
+
+
+def horizon(made: DataFrame, series: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Points behind each series' own last period, clipped at 0, bands ordered (FC2, FC3)."""
+    g = cfg.granularity
+    rows = made.join(series.select("series_id", *DIMENSIONS, "mode", "last_start"), "series_id")
     start = period_add(F.col("last_start"), F.col("step"), g)
     wide = F.col("sigma") * F.when(F.col("grows"), F.sqrt(F.col("step").cast("double"))).otherwise(1.0)
-    rows = rows.withColumn("period_start", start).withColumn("period", period_label(F.col("period_start"), g)).withColumn("p", point(m)).withColumn("wide", wide)
+    rows = rows.withColumn("period_start", start).withColumn("period", period_label(F.col("period_start"), g)).withColumn("p", F.col("point")).withColumn("wide", wide)
     at = F.greatest(F.col("p"), F.lit(0.0))
     z80, z95 = (normal_quantile(0.5 + v / 2) for v in cfg.forecast.interval_levels)
     rows = rows.withColumn("target_value", at)
@@ -66,6 +77,11 @@ def generate(fits: DataFrame, series: DataFrame, cfg: EngineConfig = EngineConfi
     return rows.select("series_id", *DIMENSIONS, "mode", "model", "period_start", "period", "step", "target_value", *BANDS)
 
 
+def generate(fits: DataFrame, series: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Forecasts of fits with their bands (FC1-FC3)."""
+    return horizon(points(fits, cfg), series, cfg)
+
+
 def reconstruct(forecasts: DataFrame, driver: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """FC5: demand is the rate times the driver's plan, null where there is none, or the daily quantity times the days."""
     plan = driver.where("driver_type = 'plan'").select("period_start", "line", "output_type", F.col("driver_qty").alias("_plan"))

@@ -26,15 +26,21 @@ def accuracy(forecasts: DataFrame, actual: DataFrame, selections: DataFrame | No
 
 
 def drift(history: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """LRN3: whether errors of the later half are more than half as large again as those of the earlier, over 4 or more. ``by`` may add the run."""
+    """LRN3: whether percentage errors of the later half are more than half as large again as those of the earlier, over 4 or more that are not null. ``by`` may add the run."""
     w = Window.partitionBy(*by)
-    rows = history.where("error IS NOT NULL").withColumn("i", F.row_number().over(w.orderBy("period", *[c for c in ("run_id",) if c in history.columns and c not in by], "error"))).withColumn("n", F.count(F.lit(1)).over(w))
+    e = F.col("abs_pct_error")
+    rows = history.where(e.isNotNull()).withColumn("i", F.row_number().over(w.orderBy("period", *[c for c in ("run_id",) if c in history.columns and c not in by], e))).withColumn("n", F.count(F.lit(1)).over(w))
     half = F.floor(F.col("n") / 2)
-    e = F.abs("error")
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("i") <= half, e)).alias("early"), F.avg(F.when(F.col("i") > half, e)).alias("late"))
     return out.withColumn("drifting", F.coalesce((F.col("n") >= 4) & (F.col("late") > 1.5 * F.greatest(F.col("early"), F.lit(1e-9))), F.lit(False)).cast("int"))
 
 
+def drift_warnings(drifting: DataFrame) -> DataFrame:
+    """VAL21: a note for each series that drifts."""
+    text = F.format_string("recent errors are %.1f times the earlier ones: look at this series again", F.col("late") / F.greatest(F.col("early"), F.lit(1e-9)))
+    return drifting.where("drifting = 1").select("series_id", F.lit("ACCURACY_DRIFT").alias("code"), F.lit("warning").alias("severity"), text.alias("message"))
+
+
 def upserted(stored: DataFrame, new: DataFrame, key: tuple[str, ...] = ("series_id", "period", "run_id"), frozen: tuple[str, ...] = ("forecast_value", "model")) -> DataFrame:
     """SNK5: rows of the same key take the new values, but for ``frozen`` columns."""
     cols = stored.columns

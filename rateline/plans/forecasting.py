@@ -30,22 +30,21 @@ def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _model(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold predictions of one model."""
-    rows = T.folds(_fit(spark, sf_dir), CFG).where(F.col("model") == name)
+    rows = T.folds(_fit(spark, sf_dir), CFG, {name})
     return rows.select("series_id", "origin", "step", *r9("y_hat", "actual"))
 
 
 def mase_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.results(T.folds(_fit(spark, sf_dir), CFG), CFG).select("series_id", "model", *r9("mase", "mae", "rmse", "mape", "smape", "bias", "stability"), "n_origins", "status")
+    return T.results(T.fold_rows(_fit(spark, sf_dir), CFG), CFG).select("series_id", "model", *r9("mase", "mae", "rmse", "mape", "smape", "bias", "stability"), "n_origins", "status")
 
 
 def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.folds(_fit(spark, sf_dir), CFG)
-    return T.with_ensemble(rows, T.results(rows, CFG), CFG).where("model = 'Ensemble'").select("series_id", "n_params", "n_origins", *r9("mase", "stability", "bias"))
+    return T.competition(T.fold_rows(_fit(spark, sf_dir), CFG), CFG).where("model = 'Ensemble'").select("series_id", "n_params", "n_origins", *r9("mase", "stability", "bias"))
 
 
 def winner_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.folds(_fit(spark, sf_dir), CFG)
-    return T.winners(T.with_ensemble(rows, T.results(rows, CFG), CFG), CFG).select("series_id", "model", *r9("mase"))
+    """Winners among the models that are window frames, and ensembles of them; whole runs (``run_forecasts``) have all candidates."""
+    return T.winners(T.competition(T.fold_rows(_fit(spark, sf_dir), CFG), CFG), CFG).select("series_id", "model", *r9("mase"))
 
 
 def top_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +52,28 @@ def top_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winner_rank(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "model").limit(5)
 
 
+def _rated(spark: SparkSession, sf_dir: str) -> tuple[P.Prepared, DataFrame]:
+    """Series with their class and engineered rate."""
+    raw = star_schema.load(spark, sf_dir)
+    p = P.build_series(raw)
+    cls = B.descriptive(B.applicable_rows(p.observations)).select("series_id", "pattern_class")
+    std = raw.standard_rates.select("item_code", "line", "output_type", "std_rate")
+    return p, p.series.join(cls, "series_id").join(std, ["item_code", "line", "output_type"], "left")
+
+
+def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CAN1-CAN4, BT1, PRJ8: who may compete for each series, or be routed to."""
+    return T.candidate_sets(_rated(spark, sf_dir)[1], CFG).select("series_id", "route", "model", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"))
+
+
+def anchor_competes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEL1, MOD18: the engineered rate back-tested beside the mean."""
+    p, rated = _rated(spark, sf_dir)
+    fit = P.fit_targets(p.observations).join(rated.select("series_id", F.when(F.col("mode") == "relative", F.col("std_rate")).alias("anchor")), "series_id")
+    got = T.results(T.fold_rows(fit, CFG, {"StandardRateAnchor", "Mean"}), CFG)
+    return got.select("series_id", "model", *r9("mase", "bias"), "n_origins", "status")
+
+
 def croston_sba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.croston(_fit(spark, sf_dir)).select("series_id", *r9("size", "interval", "croston", "sba"))
 
@@ -97,7 +118,7 @@ def cold_start_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecasts(spark: SparkSession, sf_dir: str, model: str = "MovingAverage(3)") -> DataFrame:
     p = prepared(spark, sf_dir)
     fit = P.fit_targets(p.observations)
-    fits = G.final_fits(fit, p.series.select("series_id", F.lit(model).alias("model")), CFG)
+    fits = G.final_fits(fit, p.series.select("series_id", F.lit(model).alias("model")), CFG, {model})
     return G.reconstruct(G.generate(fits, p.series, CFG), p.driver, CFG)
 
 
@@ -116,8 +137,7 @@ def reconstruct_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def confidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prepared(spark, sf_dir)
-    rows = T.folds(P.fit_targets(p.observations), CFG)
-    best = T.winners(T.results(rows, CFG), CFG).select("series_id", "mase")
+    best = T.winners(T.results(T.fold_rows(P.fit_targets(p.observations), CFG), CFG), CFG).select("series_id", "mase")
     made = p.series.join(B.profile(p.observations, CFG).select("series_id", "forecastability", "data_quality"), "series_id").join(best, "series_id", "left")
     score = G.confidence_score(F.col("mase"), F.col("n_reliable"), F.col("forecastability"), F.col("data_quality"), F.lit(False))
     return made.select("series_id", (F.round(score, 9) + 0.0).alias("confidence"), G.confidence_label(score).alias("label"))
@@ -155,7 +175,7 @@ HISTORY = {"history_by_line": ["line"], "history_by_item": ["item_code"], "histo
 
 QUERIES = {
     **{k: partial(_model, v) for k, v in MODELS.items()},
-    **{f.__name__: f for f in (mase_by_model, ensemble_score, winner_rank, top_models, croston_sba, tsb, intermittent_routing, history_gate, category_priors, prior_ladder, cold_start_ladder, forecast_intervals, drift_intervals, reconstruct_demand, confidence_scores, picker_filtered, picker_cube)},
+    **{f.__name__: f for f in (mase_by_model, ensemble_score, winner_rank, top_models, candidate_sets, anchor_competes, croston_sba, tsb, intermittent_routing, history_gate, category_priors, prior_ladder, cold_start_ladder, forecast_intervals, drift_intervals, reconstruct_demand, confidence_scores, picker_filtered, picker_cube)},
     **{k: partial(_picker, v) for k, v in PICKERS.items()},
     **{k: partial(_history, v) for k, v in HISTORY.items()},
 }
@@ -186,12 +206,12 @@ def _level(c: T.Candidate) -> str:
 STEPS = {
     **profiled.STEPS,
     "sent": "SELECT series_id, idx, y, valid, coalesce(weight, 0.0) AS wt FROM fit UNION ALL SELECT series_id, max(idx) + 1, NULL, 0, 0.0 FROM fit GROUP BY series_id",
-    "diff": f"SELECT *, abs(y - lag(y) OVER {W}) AS dy, max(idx) OVER (PARTITION BY series_id) AS n FROM sent",
-    "lv": "SELECT series_id, idx, n, y, valid, avg(dy) OVER " + W0 + " AS scale, " + ", ".join(f"{_level(c)} AS l{c.ordinal}" for c in CANDS if not c.seasonal) + f", (lag(y) OVER {W} - first_value(y) OVER {W}) / nullif(idx - 1, 0) AS slope FROM diff",
-    "cand": "SELECT * FROM (VALUES " + ", ".join(f"('{c.name}', {c.ordinal}, {c.n_params}, {max(c.min_history, 2)})" for c in CANDS) + ") t(model, ordinal, n_params, least)",
+    "diff": f"SELECT *, abs(y - lag(y) OVER {W}) AS dy, max(idx) OVER (PARTITION BY series_id) AS n, sum(valid) OVER (PARTITION BY series_id) AS n_rel FROM sent",
+    "lv": "SELECT series_id, idx, n, n_rel, y, valid, avg(dy) OVER " + W0 + " AS scale, " + ", ".join(f"{_level(c)} AS l{c.ordinal}" for c in CANDS if not c.seasonal) + f", (lag(y) OVER {W} - first_value(y) OVER {W}) / nullif(idx - 1, 0) AS slope FROM diff",
+    "cand": "SELECT * FROM (VALUES " + ", ".join(f"('{c.name}', {c.ordinal}, {c.n_params}, {max(c.min_history, 2)}, {max(c.min_history, c.reliable)})" for c in CANDS) + ") t(model, ordinal, n_params, least, rel)",
     "orig": "SELECT * FROM lv WHERE idx <= n - 3 AND idx >= n - 3 - 8 + 1",
     "folds": "SELECT o.series_id, c.model, c.ordinal, c.n_params, o.idx AS origin, s.step, o.scale, a.y AS actual, a.valid, CASE c.model " + " ".join(f"WHEN '{c.name}' THEN " + ("z.y" if c.seasonal else f"o.l{c.ordinal}" + (" + o.slope * s.step" if c.grows else "")) for c in CANDS) + """ END AS y_hat
-  FROM orig o JOIN cand c ON o.idx >= c.least CROSS JOIN (VALUES (1), (2), (3)) s(step) JOIN sent a ON a.series_id = o.series_id AND a.idx = o.idx + s.step - 1 LEFT JOIN sent z ON z.series_id = o.series_id AND z.idx = o.idx + s.step - 1 - 12""",
+  FROM orig o JOIN cand c ON o.idx >= c.least AND o.n_rel >= c.rel CROSS JOIN (VALUES (1), (2), (3)) s(step) JOIN sent a ON a.series_id = o.series_id AND a.idx = o.idx + s.step - 1 LEFT JOIN sent z ON z.series_id = o.series_id AND z.idx = o.idx + s.step - 1 - 12""",
     "fs": """SELECT series_id, model, ordinal, n_params, origin, scale, avg(abs(y_hat - actual)) AS mae, sqrt(avg(pow(y_hat - actual, 2))) AS rmse, avg(y_hat - actual) AS bias, 100 * avg(CASE WHEN actual <> 0 THEN abs(y_hat - actual) / abs(actual) END) AS mape,
   100 * avg(CASE WHEN abs(actual) + abs(y_hat) <> 0 THEN 2 * abs(y_hat - actual) / (abs(actual) + abs(y_hat)) END) AS smape FROM folds WHERE valid = 1 AND y_hat IS NOT NULL GROUP BY ALL""",
     "fs2": "SELECT *, CASE WHEN scale > 0 THEN mae / scale WHEN mae = 0 THEN 0.0 END AS mase FROM fs",
@@ -249,6 +269,7 @@ def _hist(dims: list[str]) -> str:
 JOIN (SELECT period{g}, round(coalesce(sum(one), 0.0), 6) AS driver_qty FROM (SELECT {once}, max(driver_qty) AS one FROM obs GROUP BY {once}) GROUP BY period{g}) b ON {same}""")
 
 
+ALL_ROWS = ", ".join([f"('compete', '{c.name}', {c.ordinal}, {max(c.min_history, c.reliable)}, {c.below or 1_000_000})" for c in T.all_candidates(CFG) if c.kind in ("frame", "fitted")] + [f"('anchor', '{T.ANCHOR.name}', {T.ANCHOR.ordinal}, 0, 1000000)"] + [f"('routed', '{n}', {i}, 0, 1000000)" for i, n in enumerate(T.INTERMITTENT)])
 BAND_SQL = "round(target_value, 6) AS target_value, round(lower_80, 6) AS lower_80, round(upper_80, 6) AS upper_80, round(lower_95, 6) AS lower_95, round(upper_95, 6) AS upper_95"
 SCORE = f"coalesce(0.35 / (1 + mase), 0.14) + 0.30 * least(1.0, n_reliable / 24.0) + 0.20 * {profiled.FORECASTABILITY} + 0.15 * {profiled.QUALITY}"
 
@@ -267,6 +288,12 @@ ORACLE = {
     "intermittent_routing": _q("""SELECT series_id, CASE WHEN max(y) <= 0 THEN 'ZeroForecast' WHEN count(*) - 1 - coalesce(max(CASE WHEN y > 0 THEN idx END), -1) >= greatest(4.0, 2 * coalesce(median(CASE WHEN y > 0 THEN idx - prev END), 0.0)) THEN 'TSB' ELSE 'SBA' END AS route
 FROM (SELECT series_id, idx, y, max(CASE WHEN y > 0 THEN idx END) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM fit) GROUP BY series_id"""),
     "history_gate": _q("SELECT CASE WHEN pattern_class IN ('intermittent', 'lumpy') THEN 'routed' WHEN n_reliable < 6 THEN 'cold_start' ELSE 'compete' END AS route, count(*) AS n FROM series JOIN desc2 USING (series_id) GROUP BY 1"),
+    "candidate_sets": _q(f"""SELECT s.series_id, CASE WHEN pattern_class IN ('intermittent', 'lumpy') THEN 'routed' WHEN n_reliable < 6 THEN 'cold_start' ELSE 'compete' END AS route, a.model, coalesce(a.ordinal, -1) AS ordinal FROM series s JOIN desc2 USING (series_id) LEFT JOIN std r ON s.item_code = r.item_code AND s.line = r.line AND s.output_type = r.output_type
+  LEFT JOIN (SELECT * FROM (VALUES {ALL_ROWS}) t(way, model, ordinal, least, below)) a ON CASE WHEN pattern_class IN ('intermittent', 'lumpy') THEN a.way = 'routed' WHEN n_reliable < 6 THEN false WHEN a.way = 'anchor' THEN s.mode = 'relative' AND r.std_rate IS NOT NULL ELSE a.way = 'compete' AND n_reliable >= a.least AND n_reliable < a.below END"""),
+    "anchor_competes": _q("""SELECT series_id, model, round(mase, 6) AS mase, round(bias, 6) AS bias, n_origins, status FROM res WHERE model = 'Mean'
+UNION ALL SELECT series_id, 'StandardRateAnchor', round(CASE WHEN count(m) = count(*) THEN avg(m) END, 9) + 0.0, round(avg(bias), 9) + 0.0, count(*), CASE WHEN max(tried) < 3 THEN 'skipped' ELSE 'ok' END FROM (
+  SELECT *, CASE WHEN scale > 0 THEN mae / scale WHEN mae = 0 THEN 0.0 END AS m FROM (SELECT o.series_id, o.idx, o.scale, max(o.tried) AS tried, avg(abs(r.std_rate - a.y)) AS mae, avg(r.std_rate - a.y) AS bias FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS tried FROM orig WHERE idx >= 2) o JOIN series s USING (series_id)
+    JOIN std r ON s.mode = 'relative' AND s.item_code = r.item_code AND s.line = r.line AND s.output_type = r.output_type JOIN sent a ON a.series_id = o.series_id AND a.idx BETWEEN o.idx AND o.idx + 2 AND a.valid = 1 GROUP BY o.series_id, o.idx, o.scale)) GROUP BY series_id"""),
     "category_priors": _q("SELECT mode, level, category, round(prior, 6) AS prior, n_items FROM prior"),
     "prior_ladder": _q("SELECT series_id, round(prior, 6) AS prior, level FROM ladder"),
     "cold_start_ladder": _q("""SELECT s.series_id, CASE WHEN s.mode = 'relative' AND r.std_rate IS NOT NULL THEN 'StandardRateAnchor' WHEN l.prior IS NOT NULL THEN 'CategoryPrior' WHEN f.y <> 0 THEN 'Naive' ELSE 'ZeroForecast' END AS model,

@@ -29,8 +29,13 @@ def autocorr_lag1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the last 20 periods of each series, so that the short form applies."""
-    rows = _rows(spark, sf_dir).withColumn("r", F.row_number().over(B.S().orderBy(F.desc("idx")))).where("r <= 20")
+    """PAT2 of all series; those of two seasons or more are null, since they are decomposed."""
+    return B.trend(_rows(spark, sf_dir)).select("series_id", *r6("trend_r2"))
+
+
+def trend_r2_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT2 of each year of each series as a series of its own, so that the short form has values."""
+    rows = _rows(spark, sf_dir).withColumn("series_id", F.concat_ws("|", "series_id", F.year("period_start")))
     return B.trend(rows).select("series_id", *r6("trend_r2"))
 
 
@@ -57,7 +62,7 @@ def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("series_id", *r6("trend_strength", "seasonal_strength"), "stationary")
 
 
-QUERIES = {f.__name__: f for f in (adi_cv2_class, descriptive_stats, autocorr_lag1, trend_r2, outlier_pct, structural_break, behaviour_profile, class_counts, decomposition)}
+QUERIES = {f.__name__: f for f in (adi_cv2_class, descriptive_stats, autocorr_lag1, trend_r2, trend_r2_yearly, outlier_pct, structural_break, behaviour_profile, class_counts, decomposition)}
 
 STEPS = {
     "app": "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY idx) AS n FROM (SELECT *, max(is_applicable) OVER (PARTITION BY series_id) AS any_app FROM obs) WHERE is_applicable = 1 OR any_app = 0",
@@ -89,8 +94,8 @@ ORACLE = {
     "adi_cv2_class": _q("SELECT series_id, n_y, round(adi, 6) AS adi, round(cv2, 6) AS cv2, pattern_class FROM desc2"),
     "descriptive_stats": _q("SELECT series_id, round(mean, 6) AS mean, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, round(std, 6) AS std, round(cv, 6) AS cv, round(missing_pct, 6) AS missing_pct, round(unreliable_pct, 6) AS unreliable_pct, n_rel FROM desc2"),
     "autocorr_lag1": _q("SELECT series_id, round(autocorr_lag1, 6) AS autocorr_lag1 FROM ac"),
-    "trend_r2": _q("""SELECT series_id, CASE WHEN count(*) >= 4 AND count(*) < 25 THEN round(coalesce(CASE WHEN max(target) > min(target) THEN pow(corr(n, target), 2) END, 0.0), 6) END AS trend_r2
-FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY idx DESC) AS r FROM app) WHERE r <= 20 AND target IS NOT NULL GROUP BY series_id"""),
+    "trend_r2": _q("SELECT series_id, CASE WHEN count(*) >= 4 AND count(*) < 25 THEN round(coalesce(CASE WHEN max(target) > min(target) THEN pow(corr(n, target), 2) END, 0.0), 6) END AS trend_r2 FROM app WHERE target IS NOT NULL GROUP BY series_id"),
+    "trend_r2_yearly": _q("SELECT series_id || '|' || year(period_start) AS series_id, CASE WHEN count(*) >= 4 AND count(*) < 25 THEN round(coalesce(CASE WHEN max(target) > min(target) THEN pow(corr(n, target), 2) END, 0.0), 6) END AS trend_r2 FROM app WHERE target IS NOT NULL GROUP BY series_id, year(period_start)"),
     "outlier_pct": _q("SELECT series_id, round(outlier_pct, 6) AS outlier_pct FROM outl"),
     "structural_break": _q("SELECT series_id, round(break_stat, 6) AS break_stat, break_period FROM brk"),
     "behaviour_profile": _q(f"SELECT d.series_id, pattern_class, round({FORECASTABILITY}, 6) AS forecastability, round({QUALITY}, 6) AS data_quality, round(coalesce(outlier_pct, 0.0), 6) AS outlier_pct, round(autocorr_lag1, 6) AS autocorr_lag1, break_period FROM desc2 d LEFT JOIN outl USING (series_id) LEFT JOIN ac USING (series_id) LEFT JOIN brk USING (series_id)"),

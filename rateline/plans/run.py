@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import backtest as T
 from ..operators import context as C
+from ..operators import contextual as X
 from ..operators import explain as E
 from ..operators import fitted as M
 from ..operators import forecast as G
@@ -25,6 +27,32 @@ class FatalData(ValueError):
     """A rule found what no run can go on with."""
 
 
+class Cancelled(RuntimeError):
+    """A run was asked to stop; its rows are gone."""
+
+
+@dataclass(frozen=True)
+class Callbacks:
+    """What a caller may follow a run by: ``progress(stage, share done)``, and ``cancelled()``, which is asked between stages."""
+
+    progress: Callable[[str, float], None] = lambda stage, share: None
+    cancelled: Callable[[], bool] = lambda: False
+
+    def at(self, stage: str, share: float) -> None:
+        if self.cancelled():
+            raise Cancelled(stage)
+        self.progress(stage, share)
+
+
+@dataclass
+class Conditions:
+    """What is known of operating conditions: ``contextual.extended_rows``, the factors' names, and the diagnosis of each series."""
+
+    ext: DataFrame
+    names: list[str]
+    diagnosis: DataFrame
+
+
 def scoped(series: DataFrame, raw: RawTables, cfg: EngineConfig) -> DataFrame:
     """PRJ3, PRJ4: the series to forecast; all are analysed."""
     if cfg.scope.item_codes:
@@ -36,86 +64,168 @@ def scoped(series: DataFrame, raw: RawTables, cfg: EngineConfig) -> DataFrame:
     return series
 
 
-def selections(fit: DataFrame, series: DataFrame, raw: RawTables, obs: DataFrame, cfg: EngineConfig, fitted: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """``series_id, route, model, level, mase, n_origins, reason_code`` of each series, and the scored candidates (BT1, SEL1-SEL7). Candidates are only made for series that compete."""
-    routed = series.withColumn("route", T.gate(F.col("n_reliable"), F.col("pattern_class"), cfg))
-    compete = fit.join(routed.where("route = 'compete'").select("series_id"), "series_id", "left_semi")
-    rows = T.folds(compete, cfg)
-    if fitted:
-        rows = rows.unionByName(M.fitted_folds(compete, fitted, cfg))
-    scored = T.with_ensemble(rows, T.results(rows, cfg), cfg)
-    best = T.winners(scored, cfg).select("series_id", F.col("model").alias("won"), "mase", "n_origins")
-    gaps = fit.withColumn("hit", F.when(F.col("y") > 0, F.col("idx")))
-    gaps = gaps.withColumn("gap", F.col("hit") - F.last("hit", True).over(P.IN_ORDER().rowsBetween(-(1 << 31), -1))).groupBy("series_id").agg((F.count(F.lit(1)) - 1 - F.coalesce(F.max("hit"), F.lit(-1))).alias("trailing"), F.median("gap").alias("interval"), F.max(F.col("y") > 0).alias("some"), F.max_by("y", "idx").alias("last"))
-    single = T.croston(fit).join(T.tsb(fit).select("series_id", "tsb"), "series_id", "full").select("series_id", "sba", "tsb")
-    prior = T.prior_ladder(series, raw.items, T.category_priors(series, obs, raw.items, cfg.gate.min_history_competition)).select("series_id", "prior")
+def operating_conditions(fit: DataFrame, series: DataFrame, driver: DataFrame, calendar: DataFrame, cfg: EngineConfig) -> Conditions:
+    """The conditions of each series over its history and horizon, and whether they matter (CTX1-CTX14)."""
+    rows = C.conditions(driver, cfg)
+    rows, names = C.with_calendar(rows, C.calendar_factors(calendar, cfg))
+    rows = C.extended_labels(rows, names)
+    some = not driver.isEmpty()
+    ext = X.extended_rows(fit, series, rows, names, cfg)
+    return Conditions(ext, names, X.diagnosis(ext, cfg, cfg.context.enabled, some, some and C.has_variance(rows, names)))
+
+
+def with_rates(series: DataFrame, raw: RawTables) -> DataFrame:
+    """JN7: the engineered rate of each series; of repeated ones the greatest."""
     std = P.first_rows(raw.standard_rates, P.KEYS, [F.desc("std_rate")]).select(*P.KEYS, "std_rate")
     same = [F.col(f"s.{k}").eqNullSafe(F.col(f"r.{k}")) for k in P.KEYS]
-    out = routed.alias("s").join(std.alias("r"), same, "left").select("s.*", "r.std_rate")
-    for part in (best, gaps, single, prior):
+    return series.alias("s").join(std.alias("r"), same, "left").select("s.*", "r.std_rate")
+
+
+def with_anchor(fit: DataFrame, rated: DataFrame) -> DataFrame:
+    """SEL1: the engineered rate beside each row of a relative series."""
+    return fit.join(rated.select("series_id", F.when(F.col("mode") == "relative", F.col("std_rate")).alias("anchor")), "series_id")
+
+
+def single_levels(fit: DataFrame, rated: DataFrame, raw: RawTables, obs: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """A row a series with what flat models would forecast: ``anchor, prior, sba, croston, tsb, last``, and what the routes of intermittent series ask (``trailing, interval, some``)."""
+    gaps = fit.withColumn("hit", F.when(F.col("y") > 0, F.col("idx")))
+    gaps = gaps.withColumn("gap", F.col("hit") - F.last("hit", True).over(P.IN_ORDER().rowsBetween(-(1 << 31), -1))).groupBy("series_id").agg((F.count(F.lit(1)) - 1 - F.coalesce(F.max("hit"), F.lit(-1))).alias("trailing"), F.median("gap").alias("interval"), F.max(F.col("y") > 0).alias("some"), F.max_by("y", "idx").alias("last"), F.max(F.col("y") != 0).alias("moved"))
+    events = T.croston(fit).select("series_id", "sba", "croston").join(T.tsb(fit).select("series_id", "tsb"), "series_id", "full")
+    prior = T.prior_ladder(rated, raw.items, T.category_priors(rated, obs, raw.items, cfg.gate.min_history_competition)).select("series_id", "prior")
+    out = rated.select("series_id", F.when(F.col("mode") == "relative", F.col("std_rate")).alias("anchor"))
+    for part in (gaps, events, prior):
         out = out.join(part, "series_id", "left")
+    return out
+
+
+def scored_candidates(fit: DataFrame, rated: DataFrame, cfg: EngineConfig, known: Conditions | None = None) -> DataFrame:
+    """Results of all candidates of the series that compete (CAN1-CAN3, CAN5, SEL1, SEL3); context models only where conditions matter."""
+    compete = rated.where(T.gate(F.col("n_reliable"), F.col("pattern_class"), cfg) == "compete").select("series_id")
+    own = fit.join(compete, "series_id", "left_semi")
+    rows = T.fold_rows(with_anchor(own, rated), cfg).unionByName(M.fitted_folds(own, None, cfg))
+    if known is not None:
+        offered = known.diagnosis.where("material = 1").select("series_id").join(compete, "series_id", "left_semi")
+        more = X.context_folds(known.ext.join(offered, "series_id", "left_semi"), known.names, cfg)
+        rows = rows if more is None else rows.unionByName(more)
+    return T.competition(rows, cfg)
+
+
+def selections(rated: DataFrame, flat: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """``series_id, route, model, mase, n_origins, reason_code`` of each series (BT1, SEL2, SEL4-SEL7)."""
+    routed = rated.withColumn("route", T.gate(F.col("n_reliable"), F.col("pattern_class"), cfg))
+    best = T.winners(scored, cfg).select("series_id", F.col("model").alias("won"), "mase", "n_origins")
+    out = routed.select("series_id", "mode", "route").join(flat, "series_id", "left").join(best, "series_id", "left")
     event = T.intermittent_route(F.col("trailing"), F.col("interval"), F.coalesce("some", F.lit(False)))
-    cold = T.cold_start(F.col("mode") == "relative", F.col("std_rate"), F.col("prior"), F.col("last"))
-    out = out.withColumn("_cold", cold).withColumn("_event", event)
+    cold = F.when(F.col("anchor").isNotNull(), "StandardRateAnchor").when(F.col("prior").isNotNull(), "CategoryPrior").when(F.col("moved"), "Naive").otherwise("ZeroForecast")
     won = (F.col("route") == "compete") & F.col("won").isNotNull()
-    model = F.when(F.col("route") == "routed", F.col("_event")).when(won, F.col("won")).otherwise(F.col("_cold.model"))
-    level = F.when(F.col("route") == "routed", F.when(F.col("_event") == "TSB", F.col("tsb")).when(F.col("_event") == "SBA", F.col("sba")).otherwise(0.0)).when(~won, F.col("_cold.level"))
-    code = F.when((F.col("route") == "compete") & ~won, "compete_fallback").otherwise(F.col("route"))
-    return out.select("series_id", "route", model.alias("model"), level.alias("fixed_level"), "mase", "n_origins", code.alias("reason_code")), scored
-
-
-def point_forecasts(fit: DataFrame, chosen: DataFrame, series: DataFrame, scored: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Forecasts of all chosen models in one form. An ensemble is the mean of its members at each step, its deviation that of the members' mean misses."""
-    flat = chosen.where("fixed_level IS NOT NULL").select("series_id", "model", F.col("fixed_level").alias("level"))
-    spread = fit.join(flat.select("series_id", "level"), "series_id").groupBy("series_id").agg(F.stddev_pop(F.col("y") - F.col("level")).alias("sigma"))
-    flat = flat.join(spread, "series_id").select("series_id", "model", "level", F.lit(0.0).alias("slope"), F.lit(None).cast("array<double>").alias("season"), "sigma", F.lit(False).alias("grows"))
-    native = G.final_fits(fit, chosen.where("fixed_level IS NULL").where(F.col("model").isin(*[c.name for c in T.candidates(cfg)])), cfg)
-    members = T.candidates(cfg)
-    mixed = chosen.where("model = 'Ensemble'").select("series_id")
-    top = scored.where("status = 'ok' AND mase IS NOT NULL AND model <> 'Ensemble'").join(mixed, "series_id", "left_semi").withColumn("r", F.row_number().over(T.S().orderBy("mase", "ordinal"))).where("r <= 3").where(F.col("model").isin(*[c.name for c in members]))
-    each = top.select(F.concat_ws("\x01", "series_id", "model").alias("series_id"), F.col("series_id").alias("sid"), "model")
-    fits = G.final_fits(fit.join(each.select("sid", F.col("series_id").alias("own")), fit["series_id"] == F.col("sid")).drop("series_id", "sid").withColumnRenamed("own", "series_id"), each.select("series_id", "model"), cfg)
-    ahead = fits.withColumn("sid", F.substring_index("series_id", "\x01", 1)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(cfg.forecast.horizon)))).withColumn("point", G.point(cfg.season))
-    steps = ahead.groupBy("sid", "step").agg(F.avg("point").alias("point"), F.avg("sigma").alias("sigma"), F.max("grows").alias("grows"))
-    path = F.transform(F.array_sort(F.collect_list(F.struct("step", "point"))), lambda x: x["point"])
-    mean = steps.groupBy("sid").agg(path.alias("season"), F.max("sigma").alias("sigma"), F.max("grows").alias("grows")).select(F.col("sid").alias("series_id"), F.lit("Ensemble").alias("model"), F.lit(None).cast("double").alias("level"), F.lit(0.0).alias("slope"), "season", "sigma", "grows")
-    return G.generate(native.unionByName(flat).unionByName(mean), series, cfg)
-
-
-def run_forecast(spark: SparkSession, raw: RawTables, store: Repository, cfg: EngineConfig = EngineConfig(), fitted: tuple[str, ...] = ()) -> str:
-    """Validate, prepare, analyse, select, forecast, explain and store; the run's id. A run that breaks is marked failed and leaves no rows."""
+    routed_ = F.col("route") == "routed"
+    model = F.when(routed_, event).when(won, F.col("won")).otherwise(cold)
+    names = F.create_map(*[F.lit(x) for kv in {"StandardRateAnchor": "cold_start_standard_rate", "CategoryPrior": "cold_start_category_prior", "Naive": "cold_start_naive", "ZeroForecast": "cold_start_zero"}.items() for x in kv])
+    events = F.create_map(*[F.lit(x) for kv in {"SBA": "routed_sba", "TSB": "routed_tsb_obsolescence", "ZeroForecast": "routed_zero"}.items() for x in kv])
+    code = F.when(routed_, F.element_at(events, event)).when(won, "competition_winner").otherwise(F.element_at(names, cold))
+    route = F.when((F.col("route") == "compete") & ~won, "compete_fallback").otherwise(F.col("route"))
+    return out.select("series_id", route.alias("route"), model.alias("model"), "mase", "n_origins", code.alias("reason_code"))
+
+
+#: Models whose forecast is one level, and the column of ``single_levels`` that has it.
+LEVEL_OF = {"StandardRateAnchor": "anchor", "CategoryPrior": "prior", "SBA": "sba", "Croston": "croston", "TSB": "tsb", "ZeroForecast": None}
+
+
+def model_points(fit: DataFrame, wanted: DataFrame, flat: DataFrame, cfg: EngineConfig, known: Conditions | None = None) -> DataFrame:
+    """``series_id, model, step, point, sigma, grows`` of all ``wanted`` (``series_id, model``) over the whole history (SEL10), whatever kind the model is of; none where it cannot be fitted."""
+    wanted = wanted.select("series_id", "model").where("model <> 'Ensemble'").distinct()
+    native = G.points(G.final_fits(fit, wanted.where(F.col("model").isin(*[c.name for c in T.candidates(cfg)])), cfg), cfg).where("point IS NOT NULL")
+    made = native.unionByName(M.fitted_forecasts(fit, wanted, cfg))
+    one = F.array(*[F.struct(F.lit(m).alias("model"), (F.lit(0.0) if c is None else F.col(c).cast("double")).alias("point")) for m, c in LEVEL_OF.items()])
+    levels = flat.select("series_id", F.explode(one).alias("x")).select("series_id", "x.*").where("point IS NOT NULL").join(wanted, ["series_id", "model"], "left_semi")
+    spread = fit.select("series_id", "y").join(levels, "series_id").groupBy("series_id", "model", "point").agg(F.stddev_pop(F.col("y") - F.col("point")).alias("sigma"))
+    made = made.unionByName(spread.select("series_id", "model", F.explode(F.sequence(F.lit(1), F.lit(cfg.forecast.horizon))).alias("step"), "point", "sigma", F.lit(False).alias("grows")))
+    if known is not None:
+        made = made.unionByName(X.context_forecasts(known.ext, wanted.where(F.col("model").isin(*T.CONTEXT)), known.names, cfg))
+    return made
+
+
+def with_members(chosen: DataFrame, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen models and those that chosen ensembles are made of; and the latter."""
+    inside = T.members(scored).join(chosen.where("model = 'Ensemble'").select("series_id"), "series_id", "left_semi")
+    return chosen.select("series_id", "model").unionByName(inside), inside
+
+
+def point_forecasts(fit: DataFrame, chosen: DataFrame, flat: DataFrame, scored: DataFrame, cfg: EngineConfig, known: Conditions | None = None) -> DataFrame:
+    """Points of each series' chosen model, or of the mean of its ensemble's members."""
+    wanted, inside = with_members(chosen, scored)
+    made = model_points(fit, wanted, flat, cfg, known)
+    return made.join(chosen.select("series_id", "model"), ["series_id", "model"], "left_semi").unionByName(G.averaged(made, inside))
+
+
+def run_forecast(spark: SparkSession, raw: RawTables, store: Repository, cfg: EngineConfig = EngineConfig(), callbacks: Callbacks = Callbacks()) -> str:
+    """Validate, prepare, analyse, select, forecast, explain and store; the run's id. A run that breaks is marked failed and leaves no rows; one that is cancelled is as if it had not been."""
     run_id = store.create_run(asdict(cfg), raw.source_name)
     try:
+        callbacks.at("validate", 0.0)
         found = V.run_all(raw)
         if V.has_fatal(found):
             raise FatalData(", ".join(r["message"] for r in found.where("severity = 'fatal'").limit(8).collect()))
         store.append("validation_result", run_id, found)
+        callbacks.at("prepare", 0.1)
         p = P.build_series(raw, cfg, store.read("mode_override"))
         store.replace("observation", p.observations)
         obs = store.read("observation")
-        profile = B.profile(obs, cfg)
-        store.replace("series", scoped(p.series, raw, cfg).join(profile.select("series_id", "pattern_class", "forecastability", "data_quality", "break_period", "adi", "cv2"), "series_id", "left"))
+        store.append("validation_result", run_id, V.preparation(obs))
+        callbacks.at("analyse", 0.2)
+        profile = B.profile(obs, cfg).join(B.decomposition(B.applicable_rows(obs), cfg.season), "series_id", "left")
+        store.replace("series", scoped(p.series, raw, cfg).join(profile.select("series_id", "pattern_class", "forecastability", "data_quality", "break_period", "adi", "cv2", "cv", "trend_strength", "seasonal_strength", "stationary"), "series_id", "left"))
         store.replace("driver", p.driver)
         store.replace("item", raw.items)
         store.replace("standard_rate", raw.standard_rates)
         series, driver = store.read("series"), store.read("driver")
         fit = P.fit_targets(obs.join(series.select("series_id"), "series_id", "left_semi"))
-        chosen, scored = selections(fit, series, raw, obs, cfg, fitted)
+        callbacks.at("conditions", 0.3)
+        known = None
+        if cfg.context.enabled:
+            known = operating_conditions(fit, series, driver, raw.calendar, cfg)
+            store.replace("condition", known.ext)
+            known.ext = store.read("condition")
+            store.replace("series_context", known.diagnosis)
+            known.diagnosis = store.read("series_context")
+        callbacks.at("select", 0.4)
+        rated = with_rates(series, raw)
+        store.replace("flat", single_levels(fit, rated, raw, obs, cfg))
+        flat = store.read("flat")
+        store.append("validation", run_id, scored_candidates(fit, rated, cfg, known))
+        scored = store.read("validation", run_id).drop("run_id")
+        store.replace("winner", selections(rated, flat, scored, cfg))  # forecasts and reasons read it again
+        chosen = store.read("winner")
+        callbacks.at("forecast", 0.6)
         planned = store.read("model_override")
+        wanted, inside = with_members(chosen, scored)
+        if planned is not None:
+            asked = planned.join(series.select("series_id"), "series_id", "left_semi").select("series_id", E.wanted_name(F.col("model"), cfg.models.lookback_windows[0]).alias("model"))
+            wanted = wanted.unionByName(asked)
+        store.replace("point", model_points(fit, wanted, flat, cfg, known))
+        made = store.read("point")
+        made = made.unionByName(G.averaged(made, inside))
         if planned is not None:
-            chosen = E.with_overrides(chosen, scored, planned).withColumn("fixed_level", F.when(F.col("reason_code") != "override", F.col("fixed_level")))
-        why = E.selection_reason(F.col("reason_code"), F.col("model"), F.col("mase"), F.coalesce("n_origins", F.lit(0)))
-        store.append("selection", run_id, chosen.withColumn("reason", why).join(E.rejected_json(scored, chosen), "series_id", "left"))
-        chosen = store.read("selection", run_id)
+            chosen = E.with_overrides(chosen, made, scored, planned, cfg.models.lookback_windows[0])
+        else:
+            chosen = chosen.withColumn("override_reason", F.lit(None).cast("string")).withColumn("is_override", F.lit(0))
+        facts = series.select("series_id", "n_reliable", "forecastability", "data_quality", "trend_strength", "seasonal_strength")
         score = G.confidence_score(F.col("mase"), F.col("n_reliable"), F.col("forecastability"), F.col("data_quality"), F.col("mase").isNull(), cfg.gate.seasonal_min_history)
-        sure = series.join(chosen.select("series_id", "mase"), "series_id").select("series_id", score.alias("confidence"))
-        made = G.reconstruct(point_forecasts(fit, chosen, series, scored, cfg), driver, cfg).join(sure, "series_id", "left")
-        store.append("forecast", run_id, made)
-        if cfg.context.enabled:
-            rows = C.conditions(driver, cfg)
-            store.replace("series_context", C.diagnosed(C.significance(C.series_conditions(fit, rows), cfg), cfg))
-        notes = E.caveats(series.join(chosen.select("series_id", "model"), "series_id").join(C.driver_variation(fit), "series_id", "left"))
-        store.append("warning", run_id, notes)
+        why = E.selection_reason(F.col("reason_code"), F.col("model"), F.col("mase"), F.coalesce("n_origins", F.lit(0)), F.col("n_reliable"))
+        told = chosen.join(facts, "series_id").withColumn("reason", why).withColumn("confidence", score).withColumn("confidence_label", G.confidence_label(F.col("confidence")))
+        store.append("selection", run_id, told.drop("n_reliable", "forecastability", "data_quality", "trend_strength", "seasonal_strength").join(E.rejected_json(scored, chosen, facts), "series_id", "left"))
+        chosen = store.read("selection", run_id).drop("run_id")
+        own = made.join(chosen.select("series_id", "model"), ["series_id", "model"], "left_semi")
+        rows = G.reconstruct(G.horizon(own, series, cfg), driver, cfg).join(chosen.select("series_id", "confidence"), "series_id", "left")
+        store.append("forecast", run_id, rows)
+        callbacks.at("explain", 0.9)
+        low = obs.groupBy("series_id").agg(F.sum("is_low_driver").alias("n_low"))
+        notes = E.caveats(series.join(chosen.select("series_id", "model", "reason_code"), "series_id").join(C.driver_variation(fit), "series_id", "left").join(low, "series_id", "left"))
+        store.append("warning", run_id, notes.unionByName(E.failures(chosen, store.read("forecast", run_id))))
+        callbacks.at("finish", 1.0)
+    except Cancelled:
+        store.delete_run(run_id)
+        raise
     except Exception:
         store.delete_run_rows(run_id)
         store.finish_run(run_id, "failed")
@@ -125,11 +235,13 @@ def run_forecast(spark: SparkSession, raw: RawTables, store: Repository, cfg: En
 
 
 def import_actuals(raw: RawTables, store: Repository, run_id: str | None = None) -> DataFrame:
-    """Errors of a stored run against newer consumption, in that run's granularity; repeated imports change nothing. Gives the series that drift."""
+    """Errors of a stored run against newer consumption, in that run's granularity; repeated imports change nothing but the notes. Gives the series that drift, which are warnings of that run too (VAL21)."""
     run = next(r for r in store.runs() if r["run_id"] == run_id) if run_id else store.latest_complete()
     if run is None:
         raise ValueError("there is no completed run")
     actual = L.actuals(raw.consumption, run["config"]["granularity"])
-    rows = L.accuracy(store.read("forecast", run["run_id"]), actual)
+    rows = L.accuracy(store.read("forecast", run["run_id"]).drop("model"), actual, store.read("selection", run["run_id"]))
     store.upsert_accuracy(rows.select("series_id", "period", F.lit(run["run_id"]).alias("run_id"), "forecast_value", "actual_value", "error", "abs_pct_error", "model"))
-    return L.drift(store.read("accuracy_history")).where("drifting = 1")
+    found = L.drift(store.read("accuracy_history"))
+    store.append("warning", run["run_id"], L.drift_warnings(found))
+    return found.where("drifting = 1")

@@ -1,10 +1,11 @@
-"""Results as Parquet tables by run (SNK1-SNK9, SNK16-SNK19)."""
+"""Results as Parquet tables by run (SNK1-SNK9, SNK15, SNK16, SNK18, SNK19)."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,23 @@ from pyspark.sql import functions as F
 from ..operators.learn import upserted
 
 #: Tables that are replaced as a whole, and those to which each run adds a partition.
-CURRENT = ("item", "driver", "standard_rate", "series", "observation", "series_context", "model_override", "mode_override", "accuracy_history")
-PER_RUN = ("selection", "forecast", "validation_result", "warning")
+CURRENT = ("item", "driver", "standard_rate", "series", "observation", "series_context", "model_override", "mode_override", "accuracy_history", "condition", "flat", "winner", "point")
+PER_RUN = ("selection", "forecast", "validation", "validation_result", "warning")
+#: What reads are ordered by, where it matters.
+ORDER = {"forecast": ("series_id", "period_start"), "observation": ("series_id", "period_start"), "accuracy_history": ("series_id", "period"), "selection": ("series_id",)}
+#: Analyses that a cache keeps.
+CACHED = 8
 
 
 class Repository:
-    """Below one folder on any file system that Spark writes. A replaced table gets a new version beside the old one, and a pointer file names the current one, so readers never meet half a table."""
+    """Below one folder on any file system that Spark writes.
+
+    A replaced table gets a new version beside the old one, and a pointer file
+    names the current one. A pointer is written under another name and renamed
+    over the old one, so readers meet the old table or the new one; and the
+    last version stays until the next replacement, so that plans which read it
+    already can end.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -36,31 +48,46 @@ class Repository:
         return "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect())
 
     def _put(self, name: str, text: str) -> None:
-        out = self._fs().create(self._path(name), True)
+        """The whole text or none of it: written beside, then renamed over."""
+        part = self._path(f"{name}.{uuid.uuid4().hex}")
+        out = self._fs().create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
+        jvm = self._jvm
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.spark.sparkContext._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        at = self._path(name)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), self.spark._jsc.hadoopConfiguration()).rename(part, at, over)
+
+    def _versions(self, table: str) -> list[str]:
+        """The current version and the last one before it."""
+        return (self._text(f"{table}.current") or "").split()
 
     def replace(self, table: str, df: DataFrame) -> None:
         version = f"{table}/v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{version}")
-        old = self._text(f"{table}.current")
-        self._put(f"{table}.current", version)
-        if old:
+        was = self._versions(table)
+        self._put(f"{table}.current", "\n".join([version, *was[:1]]))
+        for old in was[1:]:
             self._fs().delete(self._path(old), True)
 
-    def read(self, table: str, run_id: str | None = None, series: list[str] | None = None) -> DataFrame | None:
-        """SNK8: partitions of the run, filters pushed to the files; None if there is no such table."""
+    def read(self, table: str, run_id: str | None = None, series: list[str] | None = None, ordered: bool = False, backfill: dict[str, object] | None = None) -> DataFrame | None:
+        """SNK8, SNK9, ORD7: partitions of the run, filters pushed to the files, in the table's order if asked; columns that older files lack are null, or what ``backfill`` says. None if there is no such table."""
         if table in PER_RUN:
             if not self._fs().exists(self._path(table)):
                 return None
             df = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
             df = df if run_id is None else df.where(F.col("run_id") == run_id)
         else:
-            version = self._text(f"{table}.current")
-            if version is None:
+            versions = self._versions(table)
+            if not versions:
                 return None
-            df = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{version}")
-        return df if series is None else df.where(F.col("series_id").isin(series))
+            df = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{versions[0]}")
+        for name, value in (backfill or {}).items():
+            df = df.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value))
+        df = df if series is None else df.where(F.col("series_id").isin(series))
+        return df.orderBy(*ORDER[table]) if ordered and table in ORDER else df
 
     def append(self, table: str, run_id: str, df: DataFrame) -> None:
         df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{self.root}/{table}")
@@ -117,17 +144,18 @@ def settings_key(source: str, config: dict, overrides: dict | None = None) -> st
     return hashlib.sha256(json.dumps([source, config, overrides or {}], sort_keys=True).encode()).hexdigest()[:16]
 
 
-def export(frames: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
-    """SNK10, SNK14, SNK17: a folder a sheet."""
-    for name, df in frames.items():
-        writer = df.write.mode("overwrite")
-        (writer.option("header", True).csv if kind == "csv" else writer.parquet)(f"{path.rstrip('/')}/{name}")
-
-
-def dictionary(frames: dict[str, DataFrame], texts: dict[tuple[str, str], str], spark: SparkSession) -> DataFrame:
-    """SNK11: a row for each exported column, with its description."""
-    rows = [(s, c, k, texts.get((s, c), texts.get(("", c), ""))) for s, df in frames.items() for c, k in df.dtypes]
-    return spark.createDataFrame(rows, "sheet string, column_name string, type string, description string")
+def cached(store: Repository, key: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """SNK16: the table computed for a key before, or now; the ``CACHED`` latest are kept."""
+    known: list[list[str]] = json.loads(store._text("cache.json") or "[]")
+    at = dict(known).get(key)
+    if at is None or not store._fs().exists(store._path(at)):
+        at = f"cache/{key}-{uuid.uuid4().hex}"
+        compute().write.parquet(f"{store.root}/{at}")
+    entries = [[k, v] for k, v in known if k != key] + [[key, at]]
+    store._put("cache.json", json.dumps(entries[-CACHED:]))
+    for _, old in entries[:-CACHED]:
+        store._fs().delete(store._path(old), True)
+    return store.spark.read.parquet(f"{store.root}/{at}")
 
 
 def sample(frames: dict[str, DataFrame], n: int = 10) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from rateline.config import EngineConfig, Scope, window_sweep
 from rateline.functions.stats import adf_p_value, chi2_tail, normal_quantile, stl
 from rateline.operators import backtest as T
 from rateline.operators import context as C
+from rateline.operators import contextual as X
 from rateline.operators import explain as E
 from rateline.operators import fitted as M
 from rateline.operators import forecast as G
@@ -108,10 +109,10 @@ def test_folds_cannot_see_the_future(spark):
 
 
 def test_mase_of_a_constant_series(spark):
-    got = {r["model"]: r for r in T.results(T.folds(fit_frame(spark, [3.0] * 20))).collect()}
+    got = {r["model"]: r for r in T.results(T.fold_rows(fit_frame(spark, [3.0] * 20))).collect()}
     assert got["Naive"]["mase"] == 0.0
     y = [3.0] * 19 + [4.0]
-    got = {r["model"]: r for r in T.results(T.folds(fit_frame(spark, y))).collect()}
+    got = {r["model"]: r for r in T.results(T.fold_rows(fit_frame(spark, y))).collect()}
     assert got["Naive"]["mase"] is None  # infinite in the last fold
 
 
@@ -207,7 +208,7 @@ def test_materiality(spark):
 
 def test_two_column_non_negative_fit(spark):
     rows = spark.createDataFrame([("s", float(d), 3.0 / d + 0.5, "relative", float(d), 1) for d in range(5, 20)], "series_id string, driver_qty double, y double, mode string, system_driver double, valid int")
-    got = C.fixed_plus_variable(rows).first()
+    got = X.standing_fits(rows.withColumn("origin", F.lit(15))).first()
     assert (got["fixed"], got["variable"]) == (pytest.approx(3.0), pytest.approx(0.5))
 
 
@@ -240,8 +241,10 @@ def test_coercion_and_schema(spark):
 
 
 def test_learning_loop(spark):
-    rows = [("s", f"2024-{m:02d}", "r", 10.0, 9.0 if m < 4 else 5.0, 1.0 if m < 4 else 5.0) for m in range(1, 7)]
-    h = spark.createDataFrame(rows, "series_id string, period string, run_id string, forecast_value double, actual_value double, error double")
+    rows = [("s", f"2024-{m:02d}", "r", 10.0, 9.0 if m < 4 else 5.0, 1.0 if m < 4 else 5.0, 100 / 9 if m < 4 else 100.0) for m in range(1, 7)]
+    h = spark.createDataFrame(rows, "series_id string, period string, run_id string, forecast_value double, actual_value double, error double, abs_pct_error double")
+    assert L.drift(h.withColumn("abs_pct_error", F.lit(7.0))).first()["drifting"] == 0 and L.drift(h.withColumn("abs_pct_error", F.lit(None).cast("double"))).count() == 0
+    assert L.drift_warnings(L.drift(h)).first()["code"] == "ACCURACY_DRIFT"
     assert L.drift(h).first()["drifting"] == 1 and L.drift(h.where("period <= '2024-03'")).first()["drifting"] == 0
     again = L.upserted(L.upserted(h, h), h.withColumn("actual_value", F.lit(1.0)).withColumn("forecast_value", F.lit(2.0)))
     assert again.count() == 6 and {(r["actual_value"], r["forecast_value"]) for r in again.collect()} == {(1.0, 10.0)}
@@ -265,8 +268,13 @@ def test_fitted_models():
         got = M.fit_model(name, y, 12)
         assert np.abs(got["ahead"](6) - future).mean() < worst, name
     x = np.column_stack([np.sin(t), np.cos(t)])
-    got = M.context_regression(3 + 2 * x[:, 0], x, x[:4], 2)
+    got = M.context_regression(3 + 2 * x[:, 0], x, x[:4], 2)  # an exact fit: rounding takes no second regressor
     assert got["chosen"] == [0] and np.allclose(got["ahead"](4), 3 + 2 * x[:4, 0])
+    noise = np.random.default_rng(4).standard_normal(48)
+    both = M.context_regression(3 + 2 * x[:, 0] - x[:, 1] + 0.1 * noise, np.column_stack([x, x[:, 0] + 1e-3 * noise, np.ones(48)]), np.ones((2, 4)), 6)
+    assert set(both["chosen"][:2]) <= {0, 1, 2} and len(both["chosen"]) == 2  # neither a copy of a regressor nor a constant
+    with pytest.raises(ValueError):
+        M.context_regression(np.ones(48), x, x, 2)
 
 
 def test_config_and_texts(spark, tmp_path):
@@ -277,5 +285,5 @@ def test_config_and_texts(spark, tmp_path):
     with pytest.raises(ValueError):
         EngineConfig.from_dict({"cv": {"nope": 1}})
     assert Scope().note() == "all items" and Scope(("x",), True).note() == "1 item (x), bom-listed only" and window_sweep(3, 12) == [3, 5, 7, 8, 10, 12] and window_sweep(1, 1) == [2]
-    row = spark.createDataFrame([("compete", "Naive", 0.5, 3)], "c string, m string, e double, n int").select(E.selection_reason(F.col("c"), F.col("m"), F.col("e"), F.col("n")).alias("t")).first()["t"]
+    row = spark.createDataFrame([("competition_winner", "Naive", 0.5, 3)], "c string, m string, e double, n int").select(E.selection_reason(F.col("c"), F.col("m"), F.col("e"), F.col("n")).alias("t")).first()["t"]
     assert row.startswith("Naive was the most dependable") and "3 back-test windows" in row

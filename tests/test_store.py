@@ -1,4 +1,5 @@
-from rateline.sources.store import Repository, dictionary, sample, settings_key
+from rateline.sources.exports import dictionary
+from rateline.sources.store import CACHED, Repository, cached, sample, settings_key
 
 
 def test_runs_tables_and_overrides(spark, tmp_path):
@@ -26,8 +27,33 @@ def test_runs_tables_and_overrides(spark, tmp_path):
     assert repo.read("accuracy_history").count() == 1
 
 
+def test_replaced_tables_stay_readable_once(spark, tmp_path):
+    """A plan made before a replacement still reads what it was made for; pointers are whole at any time."""
+    repo = Repository(spark, f"file://{tmp_path}/store")
+    repo.replace("series", spark.range(3))
+    before = repo.read("series")
+    repo.replace("series", spark.range(5))
+    assert before.count() == 3 and repo.read("series").count() == 5
+    repo.replace("series", repo.read("series").union(before))
+    assert repo.read("series").count() == 8
+    assert len(list((tmp_path / "store" / "series").iterdir())) == 2 and not [f for f in (tmp_path / "store").iterdir() if f.name.startswith("series.current.")]
+    assert repo.read("series", backfill={"extra": 7, "id": 0}).agg({"extra": "sum"}).first()[0] == 56
+
+
+def test_cache(spark, tmp_path):
+    repo, made = Repository(spark, f"file://{tmp_path}/store"), []
+
+    def compute(k):
+        return lambda: (made.append(k), spark.createDataFrame([(k,)], "k int"))[1]
+
+    for k in [1, 1, *range(2, CACHED + 2), 2, 1]:
+        assert cached(repo, f"key{k}", compute(k)).first()["k"] == k
+    assert made == [1, *range(2, CACHED + 2), 1]
+
+
 def test_export_helpers(spark):
     df = spark.range(20)
     assert sample({"a": df})["a"].count() == 10
-    assert dictionary({"a": df}, {("a", "id"): "a number"}, spark).first()["description"] == "a number"
+    got = dictionary({"series": df.withColumnRenamed("id", "adi"), "x": df}, spark).collect()
+    assert got[0]["what"].startswith("Periods between") and got[1]["what"] == ""
     assert settings_key("f", {"a": 1}) != settings_key("f", {"a": 2})
