@@ -41,8 +41,8 @@ BEFORE = SPAN - GRAM
 WIDE = BEFORE + SPAN
 #: Window starts that are looked at together, anchors that a task combines together, and rows that are sorted together at least.
 PIECE, HELD, SORTED = 1 << 20, 1 << 20, 200_000
-#: Neighbourhoods of one gram, or of one gram and context, that are sorted together at most.
-CROWD = 2_000
+#: Neighbourhoods of one gram, and of one gram and context, that are sorted together at most.
+CROWD, CONTEXT_CROWD = 2_000, 50_000
 #: Bytes beside the gram that equal strings share on one side at least.
 BESIDE = (SPAN - GRAM + 1) // 2
 #: What marks an anchor of a crowded gram beside its reach, which is below ``REACH``.
@@ -321,7 +321,7 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     near = distinct.join(places, "rid").select("rid", "doc", "text", "places").mapInArrow(neighbourhoods, "k long, doc long, rid long, at long, reach long, near binary, context boolean")
     near = written(near, "neighbourhoods")
-    full = written(near.where("context").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("k"), "crowded")
+    full = written(near.where("context").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CONTEXT_CROWD).select("k"), "crowded")
     if full.isEmpty():
         edges = _edges(near)
     else:

@@ -236,10 +236,11 @@ def test_lines_of_a_very_long_text(spark):
     assert got[9] == (n, n - n // 10, "\n".join(last)) and got[0] == (n // 10, 0, rows[0][1])
 
 
-@pytest.mark.parametrize("crowd", [2000, 3, 0])
-def test_suffix_dedup(spark, docs, rows, nothing, crowd, monkeypatch):
-    """Also where nearly every gram, or every one, is crowded."""
+@pytest.mark.parametrize("crowd, context", [(2000, 50_000), (3, 50_000), (3, 3), (0, 0)])
+def test_suffix_dedup(spark, docs, rows, nothing, crowd, context, monkeypatch):
+    """Also where nearly every gram and context, or every one, is crowded."""
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "CONTEXT_CROWD", context)
     monkeypatch.setattr(suffix_dedup, "LOOKED_AT", 64 if crowd else 1)
     rng = random.Random(1)
     rules = [(300 + i, rng.choice("ab#") * rng.randint(1, 60) + "-" * rng.randint(20, 130) + rng.choice("xy ") * rng.randint(1, 60)) for i in range(60)]
