@@ -17,6 +17,9 @@ def window_sweep(shortest: int, longest: int, limit: int = SWEEP_MOST) -> list[i
     return [lo] if n <= 1 else sorted({round(lo + (hi - lo) * i / (n - 1)) for i in range(n)})
 
 
+# The names and defaults of all settings below.
+
+
 @dataclass(frozen=True)
 class Gate:
     min_history_competition: int = 6

@@ -8,7 +8,7 @@ from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .mapping import COLUMNS, RawTables, build_raw_tables
+from .mapping import COLUMNS, OPTIONAL, RawTables, build_raw_tables
 
 WORKBOOK_BYTES = 100 << 20
 
@@ -29,7 +29,7 @@ class DirectorySource(DataSource):
         self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
 
     def sheets(self) -> dict[str, DataFrame]:
-        """Tables under their external names; those that are not there are left out (SRC7)."""
+        """Tables under their external names; those that are not there are left out."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         found = {}
         for t in COLUMNS:
@@ -41,6 +41,11 @@ class DirectorySource(DataSource):
                     break
         return found
 
+    def for_editing(self) -> dict[str, DataFrame]:
+        """SRC7: all tables under their external names; those that are not there are empty."""
+        found = self.sheets()
+        return {t: found[t] if t in found else self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in {**COLUMNS[t], **OPTIONAL.get(t, {})})) for t in COLUMNS}
+
     def load(self) -> RawTables:
         return build_raw_tables(self.spark, self.sheets(), os.path.basename(self.path))
 

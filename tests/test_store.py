@@ -1,4 +1,5 @@
 from rateline.sources.exports import dictionary
+from rateline.sources.files import DirectorySource
 from rateline.sources.store import CACHED, Repository, cached, sample, settings_key
 
 
@@ -57,3 +58,11 @@ def test_export_helpers(spark):
     got = dictionary({"series": df.withColumnRenamed("id", "adi"), "x": df}, spark).collect()
     assert got[0]["what"].startswith("Periods between") and got[1]["what"] == ""
     assert settings_key("f", {"a": 1}) != settings_key("f", {"a": 2})
+
+
+def test_tables_for_editing(spark, tmp_path):
+    bom = spark.createDataFrame([("a", "A")], "item_code string, item_description string")
+    bom.write.parquet(f"{tmp_path}/in/bom.parquet")
+    got = DirectorySource(spark, f"file://{tmp_path}/in").for_editing()
+    assert got["bom"].columns == bom.columns and got["bom"].count() == 1
+    assert got["prod"].count() == 0 and "production_qty1" in got["prod"].columns and "unit" in got["context_calendar"].columns
