@@ -84,13 +84,28 @@ class Encoder:
         ids = self.lib.encode(text, num_threads=1) if self.kind == "sentencepiece" else self.lib.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        got = self._library(piece)
-        if len(piece) <= CACHE_CHARS:
-            if len(self.kept) >= CACHE_PIECES:
-                self.kept.clear()
-            self.kept[piece] = got
-        return got
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not kept, into the cache if they are short.
+
+        One call encodes all but the first and the last, strung together: each
+        of these begins with a white space, or gets one, and ends with a
+        visible character, so they may be strung as a text may be cut. Which
+        ids are whose is told by the library's offsets.
+        """
+        new = {p: self._library(p) for p in (pieces[0], pieces[-1])}
+        own = [p for p in dict.fromkeys(pieces) if p not in new]
+        if own:
+            space = "" if own[0][0] in " \n\t\r" else " "
+            e = self.lib.encode(space.join(own), add_special_tokens=False)
+            ends = np.cumsum([len(p) + len(space) for p in own])  # a piece's space belongs to the one before, which does not mind
+            starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+            cuts, width = [0, *np.searchsorted(starts, ends, "left").tolist()], self.dtype.itemsize
+            ids = np.array(e.ids, self.dtype).tobytes()
+            new.update((p, ids[a * width : b * width]) for p, a, b in zip(own, cuts, cuts[1:]))
+        if len(self.kept) + len(new) > CACHE_PIECES:
+            self.kept.clear()
+        self.kept.update((p, i) for p, i in new.items() if len(p) <= CACHE_CHARS)
+        return new
 
     def packed(self, text: str) -> bytes:
         """The ids of the whole text, packed as ``dtype``."""
@@ -99,7 +114,8 @@ class Encoder:
         pieces = self._pieces(text)
         got = list(map(self.kept.get, pieces))
         if None in got:
-            got = [self._piece(p) if g is None else g for p, g in zip(pieces, got)]
+            new = self._encoded([p for p, g in zip(pieces, got) if g is None])
+            got = [new[p] if g is None else g for p, g in zip(pieces, got)]
         return b"".join(got)
 
     def ids(self, text: str) -> np.ndarray:
