@@ -47,8 +47,8 @@ def ses(y: np.ndarray) -> tuple[float, float, np.ndarray]:
     return a, float(level), np.array(fits)
 
 
-def _smooth(y, m, a, b, g, phi, season, fits=None):
-    """SSE of additive-error smoothing with trend (phi = 0: none) and a season (None, add, mul), for arrays of parameters."""
+def _smooth(y, m, a, b, g, phi, season, fits=None, stops=()):
+    """State of additive-error smoothing with trend (phi = 0: none) and a season (None, add, mul), for arrays of parameters: SSE, level, slope and season after ``y``, and, by how many values were seen, at each of ``stops`` on the way."""
     k = len(a)
     n0 = min(len(y), max(2, m if season else 4))
     level = np.full(k, y[:n0].mean())
@@ -58,48 +58,60 @@ def _smooth(y, m, a, b, g, phi, season, fits=None):
     seas = None
     if season:
         seas = [np.full(k, y[i] - y[:m].mean() if season == "add" else y[i] / max(y[:m].mean(), 1e-12)) for i in range(m)]
-    sse = np.zeros(k)
+    sse, kept = np.zeros(k), {}
     for t, v in enumerate(y):
+        if t in stops:
+            kept[t] = sse, level, slope, seas and list(seas)
         base = level + phi * slope
         s = seas[t % m] if season else None
         hat = base if s is None else base + s if season == "add" else base * s
         if fits is not None:
             fits.append(float(hat[0]))
         e = v - hat
-        sse += e * e
+        sse = sse + e * e
         old = level
         level = a * (v if s is None else v - s if season == "add" else v / np.where(np.abs(s) < 1e-9, 1e-9, s)) + (1 - a) * base
         slope = b * (level - old) + (1 - b) * phi * slope
         if season:
             seas[t % m] = g * ((v - level) if season == "add" else v / np.where(np.abs(level) < 1e-9, 1e-9, level)) + (1 - g) * s
-    return sse, level, slope, seas
+    kept[len(y)] = sse, level, slope, seas
+    return kept
 
 
-def smoothing(y: np.ndarray, m: int = 1, trend: bool = False, damped: bool = False, season: str | None = None) -> dict:
-    """The best of a grid of parameters: forecasts ahead, fits, number of parameters, AICc."""
+def _grid(trend: bool, damped: bool, season: str | None) -> np.ndarray:
     axes = [GRID, GRID if trend else [0.0], GRID[::2] if season else [0.0], ([0.8, 0.9, 0.98] if damped else [1.0]) if trend else [0.0]]
-    p = np.array(list(itertools.product(*axes)))
-    sse = _smooth(y, m, p[:, 0], p[:, 1], p[:, 2], p[:, 3], season)[0]
-    sse = np.where(np.isfinite(sse), sse, np.inf)
-    best = p[sse.argmin()]
-    fits: list[float] = []
-    a, b, g, phi = (np.array([x]) for x in best)
-    sse1, level, slope, seas = _smooth(y, m, a, b, g, phi, season, fits)
-    k = 2 + 2 * trend + damped + (1 + m if season else 0)
-    n = len(y)
-    aicc = n * math.log(max(float(sse1[0]) / n, 1e-300)) + 2 * k + (2 * k * (k + 1) / (n - k - 1) if n > k + 1 else math.inf)
+    return np.array(list(itertools.product(*axes)))
 
-    def ahead(h: int) -> np.ndarray:
-        out = []
-        grow = 0.0
-        for i in range(1, h + 1):
-            grow += phi[0] ** i if trend else 0.0
-            base = level[0] + slope[0] * grow
-            s = seas[(n + i - 1) % m][0] if season else None
-            out.append(base if s is None else base + s if season == "add" else base * s)
-        return np.array(out)
 
-    return {"ahead": ahead, "fits": np.array(fits), "k": k, "aicc": aicc, "grows": trend}
+def smoothing_at(y: np.ndarray, stops: list[int], m: int = 1, trend: bool = False, damped: bool = False, season: str | None = None) -> dict[int, dict]:
+    """The best of a grid of parameters on each beginning of ``y`` that ends at one of ``stops``, all from one pass, since what is smoothed so far does not depend on what comes: forecasts ahead, parameters, AICc. Each beginning must hold what the first state is made of (two seasons, or four values)."""
+    p = _grid(trend, damped, season)
+    states = _smooth(y[: max(stops)], m, p[:, 0], p[:, 1], p[:, 2], p[:, 3], season, stops=set(stops))
+    k, out = 2 + 2 * trend + damped + (1 + m if season else 0), {}
+    for n in stops:
+        sse, level, slope, seas = states[n]
+        at = int(np.where(np.isfinite(sse), sse, np.inf).argmin())
+        aicc = n * math.log(max(float(sse[at]) / n, 1e-300)) + 2 * k + (2 * k * (k + 1) / (n - k - 1) if n > k + 1 else math.inf)
+
+        def ahead(h: int, n=n, at=at, level=level, slope=slope, seas=seas) -> np.ndarray:
+            made, grow = [], 0.0
+            for i in range(1, h + 1):
+                grow += p[at, 3] ** i if trend else 0.0
+                base = level[at] + slope[at] * grow
+                s = seas[(n + i - 1) % m][at] if season else None
+                made.append(base if s is None else base + s if season == "add" else base * s)
+            return np.array(made)
+
+        out[n] = {"ahead": ahead, "k": k, "aicc": aicc, "grows": trend, "best": p[at]}
+    return out
+
+
+def smoothing(y: np.ndarray, m: int = 1, trend: bool = False, damped: bool = False, season: str | None = None) -> dict:
+    """``smoothing_at`` the end of ``y``, with the one-step fits."""
+    got = smoothing_at(y, [len(y)], m, trend, damped, season)[len(y)]
+    fits: list[float] = []
+    _smooth(y, m, *(np.array([x]) for x in got["best"]), season, fits)
+    return got | {"fits": np.array(fits)}
 
 
 def theta(y: np.ndarray) -> dict:
@@ -196,20 +208,45 @@ def fit_model(name: str, y: np.ndarray, m: int, seasonal: bool = True) -> dict:
         return theta(y)
     if name == "ARIMA":
         return arima(y)
+    return min((smoothing(y, m if f.get("season") else 1, **f) for f in _forms(name, y, m, seasonal)), key=lambda r: r["aicc"])
+
+
+def _forms(name: str, y: np.ndarray, m: int, seasonal: bool) -> list[dict]:
+    """Forms of smoothing that a model chooses from."""
     if name == "Holt":
-        return smoothing(y, trend=True)
+        return [dict(trend=True)]
     if name == "DampedHolt":
-        return smoothing(y, trend=True, damped=True)
-    forms: list[dict] = []
+        return [dict(trend=True, damped=True)]
     if name == "HoltWinters":
-        forms = [dict(trend=True, damped=True, season=s) for s in ("add", "mul") if s == "add" or (y > 0).all()]
-    elif name == "ETS":
-        forms = [{}, dict(trend=True), dict(trend=True, damped=True)]
-        if seasonal and len(y) >= 2 * m:
-            forms += [dict(season="add"), dict(trend=True, season="add"), dict(trend=True, damped=True, season="add")]
-    else:
+        return [dict(trend=True, damped=True, season=s) for s in ("add", "mul") if s == "add" or (y > 0).all()]
+    if name != "ETS":
         raise ValueError(f"unknown model {name}")
-    return min((smoothing(y, m if f.get("season") else 1, **f) for f in forms), key=lambda r: r["aicc"])
+    forms: list[dict] = [{}, dict(trend=True), dict(trend=True, damped=True)]
+    if seasonal and len(y) >= 2 * m:
+        forms += [dict(season="add"), dict(trend=True, season="add"), dict(trend=True, damped=True, season="add")]
+    return forms
+
+
+def fits_at(name: str, y: np.ndarray, origins: list[int], m: int, seasonal: bool = True) -> dict[int, dict]:
+    """``fit_model`` on ``y`` before each origin; smoothed models are fitted at all origins in one pass for each form. A fit that fails is left out."""
+    out: dict[int, dict] = {}
+    if name in ("SES", "Theta", "ARIMA"):
+        for o in origins:
+            try:
+                out[o] = fit_model(name, y[:o], m, seasonal)
+            except (ValueError, np.linalg.LinAlgError, FloatingPointError):
+                continue
+        return out
+    of: dict[tuple, list[int]] = {}
+    for o in origins:
+        for f in _forms(name, y[:o], m, seasonal):
+            of.setdefault(tuple(f.items()), []).append(o)
+    for form, own in of.items():
+        f = dict(form)
+        for o, got in smoothing_at(y, own, m if f.get("season") else 1, **f).items():
+            if o not in out or got["aicc"] < out[o]["aicc"]:
+                out[o] = got
+    return out
 
 
 def _names(cfg: EngineConfig) -> dict[str, T.Candidate]:
@@ -236,15 +273,12 @@ def fitted_folds(fit: DataFrame, models: tuple[str, ...] | None = None, cfg: Eng
         for c in wanted:
             if not _open(c, n_rel, cfg):
                 continue
-            for o in range(max(c.min_history, 2, n - h - cfg.cv.max_origins + 1), n - h + 1):
-                try:
-                    hat = np.asarray(fit_model(c.name, y[:o], m, n_rel >= enough)["ahead"](h), float)
-                except (ValueError, np.linalg.LinAlgError, FloatingPointError):
-                    hat = np.full(h, np.nan)
-                failed = not np.isfinite(hat).all()
-                rows.append((key[0], c.name, c.ordinal, c.n_params, o, float(np.abs(np.diff(y[:o])).mean()), [None] * h if failed else hat.tolist(), y[o : o + h].tolist(), valid[o : o + h].tolist()))
-                if failed:
-                    break
+            origins = list(range(max(c.min_history, 2, n - h - cfg.cv.max_origins + 1), n - h + 1))
+            fitted = fits_at(c.name, y, origins, m, n_rel >= enough) if origins else {}
+            for o in origins:
+                hat = np.asarray(fitted[o]["ahead"](h), float) if o in fitted else np.full(h, np.nan)
+                told = hat.tolist() if np.isfinite(hat).all() else [None] * h
+                rows.append((key[0], c.name, c.ordinal, c.n_params, o, float(np.abs(np.diff(y[:o])).mean()), told, y[o : o + h].tolist(), valid[o : o + h].tolist()))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in T.FOLD.split(", ")])
 
     return fit.select("series_id", "idx", "y", "valid").groupBy("series_id").applyInPandas(run, T.FOLD)

@@ -17,11 +17,11 @@ from .prepared import prepared, r6
 
 
 def _spoilt(spark: SparkSession, sf_dir: str):
-    """The tables with faults planted by rule, so that every check has something to find: short histories (all but one month of some series), outliers, and all else."""
+    """The tables with faults planted by rule, so that every check has something to find: short histories (all but five days of one brand), outliers, and all else."""
     raw = star_schema.load(spark, sf_dir)
     c, d = raw.consumption, raw.driver
     qty = F.when(F.col("cost") % 97 < 1, F.lit(None)).when(F.col("cost") % 89 < 1, -F.col("qty_base")).when(F.col("cost") % 79 < 1, 100 * F.col("qty_base")).otherwise(F.col("qty_base"))
-    short = (F.col("item_code") == "Brand#9") & (F.date_format("date", "yyyy-MM-dd") >= "1996-01-04")
+    short = (F.col("item_code") == "Brand#9") & ~F.date_format("date", "yyyy-MM-dd").between("1997-03-01", "1997-03-05")
     raw.consumption = c.where(~short).select(
         "date", F.when((F.col("item_code") == "Brand#7") & (F.col("line") == "2"), F.lit("Ghost#7")).otherwise(F.col("item_code")).alias("item_code"),
         qty.alias("qty_base"), "qty_ton", "cost", "output_type",
@@ -88,7 +88,7 @@ RULES = {"val_duplicates": V.duplicates, "val_negative": V.negatives, "val_missi
 QUERIES = {**{k: partial(_rule, v) for k, v in RULES.items()}, **{f.__name__: f for f in (val_preparation, val_rates_without_driver, val_not_in_bom_text, val_coercion, val_derived, derived_rates, warning_counts)}}
 
 STEPS = {
-    "c": "SELECT date, CASE WHEN item_code = 'Brand#7' AND line = '2' THEN 'Ghost#7' ELSE item_code END AS item_code, CASE WHEN cost % 97 < 1 THEN NULL WHEN cost % 89 < 1 THEN -qty_base WHEN cost % 79 < 1 THEN 100 * qty_base ELSE qty_base END AS qty_base, qty_ton, cost, output_type, CASE WHEN item_code = 'Brand#11' AND output_type = 'P' THEN '9' ELSE line END AS line, CASE WHEN cost % 83 >= 1 THEN rate END AS rate FROM consumption WHERE NOT (item_code = 'Brand#9' AND date >= TIMESTAMP '1996-01-04')",
+    "c": "SELECT date, CASE WHEN item_code = 'Brand#7' AND line = '2' THEN 'Ghost#7' ELSE item_code END AS item_code, CASE WHEN cost % 97 < 1 THEN NULL WHEN cost % 89 < 1 THEN -qty_base WHEN cost % 79 < 1 THEN 100 * qty_base ELSE qty_base END AS qty_base, qty_ton, cost, output_type, CASE WHEN item_code = 'Brand#11' AND output_type = 'P' THEN '9' ELSE line END AS line, CASE WHEN cost % 83 >= 1 THEN rate END AS rate FROM consumption WHERE NOT (item_code = 'Brand#9' AND NOT (date >= TIMESTAMP '1997-03-01' AND date < TIMESTAMP '1997-03-06'))",
     "d": "SELECT date, CASE WHEN driver_qty % 71 < 1 THEN 0.0 ELSE driver_qty END AS driver_qty, output_type, line, CASE WHEN driver_qty % 61 < 1 THEN 'budget' ELSE driver_type END AS driver_type FROM driver_raw",
     "it": "SELECT item_code, CASE WHEN item_code = 'Brand#4' THEN 'sometimes' END AS declared_mode FROM (SELECT * FROM items UNION ALL SELECT * FROM items WHERE item_code = 'Brand#3')",
     "combo": "SELECT DISTINCT line, output_type FROM d",

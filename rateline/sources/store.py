@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.learn import upserted
 
@@ -75,8 +76,11 @@ class Repository:
     def read(self, table: str, run_id: str | None = None, series: list[str] | None = None, ordered: bool = False, backfill: dict[str, object] | None = None) -> DataFrame | None:
         """SNK8, SNK9, ORD7: partitions of the run, filters pushed to the files, in the table's order if asked; columns that older files lack are null, or what ``backfill`` says. None if there is no such table."""
         if table in PER_RUN:
-            if not self._fs().exists(self._path(table)):
+            schema = self._text(f"{table}.schema")
+            if schema is None:
                 return None
+            if not self._fs().globStatus(self._path(table, "run_id=*")):  # no run has had a row so far
+                return self.spark.createDataFrame([], StructType.fromJson(json.loads(schema)))
             df = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
             df = df if run_id is None else df.where(F.col("run_id") == run_id)
         else:
@@ -90,7 +94,9 @@ class Repository:
         return df.orderBy(*ORDER[table]) if ordered and table in ORDER else df
 
     def append(self, table: str, run_id: str, df: DataFrame) -> None:
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{self.root}/{table}")
+        rows = df.withColumn("run_id", F.lit(run_id))
+        rows.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/{table}")
+        self._put(f"{table}.schema", rows.schema.json())
 
     def upsert_accuracy(self, rows: DataFrame) -> None:
         stored = self.read("accuracy_history")

@@ -277,6 +277,18 @@ def test_fitted_models():
         M.context_regression(np.ones(48), x, x, 2)
 
 
+def test_fits_at_all_origins_equal_single_fits():
+    rng = np.random.default_rng(9)
+    y = 20 + 0.2 * np.arange(44) + 5 * np.sin(np.arange(44) * np.pi / 6) + rng.standard_normal(44)
+    y[37] = -1.0  # from here on no multiplicative season
+    for name in ("SES", "Theta", "Holt", "DampedHolt", "HoltWinters", "ETS"):
+        got = M.fits_at(name, y, list(range(30, 42)), 12)
+        for o in range(30, 42):
+            assert np.allclose(got[o]["ahead"](3), M.fit_model(name, y[:o], 12)["ahead"](3)), (name, o)
+    early = M.fits_at("ETS", y, [15, 16, 23], 12, seasonal=False)
+    assert all(np.allclose(early[o]["ahead"](3), M.fit_model("ETS", y[:o], 12, False)["ahead"](3)) for o in (15, 16, 23))
+
+
 def test_config_and_texts(spark, tmp_path):
     p = tmp_path / "c.json"
     p.write_text('{"granularity": "weekly", "cv": {"horizon": 4}, "models": {"lookback_windows": [4]}}')

@@ -42,7 +42,9 @@ def test_series_compete_and_all_have_forecasts(spark, tmp_path):
     tried = {r["model"] for r in scored.select("model").distinct().collect()}
     assert {"Naive", "SES", "DampedHolt", "Theta", "Holt", "HoltWinters", "ETS", "SeasonalNaive", "StandardRateAnchor", "Ensemble"} <= tried
     wanted = T.candidate_sets(run.with_rates(store.read("series"), raw), cfg).where("route = 'compete'").select("series_id", "model")
-    assert scored.where("model <> 'Ensemble'").join(wanted, ["series_id", "model"], "left_anti").count() == 0
+    others = scored.where("model <> 'Ensemble'").join(wanted, ["series_id", "model"], "left_anti")
+    material = store.read("series_context").where("material = 1").select("series_id")
+    assert others.join(material, "series_id", "left_anti").count() == 0 and {r["model"] for r in others.collect()} <= set(T.CONTEXT)
     # a planner's choices: a fitted model, one by its family name, one that cannot be had
     ids = sorted(r["series_id"] for r in competing)[:4]
     for sid, model in zip(ids, ("Holt", "MovingAverage", "NoSuchModel", "CategoryPrior")):

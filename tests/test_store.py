@@ -13,6 +13,10 @@ def test_runs_tables_and_overrides(spark, tmp_path):
     repo.append("forecast", a, df)
     repo.append("forecast", b, df)
     assert repo.read("forecast", a).count() == 2 and repo.read("forecast", a, ["s"]).count() == 1
+    none = repo.create_run({})
+    repo.append("warning", none, df.limit(0))
+    assert repo.read("warning", none).count() == 0 and "run_id" in repo.read("warning").columns and repo.read("selection") is None
+    repo.delete_run(none)
     repo.delete_run(b)
     assert repo.read("forecast").count() == 2 and len(repo.runs()) == 1
     repo.replace("series", df)
