@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -97,14 +98,14 @@ class Encoder:
         if own:
             space = "" if own[0][0] in " \n\t\r" else " "
             e = self.lib.encode(space.join(own), add_special_tokens=False)
-            ends = np.cumsum([len(p) + len(space) for p in own])  # a piece's space belongs to the one before, which does not mind
-            starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
-            cuts, width = [0, *np.searchsorted(starts, ends, "left").tolist()], self.dtype.itemsize
-            ids = np.array(e.ids, self.dtype).tobytes()
-            new.update((p, ids[a * width : b * width]) for p, a, b in zip(own, cuts, cuts[1:]))
+            sizes, width = list(map(len, own)), self.dtype.itemsize
+            ends = np.cumsum(sizes) + len(space) * np.arange(1, len(own) + 1)
+            starts = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e))[::2]
+            cuts, ids = (width * np.searchsorted(starts, ends)).tolist(), np.array(e.ids, self.dtype).tobytes()
+            new.update(zip(own, [ids[x:y] for x, y in zip([0, *cuts], cuts)]))
         if len(self.kept) + len(new) > CACHE_PIECES:
             self.kept.clear()
-        self.kept.update((p, i) for p, i in new.items() if len(p) <= CACHE_CHARS)
+        self.kept.update(new if max(map(len, new)) <= CACHE_CHARS else {p: i for p, i in new.items() if len(p) <= CACHE_CHARS})
         return new
 
     def packed(self, text: str) -> bytes:
