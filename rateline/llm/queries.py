@@ -12,6 +12,8 @@ from .imatch import op2_document_fingerprints
 from .language import op9_language_id
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op7_best_fit_packing
+from .lexical_search import OP13_SQL, op13_lexical_search
+from .piece_bpe import op12_piece_bpe
 from .simhash import op5_simhash_components
 from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op6_token_counts
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_language_id,
         op10_token_files,
+        op12_piece_bpe,
+        op13_lexical_search,
     )
 }
 
@@ -38,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op3_decontamination": OP3_SQL,
     "op4_chat_formatting": OP4_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
