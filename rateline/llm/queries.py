@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP4_SQL, op4_chat_formatting
+from .conversation_repair import op11_conversation_repair
 from .decontaminate import OP3_SQL, op3_decontamination
 from .imatch import op2_document_fingerprints
 from .language import op9_language_id
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_language_id,
         op10_token_files,
+        op11_conversation_repair,
         op12_piece_bpe,
         op13_lexical_search,
     )
