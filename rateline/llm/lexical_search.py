@@ -7,9 +7,9 @@ postings ordered by what they add. To find a query's best documents,
    over heads are lower bounds, and the k-th best of them is ``tau``;
 2. every list is fetched down to the same threshold, ``tau`` divided by the
    number of lists. What is in none of them scores less than ``tau``. Sums of
-   what was fetched are better lower bounds, and with the threshold in place of
-   what was not fetched, upper bounds; those below the k-th best lower bound
-   are out;
+   what was fetched are better lower bounds, whose k-th best is the new ``tau``;
+   with the threshold in place of what was not fetched they are upper bounds,
+   and what has one below ``tau`` is out;
 3. what is left has its exact score looked up.
 
 A list is fetched once for all queries. Fetched postings meet in blocks of
@@ -127,8 +127,8 @@ class _Queries:
         return least
 
 
-def _bounds(queries: _Queries, k: int):
-    """The sums of one block: for each query the entries that may still be among its best, with bounds of their scores."""
+def _bounds(queries: _Queries, k: int, tau: dict[int, int] | None = None):
+    """The sums of one block of entries for each query: the ``k`` largest, or, with ``tau``, those whose upper bound reaches it."""
     floors = queries.floors
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,12 +147,13 @@ def _bounds(queries: _Queries, k: int):
                     b = a + int(np.searchsorted(-c[a:b], -down, "right"))
                     low[at[a:b]] += w * c[a:b]  # an entry has a term once
                     seen[at[a:b]] += 1
-            high = low + rest - seen * share
-            if np.count_nonzero(seen) >= k:
-                bar = max(bar, int(np.partition(low, -k)[-k]))
-            kept = np.flatnonzero((seen > 0) & (high >= bar))
-            out.append(pd.DataFrame({"item": np.full(len(kept), item, np.int64), "entry": own[kept], "low": low[kept], "high": high[kept]}))
-        return pd.concat(out) if out else pd.DataFrame({"item": [], "entry": [], "low": [], "high": []}).astype("int64")
+            kept = np.flatnonzero(seen)
+            if tau is not None:
+                kept = kept[(low + rest - seen * share)[kept] >= max(bar, tau.get(item, 0))]
+            elif len(kept) > k:
+                kept = kept[np.argpartition(low[kept], -k)[-k:]]
+            out.append(pd.DataFrame({"item": np.full(len(kept), item, np.int64), "entry": own[kept], "low": low[kept]}))
+        return pd.concat(out) if out else pd.DataFrame({"item": [], "entry": [], "low": []}).astype("int64")
 
     return run
 
@@ -192,9 +193,9 @@ def _search(docs: DataFrame, items: DataFrame, k: int, key: str, text: str) -> D
     down = F.broadcast(spark.createDataFrame(pd.DataFrame(sorted(least.items()), columns=["term", "down"]).astype({"term": "int32", "down": "int64"}), "term int, down long"))
     blocks = max(partitions_for(spark), -(-entries.count() // BLOCK))
     fetched = postings.join(down, "term").where(F.col("c") >= F.col("down")).select(F.pmod(F.xxhash64("entry"), F.lit(blocks)).alias("block"), "term", "entry", "c")
-    maybe = written(fetched.groupBy("block").applyInPandas(_bounds(queries, k), "item long, entry long, low long, high long"), "search-candidates")
-    left = maybe.join(F.broadcast(_kth(maybe, "low", k)), "item", "left").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("item", "entry")
-    left = written(left, "search-left")
+    sums = "item long, entry long, low long"
+    tau = dict(_kth(fetched.groupBy("block").applyInPandas(_bounds(queries, k), sums), "low", k).collect())  # a row a query
+    left = written(fetched.groupBy("block").applyInPandas(_bounds(queries, k, tau), sums).select("item", "entry"), "search-candidates")
     # Phase 3: exact scores of what is left.
     exact = entries.drop("copies").join(_small(left), "entry")
     scores = _postings(exact.select("item", "entry", "sig", "m", "terms", "tfs")).join(lists, ["item", "term"]).groupBy("item", "entry", "sig").agg(F.sum(F.col("w") * F.col("c")).alias("score"))

@@ -163,8 +163,8 @@ def test_repair_of_nulls_ties_and_crowds(spark, odd_conversations):
 def test_repair_returns_turns(spark):
     turns = spark.createDataFrame([(1, 0, "system", "Be kind."), (1, 1, "assistant", "Hello."), (1, 2, "user", "Hi?"), (1, 3, "user", "Hi?")], "conv_id long, turn long, role string, text string")
     row = repair.repair(turns).first()
-    assert (row["cost"], row["audit"]) == (5 + 2, "KIKRD") or (row["cost"], row["audit"]) == cheapest("saud")
-    assert [e["role"] for e in row["edits"] if e["edit"] != "D"][0] == "system"
+    assert (row["cost"], row["audit"]) == (7, "KIKKDI")
+    assert [(e["role"], e["text"]) for e in row["edits"] if e["edit"] != "D"] == [("system", "Be kind."), ("user", ""), ("assistant", "Hello."), ("user", "Hi?"), ("assistant", "")]
     assert repair.repair(turns.limit(0)).count() == 0
 
 
