@@ -1,14 +1,19 @@
-"""Models whose fit is iterative, all in one grouped function (MOD7-MOD13, MOD20, MOD23, BT5): a series is shipped to Python once.
-
-Smoothing parameters minimise the squared one-step errors by a grid and
-refinements of it; AICc is n ln(SSE / n) + 2k with the small-sample term, so
-forms of one series can be compared with each other.
+"""Models whose fit is iterative and that arrays of Spark cannot hold well, in one grouped function (MOD10, MOD11, MOD13, BT5): a series is shipped to Python once. SES, Holt, DampedHolt and Theta are in ``smoothing``, and their folds and forecasts are joined to these here.
+
+Given the weights, one-step errors are linear in the first level, slope and
+additive season, so these come from normal equations; a multiplicative season
+starts from the first cycle. Weights minimise the squared one-step errors on a
+coarse grid, and then one at a time around the best so far, at a distance that
+is halved in each round. AICc is n ln(SSE / n) + 2k with the small-sample term,
+so forms of one series can be compared with each other.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,113 +22,172 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..shipping import ship
+from ..staging import spread
 from . import backtest as T
+from . import smoothing as S
 
-GRID = np.linspace(0.05, 0.95, 10)
+#: Coarse weights: level, trend, season, damping; how far apart they lie, and bounds.
+GRID = (0.05, 0.2, 0.4, 0.6, 0.8, 0.95), (0.05, 0.35, 0.65, 0.95), (0.05, 0.35, 0.65, 0.95), (0.8, 0.9, 0.98)
+GAPS, LOWEST, HIGHEST, ROUNDS = np.array([0.2, 0.3, 0.3, 0.08]), np.array([0.001, 0.001, 0.001, 0.7]), np.array([0.999, 0.999, 0.999, 0.995]), 6
+#: Share of a normal matrix's size that is added where level and season cannot be told apart.
+RIDGE = 1e-10
 #: Share of the variance below which a fit is exact.
 EXACT = 1e-12
 
 
-def _sse_ses(y: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    level = np.full(len(a), y[: max(1, min(4, len(y)))].mean())
-    sse = np.zeros(len(a))
-    for v in y:
-        e = v - level
-        sse += e * e
-        level = level + a * e
-    return sse, level
-
-
-def ses(y: np.ndarray) -> tuple[float, float, np.ndarray]:
-    """Smoothing parameter, final level and one-step fits."""
-    grid = np.linspace(0.01, 0.99, 50)
-    best = grid[_sse_ses(y, grid)[0].argmin()]
-    fine = np.clip(np.linspace(best - 0.02, best + 0.02, 21), 1e-3, 0.999)
-    a = float(fine[_sse_ses(y, fine)[0].argmin()])
-    level, fits = y[: max(1, min(4, len(y)))].mean(), []
-    for v in y:
-        fits.append(level)
-        level += a * (v - level)
-    return a, float(level), np.array(fits)
-
-
-def _smooth(y, m, a, b, g, phi, season, fits=None, stops=()):
-    """State of additive-error smoothing with trend (phi = 0: none) and a season (None, add, mul), for arrays of parameters: SSE, level, slope and season after ``y``, and, by how many values were seen, at each of ``stops`` on the way."""
-    k = len(a)
-    n0 = min(len(y), max(2, m if season else 4))
-    level = np.full(k, y[:n0].mean())
-    slope = np.full(k, 0.0)
-    if np.any(phi > 0):
-        slope = np.full(k, (y[m : 2 * m].mean() - y[:m].mean()) / m if season and len(y) >= 2 * m else (y[n0 - 1] - y[0]) / max(1, n0 - 1))
-    seas = None
-    if season:
-        seas = [np.full(k, y[i] - y[:m].mean() if season == "add" else y[i] / max(y[:m].mean(), 1e-12)) for i in range(m)]
-    sse, kept = np.zeros(k), {}
-    for t, v in enumerate(y):
+@dataclass(frozen=True)
+class Shape:
+    """A form of smoothing with additive errors; ``season``: none, add or mul."""
+
+    trend: bool = False
+    damped: bool = False
+    season: str | None = None
+
+    def weights(self) -> np.ndarray:
+        axes = [GRID[0], GRID[1] if self.trend else (0.0,), GRID[2] if self.season else (0.0,), GRID[3] if self.damped else (1.0,) if self.trend else (0.0,)]
+        return np.array(list(itertools.product(*axes)))
+
+    def free(self) -> list[int]:
+        """Which of the four weights are fitted."""
+        return [i for i, on in enumerate((True, self.trend, bool(self.season), self.damped)) if on]
+
+    def n_fitted(self, m: int) -> int:
+        """Weights and first states."""
+        return 2 + 2 * self.trend + self.damped + (1 + m if self.season else 0)
+
+
+def _passed(y: np.ndarray, p: np.ndarray, stops: set[int], m: int, shape: Shape) -> dict[int, tuple]:
+    """State and products of errors for weights ``p`` (k x 4) after each number of values of ``stops``, additive forms.
+
+    States are kept for each of several starts at once: zero, and one for each
+    unknown of the first state, whose errors say what that unknown adds.
+    """
+    a, b, g, phi = (p[:, i, None] for i in range(4))
+    size = 1 + shape.trend + (m if shape.season else 0)
+    x = np.zeros((len(p), size, 1 + size))
+    x[:, np.arange(size), 1 + np.arange(size)] = 1.0
+    products, kept, at = np.zeros((len(p), 1 + size, 1 + size)), {}, 1 + shape.trend
+    for t in range(max(stops)):
         if t in stops:
-            kept[t] = sse, level, slope, seas and list(seas)
-        base = level + phi * slope
-        s = seas[t % m] if season else None
-        hat = base if s is None else base + s if season == "add" else base * s
-        if fits is not None:
-            fits.append(float(hat[0]))
-        e = v - hat
-        sse = sse + e * e
-        old = level
-        level = a * (v if s is None else v - s if season == "add" else v / np.where(np.abs(s) < 1e-9, 1e-9, s)) + (1 - a) * base
-        slope = b * (level - old) + (1 - b) * phi * slope
-        if season:
-            seas[t % m] = g * ((v - level) if season == "add" else v / np.where(np.abs(level) < 1e-9, 1e-9, level)) + (1 - g) * s
-    kept[len(y)] = sse, level, slope, seas
+            kept[t] = x.copy(), products.copy()
+        s = at + t % m if shape.season else None
+        slope = phi * x[:, 1] if shape.trend else 0.0
+        base = x[:, 0] + slope
+        e = -(base if s is None else base + x[:, s])
+        e[:, 0] += y[t]
+        products += e[:, :, None] * e[:, None, :]
+        x[:, 0] = base + a * e
+        if shape.trend:
+            x[:, 1] = slope + a * b * e
+        if s is not None:
+            x[:, s] += g * (1 - a) * e
+    kept[max(stops)] = x, products
     return kept
 
 
-def _grid(trend: bool, damped: bool, season: str | None) -> np.ndarray:
-    axes = [GRID, GRID if trend else [0.0], GRID[::2] if season else [0.0], ([0.8, 0.9, 0.98] if damped else [1.0]) if trend else [0.0]]
-    return np.array(list(itertools.product(*axes)))
+def _solved(products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first states of least squared error for each set of weights, and that error."""
+    normal, right = products[:, 1:, 1:], -products[:, 1:, 0]
+    ridge = RIDGE * np.trace(normal, axis1=1, axis2=2)[:, None, None] * np.eye(normal.shape[1])
+    first = np.linalg.solve(normal + ridge, right[..., None])[..., 0]
+    sse = products[:, 0, 0] - 2 * np.einsum("ki,ki->k", first, right) + np.einsum("ki,kij,kj->k", first, normal, first)
+    return first, np.where(np.isfinite(sse), np.maximum(sse, 0.0), np.inf)
 
 
-def smoothing_at(y: np.ndarray, stops: list[int], m: int = 1, trend: bool = False, damped: bool = False, season: str | None = None) -> dict[int, dict]:
-    """The best of a grid of parameters on each beginning of ``y`` that ends at one of ``stops``, all from one pass, since what is smoothed so far does not depend on what comes: forecasts ahead, parameters, AICc. Each beginning must hold what the first state is made of (two seasons, or four values)."""
-    p = _grid(trend, damped, season)
-    states = _smooth(y[: max(stops)], m, p[:, 0], p[:, 1], p[:, 2], p[:, 3], season, stops=set(stops))
-    k, out = 2 + 2 * trend + damped + (1 + m if season else 0), {}
-    for n in stops:
-        sse, level, slope, seas = states[n]
-        at = int(np.where(np.isfinite(sse), sse, np.inf).argmin())
-        aicc = n * math.log(max(float(sse[at]) / n, 1e-300)) + 2 * k + (2 * k * (k + 1) / (n - k - 1) if n > k + 1 else math.inf)
+def _multiplied(y: np.ndarray, p: np.ndarray, stops: set[int], m: int, shape: Shape) -> dict[int, tuple]:
+    """Squared errors and states of forms with a multiplicative season, from the first cycle's level and season."""
+    a, b, g, phi = p.T
+    start = y[:m].mean()
+    level, slope = np.full(len(p), start), np.full(len(p), (y[m : 2 * m].mean() - start) / m if shape.trend and len(y) >= 2 * m else 0.0)
+    season, sse, kept = [np.full(len(p), v / max(start, 1e-12)) for v in y[:m]], np.zeros(len(p)), {}
+    safe = lambda v: np.where(np.abs(v) < 1e-9, 1e-9, v)
+    for t in range(max(stops)):
+        if t in stops:
+            kept[t] = sse, level, slope, list(season)
+        base, s = level + phi * slope, season[t % m]
+        e = y[t] - base * s
+        sse = sse + e * e
+        old, level = level, a * y[t] / safe(s) + (1 - a) * base
+        slope = b * (level - old) + (1 - b) * phi * slope
+        season[t % m] = g * y[t] / safe(level) + (1 - g) * s
+    kept[max(stops)] = sse, level, slope, season
+    return kept
 
-        def ahead(h: int, n=n, at=at, level=level, slope=slope, seas=seas) -> np.ndarray:
-            made, grow = [], 0.0
-            for i in range(1, h + 1):
-                grow += p[at, 3] ** i if trend else 0.0
-                base = level[at] + slope[at] * grow
-                s = seas[(n + i - 1) % m][at] if season else None
-                made.append(base if s is None else base + s if season == "add" else base * s)
-            return np.array(made)
 
-        out[n] = {"ahead": ahead, "k": k, "aicc": aicc, "grows": trend, "best": p[at]}
+def _errors_at(y: np.ndarray, p: np.ndarray, stops: list[int], m: int, shape: Shape) -> np.ndarray:
+    """Squared errors (weights x stops) with the best first states."""
+    if shape.season == "mul":
+        got = _multiplied(y, p, set(stops), m, shape)
+        return np.column_stack([np.where(np.isfinite(got[n][0]), got[n][0], np.inf) for n in stops])
+    got = _passed(y, p, set(stops), m, shape)
+    return np.column_stack([_solved(got[n][1])[1] for n in stops])
+
+
+def best_weights(y: np.ndarray, stops: list[int], m: int, shape: Shape) -> np.ndarray:
+    """Weights (stops x 4) of least squared error on each beginning of ``y`` that ends at one of ``stops``; all are tried on all beginnings in one pass a round, since what is smoothed so far does not depend on what comes."""
+    grid, rows = shape.weights(), np.arange(len(stops))
+    sse = _errors_at(y, grid, stops, m, shape)
+    at = sse.argmin(0)
+    best, least = grid[at], sse[at, rows]
+    moves = [d for i in shape.free() for d in (np.eye(4)[i], -np.eye(4)[i])]
+    for k in range(1, ROUNDS + 1):
+        near = np.concatenate([np.clip(best + d * GAPS * 0.5**k, np.where(d != 0, LOWEST, -np.inf), np.where(d != 0, HIGHEST, np.inf)) for d in moves])
+        own = np.tile(rows, len(moves))
+        sse = _errors_at(y, near, stops, m, shape)[np.arange(len(near)), own].reshape(len(moves), -1)
+        at = sse.argmin(0)
+        better = sse[at, rows] < least
+        best = np.where(better[:, None], near.reshape(len(moves), -1, 4)[at, rows], best)
+        least = np.where(better, sse[at, rows], least)
+    return best
+
+
+def smoothing_at(y: np.ndarray, stops: list[int], m: int = 1, shape: Shape = Shape()) -> dict[int, dict]:
+    """The best fit of a form on each beginning of ``y`` that ends at one of ``stops``: forecasts ahead, weights, squared error, AICc, first states. Each beginning must hold two seasons, or four values."""
+    zero = 0.0 if shape.season == "mul" else float(y[0])
+    z = y[: max(stops)] - zero
+    weights, k, out = best_weights(z, stops, m, shape), shape.n_fitted(m), {}
+    for n, w in zip(stops, weights):
+        if shape.season == "mul":
+            sse, level, slope, season = ([x[0] for x in v] if isinstance(v, list) else v[0] for v in _multiplied(z, w[None], {n}, m, shape)[n])
+            first = None
+        else:
+            x, products = _passed(z, w[None], {n}, m, shape)[n]
+            (first,), (sse,) = _solved(products)
+            state = x[0, :, 0] + x[0, :, 1:] @ first
+            level, slope, season = state[0], state[1] if shape.trend else 0.0, state[1 + shape.trend :].tolist()
+        aicc = n * math.log(max(float(sse) / n, 1e-300)) + 2 * k + (2 * k * (k + 1) / (n - k - 1) if n > k + 1 else math.inf)
+
+        def ahead(h: int, n=n, w=w, level=level, slope=slope, season=season) -> np.ndarray:
+            base = level + slope * np.cumsum(w[3] ** np.arange(1, h + 1)) if shape.trend else np.full(h, level)
+            own = np.array([season[(n + i) % m] for i in range(h)]) if shape.season else None
+            return zero + (base if own is None else base + own if shape.season == "add" else base * own)
+
+        out[n] = {"ahead": ahead, "k": k, "aicc": aicc, "sse": float(sse), "grows": shape.trend, "weights": w, "first": first}
     return out
 
 
-def smoothing(y: np.ndarray, m: int = 1, trend: bool = False, damped: bool = False, season: str | None = None) -> dict:
+def smoothing(y: np.ndarray, m: int = 1, shape: Shape = Shape()) -> dict:
     """``smoothing_at`` the end of ``y``, with the one-step fits."""
-    got = smoothing_at(y, [len(y)], m, trend, damped, season)[len(y)]
-    fits: list[float] = []
-    _smooth(y, m, *(np.array([x]) for x in got["best"]), season, fits)
+    got = smoothing_at(y, [len(y)], m, shape)[len(y)]
+    (a, b, g, phi), first, fits = got["weights"], got["first"], []
+    if first is None:
+        level, start = y[:m].mean(), y[:m].mean()
+        slope = (y[m : 2 * m].mean() - start) / m if shape.trend and len(y) >= 2 * m else 0.0
+        season, zero = [v / max(start, 1e-12) for v in y[:m]], 0.0
+    else:
+        level, slope, season, zero = first[0], first[1] if shape.trend else 0.0, list(first[1 + shape.trend :]), float(y[0])
+    for t, v in enumerate(y - zero):
+        base = level + phi * slope
+        s = season[t % m] if shape.season else 0.0
+        hat = base * s if shape.season == "mul" else base + s
+        fits.append(zero + hat)
+        old, level = level, base + a * (v / (s or 1e-9) - base if shape.season == "mul" else v - hat)
+        slope = b * (level - old) + (1 - b) * phi * slope
+        if shape.season:
+            season[t % m] = g * (v / (level or 1e-9) if shape.season == "mul" else v - level) + (1 - g) * s
     return got | {"fits": np.array(fits)}
 
 
-def theta(y: np.ndarray) -> dict:
-    """Half the straight line and half the smoothed rest."""
-    n = len(y)
-    t = np.arange(n)
-    slope, at = np.polyfit(t, y, 1)
-    line = at + slope * t
-    _, level, fits = ses(2 * y - line)
-    return {"ahead": lambda h: 0.5 * (at + slope * np.arange(n, n + h)) + 0.5 * level, "fits": 0.5 * line + 0.5 * fits}
-
-
 def arima(y: np.ndarray, p_most: int = 2, d_most: int = 1, q_most: int = 2) -> dict:
     """The best by AICc of a grid of orders, by conditional least squares (innovations from a long autoregression)."""
     best = None
@@ -199,51 +263,39 @@ def context_regression(y: np.ndarray, x: np.ndarray, future: np.ndarray, budget:
     return {"ahead": lambda h: (design(future) @ coef)[:h], "fits": design(x) @ coef, "chosen": chosen}
 
 
+def shapes(name: str, y: np.ndarray, m: int, seasonal: bool) -> list[Shape]:
+    """Forms that a model chooses from: MOD10 an additive or, of values above zero, a multiplicative season; MOD11 none, a trend, a damped one, and with a season these two seasons and one without a trend."""
+    both = [Shape(True, True, "add"), *([Shape(True, True, "mul")] if (y > 0).all() else [])]
+    if name == "HoltWinters":
+        return both
+    if name != "ETS":
+        raise ValueError(f"unknown model {name}")
+    return [Shape(), Shape(True), Shape(True, True), *([Shape(season="add"), *both] if seasonal and len(y) >= 2 * m else [])]
+
+
 def fit_model(name: str, y: np.ndarray, m: int, seasonal: bool = True) -> dict:
     """One model on ``y``: ``ahead(h)``, ``fits``, and ``grows`` where its form decides that. ``seasonal`` lets ETS have a season."""
-    if name == "SES":
-        _, level, fits = ses(y)
-        return {"ahead": lambda h: np.full(h, level), "fits": fits}
-    if name == "Theta":
-        return theta(y)
     if name == "ARIMA":
         return arima(y)
-    return min((smoothing(y, m if f.get("season") else 1, **f) for f in _forms(name, y, m, seasonal)), key=lambda r: r["aicc"])
-
-
-def _forms(name: str, y: np.ndarray, m: int, seasonal: bool) -> list[dict]:
-    """Forms of smoothing that a model chooses from."""
-    if name == "Holt":
-        return [dict(trend=True)]
-    if name == "DampedHolt":
-        return [dict(trend=True, damped=True)]
-    if name == "HoltWinters":
-        return [dict(trend=True, damped=True, season=s) for s in ("add", "mul") if s == "add" or (y > 0).all()]
-    if name != "ETS":
-        raise ValueError(f"unknown model {name}")
-    forms: list[dict] = [{}, dict(trend=True), dict(trend=True, damped=True)]
-    if seasonal and len(y) >= 2 * m:
-        forms += [dict(season="add"), dict(trend=True, season="add"), dict(trend=True, damped=True, season="add")]
-    return forms
+    return min((smoothing(y, m if f.season else 1, f) for f in shapes(name, y, m, seasonal)), key=lambda r: r["aicc"])
 
 
 def fits_at(name: str, y: np.ndarray, origins: list[int], m: int, seasonal: bool = True) -> dict[int, dict]:
-    """``fit_model`` on ``y`` before each origin; smoothed models are fitted at all origins in one pass for each form. A fit that fails is left out."""
+    """``fit_model`` on ``y`` before each origin; smoothed models are fitted at all origins together. A fit that fails is left out."""
     out: dict[int, dict] = {}
-    if name in ("SES", "Theta", "ARIMA"):
+    if name == "ARIMA":
         for o in origins:
             try:
                 out[o] = fit_model(name, y[:o], m, seasonal)
             except (ValueError, np.linalg.LinAlgError, FloatingPointError):
                 continue
         return out
-    of: dict[tuple, list[int]] = {}
+    of: dict[Shape, list[int]] = {}
     for o in origins:
-        for f in _forms(name, y[:o], m, seasonal):
-            of.setdefault(tuple(f.items()), []).append(o)
-    for form, own in of.items():
-        f = dict(form)
-        for o, got in smoothing_at(y, own, m if f.get("season") else 1, **f).items():
+        for f in shapes(name, y[:o], m, seasonal):
+            of.setdefault(f, []).append(o)
+    for f, own in of.items():
+        for o, got in smoothing_at(y, own, m if f.season else 1, f).items():
             if o not in out or got["aicc"] < out[o]["aicc"]:
                 out[o] = got
     return out
@@ -262,11 +314,11 @@ def _open(c: T.Candidate, n_rel: int, cfg: EngineConfig) -> bool:
 
 def fitted_folds(fit: DataFrame, models: tuple[str, ...] | None = None, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Folds (``backtest.FOLD``) of the fitted models that the series' reliable periods admit, or of those of ``models`` only; a fit that fails leaves a fold without a prediction, which takes the model out of that series, nothing more."""
-    ship(fit.sparkSession)
     h, m, enough = cfg.cv.horizon, cfg.season, cfg.gate.seasonal_min_history
     wanted = [c for n, c in _names(cfg).items() if models is None or n in models]
+    smooth, wanted = [c for c in wanted if c.name in S.FORMS], [c for c in wanted if c.name not in S.FORMS]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         y, valid = pdf["y"].to_numpy(float), pdf["valid"].to_numpy(int)
         n, n_rel, rows = len(y), int(valid.sum()), []
@@ -281,16 +333,25 @@ def fitted_folds(fit: DataFrame, models: tuple[str, ...] | None = None, cfg: Eng
                 rows.append((key[0], c.name, c.ordinal, c.n_params, o, float(np.abs(np.diff(y[:o])).mean()), told, y[o : o + h].tolist(), valid[o : o + h].tolist()))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in T.FOLD.split(", ")])
 
-    return fit.select("series_id", "idx", "y", "valid").groupBy("series_id").applyInPandas(run, T.FOLD)
+    made = [S.smoothed_folds(fit, smooth, cfg)] if smooth else []
+    if wanted:
+        ship(fit.sparkSession)
+        made.append(_dealt(fit.select("series_id", "idx", "y", "valid")).groupBy("series_id").applyInPandas(run, T.FOLD))
+    return reduce(DataFrame.unionByName, made)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by series, in as many tasks as a shuffle has: few bytes and much work, which must not be merged into few tasks."""
+    return rows.repartition(spread(rows.sparkSession), "series_id")
 
 
 def fitted_forecasts(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """``series_id, model, step, point, sigma, grows`` of the chosen fitted models over the whole history (SEL10); a series may have several. A series too short for a model, and a fit that fails, give no rows."""
     ship(fit.sparkSession)
-    h, m, enough, known = cfg.forecast.horizon, cfg.season, cfg.gate.seasonal_min_history, [*T.FITTED, "HoltWinters"]
+    h, m, enough, known = cfg.forecast.horizon, cfg.season, cfg.gate.seasonal_min_history, [n for n in (*T.FITTED, "HoltWinters") if n not in S.FORMS]
     grows, least = {n: g for n, (_, _, g) in T.FITTED.items()}, {n: k for n, (k, _, _) in T.FITTED.items()}
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         y, rows = pdf["y"].to_numpy(float), []
         for name in pdf["models"].iloc[0]:
@@ -307,4 +368,5 @@ def fitted_forecasts(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = Engi
         return pd.DataFrame(rows, columns=["series_id", "model", "step", "point", "sigma", "grows"])
 
     own = chosen.where(F.col("model").isin(*known)).groupBy("series_id").agg(F.sort_array(F.collect_set("model")).alias("models"))
-    return fit.select("series_id", "idx", "y", "valid").join(own, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, model string, step int, point double, sigma double, grows boolean")
+    made = _dealt(fit.select("series_id", "idx", "y", "valid").join(own, "series_id")).groupBy("series_id").applyInPandas(run, "series_id string, model string, step int, point double, sigma double, grows boolean")
+    return made.unionByName(S.smoothed_forecasts(fit, chosen, cfg))

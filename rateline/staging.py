@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -23,3 +23,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{at.rstrip('/')}/rateline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(spark: SparkSession) -> int:
+    """Tasks for a stage of few rows and much work, which must not be merged by their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -264,7 +264,7 @@ def test_fitted_models():
     t = np.arange(48.0)
     y = 10 + 0.5 * t + 4 * np.sin(2 * np.pi * t / 12)
     future = 10 + 0.5 * (48 + np.arange(6)) + 4 * np.sin(2 * np.pi * (48 + np.arange(6)) / 12)
-    for name, worst in (("SES", 12), ("Holt", 8), ("DampedHolt", 8), ("Theta", 12), ("HoltWinters", 5), ("ETS", 5), ("ARIMA", 8)):
+    for name, worst in (("HoltWinters", 1e-3), ("ETS", 1e-3), ("ARIMA", 8)):
         got = M.fit_model(name, y, 12)
         assert np.abs(got["ahead"](6) - future).mean() < worst, name
     x = np.column_stack([np.sin(t), np.cos(t)])
@@ -281,7 +281,7 @@ def test_fits_at_all_origins_equal_single_fits():
     rng = np.random.default_rng(9)
     y = 20 + 0.2 * np.arange(44) + 5 * np.sin(np.arange(44) * np.pi / 6) + rng.standard_normal(44)
     y[37] = -1.0  # from here on no multiplicative season
-    for name in ("SES", "Theta", "Holt", "DampedHolt", "HoltWinters", "ETS"):
+    for name in ("HoltWinters", "ETS"):
         got = M.fits_at(name, y, list(range(30, 42)), 12)
         for o in range(30, 42):
             assert np.allclose(got[o]["ahead"](3), M.fit_model(name, y[:o], 12)["ahead"](3)), (name, o)
