@@ -4,7 +4,7 @@ A HyperLogLog sketch of the sites of each line's hash is built in each task and
 merged by aggregation. Lines whose estimate is within the sketch's error of the
 threshold get an exact distinct count; the rest are settled by the estimate.
 Lines on enough sites are boilerplate: all of their occurrences go but the
-first, that of the least (key, line number).
+first, that of the least (key, line number, text hash).
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ ERROR = DEVIATIONS * 1.04 / math.sqrt(2**LG_K)
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """``h1, h2, first`` (struct of key and position) of lines on ``min_sites`` sites or more; ``lines`` has ``h1, h2, site, key, at``."""
-    counted = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("key", "at")).alias("first"))
+    """``h1, h2, first`` (struct of key, position and text hash) of lines on ``min_sites`` sites or more; ``lines`` has ``h1, h2, site, key, at, of``."""
+    counted = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("key", "at", "of")).alias("first"))
     possible = written(counted.where(F.col("sites") >= math.floor(min_sites * (1 - ERROR))), "spread")
     settled = F.col("sites") > math.ceil(min_sites * (1 + ERROR))
     near = possible.where(~settled)
@@ -39,7 +39,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text:
     more; a null site is one site of its own. Its first occurrence stays, so a
     document copied to many sites stays whole once. A null text stays null and
     has no lines; an empty one has one. Rows of the same key are told apart by
-    their text, and where that is the same too, lose the same lines. Columns
+    their text, and where that is the same too, lose the same lines; of unlike
+    texts of one key the line stays in one. Columns
     named ``n_lines`` or ``n_removed`` are replaced; others are kept. An empty
     table gives an empty table.
 
@@ -53,7 +54,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, key: str = "doc_id", text:
     exploded = split.select("key", "of", "site", F.posexplode_outer("all").alias("at", "line")).where(F.trim("line") != "")
     lines = exploded.select("key", "of", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.length("line"), "line").alias("h2"))
     common = written(boilerplate(lines, min_sites), "boilerplate")
-    gone = lines.join(common, ["h1", "h2"]).where(~(F.struct("key", "at").eqNullSafe(F.col("first")))).select("key", "of", "at").distinct()
+    gone = lines.join(common, ["h1", "h2"]).where(~(F.struct("key", "at", "of").eqNullSafe(F.col("first")))).select("key", "of", "at").distinct()
     cut = gone.groupBy("key", "of").agg(F.collect_set("at").alias("cut")).select(F.col("key").alias("cut_key"), F.col("of").alias("cut_of"), "cut")
     marked = docs.select(*keep, row.alias("_of")).join(cut, F.col(key).eqNullSafe(F.col("cut_key")) & (F.col("_of") == F.col("cut_of")), "left")
     # what stands between two cuts is one slice, so each line is copied once; the structure is named by the outer transform, else its expressions would be made anew in the inner one
