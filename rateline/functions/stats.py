@@ -1,8 +1,7 @@
-"""Statistics that neither Spark nor numpy has: tails, small least squares, STL, a unit-root test."""
+"""Statistics that neither Spark nor numpy has: normal quantiles, STL."""
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 import numpy as np
@@ -12,33 +11,6 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def chi2_tail(x: float, k: float) -> float:
-    """P(chi-squared with k degrees of freedom > x): the regularised upper incomplete gamma function, by its series or continued fraction."""
-    if x <= 0:
-        return 1.0
-    a, z = k / 2, x / 2
-    scale = math.exp(a * math.log(z) - z - math.lgamma(a))
-    if z < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > abs(total) * 1e-15:
-            n += 1
-            term *= z / n
-            total += term
-        return max(0.0, 1 - total * scale)
-    b, c, d = z + 1 - a, 1e300, 1 / (z + 1 - a)
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return h * scale
-
-
 def _loess(x: np.ndarray, y: np.ndarray, w: np.ndarray, span: int, at: np.ndarray, degree: int = 1) -> np.ndarray:
     """Local regression at each of ``at`` over the ``span`` nearest points with tricube weights."""
     n, q = len(x), min(span, len(x))
@@ -77,45 +49,3 @@ def stl(y: np.ndarray, season: int, seasonal: int = 7, inner: int = 2, outer: in
         h = 6 * np.median(np.abs(rest))
         w = np.clip(1 - (np.abs(rest) / h) ** 2, 0, None) ** 2 if h > 0 else np.ones(n)
     return trend, seas, y - trend - seas
-
-
-# MacKinnon's (1994) response surface for the p-value of the
-# unit-root statistic with a constant and one variable.
-_TAU = {"star": -1.61, "min": -18.83, "max": 2.74, "small": (2.1659, 1.4412, 0.038269), "large": (1.7339, 0.93202, -0.12745, -0.010368)}
-
-
-def adf_p_value(y: np.ndarray) -> float | None:
-    """Augmented Dickey-Fuller test with a constant; the lag with the least AIC."""
-    n = len(y)
-    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
-    if most < 0:
-        return None
-    dy = np.diff(y)
-
-    def fit(lag: int, skip: int):
-        rows = np.arange(skip, len(dy))
-        a = np.column_stack([y[rows], *[dy[rows - i] for i in range(1, lag + 1)], np.ones(len(rows))])
-        b, *_ = np.linalg.lstsq(a, dy[rows], rcond=None)
-        e = dy[rows] - a @ b
-        return a, b, e
-
-    best, aic = 0, math.inf
-    for lag in range(most + 1):
-        a, _, e = fit(lag, most)
-        value = len(e) * math.log(max(e @ e / len(e), 1e-300)) + 2 * a.shape[1]
-        if value < aic:
-            best, aic = lag, value
-    a, b, e = fit(best, best)
-    free = len(e) - a.shape[1]
-    if free <= 0:
-        return None
-    var = np.linalg.pinv(a.T @ a)[0, 0] * (e @ e) / free
-    if var <= 0:
-        return None
-    tau = b[0] / math.sqrt(var)
-    if tau > _TAU["max"]:
-        return 1.0
-    if tau < _TAU["min"]:
-        return 0.0
-    coef = _TAU["small"] if tau <= _TAU["star"] else _TAU["large"]
-    return NormalDist().cdf(sum(c * tau**i for i, c in enumerate(coef)))

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.calendar import parsed_period, period_label
-from ..functions.stats import chi2_tail
-from ..shipping import ship
+from ..functions.tails import chi2_tail
 
 IDLE, OTHER = "idle", "other"
 KEY = ("unit", "stream")
@@ -120,14 +118,8 @@ def significance(rows: DataFrame, cfg: EngineConfig = EngineConfig(), least: int
 
 def diagnosed(tested: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """CTX13: ``p_value`` of the statistic, and whether the effect is both significant and large."""
-    ship(tested.sparkSession)
-
-    @F.pandas_udf("double")
-    def tail(stat: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(s) else chi2_tail(float(s), int(n) - 1) for s, n in zip(stat, k)])
-
     c = cfg.context
-    return tested.withColumn("p_value", tail("statistic", "k")).withColumn("material", F.coalesce((F.col("p_value") < c.alpha) & (F.col("spread_pct") >= c.materiality), F.lit(False)).cast("int"))
+    return tested.withColumn("p_value", chi2_tail(F.col("statistic"), F.col("k") - 1)).withColumn("material", F.coalesce((F.col("p_value") < c.alpha) & (F.col("spread_pct") >= c.materiality), F.lit(False)).cast("int"))
 
 
 def non_negative(aa: Column, ab: Column, bb: Column, ay: Column, by: Column) -> Column:

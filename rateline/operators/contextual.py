@@ -9,17 +9,14 @@ origin is behind the history; its rows to tell come from the driver's plan.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.calendar import period_add
-from ..shipping import ship
 from . import backtest as T
 from . import context as C
-from .fitted import context_regression
+from . import regression as R
 
 #: Conditions that may be regressors, beside the calendar's factors.
 FEATURES = ("n_active", "is_solo", "own_share", "system_driver", "utilization", "mix_entropy")
@@ -135,44 +132,18 @@ def native_folds(ext: DataFrame, model: str, cfg: EngineConfig = EngineConfig())
     return rows.select("series_id", F.lit(model).alias("model"), F.lit(c.ordinal).alias("ordinal"), F.lit(c.n_params).alias("n_params"), "origin", "scale", *each)
 
 
-def usable_names(past: pd.DataFrame, future: pd.DataFrame, names: list[str]) -> list[str]:
-    """CTX11: conditions that are complete over history and horizon, and vary."""
-    whole = [n for n in names if np.isfinite(past[n].to_numpy(float)).all() and np.isfinite(future[n].to_numpy(float)).all()]
-    return [n for n in whole if past[n].to_numpy(float).std() > 1e-12]
-
-
-def _regressions(ext: DataFrame, names: list[str], schema: str, made) -> DataFrame:
-    """``made(series, y, x, valid, future_x)`` for each series by its usable regressors."""
-    ship(ext.sparkSession)
-    columns = [x.split()[0] for x in schema.split(", ")]
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        past, future = pdf[pdf["ahead"] == 0], pdf[pdf["ahead"] > 0]
-        own = usable_names(past, future, names)
-        rows = made(key[0], past["y"].to_numpy(float), past[own].to_numpy(float), past["valid"].to_numpy(int), future[own].to_numpy(float)) if own else []
-        return pd.DataFrame(rows, columns=columns)
-
-    return ext.select("series_id", "idx", "ahead", "y", "valid", *names).groupBy("series_id").applyInPandas(run, schema)
-
-
-def regression_folds(ext: DataFrame, names: list[str], cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Folds of ContextRegression (MOD23), which is fitted by least squares in one grouped function."""
-    c, h, x_of = _candidate("ContextRegression", cfg), cfg.cv.horizon, [*FEATURES, *names]
+def regression_folds(ext: DataFrame, names: list[str], cfg: EngineConfig = EngineConfig(), features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Folds of ContextRegression (MOD23): forward selection by sweeps, at each origin from the rows before it; without a prediction where no condition improves the fit."""
+    c, h = _candidate("ContextRegression", cfg), cfg.cv.horizon
     per, vif = cfg.context.observations_per_regressor, cfg.context.max_vif
-
-    def made(sid, y, x, valid, _) -> list[tuple]:
-        n, rows = len(y), []
-        for o in range(max(c.min_history, n - h - cfg.cv.max_origins + 1), n - h + 1) if valid.sum() >= c.min_history else ():
-            try:
-                hat = context_regression(y[:o], x[:o], x[o : o + h], max(1, o // per), vif)["ahead"](h)
-                told = hat.tolist() if np.isfinite(hat).all() else [None] * h
-            except (ValueError, np.linalg.LinAlgError):
-                told = [None] * h
-            rows.append((sid, c.name, c.ordinal, c.n_params, o, float(np.abs(np.diff(y[:o])).mean()), told, y[o : o + h].tolist(), valid[o : o + h].tolist()))
-        return rows
-
-    return _regressions(ext, x_of, T.FOLD, made)
+    rows = R.condition_arrays(ext, [*features, *names]).where(F.aggregate("past", F.lit(0), lambda s, e: s + e["valid"]) >= c.min_history)
+    first, last = F.greatest(F.lit(c.min_history), F.size("past") - h - cfg.cv.max_origins + 1), F.size("past") - h
+    rows = rows.withColumn("origin", F.explode_outer(F.when(last >= first, F.sequence(first, last)))).where("origin IS NOT NULL")
+    rows = R.regressed(rows, f"slice(past, origin + 1, {h})", per, vif)
+    y = F.slice("past.y", 1, F.col("origin"))
+    steps = F.aggregate(F.transform(y, lambda v, i: F.coalesce(F.abs(v - F.get("past.y", i - 1)), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+    ahead = lambda f: F.slice(f"past.{f}", F.col("origin") + 1, h)
+    return rows.select("series_id", F.lit(c.name).alias("model"), F.lit(c.ordinal).alias("ordinal"), F.lit(c.n_params).alias("n_params"), "origin", (steps / (F.col("origin") - 1)).alias("scale"), F.coalesce("told.y_hat", F.array_repeat(F.lit(None).cast("double"), h)).alias("y_hat"), ahead("y").alias("actual"), ahead("valid").alias("valid"))
 
 
 def context_folds(ext: DataFrame, names: list[str], cfg: EngineConfig = EngineConfig()) -> DataFrame | None:
@@ -203,18 +174,12 @@ def context_forecasts(ext: DataFrame, chosen: DataFrame, names: list[str], cfg:
         miss = _told(learn, again, model, cfg).groupBy("series_id").agg(F.coalesce(F.stddev_pop(F.col("y") - F.col("y_hat")), F.lit(0.0)).alias("sigma"))
         rows = _told(learn, tell, model, cfg).where("y_hat IS NOT NULL").join(miss, "series_id").select("series_id", F.lit(model).alias("model"), F.col("ahead").alias("step"), F.col("y_hat").alias("point"), "sigma", F.lit(False).alias("grows"))
         out = rows if out is None else out.unionByName(rows)
-    h, per, vif = cfg.forecast.horizon, cfg.context.observations_per_regressor, cfg.context.max_vif
-
-    def made(sid, y, x, valid, future) -> list[tuple]:
-        try:
-            got = context_regression(y, x, future, max(1, len(y) // per), vif)
-        except (ValueError, np.linalg.LinAlgError):
-            return []
-        sigma = float(np.std(y - got["fits"]))
-        return [(sid, "ContextRegression", i + 1, float(v), sigma, False) for i, v in enumerate(got["ahead"](h))]
-
+    per, vif = cfg.context.observations_per_regressor, cfg.context.max_vif
     own = ext.join(chosen.where("model = 'ContextRegression'").select("series_id").distinct(), "series_id", "left_semi")
-    return out.unionByName(_regressions(own, [*FEATURES, *names], POINTS, made))
+    arrays = R.condition_arrays(own, [*FEATURES, *names]).withColumn("origin", F.size("past")).where("origin >= 2")
+    told = R.regressed(arrays, f"slice(future, 1, {cfg.forecast.horizon})", per, vif).where("told IS NOT NULL")
+    steps = told.select("series_id", "told.sigma", F.posexplode("told.y_hat").alias("at", "point"))
+    return out.unionByName(steps.select("series_id", F.lit("ContextRegression").alias("model"), (F.col("at") + 1).alias("step"), "point", "sigma", F.lit(False).alias("grows")))
 
 
 def for_combination(rows: DataFrame, unit: str, stream: str) -> DataFrame:

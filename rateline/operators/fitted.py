@@ -31,8 +31,6 @@ GRID = (0.05, 0.2, 0.4, 0.6, 0.8, 0.95), (0.05, 0.35, 0.65, 0.95), (0.05, 0.35,
 GAPS, LOWEST, HIGHEST, ROUNDS = np.array([0.2, 0.3, 0.3, 0.08]), np.array([0.001, 0.001, 0.001, 0.7]), np.array([0.999, 0.999, 0.999, 0.995]), 6
 #: Share of a normal matrix's size that is added where level and season cannot be told apart.
 RIDGE = 1e-10
-#: Share of the variance below which a fit is exact.
-EXACT = 1e-12
 
 
 @dataclass(frozen=True)
@@ -227,42 +225,6 @@ def arima(y: np.ndarray, p_most: int = 2, d_most: int = 1, q_most: int = 2) -> d
     return {"ahead": ahead, "fits": fits}
 
 
-def context_regression(y: np.ndarray, x: np.ndarray, future: np.ndarray, budget: int, max_vif: float = 5.0) -> dict:
-    """Forward selection of regressors by AIC, ``budget`` at most, none that the chosen ones explain; at least one must improve. What is left of an exact fit is rounding, so it counts as a share of ``EXACT`` of the variance, and a fit that good takes no more regressors."""
-    n, chosen = len(y), []
-    floor = max(EXACT * float(y.var()), 1e-300)
-
-    def solved(cols: list[int]) -> tuple[np.ndarray, float]:
-        a = np.column_stack([np.ones(n), *[x[:, c] for c in cols]])
-        coef = np.linalg.lstsq(a, y, rcond=None)[0]
-        e = y - a @ coef
-        return coef, max(float(e @ e) / n, floor)
-
-    rest = solved([])[1]
-    now = n * math.log(rest) + 2
-    while len(chosen) < budget and rest > floor:
-        tried = []
-        for c in range(x.shape[1]):
-            if c in chosen or x[:, c].std() < 1e-12:
-                continue
-            if chosen:
-                a = np.column_stack([np.ones(n), x[:, chosen]])
-                e = x[:, c] - a @ np.linalg.lstsq(a, x[:, c], rcond=None)[0]
-                if x[:, c].var() > max_vif * e.var():
-                    continue
-            left = solved([*chosen, c])[1]
-            tried.append((n * math.log(left) + 2 * (len(chosen) + 2), c, left))
-        if not tried or min(tried)[0] >= now - 1e-9:
-            break
-        now, c, rest = min(tried)
-        chosen.append(c)
-    if not chosen:
-        raise ValueError("no condition improves the fit")
-    coef = solved(chosen)[0]
-    design = lambda z: np.column_stack([np.ones(len(z)), z[:, chosen]])
-    return {"ahead": lambda h: (design(future) @ coef)[:h], "fits": design(x) @ coef, "chosen": chosen}
-
-
 def shapes(name: str, y: np.ndarray, m: int, seasonal: bool) -> list[Shape]:
     """Forms that a model chooses from: MOD10 an additive or, of values above zero, a multiplicative season; MOD11 none, a trend, a damped one, and with a season these two seasons and one without a trend."""
     both = [Shape(True, True, "add"), *([Shape(True, True, "mul")] if (y > 0).all() else [])]

@@ -5,13 +5,15 @@ Statistics are over applicable rows, or all rows of a series that has none.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..shipping import ship
+from ..staging import spread
+from . import regression as R
 
 ADI_CUT, CV2_CUT = 1.32, 0.49
 #: How well each demand class can be forecast at best.
@@ -131,25 +133,26 @@ def profile(obs: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     return out.withColumn("data_quality", data_quality(F.col("missing_pct"), F.col("unreliable_pct"), F.col("outlier_pct")))
 
 
+def stationarity(rows: DataFrame, lag: int | None = None) -> DataFrame:
+    """PAT4 of each series with 8 values or more: ``lag, tau, p_value, stationary`` (1, 0 or null)."""
+    y = rows.where("target IS NOT NULL").groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("target").cast("double").alias("y")))).alias("r"))
+    return R.unit_root(y.where(F.size("r") >= 8).select("series_id", F.col("r.y").alias("y")), lag).withColumn("stationary", R.stationary(F.col("p_value")))
+
+
 def decomposition(rows: DataFrame, season: int = 12) -> DataFrame:
-    """PAT3, PAT4 for each series, by one grouped function: ``trend_strength, seasonal_strength`` of a robust STL where there are two seasons and one more, and ``stationary`` (1, 0 or null)."""
-    from ..functions.stats import adf_p_value, stl
+    """PAT3 for each series, by one grouped function: ``trend_strength, seasonal_strength`` of a robust STL where there are two seasons and one more; and ``stationary`` (PAT4)."""
+    from ..functions.stats import stl
 
     ship(rows.sparkSession)
 
-    def run(key, pdf):
-        import numpy as np
-        import pandas as pd
-
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("idx")["target"].dropna().to_numpy(float)
-        t = s = st = None
+        t = s = None
         if len(y) >= 2 * season + 1:
             trend_, seasonal, rest = stl(y, season)
             strength = lambda part: max(0.0, 1 - np.var(rest) / v) if (v := np.var(part + rest)) > 0 else 0.0
             t, s = float(strength(trend_)), float(strength(seasonal))
-        if len(y) >= 8 and np.ptp(y) > 0:
-            p = adf_p_value(y)
-            st = None if p is None or math.isnan(p) else int(p < 0.05)
-        return pd.DataFrame({"series_id": [key[0]], "trend_strength": [t], "seasonal_strength": [s], "stationary": pd.array([st], dtype="Int32")})
+        return pd.DataFrame({"series_id": [key[0]], "trend_strength": [t], "seasonal_strength": [s]})
 
-    return rows.select("series_id", "idx", "target").groupBy("series_id").applyInPandas(run, "series_id string, trend_strength double, seasonal_strength double, stationary int")
+    parts = rows.select("series_id", "idx", "target").repartition(spread(rows.sparkSession), "series_id").groupBy("series_id").applyInPandas(run, "series_id string, trend_strength double, seasonal_strength double")
+    return parts.join(stationarity(rows).select("series_id", "stationary"), "series_id", "left")

@@ -127,10 +127,16 @@ def driver_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = X.diagnosis(_ext(spark, sf_dir), CFG)
-    return d.select("series_id", "n", "k", *r6("statistic", "p_value", "effect_size"), "high_label", "low_label", "material", "known_future", "skip_reason", "verdict")
+    return d.select("series_id", "n", "k", *r9("statistic", "p_value", "effect_size"), "high_label", "low_label", "material", "known_future", "skip_reason", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (regime_labels, mix_entropy, utilization_p95, regime_counts, calendar_factors, calendar_joined, has_variance, regimes_in_words, kruskal_h, regime_conditional, fixed_plus_variable, context_candidates, context_ladder, aligned_conditions, driver_cv, context_diagnosis)}
+def context_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD23 with one condition to choose, the output of all lines: fold predictions, none where it does not improve the fit."""
+    rows = T.by_step(X.regression_folds(_ext(spark, sf_dir), [], CFG, ("system_driver",)))
+    return rows.select("series_id", "origin", "step", *[(F.round(c, 6) + 0.0).alias(c) for c in ("y_hat", "actual")])
+
+
+QUERIES = {f.__name__: f for f in (regime_labels, mix_entropy, utilization_p95, regime_counts, calendar_factors, calendar_joined, has_variance, regimes_in_words, kruskal_h, regime_conditional, fixed_plus_variable, context_candidates, context_ladder, aligned_conditions, driver_cv, context_diagnosis, context_regression)}
 
 STEPS = {
     "dd": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period_start, line, output_type ORDER BY driver_type) AS q FROM driver) WHERE q = 1",
@@ -183,6 +189,27 @@ PAIRS = {
 }
 
 
+#: One regressor by origin.
+REGRESSED = {
+    "rx": "SELECT f.series_id, f.idx, f.y, CASE WHEN c.line IS NULL THEN coalesce(p.total, 0.0) ELSE c.total END AS x FROM fit f LEFT JOIN ctx c ON c.period_start = f.period_start AND c.line = f.line AND c.output_type = f.output_type LEFT JOIN firstp p ON p.period_start = f.period_start",
+    "ru": "SELECT series_id FROM rx GROUP BY series_id HAVING stddev_pop(x) > 1e-12",
+    "rs": "SELECT o.series_id, o.origin, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS at, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS c FROM co o JOIN rx s ON s.series_id = o.series_id AND s.idx < o.origin JOIN ru ON ru.series_id = o.series_id WHERE o.n_rel >= 20 AND o.origin >= 20 GROUP BY o.series_id, o.origin",
+    "ra": "SELECT *, greatest(1e-12 * vy, 1e-300) AS least, vx > 1e-24 AS moves FROM rs",
+    "rb": "SELECT *, coalesce(moves AND vy > least AND n * ln(greatest(vy - c * c / nullif(vx, 0), least)) + 4 < n * ln(greatest(vy, least)) + 2 - 1e-9, false) AS better FROM ra",
+}
+#: Kruskal-Wallis by series, with the chi-squared tail as one less the lower series of the gamma function.
+TESTED = {
+    "kq": "SELECT *, (k - 1) / 2.0 AS a, h / 2.0 AS z FROM kw",
+    "kp": "SELECT *, CASE WHEN h <= 0 THEN 1.0 ELSE 1 - pow(z, a) * exp(-z) / gamma(a + 1) * list_reduce(range(1, 600), lambda s, i: {'t': s.t * z / (a + i), 's': s.s + s.t * z / (a + i)}, {'t': 1.0::DOUBLE, 's': 1.0::DOUBLE}).s END AS p FROM kq",
+    "lab": "SELECT series_id, arg_max(regime, sy / m) AS high, arg_min(regime, sy / m) AS low FROM gr GROUP BY series_id",
+    "lad": """SELECT w.series_id, CAST(c.n AS BIGINT) AS n, c.k, CASE WHEN coalesce(c.n, 0) < 4 THEN 'too few usable periods' WHEN c.k < 2 THEN 'only one operating condition' WHEN hi - lo <= 1e-8 + 1e-5 * abs(lo) THEN 'the series is constant' END AS skip_reason, w.known_future
+FROM (SELECT s.series_id, bool_and(EXISTS (SELECT 1 FROM dd d WHERE d.period_start = s.last_start + to_months(CAST(h.step AS INT)))) AS known_future FROM series s CROSS JOIN (SELECT unnest(generate_series(1, 7)) AS step) h GROUP BY ALL) w
+LEFT JOIN (SELECT series_id, sum(m) AS n, count(CASE WHEN m >= 2 THEN 1 END) AS k, min(CASE WHEN m >= 2 THEN lo END) AS lo, max(CASE WHEN m >= 2 THEN hi END) AS hi FROM (SELECT series_id, regime, count(*) AS m, min(y) AS lo, max(y) AS hi FROM use0 GROUP BY ALL) GROUP BY ALL) c USING (series_id)""",
+    "dg": """SELECT l.*, CASE WHEN skip_reason IS NULL THEN h END AS h, CASE WHEN skip_reason IS NULL THEN p END AS p, CASE WHEN skip_reason IS NULL THEN spread END AS spread, CASE WHEN skip_reason IS NULL THEN least(1.0, greatest(0.0, (h - kp.k + 1) / nullif(kp.n - kp.k, 0))) END AS eta, CASE WHEN skip_reason IS NULL THEN high END AS high, CASE WHEN skip_reason IS NULL THEN low END AS low FROM lad l LEFT JOIN kp USING (series_id) LEFT JOIN lab USING (series_id)""",
+    "dv": "SELECT *, CAST(skip_reason IS NULL AND coalesce(p < 0.05 AND spread >= 0.10, false) AND known_future AS INT) AS material, printf('%.0f %%', 100 * spread) || ' between ' || CASE low WHEN 'other' THEN 'other conditions' ELSE low || ' making ' || low END || ' and ' || CASE high WHEN 'other' THEN 'other conditions' ELSE high || ' making ' || high END AS gap FROM dg",
+}
+
+
 def _q(select: str, last: str = "fit") -> str:
     return with_steps(last, select, STEPS)
 
@@ -207,4 +234,7 @@ FROM series s CROSS JOIN (SELECT unnest(generate_series(1, 7)) AS step) h LEFT J
     "regime_conditional": _q("SELECT series_id, regime, CAST(n AS BIGINT) AS n, round(s / n, 9) + 0.0 AS level, round(overall, 9) + 0.0 AS overall FROM rg"),
     "fixed_plus_variable": _q("SELECT series_id, n, round(CASE WHEN x >= 0 AND z >= 0 THEN x WHEN ox * ay >= oy * by_ THEN ox ELSE 0.0 END, 6) AS fixed, round(CASE WHEN x >= 0 AND z >= 0 THEN z WHEN ox * ay >= oy * by_ THEN 0.0 ELSE oy END, 6) AS variable FROM fsol"),
     "driver_cv": _q("SELECT series_id, round(CASE WHEN count(d) >= 4 AND avg(d) > 0 THEN stddev_pop(d) / avg(d) END, 6) AS driver_cv FROM (SELECT series_id, CASE WHEN valid = 1 THEN driver_qty END AS d FROM fit) GROUP BY series_id"),
+    "context_regression": with_steps("fit", "SELECT r.series_id, CAST(r.origin AS INT) AS origin, CAST(h.step AS INT) AS step, round(CASE WHEN r.better THEN r.slope * t.x + r.at END, 6) + 0.0 AS y_hat, round(t.y, 6) + 0.0 AS actual FROM rb r CROSS JOIN (VALUES (1), (2), (3)) h(step) JOIN rx t ON t.series_id = r.series_id AND t.idx = r.origin + h.step - 1", {**forecasting.STEPS, **STEPS, **PAIRS, **REGRESSED}),
+    "context_diagnosis": with_steps("fit", """SELECT series_id, n, k, round(h, 9) + 0.0 AS statistic, round(p, 9) + 0.0 AS p_value, round(eta, 9) + 0.0 AS effect_size, high AS high_label, low AS low_label, material, known_future, skip_reason,
+  CASE WHEN skip_reason IS NOT NULL THEN 'Not tested: ' || skip_reason || '.' WHEN material = 1 THEN 'Consumption depends on what runs: it differs by ' || gap || '.' WHEN p < 0.05 AND spread >= 0.10 THEN 'Consumption depends on what runs, by ' || gap || ', but no plan covers the horizon.' WHEN p < 0.05 THEN 'Conditions matter, but little: ' || gap || '.' WHEN p IS NOT NULL THEN 'Conditions make no difference that could not be chance.' END AS verdict FROM dv""", {**STEPS, **TESTED}),
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import profile as B
 from .oracle_base import with_steps
-from .prepared import prepared, r6
+from .prepared import prepared, r9
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,40 +18,40 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adi_cv2_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.descriptive(_rows(spark, sf_dir))
-    return d.select("series_id", "n_y", *r6("adi", "cv2"), "pattern_class")
+    return d.select("series_id", "n_y", *r9("adi", "cv2"), "pattern_class")
 
 
 def descriptive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.descriptive(_rows(spark, sf_dir))
-    return d.select("series_id", *r6("mean", "median", "min", "max", "std", "cv", "missing_pct", "unreliable_pct"), "n_rel")
+    return d.select("series_id", *r9("mean", "median", "min", "max", "std", "cv", "missing_pct", "unreliable_pct"), "n_rel")
 
 
 def autocorr_lag1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.autocorrelation(_rows(spark, sf_dir)).select("series_id", *r6("autocorr_lag1"))
+    return B.autocorrelation(_rows(spark, sf_dir)).select("series_id", *r9("autocorr_lag1"))
 
 
 def trend_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT2 of all series; those of two seasons or more are null, since they are decomposed."""
-    return B.trend(_rows(spark, sf_dir)).select("series_id", *r6("trend_r2"))
+    return B.trend(_rows(spark, sf_dir)).select("series_id", *r9("trend_r2"))
 
 
 def trend_r2_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT2 of each year of each series as a series of its own, so that the short form has values."""
     rows = _rows(spark, sf_dir).withColumn("series_id", F.concat_ws("|", "series_id", F.year("period_start")))
-    return B.trend(rows).select("series_id", *r6("trend_r2"))
+    return B.trend(rows).select("series_id", *r9("trend_r2"))
 
 
 def outlier_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.outlier_share(_rows(spark, sf_dir)).select("series_id", *r6("outlier_pct"))
+    return B.outlier_share(_rows(spark, sf_dir)).select("series_id", *r9("outlier_pct"))
 
 
 def structural_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.structural_break(_rows(spark, sf_dir)).select("series_id", *r6("break_stat"), "break_period")
+    return B.structural_break(_rows(spark, sf_dir)).select("series_id", *r9("break_stat"), "break_period")
 
 
 def behaviour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = B.profile(prepared(spark, sf_dir).observations)
-    return p.select("series_id", "pattern_class", *r6("forecastability", "data_quality", "outlier_pct", "autocorr_lag1"), "break_period")
+    return p.select("series_id", "pattern_class", *r9("forecastability", "data_quality", "outlier_pct", "autocorr_lag1"), "break_period")
 
 
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +61,15 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.decomposition(_rows(spark, sf_dir))
-    return d.select("series_id", *r6("trend_strength", "seasonal_strength"), "stationary")
+    return d.select("series_id", *r9("trend_strength", "seasonal_strength"), "stationary")
+
 
+def adf_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PAT4 with one lagged difference in each series."""
+    return B.stationarity(_rows(spark, sf_dir), 1).select("series_id", *r9("tau"), "stationary")
 
-QUERIES = {f.__name__: f for f in (adi_cv2_class, descriptive_stats, autocorr_lag1, trend_r2, trend_r2_yearly, outlier_pct, structural_break, behaviour_profile, class_counts, decomposition)}
+
+QUERIES = {f.__name__: f for f in (adi_cv2_class, descriptive_stats, autocorr_lag1, trend_r2, trend_r2_yearly, outlier_pct, structural_break, behaviour_profile, class_counts, decomposition, adf_stat)}
 
 STEPS = {
     "app": "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY idx) AS n FROM (SELECT *, max(is_applicable) OVER (PARTITION BY series_id) AS any_app FROM obs) WHERE is_applicable = 1 OR any_app = 0",
@@ -79,6 +86,7 @@ STEPS = {
     "b0": "SELECT series_id, period, target, row_number() OVER w AS k, count(*) OVER (PARTITION BY series_id) AS m FROM app WHERE target IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY idx)",
     "b1": "SELECT a.series_id, a.k, a.m, any_value(a.period) AS period, count(CASE WHEN b.k < a.k THEN 1 END) AS n1, count(CASE WHEN b.k >= a.k THEN 1 END) AS n2, avg(CASE WHEN b.k < a.k THEN b.target END) AS m1, avg(CASE WHEN b.k >= a.k THEN b.target END) AS m2, var_pop(CASE WHEN b.k < a.k THEN b.target END) AS v1, var_pop(CASE WHEN b.k >= a.k THEN b.target END) AS v2 FROM b0 a JOIN b0 b ON a.series_id = b.series_id GROUP BY a.series_id, a.k, a.m",
     "b2": "SELECT *, abs(m1 - m2) / sqrt((n1 * v1 + n2 * v2) / m) AS stat FROM b1 WHERE n1 >= 4 AND n2 >= 4 AND sqrt((n1 * v1 + n2 * v2) / m) > 1e-9",
+    "adf": """SELECT series_id, y, y - b AS d1, after - y AS d FROM (SELECT series_id, target AS y, lag(target) OVER w AS b, lead(target) OVER w AS after, count(*) OVER p AS n, max(target) OVER p > min(target) OVER p AS varies FROM app WHERE target IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY idx), p AS (PARTITION BY series_id)) WHERE b IS NOT NULL AND after IS NOT NULL AND n >= 8 AND varies""",
     "brk": "SELECT series_id, stat AS break_stat, CASE WHEN stat > 2.0 THEN period END AS break_period FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(stat, 9) DESC, k) AS r FROM b2) WHERE r = 1",
 }
 CLASS_BASE = "CASE pattern_class WHEN 'smooth' THEN 0.9 WHEN 'erratic' THEN 0.55 WHEN 'intermittent' THEN 0.5 WHEN 'lumpy' THEN 0.3 ELSE 0.2 END"
@@ -99,5 +107,11 @@ ORACLE = {
     "outlier_pct": _q("SELECT series_id, round(outlier_pct, 6) AS outlier_pct FROM outl"),
     "structural_break": _q("SELECT series_id, round(break_stat, 6) AS break_stat, break_period FROM brk"),
     "behaviour_profile": _q(f"SELECT d.series_id, pattern_class, round({FORECASTABILITY}, 6) AS forecastability, round({QUALITY}, 6) AS data_quality, round(coalesce(outlier_pct, 0.0), 6) AS outlier_pct, round(autocorr_lag1, 6) AS autocorr_lag1, break_period FROM desc2 d LEFT JOIN outl USING (series_id) LEFT JOIN ac USING (series_id) LEFT JOIN brk USING (series_id)"),
+    "adf_stat": _q("""SELECT series_id, round(tau, 6) AS tau, CAST(CASE WHEN tau > 2.74 THEN false WHEN tau < -18.83 THEN true WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau * tau < -1.6448536269514722 ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * pow(tau, 3) < -1.6448536269514722 END AS INT) AS stationary FROM (
+  SELECT series_id, sum(u * w) / sum(u * u) / sqrt((sum(w * w) - pow(sum(u * w), 2) / sum(u * u)) / (count(*) - 3) / sum(u * u)) AS tau FROM (
+    SELECT r.series_id, r.y - (f.s1 * r.d1 + f.i1) AS u, r.d - (f.s2 * r.d1 + f.i2) AS w FROM adf r JOIN (SELECT series_id, regr_slope(y, d1) AS s1, regr_intercept(y, d1) AS i1, regr_slope(d, d1) AS s2, regr_intercept(d, d1) AS i2 FROM adf GROUP BY series_id) f USING (series_id)) GROUP BY series_id)"""),
     "class_counts": _q("SELECT pattern_class, count(*) AS n FROM desc2 GROUP BY pattern_class"),
 }
+
+# Means of decimals may have an exact 5 behind the sixth place, which sums in another order round apart.
+ORACLE = {k: re.sub(r", 6\)( END)? AS", r", 9) + 0.0\1 AS", v) for k, v in ORACLE.items()}

@@ -174,7 +174,7 @@ def run_forecast(spark: SparkSession, raw: RawTables, store: Repository, cfg: En
         store.append("validation_result", run_id, V.preparation(obs))
         callbacks.at("analyse", 0.2)
         profile = B.profile(obs, cfg).join(B.decomposition(B.applicable_rows(obs), cfg.season), "series_id", "left")
-        store.replace("series", scoped(p.series, raw, cfg).join(profile.select("series_id", "pattern_class", "forecastability", "data_quality", "break_period", "adi", "cv2", "cv", "trend_strength", "seasonal_strength", "stationary"), "series_id", "left"))
+        store.replace("series", scoped(p.series, raw, cfg).join(profile.select("series_id", "pattern_class", "forecastability", "data_quality", "break_period", "adi", "cv2", "cv", "autocorr_lag1", "outlier_pct", "missing_pct", "trend_strength", "seasonal_strength", "stationary"), "series_id", "left"))
         store.replace("driver", p.driver)
         store.replace("item", raw.items)
         store.replace("standard_rate", raw.standard_rates)
@@ -212,7 +212,7 @@ def run_forecast(spark: SparkSession, raw: RawTables, store: Repository, cfg: En
         facts = series.select("series_id", "n_reliable", "forecastability", "data_quality", "trend_strength", "seasonal_strength")
         score = G.confidence_score(F.col("mase"), F.col("n_reliable"), F.col("forecastability"), F.col("data_quality"), F.col("mase").isNull(), cfg.gate.seasonal_min_history)
         why = E.selection_reason(F.col("reason_code"), F.col("model"), F.col("mase"), F.coalesce("n_origins", F.lit(0)), F.col("n_reliable"))
-        told = chosen.join(facts, "series_id").withColumn("reason", why).withColumn("confidence", score).withColumn("confidence_label", G.confidence_label(F.col("confidence")))
+        told = chosen.join(facts, "series_id").withColumn("reason", why).withColumn("confidence", score).withColumn("confidence_label", G.confidence_label(F.col("confidence"))).withColumn("window", F.nullif(F.regexp_extract("model", r"\((\d+)\)", 1), F.lit("")).cast("int"))
         store.append("selection", run_id, told.drop("n_reliable", "forecastability", "data_quality", "trend_strength", "seasonal_strength").join(E.rejected_json(scored, chosen, facts), "series_id", "left"))
         chosen = store.read("selection", run_id).drop("run_id")
         own = made.join(chosen.select("series_id", "model"), ["series_id", "model"], "left_semi")

@@ -8,99 +8,104 @@ from pyspark.sql import functions as F
 from ..operators.explain import described, expanded, number_format
 from .store import Repository
 
+#: Names of the frames, and columns that show one quantity and share a number format.
 SHEETS = ("forecasts", "selections", "series", "context", "warnings")
-IDENTITY = ("item_code", "description", "line", "output_type")
-#: Columns that show one quantity and share a number format.
 GROUPS = (("target_value", "lower_80", "upper_80", "lower_95", "upper_95"), ("reconstructed_demand", "demand_lower_80", "demand_upper_80", "demand_lower_95", "demand_upper_95"))
+IDENTITY = ("item_code", "description", "line", "output_type")
 #: Rows of a preview on screen, of imports and of results.
 PREVIEW, LONG_PREVIEW = 10, 200
 
 PURPOSE = {
-    "forecasts": "What is expected: a row for each series and future period.",
-    "selections": "Which model each series has, and why.",
-    "series": "What is known of each series: its history, its class, how far it can be trusted.",
-    "context": "Whether a series depends on what ran in the period.",
-    "warnings": "What a planner should look at.",
+    "forecasts": "Point, bands and demand: series x step.",
+    "selections": "The chosen model and its back-test: one row a series.",
+    "series": "Statistics of the target over the whole history: one row a series.",
+    "context": "Kruskal-Wallis test of the target by regime: one row a series.",
+    "warnings": "Notes of the run: one row a note.",
 }
-# Texts of columns by sheet, "" for all sheets: what it is, and what it is good for.
+_RATE, _SHARE = "kg per t of output, or quantity per day", "0 to 1"
+# Columns by frame, "" for all of them: how the value is made, and its unit or range.
 TEXTS: dict[str, dict[str, tuple[str, str]]] = {
     "": {
-        "item_code": ("Code of the item.", "Joins the row to other systems."),
-        "description": ("The item's name, or that it is not listed.", "Makes the row readable."),
-        "line": ("Production line.", "The same item behaves differently on each."),
-        "output_type": ("What the line made.", "As for the line."),
-        "run_id": ("The run that made the row.", "Tells exports apart."),
-        "mode": ("relative: a rate by output; absolute: a quantity by day.", "Says in which unit the target is."),
-        "model": ("The model that was used.", "Shows what is assumed of the future."),
-        "confidence": ("Trust from 0 to 1, of test error, history, predictability and data.", "Sort by it to find what needs a look."),
+        "item_code": ("First part of series_id.", "text"),
+        "description": ("items.description, joined by item_code.", "text; a placeholder where items lacks the code"),
+        "line": ("Second part of series_id.", "text"),
+        "output_type": ("Third part of series_id.", "text"),
+        "run_id": ("Random identifier, drawn by create_run.", "text"),
+        "mode": ("relative where rates and a driver exist or the item declares it; absolute otherwise.", "relative, absolute"),
+        "model": ("Name of the candidate whose points are used.", "text"),
+        "confidence": ("0.35 / (1 + mase) + 0.30 min(1, n_reliable / 24) + 0.20 forecastability + 0.15 data_quality; 0.14 stands for the first term without a mase, and without a competition the sum is cut at 0.35.", _SHARE),
     },
     "forecasts": {
-        "period": ("The future period.", "Lines up with the plan."),
-        "period_start": ("Its first day.", "For date arithmetic."),
-        "step": ("How many periods ahead.", "Later ones are less certain."),
-        "target_value": ("The forecast in the unit of the mode.", "What the model says, before the plan."),
-        "lower_80": ("Lower end of the 80 % band.", "Four of five periods lie above."),
-        "upper_80": ("Upper end of the 80 % band.", "Everyday cover."),
-        "lower_95": ("Lower end of the 95 % band.", "Nearly the worst case below."),
-        "upper_95": ("Upper end of the 95 % band.", "Safety stock."),
-        "driver_plan": ("Planned output of the line, for relative series.", "What the rate is multiplied by."),
-        "reconstructed_demand": ("Expected consumption as a quantity; empty where no plan reaches.", "What to order."),
-        "demand_lower_80": ("Lower 80 % end as a quantity.", "As lower_80."),
-        "demand_upper_80": ("Upper 80 % end as a quantity.", "As upper_80."),
-        "demand_lower_95": ("Lower 95 % end as a quantity.", "As lower_95."),
-        "demand_upper_95": ("Upper 95 % end as a quantity.", "As upper_95."),
+        "period": ("Label of period_start in the run's granularity.", "yyyy-MM, yyyy-'W'ww or yyyy-MM-dd"),
+        "period_start": ("last_start plus step periods.", "date"),
+        "step": ("1 for the period after last_period, and on.", "periods"),
+        "target_value": ("max(0, point), where the model gives the point.", _RATE),
+        "lower_80": ("max(0, point - z sigma g), z the 0.90 quantile of the normal distribution; g is the root of step for models that grow, else 1.", _RATE),
+        "upper_80": ("point + z sigma g with that z and g; target_value at least.", _RATE),
+        "lower_95": ("As lower_80 with the 0.975 quantile; lower_80 at most.", _RATE),
+        "upper_95": ("As upper_80 with the 0.975 quantile; upper_80 at least.", _RATE),
+        "driver_plan": ("Sum of driver_qty of type plan by period, line and output_type; null in absolute mode.", "t"),
+        "reconstructed_demand": ("target_value x driver_plan (relative), target_value x days of the period (absolute); null without a plan.", "base unit of the item"),
+        "demand_lower_80": ("lower_80 by the same factor as reconstructed_demand.", "base unit of the item"),
+        "demand_upper_80": ("upper_80 by that factor.", "base unit of the item"),
+        "demand_lower_95": ("lower_95 by that factor.", "base unit of the item"),
+        "demand_upper_95": ("upper_95 by that factor.", "base unit of the item"),
     },
     "selections": {
-        "route": ("compete, routed, cold_start, or that no model could be tested.", "Fallbacks deserve a look."),
-        "mase": ("Test error in terms of repeating the last value; below 1 is better than that.", "Whether the model earns its place."),
-        "n_origins": ("Back-test windows behind it.", "Few windows say little."),
-        "reason_code": ("The decision as a code.", "For filters."),
-        "reason": ("The decision in words.", "For whoever disagrees."),
-        "confidence_label": ("low, medium or high.", "For filters."),
-        "is_override": ("1 if a planner set the model.", "Keeps own decisions visible."),
-        "override_reason": ("Why a planner's model was not used.", "Says what to change."),
+        "route": ("routed for intermittent and lumpy classes, cold_start under 6 reliable periods, compete otherwise; compete_fallback where no candidate was scored.", "four codes"),
+        "mase": ("Mean over origins of mean |y_hat - y| / mean |y(t) - y(t - 1)| before the origin.", "0 and more; null without a competition"),
+        "window": ("w of MovingAverage(w) and WeightedMovingAverage(w).", "periods; null for other models"),
+        "n_origins": ("Origins with a reliable test period.", "0 to 8"),
+        "reason_code": ("competition_winner, routed_* or cold_start_*, by route and model.", "code"),
+        "reason": ("reason_code as a sentence, with mase and n_origins put in.", "text"),
+        "confidence_label": ("low below 0.40, medium below 0.70, high from there.", "three codes"),
+        "is_override": ("1 where model_override names a model that has points.", "0, 1"),
+        "override_reason": ("Set where model_override names a model that has none.", "text or null"),
     },
     "series": {
-        "mode_source": ("Where the mode comes from.", "Declared ones outvote the data."),
-        "first_period": ("First period with consumption.", "Length of the history."),
-        "last_period": ("Last period with consumption.", "Forecasts begin behind it."),
-        "last_start": ("Its first day.", "For date arithmetic."),
-        "n_periods": ("Periods from first to last.", "Length of the history."),
-        "n_observed": ("Periods with rows.", "The rest were filled with zeros."),
-        "n_reliable": ("Periods that models may use.", "Decides which may compete."),
-        "n_applicable": ("Periods in which the line ran.", "Others say nothing."),
-        "is_orphan": ("1 if rates have no driver at all.", "A gap to close in the data."),
-        "target_uom": ("Unit of the target.", "For labels."),
-        "pattern_class": ("smooth, erratic, intermittent, lumpy or too short.", "Decides the route."),
-        "forecastability": ("How well it can be forecast, 0 to 1.", "What to expect at best."),
-        "data_quality": ("How complete its data are, 0 to 1.", "Poor data come first."),
-        "break_period": ("Where its level changed.", "Older history may mislead."),
-        "adi": ("Periods between demands, on average.", "One half of the class."),
-        "cv2": ("Spread of the demands' sizes.", "The other half."),
-        "cv": ("Deviation in terms of the mean.", "How unsteady it is."),
-        "trend_strength": ("Share of movement that is trend.", "Whether models with a trend make sense."),
-        "seasonal_strength": ("Share of movement that is season.", "Whether seasonal models make sense."),
-        "stationary": ("1 if its level is steady by a unit-root test.", "Drifting series age quickly."),
+        "mode_source": ("Which rule set mode: a planner (declared_ui), the item (declared_bom), the data (inferred), or rates without a driver (no_driver).", "four codes"),
+        "first_period": ("min(period) of rows.", "period label"),
+        "last_period": ("max(period) of rows.", "period label"),
+        "last_start": ("max(period_start) of rows.", "date"),
+        "n_periods": ("Calendar periods between first_period and last_period, both included.", "periods"),
+        "n_observed": ("n_periods less gap-filled ones.", "periods"),
+        "n_reliable": ("Count of driver_qty >= 0.2 x its median, or of all periods in absolute mode.", "periods"),
+        "n_applicable": ("n_periods less those without driver and rate.", "periods"),
+        "is_orphan": ("1 if rates exist and driver has no row of line and output_type.", "0, 1"),
+        "target_uom": ("rate_uom of most rows, or base unit a day.", "text"),
+        "pattern_class": ("By adi (1.32) and cv2 (0.49), from 6 values on.", "five codes"),
+        "forecastability": ("Base of pattern_class x (0.5 + 0.5 min(1, n / 24)) - min(0.3, 0.15 max(0, cv - 0.5)).", _SHARE),
+        "data_quality": ("1 - 0.4 missing_pct - 0.4 unreliable_pct - 0.2 outlier_pct.", _SHARE),
+        "break_period": ("argmax over splits of |mean1 - mean2| / pooled deviation, where that exceeds 2.", "period label or null"),
+        "adi": ("n values / n values above 0.", "1 and more"),
+        "cv2": ("(deviation / mean) squared of values above 0.", "0 and more"),
+        "cv": ("deviation / mean of observed values.", "0 and more"),
+        "autocorr_lag1": ("corr(y(t), y(t - 1)) of observed values.", "-1 to 1"),
+        "outlier_pct": ("Share of values above 0 with 0.6745 |y - median| > 3.5 MAD.", _SHARE),
+        "missing_pct": ("Share of gap-filled periods.", _SHARE),
+        "trend_strength": ("1 - var(rest) / var(trend + rest) of a loess decomposition, or the r2 of a line for short series.", _SHARE),
+        "seasonal_strength": ("1 - var(rest) / var(season + rest) of that decomposition.", _SHARE),
+        "stationary": ("1 if the augmented Dickey-Fuller test has p < 0.05.", "0, 1, null under 8 values"),
     },
     "context": {
-        "n": ("Periods that were compared.", "Few say little."),
-        "k": ("Conditions that were compared.", "Rare ones are pooled."),
-        "statistic": ("Kruskal-Wallis statistic.", "For checking."),
-        "p_value": ("Chance of such differences without an effect.", "Below 0.05 counts."),
-        "spread_pct": ("Difference between conditions in terms of the mean.", "Whether it matters in practice."),
-        "effect_size": ("Share of the order that conditions explain.", "Compares series."),
-        "high_label": ("Condition with the highest level.", "What to watch."),
-        "low_label": ("Condition with the lowest level.", "What to watch."),
-        "material": ("1 if models of conditions may compete.", "Says why one won."),
-        "known_future": ("Whether the plan covers the horizon.", "Without it conditions cannot be used."),
-        "skip_reason": ("Why it was not tested.", "What is missing."),
-        "verdict": ("The finding in words.", "The short answer."),
+        "n": ("Periods with a target and a regime.", "periods"),
+        "k": ("Regimes after pooling of rare ones.", "regimes"),
+        "statistic": ("Kruskal-Wallis H, corrected for ties.", "0 and more"),
+        "p_value": ("Chi-squared tail of statistic at k - 1 degrees.", _SHARE),
+        "spread_pct": ("(max - min of regime means) / overall mean.", "share of the mean"),
+        "effect_size": ("(statistic - k + 1) / (n - k), cut to 0 and 1.", _SHARE),
+        "high_label": ("argmax of regime means.", "regime"),
+        "low_label": ("argmin of regime means.", "regime"),
+        "material": ("p_value < 0.05 and spread_pct >= 0.10 and known_future.", "0, 1"),
+        "known_future": ("1 if every future period has conditions.", "0, 1"),
+        "skip_reason": ("First rung of the ladder that stopped the test.", "code or null"),
+        "verdict": ("material and both labels as a sentence.", "text"),
     },
     "warnings": {
-        "series_id": ("The series' key.", "For joins."),
-        "code": ("What was found, as a code.", "For filters."),
-        "severity": ("warning or info.", "Warnings first."),
-        "message": ("What was found, in words.", "What to do about it."),
+        "series_id": ("item_code|line|output_type.", "text"),
+        "code": ("Name of the rule.", "code"),
+        "severity": ("Level of the rule.", "warning, info"),
+        "message": ("The rule's sentence with its counts.", "text"),
     },
 }
 
@@ -132,7 +137,7 @@ def build_frames(store: Repository, run_id: str | None = None, series: list[str]
 
 
 def tooltip(sheet: str, column: str) -> str:
-    """EXP6: what a column is and what it is good for, or nothing."""
+    """EXP6: how a column is made and its unit, or nothing."""
     return " ".join(TEXTS.get(sheet, {}).get(column) or TEXTS[""].get(column, ()))
 
 
@@ -141,9 +146,9 @@ def dictionary(frames: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
     rows = []
     for s, df in frames.items():
         for i, (c, kind) in enumerate(df.dtypes):
-            what, why = TEXTS.get(s, {}).get(c) or TEXTS[""].get(c, ("", ""))
-            rows.append((s, PURPOSE.get(s, ""), i, c, kind, what, why))
-    return spark.createDataFrame(rows, "sheet string, purpose string, place int, column_name string, type string, what string, why string")
+            how, unit = TEXTS.get(s, {}).get(c) or TEXTS[""].get(c, ("", ""))
+            rows.append((s, PURPOSE.get(s, ""), i, c, kind, how, unit))
+    return spark.createDataFrame(rows, "sheet string, purpose string, place int, column_name string, type string, formula string, unit string")
 
 
 def formats(df: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def test_series_compete_and_all_have_forecasts(spark, tmp_path):
         assert df.columns[:4] == ["item_code", "description", "line", "output_type"] and (name == "warnings" or "series_id" not in df.columns)
     assert frames["forecasts"].count() == 210 and build_frames(store, second, [ids[0]])["selections"].count() == 1
     words = dictionary(frames, spark)
-    assert words.where("what = ''").count() == 0 and words.count() == sum(len(df.columns) for df in frames.values())
+    assert words.where("formula = ''").count() == 0 and words.count() == sum(len(df.columns) for df in frames.values())
     assert tooltip("forecasts", "step") and not tooltip("forecasts", "nothing")
     shared = {r["format"] for r in formats(frames["forecasts"]).where("column_name IN ('target_value', 'lower_80', 'upper_95')").collect()}
     assert len(shared) == 1 and preview(frames["forecasts"]).count() == 10 and preview(frames["forecasts"], long=True).count() == 200

@@ -60,7 +60,7 @@ def test_export_helpers(spark):
     df = spark.range(20)
     assert sample({"a": df})["a"].count() == 10
     got = dictionary({"series": df.withColumnRenamed("id", "adi"), "x": df}, spark).collect()
-    assert got[0]["what"].startswith("Periods between") and got[1]["what"] == ""
+    assert got[0]["formula"].startswith("n values") and got[1]["formula"] == ""
     assert settings_key("f", {"a": 1}) != settings_key("f", {"a": 2})
 
 
