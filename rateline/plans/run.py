@@ -163,10 +163,10 @@ def run_forecast(spark: SparkSession, raw: RawTables, store: Repository, cfg: En
     run_id = store.create_run(asdict(cfg), raw.source_name)
     try:
         callbacks.at("validate", 0.0)
-        found = V.run_all(raw)
+        store.append("validation_result", run_id, V.run_all(raw, cfg))
+        found = store.read("validation_result", run_id)
         if V.has_fatal(found):
             raise FatalData(", ".join(r["message"] for r in found.where("severity = 'fatal'").limit(8).collect()))
-        store.append("validation_result", run_id, found)
         callbacks.at("prepare", 0.1)
         p = P.build_series(raw, cfg, store.read("mode_override"))
         store.replace("observation", p.observations)
