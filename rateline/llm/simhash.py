@@ -38,8 +38,8 @@ SHARD_MAX, SHARD_MEAN = 20_000, 256
 TREES_MAX = 1 << 18
 #: Bytes of shingle hashes that a part of a shard holds on average.
 PART_BYTES = 16 << 20
-#: Similar documents meet by pairs of hash minima; so many pairs.
-PAIRS = 9
+#: Similar documents meet first by pairs of hash minima; so many pairs. What they miss is found by prefixes.
+PAIRS = 4
 #: What is added by xor for each order of hashes: a fixed rule, the first bits of multiples of the golden ratio.
 _TURN = np.array([0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(2 * PAIRS)], dtype=np.uint64)
 
@@ -95,22 +95,28 @@ def _node(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
 
 
-def _signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """``key, text_hash, fp`` (of the distinct shingles) ``, node`` (stands for the set of them) ``, n`` (its size) ``, keys`` (of the shards where it meets similar ones) of each row."""
+def _prefix(own: np.ndarray, least: float) -> np.ndarray:
+    """So many of the least hashes of a set that two sets which share ``least`` of their union have one of them in common: all but what the other may lack, and one."""
+    return own[: len(own) - int(np.ceil(least * len(own) - 1e-6)) + 1] if len(own) else own
+
+
+def _signatures(docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """``key, text_hash, fp`` (of the distinct shingles) ``, node`` (stands for the set of them) ``, n`` (its size) ``, keys`` (of the shards where it meets similar ones) ``, prefix`` (of the set, see ``_prefix``) of each row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.xxhash64(text, F.length(text)).alias("text_hash"), F.col(text))
-    schema = rows.select(key, "text_hash").schema.add("fp", "long").add("node", "long").add("n", "long").add("keys", ArrayType(LongType()))
+    schema = rows.select(key, "text_hash").schema.add("fp", "long").add("node", "long").add("n", "long").add("keys", ArrayType(LongType())).add("prefix", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, nodes, sizes, keys = [], [], [], []
+            fps, nodes, sizes, keys, prefixes = [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 own = np.unique(shingle_hashes(t, words))
                 fps.append(simhash(own))
                 nodes.append(_node(own))
                 sizes.append(len(own))
                 keys.append(_meeting(own).view(np.int64).tolist() if len(own) else [])
-            cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                prefixes.append(_prefix(own, similarity).view(np.int64))
+            cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -292,6 +298,50 @@ def _similar(sets: list[bytes], least: float) -> Callable[[int, np.ndarray], np.
     return alike
 
 
+def _crossing(signed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``token, node`` of prefix hashes that documents of several components share: those that may have a link yet to be found.
+
+    Hashes of one component alone, nearly all, end in a partial aggregation of
+    minima and maxima. Hashes that the same documents share, as those of one
+    passage, are one meeting: the least of them stands for all.
+    """
+    postings = signed.select("node", F.explode("prefix").alias("token")).join(roots.select(F.col("a").alias("node"), "root"), "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    shared = written(postings.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "shared-hashes")
+    met = written(postings.select("token", "node", "root").join(shared, "token").distinct(), "crossing")
+    mix = lambda seed: F.sum(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 40)))
+    same = met.groupBy("token").agg(F.count(F.lit(1)).alias("n"), mix(1).alias("s"), mix(2).alias("t")).groupBy("n", "s", "t").agg(F.min("token").alias("token")).select("token")
+    return met.join(same, "token")
+
+
+def _exact_links(dealt: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` of all pairs of a meeting that share ``least`` of their union and are of several components, as stars: by size, each set against those that are large enough, and against none that it is connected with already."""
+    ordered = dealt.repartition(partitions_for(dealt.sparkSession), "t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, i, j), rows in _groups(batches, 4):
+            sets, node, side = rows["shingles"].to_pylist(), rows["node"].to_numpy(), rows["side"].to_numpy()
+            sizes, alike = np.array([len(x) // 8 for x in sets]), _similar(sets, least)
+            order = np.argsort(sizes, kind="stable")
+            by_size = sizes[order]
+            first = {r: k for k, r in enumerate(np.unique(rows["root"].to_numpy()).tolist())}
+            label = np.array([first[r] for r in rows["root"].to_pylist()])
+            a, b = [], []
+            for at, one in enumerate(order.tolist()):
+                others = order[at + 1 : int(np.searchsorted(by_size, by_size[at] / least + 1e-6, "right"))]
+                others = others[label[others] != label[one]]
+                if i != j:
+                    others = others[side[others] != side[one]]
+                if others.size:
+                    for other in others[alike(one, others)].tolist():
+                        if label[other] != label[one]:
+                            label[label == label[other]] = label[one]
+                            a.append(node[one])
+                            b.append(node[other])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
 def block_keys(n: int, radius: int):
     """Shard keys of ``fp``: the values of every s of radius + s blocks, s such that a shard holds SHARD_MEAN of n on average."""
     s = 1
@@ -331,7 +381,7 @@ def _labelled(rows: DataFrame, distinct: DataFrame, roots: DataFrame, by: str) -
     return rows.join(whole.join(least, "root").select(F.col("node").alias(by), "component_id"), by)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, text_hash, component_id, is_first`` of each row: groups of documents that share at least ``similarity`` of their distinct word shingles (Jaccard). ``text_hash`` is ``xxhash64(text, length(text))``.
 
     ``is_first`` is true for one row of each group, the one of the least key
@@ -339,29 +389,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     text are all first or none. ``component_id`` is that row's key, null if no
     row of the group has one.
 
-    Fingerprints are over distinct shingles too. Of two documents of similarity
-    0.8 they differ in 10 of 64 bits on average, with a deviation of 3, so
-    ``radius`` is wide and links are confirmed on all distinct shingle hashes.
-    No blocks of bits serve such a radius; shards are keyed by pairs of hash
-    minima, of which two documents of similarity 0.8 share one but in 1 of
-    10,000 cases, at every size of table; large shards are split in parts. A
-    passage that very many documents share makes them meet only where it holds
-    both minima. Only texts that meet another one are read again for their
-    hashes, one text for each set of shingles. Rows of equal sets are joined
-    before. Null, empty and wordless texts form one group; repeated rows stay;
-    other columns aren't read; an empty table gives an empty table.
+    Two steps, none of which estimates a similarity: links are confirmed on all
+    distinct shingle hashes. Fingerprints find nearly all of them: documents
+    that share a pair of hash minima meet in a shard, whose BK-tree is searched
+    within ``radius`` bits. What that misses is found by prefixes of the sorted
+    sets of hashes: two sets of that similarity share a hash of their prefixes
+    always. Only hashes that join several components are looked at, so this
+    costs one aggregation, and pairs that are connected already none. No link
+    is lost, at any size of table.
+
+    Only texts that meet another one are read again for their hashes, one text
+    for each set of shingles. Rows of equal sets are joined before. Null, empty
+    and wordless texts form one group; repeated rows stay; other columns aren't
+    read; an empty table gives an empty table.
     """
-    signed = written(_signatures(docs, words, key, text), "signatures")
+    signed = written(_signatures(docs, words, similarity, key, text), "signatures")
     least = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "text_hash")
     distinct = written(signed.groupBy("node").agg(F.min(least).alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash")), "distinct")
+    texts = docs.select(F.xxhash64(text, F.length(text)).alias("text_hash"), text).groupBy("text_hash").agg(F.first(text).alias(text))
+    by_parts = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_MAX), F.ceil(F.sum(n) * 8 / PART_BYTES), F.lit(1)).cast("int")
+
+    def with_sets(met: DataFrame) -> DataFrame:
+        wanted = distinct.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", "text_hash")
+        sets = _shingle_sets(texts.join(wanted, "text_hash", "left_semi"), words, text).join(wanted.select("node", "fp"), "node")
+        return met.join(sets, "node")
+
     dealt = distinct.select("node", "n", F.posexplode("keys").alias("t", "v")).select(F.col("t").cast("long").alias("t"), "v", "node", "n")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_MAX), F.ceil(F.sum("n") * 8 / PART_BYTES), F.lit(1)).cast("int")
-    shards = dealt.groupBy("t", "v").agg(F.count(F.lit(1)).alias("of"), parts.alias("parts")).where("of > 1")
+    shards = dealt.groupBy("t", "v").agg(F.count(F.lit(1)).alias("of"), by_parts("n").alias("parts")).where("of > 1")
     met = written(dealt.join(shards, ["t", "v"]).select("t", "v", "node", "parts"), "met")
-    wanted = distinct.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", "text_hash")
-    texts = docs.select(F.xxhash64(text, F.length(text)).alias("text_hash"), text).groupBy("text_hash").agg(F.first(text).alias(text))
-    sets = _shingle_sets(texts.join(wanted, "text_hash", "left_semi"), words, text).join(wanted.select("node", "fp"), "node")
-    roots = stars(_links(_parted(met.join(sets, "node"), ["node", "fp", "shingles"]), radius, similarity))
+    roots = written(stars(_links(_parted(with_sets(met), ["node", "fp", "shingles"]), radius, similarity)), "near-roots")
+    more = _crossing(signed, roots).join(distinct.select("node", "n"), "node").select(F.lit(0).cast("long").alias("t"), F.col("token").alias("v"), "node", "root", "n")
+    parts = more.groupBy("t", "v").agg(by_parts("n").alias("parts"))
+    more = written(more.join(parts, ["t", "v"]).select("t", "v", "node", "root", "parts"), "met-by-prefix")
+    found = _exact_links(_parted(with_sets(more), ["node", "root", "shingles"]), similarity)
+    roots = stars(roots.select("a", F.col("root").alias("b")).unionByName(found))
     got = _labelled(signed.select(key, "text_hash", "node"), distinct.select("node", "least"), roots, "node")
     first = F.col(key).eqNullSafe(F.col("component_id.key")) & (F.col("text_hash") == F.col("component_id.text_hash"))
     return got.select(key, "text_hash", F.col("component_id.key").alias("component_id"), first.alias("is_first"))
