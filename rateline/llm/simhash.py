@@ -18,6 +18,7 @@ Shards link what they find as stars, never as all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
@@ -298,19 +299,61 @@ def _similar(sets: list[bytes], least: float) -> Callable[[int, np.ndarray], np.
     return alike
 
 
-def _crossing(signed: DataFrame, roots: DataFrame) -> DataFrame:
-    """``token, node`` of prefix hashes that documents of several components share: those that may have a link yet to be found.
+def _crossing(signed: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """``t, v, node, root, n``: meetings of documents of several components that share a hash (``v``) of their prefixes and whose sizes lie near each other (``t``): those that may have a link yet to be found.
 
     Hashes of one component alone, nearly all, end in a partial aggregation of
-    minima and maxima. Hashes that the same documents share, as those of one
-    passage, are one meeting: the least of them stands for all.
+    minima and maxima. Sizes are classed by powers of ``1 / least``; a document
+    is in its own class and the next, so any two that are near enough meet.
+    Meetings of the same documents, as by all hashes of one passage, are one.
     """
-    postings = signed.select("node", F.explode("prefix").alias("token")).join(roots.select(F.col("a").alias("node"), "root"), "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    shared = written(postings.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "shared-hashes")
-    met = written(postings.select("token", "node", "root").join(shared, "token").distinct(), "crossing")
+    rooted = written(signed.select("node", "n", "prefix").join(roots.select(F.col("a").alias("node"), "root"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "prefix"), "rooted")
+    postings = rooted.select("node", "n", "root", F.explode("prefix").alias("v"))
+    shared = written(postings.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("v"), "shared-hashes")
+    size = F.floor(F.log("n") / math.log(1 / least)).cast("long")
+    near = postings.join(shared, "v").distinct().select(F.explode(F.array(size, size + 1)).alias("t"), "v", "node", "root", "n")
+    met = written(near, "crossing")
     mix = lambda seed: F.sum(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 40)))
-    same = met.groupBy("token").agg(F.count(F.lit(1)).alias("n"), mix(1).alias("s"), mix(2).alias("t")).groupBy("n", "s", "t").agg(F.min("token").alias("token")).select("token")
-    return met.join(same, "token")
+    several = met.groupBy("t", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("of"), mix(1).alias("x"), mix(2).alias("y")).where("lo < hi")
+    one = several.groupBy("of", "x", "y").agg(F.min(F.struct("t", "v")).alias("k")).select("k.t", "k.v")
+    return met.join(one, ["t", "v"]).join(rooted.select("node", "prefix").distinct(), "node")
+
+
+def _possible(dealt: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of a meeting, of several components and near in size, whose prefixes allow that they share ``least`` of their union.
+
+    Up to the lesser of the two last hashes the prefixes show all that the sets
+    share; beyond it they share no more than the smaller rest. This is a bound,
+    so no pair is lost, and a fifth of the hashes is enough for it.
+    """
+    ordered = dealt.repartition(partitions_for(dealt.sparkSession), "t", "v", "i", "j").sortWithinPartitions("t", "v", "i", "j", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, i, j), rows in _groups(batches, 4):
+            node, side, root, n = (rows[c].to_numpy() for c in ("node", "side", "root", "n"))
+            lists = rows["prefix"].combine_chunks()
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            own = [flat[c:d] for c, d in zip(ends, ends[1:])]
+            order = np.argsort(n, kind="stable")
+            size = n[order]
+            a, b = [], []
+            for at, x in enumerate(order.tolist()):
+                others = order[at + 1 : int(np.searchsorted(size, size[at] / least + 1e-6, "right"))]
+                others = others[(root[others] != root[x]) & ((side[others] != side[x]) | (i == j))]
+                for y in others.tolist():
+                    end = min(own[x][-1], own[y][-1])
+                    p, q = own[x][: int(np.searchsorted(own[x], end, "right"))], own[y][: int(np.searchsorted(own[y], end, "right"))]
+                    rest = min(n[x] - len(p), n[y] - len(q))
+                    most = rest + min(len(p), len(q))
+                    if most < least * (n[x] + n[y] - most) - 1e-6:
+                        continue
+                    most = rest + len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
+                    if most >= least * (n[x] + n[y] - most) - 1e-6:
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def _exact_links(dealt: DataFrame, least: float) -> DataFrame:
@@ -394,8 +437,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     that share a pair of hash minima meet in a shard, whose BK-tree is searched
     within ``radius`` bits. What that misses is found by prefixes of the sorted
     sets of hashes: two sets of that similarity share a hash of their prefixes
-    always. Only hashes that join several components are looked at, so this
-    costs one aggregation, and pairs that are connected already none. No link
+    always. Only hashes that join several components are looked at, and of
+    their documents only pairs that sizes and prefixes allow. No link
     is lost, at any size of table.
 
     Only texts that meet another one are read again for their hashes, one text
@@ -418,10 +461,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ra
     shards = dealt.groupBy("t", "v").agg(F.count(F.lit(1)).alias("of"), by_parts("n").alias("parts")).where("of > 1")
     met = written(dealt.join(shards, ["t", "v"]).select("t", "v", "node", "parts"), "met")
     roots = written(stars(_links(_parted(with_sets(met), ["node", "fp", "shingles"]), radius, similarity)), "near-roots")
-    more = _crossing(signed, roots).join(distinct.select("node", "n"), "node").select(F.lit(0).cast("long").alias("t"), F.col("token").alias("v"), "node", "root", "n")
-    parts = more.groupBy("t", "v").agg(by_parts("n").alias("parts"))
-    more = written(more.join(parts, ["t", "v"]).select("t", "v", "node", "root", "parts"), "met-by-prefix")
-    found = _exact_links(_parted(with_sets(more), ["node", "root", "shingles"]), similarity)
+    more = _crossing(signed, roots, similarity)
+    more = more.join(more.groupBy("t", "v").agg(by_parts("n").alias("parts")), ["t", "v"])
+    pairs = written(_possible(_parted(more, ["node", "root", "n", "prefix"]), similarity), "possible-pairs")
+    both = pairs.select(F.lit(0).cast("long").alias("t"), F.xxhash64("a", "b").alias("v"), F.explode(F.array("a", "b")).alias("node")).withColumns({"root": F.col("node"), "parts": F.lit(1)})
+    found = _exact_links(_parted(with_sets(both), ["node", "root", "shingles"]), similarity)
     roots = stars(roots.select("a", F.col("root").alias("b")).unionByName(found))
     got = _labelled(signed.select(key, "text_hash", "node"), distinct.select("node", "least"), roots, "node")
     first = F.col(key).eqNullSafe(F.col("component_id.key")) & (F.col("text_hash") == F.col("component_id.text_hash"))
