@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from threading import Event, Thread
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from ..operators import profile as B
 from ..operators import validate as V
 from ..sources.mapping import RawTables
 from ..sources.store import Repository
+from ..staging import staged
 
 
 class FatalData(ValueError):
@@ -158,84 +161,109 @@ def point_forecasts(fit: DataFrame, chosen: DataFrame, flat: DataFrame, scored:
     return made.join(chosen.select("series_id", "model"), ["series_id", "model"], "left_semi").unionByName(G.averaged(made, inside))
 
 
+class Watch:
+    """Asks ``cancelled`` while Spark works, and stops the jobs of this thread when it says so; ``stopped`` tells that apart from a failure."""
+
+    def __init__(self, spark: SparkSession, cancelled: Callable[[], bool], every: float = 0.5):
+        self.context, self.cancelled, self.every = spark.sparkContext, cancelled, every
+        self.tag, self.stopped, self._over = f"run-{uuid.uuid4().hex}", False, Event()
+
+    def _ask(self) -> None:
+        while not self._over.wait(self.every):
+            if self.stopped or self.cancelled():
+                self.stopped = True
+                self.context.cancelJobsWithTag(self.tag)  # again, until no job is begun any more
+
+    def __enter__(self) -> Watch:
+        self.context.addJobTag(self.tag)
+        self._thread = Thread(target=self._ask, daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._over.set()
+        self._thread.join()
+        self.context.removeJobTag(self.tag)
+
+
 def run_forecast(spark: SparkSession, raw: RawTables, store: Repository, cfg: EngineConfig = EngineConfig(), callbacks: Callbacks = Callbacks()) -> str:
-    """Validate, prepare, analyse, select, forecast, explain and store; the run's id. A run that breaks is marked failed and leaves no rows; one that is cancelled is as if it had not been."""
+    """Validate, prepare, analyse, select, forecast, explain and store; the run's id. A run that breaks is marked failed and leaves no rows; one that is cancelled, also within a stage, is as if it had not been."""
     run_id = store.create_run(asdict(cfg), raw.source_name)
-    try:
-        callbacks.at("validate", 0.0)
-        store.append("validation_result", run_id, V.run_all(raw, cfg))
-        found = store.read("validation_result", run_id)
-        if V.has_fatal(found):
-            raise FatalData(", ".join(r["message"] for r in found.where("severity = 'fatal'").limit(8).collect()))
-        callbacks.at("prepare", 0.1)
-        p = P.build_series(raw, cfg, store.read("mode_override"))
-        store.replace("observation", p.observations)
-        obs = store.read("observation")
-        store.append("validation_result", run_id, V.preparation(obs))
-        callbacks.at("analyse", 0.2)
-        profile = B.profile(obs, cfg).join(B.decomposition(B.applicable_rows(obs), cfg.season), "series_id", "left")
-        store.replace("series", scoped(p.series, raw, cfg).join(profile.select("series_id", "pattern_class", "forecastability", "data_quality", "break_period", "adi", "cv2", "cv", "autocorr_lag1", "outlier_pct", "missing_pct", "trend_strength", "seasonal_strength", "stationary"), "series_id", "left"))
-        store.replace("driver", p.driver)
-        store.replace("item", raw.items)
-        store.replace("standard_rate", raw.standard_rates)
-        series, driver = store.read("series"), store.read("driver")
-        fit = P.fit_targets(obs.join(series.select("series_id"), "series_id", "left_semi"))
-        callbacks.at("conditions", 0.3)
-        known = None
-        if cfg.context.enabled:
-            known = operating_conditions(fit, series, driver, raw.calendar, cfg)
-            store.replace("condition", known.ext)
-            known.ext = store.read("condition")
-            store.replace("series_context", known.diagnosis)
-            known.diagnosis = store.read("series_context")
-        callbacks.at("select", 0.4)
-        rated = with_rates(series, raw)
-        store.replace("flat", single_levels(fit, rated, raw, obs, cfg))
-        flat = store.read("flat")
-        store.append("validation", run_id, scored_candidates(fit, rated, cfg, known))
-        scored = store.read("validation", run_id).drop("run_id")
-        store.replace("winner", selections(rated, flat, scored, cfg))  # forecasts and reasons read it again
-        chosen = store.read("winner")
-        callbacks.at("forecast", 0.6)
-        planned = store.read("model_override")
-        wanted, inside = with_members(chosen, scored)
-        if planned is not None:
-            asked = planned.join(series.select("series_id"), "series_id", "left_semi").select("series_id", E.wanted_name(F.col("model"), cfg.models.lookback_windows[0]).alias("model"))
-            wanted = wanted.unionByName(asked)
-        store.replace("point", model_points(fit, wanted, flat, cfg, known))
-        made = store.read("point")
-        made = made.unionByName(G.averaged(made, inside))
-        if planned is not None:
-            chosen = E.with_overrides(chosen, made, scored, planned, cfg.models.lookback_windows[0])
-        else:
-            chosen = chosen.withColumn("override_reason", F.lit(None).cast("string")).withColumn("is_override", F.lit(0))
-        facts = series.select("series_id", "n_reliable", "forecastability", "data_quality", "trend_strength", "seasonal_strength")
-        score = G.confidence_score(F.col("mase"), F.col("n_reliable"), F.col("forecastability"), F.col("data_quality"), F.col("mase").isNull(), cfg.gate.seasonal_min_history)
-        why = E.selection_reason(F.col("reason_code"), F.col("model"), F.col("mase"), F.coalesce("n_origins", F.lit(0)), F.col("n_reliable"))
-        told = chosen.join(facts, "series_id").withColumn("reason", why).withColumn("confidence", score).withColumn("confidence_label", G.confidence_label(F.col("confidence"))).withColumn("window", F.nullif(F.regexp_extract("model", r"\((\d+)\)", 1), F.lit("")).cast("int"))
-        store.append("selection", run_id, told.drop("n_reliable", "forecastability", "data_quality", "trend_strength", "seasonal_strength").join(E.rejected_json(scored, chosen, facts), "series_id", "left"))
-        chosen = store.read("selection", run_id).drop("run_id")
-        own = made.join(chosen.select("series_id", "model"), ["series_id", "model"], "left_semi")
-        rows = G.reconstruct(G.horizon(own, series, cfg), driver, cfg).join(chosen.select("series_id", "confidence"), "series_id", "left")
-        store.append("forecast", run_id, rows)
-        callbacks.at("explain", 0.9)
-        low = obs.groupBy("series_id").agg(F.sum("is_low_driver").alias("n_low"))
-        notes = E.caveats(series.join(chosen.select("series_id", "model", "reason_code"), "series_id").join(C.driver_variation(fit), "series_id", "left").join(low, "series_id", "left"))
-        store.append("warning", run_id, notes.unionByName(E.failures(chosen, store.read("forecast", run_id))))
-        callbacks.at("finish", 1.0)
-    except Cancelled:
+    failure = None
+    with Watch(spark, callbacks.cancelled) as watch:
+        try:
+            _stages(spark, raw, store, cfg, callbacks, run_id)
+        except BaseException as e:
+            failure = e
+    # Here no job is cancelled any more.
+    if failure is None:
+        store.finish_run(run_id)
+        return run_id
+    if watch.stopped or isinstance(failure, Cancelled):
         store.delete_run(run_id)
-        raise
-    except Exception:
-        store.delete_run_rows(run_id)
-        store.finish_run(run_id, "failed")
-        raise
-    store.finish_run(run_id)
-    return run_id
+        raise failure if isinstance(failure, Cancelled) else Cancelled("within a stage") from failure
+    store.delete_run_rows(run_id)
+    store.finish_run(run_id, "failed")
+    raise failure
+
+
+def _stages(spark: SparkSession, raw: RawTables, store: Repository, cfg: EngineConfig, callbacks: Callbacks, run_id: str) -> None:
+    callbacks.at("validate", 0.0)
+    found = store.append("validation_result", run_id, V.run_all(raw, cfg))
+    if V.has_fatal(found):
+        raise FatalData(", ".join(r["message"] for r in found.where("severity = 'fatal'").limit(8).collect()))
+    callbacks.at("prepare", 0.1)
+    p = P.build_series(raw, cfg, store.read("mode_override"))
+    obs = store.replace("observation", p.observations)
+    store.append("validation_result", run_id, V.preparation(obs))
+    callbacks.at("analyse", 0.2)
+    profile = B.profile(obs, cfg).join(B.decomposition(B.applicable_rows(obs), cfg.season), "series_id", "left")
+    series = store.replace("series", scoped(p.series, raw, cfg).join(profile.select("series_id", "pattern_class", "forecastability", "data_quality", "break_period", "adi", "cv2", "cv", "autocorr_lag1", "outlier_pct", "missing_pct", "trend_strength", "seasonal_strength", "stationary"), "series_id", "left"))
+    driver = store.replace("driver", p.driver)
+    store.replace("item", raw.items)
+    store.replace("standard_rate", raw.standard_rates)
+    fit = staged(P.fit_targets(obs.join(series.select("series_id"), "series_id", "left_semi")), "fit")  # five steps read it
+    callbacks.at("conditions", 0.3)
+    known = None
+    if cfg.context.enabled:
+        known = operating_conditions(fit, series, driver, raw.calendar, cfg)
+        known.ext = store.append("condition", run_id, known.ext).drop("run_id")
+        known.diagnosis = store.replace("series_context", known.diagnosis)
+    callbacks.at("select", 0.4)
+    rated = with_rates(series, raw)
+    flat = store.append("flat", run_id, single_levels(fit, rated, raw, obs, cfg)).drop("run_id")
+    scored = store.append("validation", run_id, scored_candidates(fit, rated, cfg, known)).drop("run_id")
+    chosen = store.append("winner", run_id, selections(rated, flat, scored, cfg)).drop("run_id")  # forecasts and reasons read it again
+    callbacks.at("forecast", 0.6)
+    planned = store.read("model_override")
+    wanted, inside = with_members(chosen, scored)
+    if planned is not None:
+        asked = planned.join(series.select("series_id"), "series_id", "left_semi").select("series_id", E.wanted_name(F.col("model"), cfg.models.lookback_windows[0]).alias("model"))
+        wanted = wanted.unionByName(asked)
+    made = store.append("point", run_id, model_points(fit, wanted, flat, cfg, known)).drop("run_id")
+    made = made.unionByName(G.averaged(made, inside))
+    if planned is not None:
+        chosen = E.with_overrides(chosen, made, scored, planned, cfg.models.lookback_windows[0])
+    else:
+        chosen = chosen.withColumn("override_reason", F.lit(None).cast("string")).withColumn("is_override", F.lit(0))
+    facts = series.select("series_id", "n_reliable", "forecastability", "data_quality", "trend_strength", "seasonal_strength")
+    score = G.confidence_score(F.col("mase"), F.col("n_reliable"), F.col("forecastability"), F.col("data_quality"), F.col("mase").isNull(), cfg.gate.seasonal_min_history)
+    why = E.selection_reason(F.col("reason_code"), F.col("model"), F.col("mase"), F.coalesce("n_origins", F.lit(0)), F.col("n_reliable"))
+    told = chosen.join(facts, "series_id").withColumn("reason", why).withColumn("confidence", score).withColumn("confidence_label", G.confidence_label(F.col("confidence"))).withColumn("window", F.nullif(F.regexp_extract("model", r"\((\d+)\)", 1), F.lit("")).cast("int"))
+    store.append("selection", run_id, told.drop("n_reliable", "forecastability", "data_quality", "trend_strength", "seasonal_strength").join(E.rejected_json(scored, chosen, facts), "series_id", "left"))
+    chosen = store.read("selection", run_id).drop("run_id")
+    own = made.join(chosen.select("series_id", "model"), ["series_id", "model"], "left_semi")
+    rows = G.reconstruct(G.horizon(own, series, cfg), driver, cfg).join(chosen.select("series_id", "confidence"), "series_id", "left")
+    store.append("forecast", run_id, rows)
+    callbacks.at("explain", 0.9)
+    low = obs.groupBy("series_id").agg(F.sum("is_low_driver").alias("n_low"))
+    notes = E.caveats(series.join(chosen.select("series_id", "model", "reason_code"), "series_id").join(C.driver_variation(fit), "series_id", "left").join(low, "series_id", "left"))
+    store.append("warning", run_id, notes.unionByName(E.failures(chosen, store.read("forecast", run_id))))
+    callbacks.at("finish", 1.0)
 
 
 def import_actuals(raw: RawTables, store: Repository, run_id: str | None = None) -> DataFrame:
-    """Errors of a stored run against newer consumption, in that run's granularity; repeated imports change nothing but the notes. Gives the series that drift, which are warnings of that run too (VAL21)."""
+    """Errors of a stored run against newer consumption, in that run's granularity; repeated imports change nothing. Gives the series that drift, which are warnings of that run too (VAL21)."""
     run = next(r for r in store.runs() if r["run_id"] == run_id) if run_id else store.latest_complete()
     if run is None:
         raise ValueError("there is no completed run")
@@ -243,5 +271,5 @@ def import_actuals(raw: RawTables, store: Repository, run_id: str | None = None)
     rows = L.accuracy(store.read("forecast", run["run_id"]).drop("model"), actual, store.read("selection", run["run_id"]))
     store.upsert_accuracy(rows.select("series_id", "period", F.lit(run["run_id"]).alias("run_id"), "forecast_value", "actual_value", "error", "abs_pct_error", "model"))
     found = L.drift(store.read("accuracy_history"))
-    store.append("warning", run["run_id"], L.drift_warnings(found))
+    store.put_notes("warning", run["run_id"], "ACCURACY_DRIFT", L.drift_warnings(found))
     return found.where("drifting = 1")

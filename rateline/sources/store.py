@@ -8,15 +8,18 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..operators.learn import upserted
 
 #: Tables that are replaced as a whole, and those to which each run adds a partition.
-CURRENT = ("item", "driver", "standard_rate", "series", "observation", "series_context", "model_override", "mode_override", "accuracy_history", "condition", "flat", "winner", "point")
-PER_RUN = ("selection", "forecast", "validation", "validation_result", "warning")
+CURRENT = ("item", "driver", "standard_rate", "series", "observation", "series_context", "model_override", "mode_override", "accuracy_history")
+PER_RUN = ("selection", "forecast", "validation", "validation_result", "warning", "condition", "flat", "winner", "point")
+#: Of the latter, those that only the run itself reads, while it runs.
+WORKING = ("condition", "flat", "winner", "point")
 #: What reads are ordered by, where it matters.
 ORDER = {"forecast": ("series_id", "period_start"), "observation": ("series_id", "period_start"), "accuracy_history": ("series_id", "period"), "selection": ("series_id",)}
 #: Analyses that a cache keeps.
@@ -31,6 +34,10 @@ class Repository:
     over the old one, so readers meet the old table or the new one; and the
     last version stays until the next replacement, so that plans which read it
     already can end.
+
+    Runs are a log of numbered files, each of which is created only if no other
+    has its number, whole or not at all; so runs that begin at once have numbers
+    of their own, and none is lost. What a run adds lies under its own id.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -48,41 +55,52 @@ class Repository:
             return None
         return "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect())
 
-    def _put(self, name: str, text: str) -> None:
-        """The whole text or none of it: written beside, then renamed over."""
+    def _put(self, name: str, text: str, over: bool = True) -> bool:
+        """The whole text or none of it: written beside, then renamed over what is there; or, without ``over``, only if nothing is there, else false."""
         part = self._path(f"{name}.{uuid.uuid4().hex}")
         out = self._fs().create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
         jvm = self._jvm
         kind = jvm.org.apache.hadoop.fs.Options.Rename
-        over = self.spark.sparkContext._gateway.new_array(kind, 1)
-        over[0] = kind.OVERWRITE
-        at = self._path(name)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), self.spark._jsc.hadoopConfiguration()).rename(part, at, over)
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE if over else kind.NONE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(part, self._path(name), how)
+        except Py4JJavaError as e:
+            self._fs().delete(part, False)
+            if not over and "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
     def _versions(self, table: str) -> list[str]:
         """The current version and the last one before it."""
         return (self._text(f"{table}.current") or "").split()
 
-    def replace(self, table: str, df: DataFrame) -> None:
+    def replace(self, table: str, df: DataFrame) -> DataFrame:
+        """The new version, as it was written, whatever is current by then."""
         version = f"{table}/v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{version}")
         was = self._versions(table)
         self._put(f"{table}.current", "\n".join([version, *was[:1]]))
         for old in was[1:]:
             self._fs().delete(self._path(old), True)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{version}")
 
     def read(self, table: str, run_id: str | None = None, series: list[str] | None = None, ordered: bool = False, backfill: dict[str, object] | None = None) -> DataFrame | None:
         """SNK8, SNK9, ORD7: partitions of the run, filters pushed to the files, in the table's order if asked; columns that older files lack are null, or what ``backfill`` says. None if there is no such table."""
         if table in PER_RUN:
-            schema = self._text(f"{table}.schema")
-            if schema is None:
+            stored = self._text(f"{table}.schema")
+            if stored is None:
                 return None
-            if not self._fs().globStatus(self._path(table, "run_id=*")):  # no run has had a row so far
-                return self.spark.createDataFrame([], StructType.fromJson(json.loads(schema)))
-            df = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}")
-            df = df if run_id is None else df.where(F.col("run_id") == run_id)
+            # The schema is the stored one, so no footers are read for it, and a run's rows are read from its own folder.
+            schema = StructType.fromJson(json.loads(stored))
+            where = self._path(table, f"run_id={run_id}") if run_id is not None else self._path(table, "run_id=*")
+            if not self._fs().globStatus(where):  # no row so far
+                return self.spark.createDataFrame([], schema)
+            df = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}" if run_id is None else f"{self.root}/{table}/run_id={run_id}")
         else:
             versions = self._versions(table)
             if not versions:
@@ -93,10 +111,31 @@ class Repository:
         df = df if series is None else df.where(F.col("series_id").isin(series))
         return df.orderBy(*ORDER[table]) if ordered and table in ORDER else df
 
-    def append(self, table: str, run_id: str, df: DataFrame) -> None:
+    def append(self, table: str, run_id: str, df: DataFrame) -> DataFrame:
+        """Adds rows to a run's; the run's rows."""
         rows = df.withColumn("run_id", F.lit(run_id))
         rows.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/{table}")
-        self._put(f"{table}.schema", rows.schema.json())
+        self._learn(table, rows.schema)
+        return self.read(table, run_id)
+
+    def _learn(self, table: str, schema: StructType) -> None:
+        """SNK9: columns that are new are added to the stored schema."""
+        stored = self._text(f"{table}.schema")
+        fields = {f.name: f for f in ([] if stored is None else StructType.fromJson(json.loads(stored)))}
+        both = StructType(list((fields | {f.name: StructField(f.name, f.dataType, True) for f in schema}).values()))
+        if stored is None or both.json() != stored:
+            self._put(f"{table}.schema", both.json())
+
+    def put_notes(self, table: str, run_id: str, code: str, df: DataFrame) -> None:
+        """A run's rows of one ``code`` are these, in place of those there were."""
+        rows = self.read(table, run_id)
+        kept = df.withColumn("run_id", F.lit(run_id)) if rows is None else rows.where(F.col("code") != code).unionByName(df.withColumn("run_id", F.lit(run_id)), allowMissingColumns=True)
+        fresh = f"{table}.{uuid.uuid4().hex}"
+        kept.drop("run_id").write.parquet(f"{self.root}/{fresh}")
+        self._fs().delete(self._path(table, f"run_id={run_id}"), True)
+        self._fs().mkdirs(self._path(table))
+        self._fs().rename(self._path(fresh), self._path(table, f"run_id={run_id}"))
+        self._learn(table, kept.schema)
 
     def upsert_accuracy(self, rows: DataFrame) -> None:
         stored = self.read("accuracy_history")
@@ -113,32 +152,50 @@ class Repository:
             rows[key] = value
         self.replace(table, self.spark.createDataFrame(list(rows.items()), f"{name} string, {what} string"))
 
-    def runs(self) -> list[dict]:
-        return sorted(json.loads(self._text("runs.json") or "[]"), key=lambda r: -r["number"])
+    def _log(self) -> dict[int, str]:
+        """Numbers of runs, and the files that tell of them."""
+        found = self._fs().globStatus(self._path("runs", "*.json")) or []
+        return {int(f.getPath().getName()[:-5]): f.getPath().getName() for f in found}
 
-    def _save(self, runs: list[dict]) -> None:
-        self._put("runs.json", json.dumps(runs))
+    def runs(self) -> list[dict]:
+        """ORD6: the latest first."""
+        if not self._log():
+            return []
+        texts = self.spark.read.text(f"{self.root}/runs/*.json", wholetext=True).collect()
+        return sorted((json.loads(r[0]) for r in texts), key=lambda r: -r["number"])
 
     def create_run(self, config: dict, source: str = "") -> str:
-        runs = self.runs()
-        run = {"run_id": uuid.uuid4().hex, "number": max([0, *(r["number"] for r in runs)]) + 1, "status": "running", "config": config, "source": source, "started": datetime.now(timezone.utc).isoformat()}
-        self._save([*runs, run])
+        """A run with the next number that no other has taken."""
+        run = {"run_id": uuid.uuid4().hex, "status": "running", "config": config, "source": source, "started": datetime.now(timezone.utc).isoformat()}
+        number = max([0, *self._log()]) + 1
+        self._fs().mkdirs(self._path("runs"))
+        while not self._put(f"runs/{number:010d}.json", json.dumps(run | {"number": number}), over=False):
+            number += 1
         return run["run_id"]
 
     def finish_run(self, run_id: str, status: str = "complete") -> None:
-        self._save([r | ({"status": status, "finished": datetime.now(timezone.utc).isoformat()} if r["run_id"] == run_id else {}) for r in self.runs()])
+        """Writes the run's own file anew; what only the run itself read goes."""
+        for r in self.runs():
+            if r["run_id"] == run_id:
+                self._put(f"runs/{r['number']:010d}.json", json.dumps(r | {"status": status, "finished": datetime.now(timezone.utc).isoformat()}))
+        self._delete_rows(run_id, WORKING)
 
     def latest_complete(self) -> dict | None:
         return next((r for r in self.runs() if r["status"] == "complete"), None)
 
-    def delete_run_rows(self, run_id: str) -> None:
-        for t in PER_RUN:
+    def _delete_rows(self, run_id: str, tables: tuple[str, ...]) -> None:
+        for t in tables:
             self._fs().delete(self._path(t, f"run_id={run_id}"), True)
 
+    def delete_run_rows(self, run_id: str) -> None:
+        self._delete_rows(run_id, PER_RUN)
+
     def delete_run(self, run_id: str) -> None:
-        """SNK18: its partitions go, then its row."""
+        """SNK18: its partitions go, then its entry."""
         self.delete_run_rows(run_id)
-        self._save([r for r in self.runs() if r["run_id"] != run_id])
+        for r in self.runs():
+            if r["run_id"] == run_id:
+                self._fs().delete(self._path("runs", f"{r['number']:010d}.json"), False)
 
     def delete_all(self) -> None:
         for r in self.runs():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
 import pytest
@@ -85,6 +86,8 @@ def test_run_and_import(spark, tmp_path):
     once = store.read("accuracy_history").count()
     run.import_actuals(later, store)
     assert store.read("accuracy_history").count() == once > 0
+    drifts = store.read("warning", rid).where("code = 'ACCURACY_DRIFT'")
+    assert drifts.count() == drifts.select("series_id").distinct().count()
     with pytest.raises(run.FatalData):
         raw = star_schema.load(spark, SF)
         raw.failures = spark.createDataFrame([("consumption.date", 3)], "column_name string, n long")
@@ -95,6 +98,21 @@ def test_run_and_import(spark, tmp_path):
     assert len(store.runs()) == 2
 
 
+def test_run_cancelled_within_a_stage(spark, tmp_path):
+    """A job that would take minutes ends within seconds of the word, and the run leaves nothing."""
+    store, began = Repository(spark, f"file://{tmp_path}/store"), []
+
+    def slow(stage, share):
+        if stage == "prepare":
+            began.append(time.time())
+            spark.range(0, 10**12, 1, 4).agg(F.sum(F.sqrt("id"))).collect()
+
+    with pytest.raises(run.Cancelled):
+        run.run_forecast(spark, star_schema.load(spark, SF), store, few(3, "Brand#1"), run.Callbacks(progress=slow, cancelled=lambda: bool(began) and time.time() > began[0] + 2))
+    assert time.time() - began[0] < 30 and store.runs() == [] and store.read("validation_result").count() == 0
+    assert spark.range(5).count() == 5  # other jobs of the session are not touched
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     events.write.parquet(f"{tmp_path}/in")

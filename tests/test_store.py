@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 from rateline.sources.exports import dictionary
 from rateline.sources.files import DirectorySource
 from rateline.sources.store import CACHED, Repository, cached, sample, settings_key
@@ -70,3 +72,38 @@ def test_tables_for_editing(spark, tmp_path):
     got = DirectorySource(spark, f"file://{tmp_path}/in").for_editing()
     assert got["bom"].columns == bom.columns and got["bom"].count() == 1
     assert got["prod"].count() == 0 and "production_qty1" in got["prod"].columns and "unit" in got["context_calendar"].columns
+
+
+def test_runs_that_begin_at_once(spark, tmp_path):
+    """Each has a number of its own, and none is lost; a run that ends changes its own entry only."""
+    repo = Repository(spark, f"file://{tmp_path}/store")
+    with ThreadPoolExecutor(6) as pool:
+        ids = list(pool.map(lambda i: repo.create_run({"i": i}), range(12)))
+        list(pool.map(repo.finish_run, ids[::2]))
+    got = repo.runs()
+    assert sorted(r["number"] for r in got) == list(range(1, 13)) and {r["run_id"] for r in got} == set(ids)
+    assert {r["run_id"] for r in got if r["status"] == "complete"} == set(ids[::2])
+    assert not repo._put("runs/0000000001.json", "{}", over=False) and len(repo.runs()) == 12
+    repo.delete_run(next(r["run_id"] for r in got if r["number"] == 1))
+    assert len(repo.runs()) == 11 and repo.create_run({}) and max(r["number"] for r in repo.runs()) == 13
+
+
+def test_tables_of_a_run(spark, tmp_path):
+    """Working tables are the run's own and go when it ends; new columns join the schema; notes of one code are replaced."""
+    repo = Repository(spark, f"file://{tmp_path}/store")
+    a, b = repo.create_run({}), repo.create_run({})
+    first = repo.append("winner", a, spark.createDataFrame([("s", "Mean")], "series_id string, model string"))
+    repo.append("winner", b, spark.createDataFrame([("s", "Drift", 3)], "series_id string, model string, extra int"))
+    assert first.first()["model"] == "Mean" and repo.read("winner", b).first()["extra"] == 3 and repo.read("winner", a).first()["extra"] is None
+    repo.finish_run(a)
+    assert repo.read("winner", a).count() == 0 and repo.read("winner", b).count() == 1
+    note = lambda code, text: spark.createDataFrame([("s", code, text)], "series_id string, code string, message string")
+    repo.append("warning", a, note("OTHER", "stays"))
+    for text in ("first", "second"):
+        repo.put_notes("warning", a, "ACCURACY_DRIFT", note("ACCURACY_DRIFT", text))
+    assert {(r["code"], r["message"]) for r in repo.read("warning", a).collect()} == {("OTHER", "stays"), ("ACCURACY_DRIFT", "second")}
+    repo.put_notes("warning", b, "ACCURACY_DRIFT", note("ACCURACY_DRIFT", "alone"))
+    assert repo.read("warning", b).count() == 1 and repo.read("warning").count() == 3
+    new = repo.replace("series", spark.range(4))
+    repo.replace("series", spark.range(9))
+    assert new.count() == 4
