@@ -1,4 +1,4 @@
-"""Models whose fit is iterative and that arrays of Spark cannot hold well, in one grouped function (MOD10, MOD11, MOD13, BT5): a series is shipped to Python once. SES, Holt, DampedHolt and Theta are in ``smoothing``, and their folds and forecasts are joined to these here.
+"""Models whose fit is iterative and that arrays of Spark cannot hold well, in one function over whole series (MOD10, MOD11, MOD13, BT5): a series is shipped to Python once, and a form that several models choose from is fitted once. SES, Holt, DampedHolt and Theta are in ``smoothing``, and their folds and forecasts are joined to these here.
 
 Given the weights, one-step errors are linear in the first level, slope and
 additive season, so these come from normal equations; a multiplicative season
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..shipping import ship
-from ..staging import spread
 from . import backtest as T
 from . import smoothing as S
 
@@ -235,15 +235,20 @@ def shapes(name: str, y: np.ndarray, m: int, seasonal: bool) -> list[Shape]:
     return [Shape(), Shape(True), Shape(True, True), *([Shape(season="add"), *both] if seasonal and len(y) >= 2 * m else [])]
 
 
-def fit_model(name: str, y: np.ndarray, m: int, seasonal: bool = True) -> dict:
-    """One model on ``y``: ``ahead(h)``, ``fits``, and ``grows`` where its form decides that. ``seasonal`` lets ETS have a season."""
+def fit_model(name: str, y: np.ndarray, m: int, seasonal: bool = True, made: dict[Shape, dict] | None = None) -> dict:
+    """One model on ``y``: ``ahead(h)``, ``fits``, and ``grows`` where its form decides that. ``seasonal`` lets ETS have a season. Forms in ``made`` are taken from there, and others added."""
     if name == "ARIMA":
         return arima(y)
-    return min((smoothing(y, m if f.season else 1, f) for f in shapes(name, y, m, seasonal)), key=lambda r: r["aicc"])
+    made, forms = {} if made is None else made, shapes(name, y, m, seasonal)
+    for f in forms:
+        if f not in made:
+            made[f] = smoothing(y, m if f.season else 1, f)
+    return min((made[f] for f in forms), key=lambda r: r["aicc"])
 
 
-def fits_at(name: str, y: np.ndarray, origins: list[int], m: int, seasonal: bool = True) -> dict[int, dict]:
-    """``fit_model`` on ``y`` before each origin; smoothed models are fitted at all origins together. A fit that fails is left out."""
+def fits_at(name: str, y: np.ndarray, origins: list[int], m: int, seasonal: bool = True, made: dict[tuple[Shape, int], dict] | None = None) -> dict[int, dict]:
+    """``fit_model`` on ``y`` before each origin; smoothed models are fitted at all origins together. A fit that fails is left out. Forms and origins in ``made`` are taken from there, and others added."""
+    made = {} if made is None else made
     out: dict[int, dict] = {}
     if name == "ARIMA":
         for o in origins:
@@ -257,9 +262,11 @@ def fits_at(name: str, y: np.ndarray, origins: list[int], m: int, seasonal: bool
         for f in shapes(name, y[:o], m, seasonal):
             of.setdefault(f, []).append(o)
     for f, own in of.items():
-        for o, got in smoothing_at(y, own, m if f.season else 1, f).items():
-            if o not in out or got["aicc"] < out[o]["aicc"]:
-                out[o] = got
+        if new := [o for o in own if (f, o) not in made]:
+            made.update({(f, o): got for o, got in smoothing_at(y, new, m if f.season else 1, f).items()})
+        for o in own:
+            if o not in out or made[f, o]["aicc"] < out[o]["aicc"]:
+                out[o] = made[f, o]
     return out
 
 
@@ -280,55 +287,57 @@ def fitted_folds(fit: DataFrame, models: tuple[str, ...] | None = None, cfg: Eng
     wanted = [c for n, c in _names(cfg).items() if models is None or n in models]
     smooth, wanted = [c for c in wanted if c.name in S.FORMS], [c for c in wanted if c.name not in S.FORMS]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        y, valid = pdf["y"].to_numpy(float), pdf["valid"].to_numpy(int)
-        n, n_rel, rows = len(y), int(valid.sum()), []
+    def folds(series_id: str, y: np.ndarray, valid: np.ndarray) -> list[tuple]:
+        n, n_rel, rows, made = len(y), int(valid.sum()), [], {}
         for c in wanted:
             if not _open(c, n_rel, cfg):
                 continue
             origins = list(range(max(c.min_history, 2, n - h - cfg.cv.max_origins + 1), n - h + 1))
-            fitted = fits_at(c.name, y, origins, m, n_rel >= enough) if origins else {}
+            fitted = fits_at(c.name, y, origins, m, n_rel >= enough, made) if origins else {}
             for o in origins:
                 hat = np.asarray(fitted[o]["ahead"](h), float) if o in fitted else np.full(h, np.nan)
                 told = hat.tolist() if np.isfinite(hat).all() else [None] * h
-                rows.append((key[0], c.name, c.ordinal, c.n_params, o, float(np.abs(np.diff(y[:o])).mean()), told, y[o : o + h].tolist(), valid[o : o + h].tolist()))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in T.FOLD.split(", ")])
+                rows.append((series_id, c.name, c.ordinal, c.n_params, o, float(np.abs(np.diff(y[:o])).mean()), told, y[o : o + h].tolist(), valid[o : o + h].tolist()))
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [r for s, y, v in zip(pdf["series_id"], pdf["y"], pdf["valid"]) for r in folds(s, np.asarray(y, float), np.asarray(v, int))]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in T.FOLD.split(", ")])
 
     made = [S.smoothed_folds(fit, smooth, cfg)] if smooth else []
     if wanted:
         ship(fit.sparkSession)
-        made.append(_dealt(fit.select("series_id", "idx", "y", "valid")).groupBy("series_id").applyInPandas(run, T.FOLD))
+        made.append(S.whole_series(fit).select("series_id", "y", "valid").mapInPandas(run, T.FOLD))
     return reduce(DataFrame.unionByName, made)
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows by series, in as many tasks as a shuffle has: few bytes and much work, which must not be merged into few tasks."""
-    return rows.repartition(spread(rows.sparkSession), "series_id")
-
-
 def fitted_forecasts(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """``series_id, model, step, point, sigma, grows`` of the chosen fitted models over the whole history (SEL10); a series may have several. A series too short for a model, and a fit that fails, give no rows."""
     ship(fit.sparkSession)
     h, m, enough, known = cfg.forecast.horizon, cfg.season, cfg.gate.seasonal_min_history, [n for n in (*T.FITTED, "HoltWinters") if n not in S.FORMS]
     grows, least = {n: g for n, (_, _, g) in T.FITTED.items()}, {n: k for n, (k, _, _) in T.FITTED.items()}
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        y, rows = pdf["y"].to_numpy(float), []
-        for name in pdf["models"].iloc[0]:
+    def points(series_id: str, y: np.ndarray, n_rel: int, models: list[str]) -> list[tuple]:
+        rows, made = [], {}
+        for name in models:
             if len(y) < least.get(name, 2 * m):
                 continue
             try:
-                got = fit_model(name, y, m, int(pdf["valid"].sum()) >= enough)
+                got = fit_model(name, y, m, n_rel >= enough, made)
                 ahead = np.asarray(got["ahead"](h), float)
             except (ValueError, IndexError, np.linalg.LinAlgError, FloatingPointError):
                 continue
             if np.isfinite(ahead).all():
                 sigma, wide = float(np.std(y - got["fits"])), bool(got.get("grows", grows.get(name, True)))
-                rows += [(key[0], name, i + 1, float(v), sigma, wide) for i, v in enumerate(ahead)]
-        return pd.DataFrame(rows, columns=["series_id", "model", "step", "point", "sigma", "grows"])
+                rows += [(series_id, name, i + 1, float(v), sigma, wide) for i, v in enumerate(ahead)]
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [r for s, y, k, names in zip(pdf["series_id"], pdf["y"], pdf["n_rel"], pdf["models"]) for r in points(s, np.asarray(y, float), int(k), list(names))]
+            yield pd.DataFrame(rows, columns=["series_id", "model", "step", "point", "sigma", "grows"])
 
     own = chosen.where(F.col("model").isin(*known)).groupBy("series_id").agg(F.sort_array(F.collect_set("model")).alias("models"))
-    made = _dealt(fit.select("series_id", "idx", "y", "valid").join(own, "series_id")).groupBy("series_id").applyInPandas(run, "series_id string, model string, step int, point double, sigma double, grows boolean")
+    made = S.whole_series(fit, own).select("series_id", "y", "n_rel", "models").mapInPandas(run, "series_id string, model string, step int, point double, sigma double, grows boolean")
     return made.unionByName(S.smoothed_forecasts(fit, chosen, cfg))

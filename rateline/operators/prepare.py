@@ -118,14 +118,18 @@ def build_series(raw: RawTables, cfg: EngineConfig = EngineConfig(), overrides:
     obs = obs.withColumn("is_low_driver", (relative & d.isNotNull() & ~enough).cast("int")).withColumn("is_derived", (derived & F.col("rate").isNotNull()).cast("int"))
     obs = obs.withColumn("series_id", series_id()).withColumn("period", period_label(F.col("period_start"), g)).withColumn("idx", F.row_number().over(IN_ORDER()) - 1)
     observations = obs.select("series_id", *KEYS, "period_start", "period", "idx", "qty_base", "qty_ton", "cost", "rate", "driver_qty", "target", "is_gap_filled", "is_reliable", "is_applicable", "is_low_driver", "is_derived", "is_orphan", "mode", "mode_source", F.col("_uom").alias("item_uom"))
+    return Prepared(series_of(observations, raw.consumption), observations, driver)
+
+
+def series_of(observations: DataFrame, consumption: DataFrame) -> DataFrame:
+    """A row a series, from ``observations`` (which may be stored ones) and the units of ``consumption``."""
     series = observations.groupBy("series_id", *KEYS, "mode", "mode_source", "item_uom").agg(
         F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.max("period_start").alias("last_start"), F.count(F.lit(1)).alias("n_periods"),
         F.sum(1 - F.col("is_gap_filled")).alias("n_observed"), F.sum("is_reliable").alias("n_reliable"), F.sum("is_applicable").alias("n_applicable"), F.max("is_orphan").alias("is_orphan"),
     )
-    uoms = raw.consumption.where("rate_uom IS NOT NULL").groupBy(*KEYS).agg(F.expr("mode() WITHIN GROUP (ORDER BY rate_uom)").alias("_r"))
+    uoms = consumption.where("rate_uom IS NOT NULL").groupBy(*KEYS).agg(F.expr("mode() WITHIN GROUP (ORDER BY rate_uom)").alias("_r"))
     same = [F.col(f"s.{k}").eqNullSafe(F.col(f"u.{k}")) for k in KEYS]
-    series = series.alias("s").join(uoms.alias("u"), same, "left").select("s.*", F.when(F.col("mode") == "relative", F.coalesce("_r", F.concat(F.coalesce("item_uom", F.lit("qty")), F.lit("/driver")))).otherwise(F.col("item_uom")).alias("target_uom")).drop("item_uom")
-    return Prepared(series, observations, driver)
+    return series.alias("s").join(uoms.alias("u"), same, "left").select("s.*", F.when(F.col("mode") == "relative", F.coalesce("_r", F.concat(F.coalesce("item_uom", F.lit("qty")), F.lit("/driver")))).otherwise(F.col("item_uom")).alias("target_uom")).drop("item_uom")
 
 
 def fit_targets(obs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Statistics are over applicable rows, or all rows of a series that has none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..shipping import ship
-from ..staging import spread
+from ..staging import dealt
 from . import regression as R
 
 ADI_CUT, CV2_CUT = 1.32, 0.49
@@ -140,19 +142,24 @@ def stationarity(rows: DataFrame, lag: int | None = None) -> DataFrame:
 
 
 def decomposition(rows: DataFrame, season: int = 12) -> DataFrame:
-    """PAT3 for each series, by one grouped function: ``trend_strength, seasonal_strength`` of a robust STL where there are two seasons and one more; and ``stationary`` (PAT4)."""
+    """PAT3 for each series, by one function over whole series: ``trend_strength, seasonal_strength`` of a robust STL where there are two seasons and one more; and ``stationary`` (PAT4)."""
     from ..functions.stats import stl
 
     ship(rows.sparkSession)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("idx")["target"].dropna().to_numpy(float)
+    def strengths(y: np.ndarray) -> tuple[float | None, float | None]:
         t = s = None
         if len(y) >= 2 * season + 1:
             trend_, seasonal, rest = stl(y, season)
             strength = lambda part: max(0.0, 1 - np.var(rest) / v) if (v := np.var(part + rest)) > 0 else 0.0
             t, s = float(strength(trend_)), float(strength(seasonal))
-        return pd.DataFrame({"series_id": [key[0]], "trend_strength": [t], "seasonal_strength": [s]})
+        return t, s
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(key, *strengths(y[~np.isnan(y)])) for key, y in zip(pdf["series_id"], (np.asarray(v, float) for v in pdf["y"]))]
+            yield pd.DataFrame(got, columns=["series_id", "trend_strength", "seasonal_strength"])
 
-    parts = rows.select("series_id", "idx", "target").repartition(spread(rows.sparkSession), "series_id").groupBy("series_id").applyInPandas(run, "series_id string, trend_strength double, seasonal_strength double")
+    whole = rows.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("target").cast("double").alias("y")))).alias("r")).select("series_id", F.col("r.y").alias("y"))
+    parts = dealt(whole).mapInPandas(run, "series_id string, trend_strength double, seasonal_strength double")
     return parts.join(stationarity(rows).select("series_id", "stationary"), "series_id", "left")

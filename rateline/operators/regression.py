@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import normal_cdf
-from ..staging import spread
+from ..staging import dealt
 
 #: Share of a column's own products under which what is left of it counts as explained by others.
 EXPLAINED = 1e-11
@@ -57,7 +57,7 @@ def unit_root(values: DataFrame, lag: int | None = None) -> DataFrame:
     ``12 (n / 100)^0.25``. Null where too few values are left, or nothing varies.
     """
     most = "least(cast(ceil(12 * pow(n / 100D, 0.25D)) AS INT), n div 2 - 2)" if lag is None else f"if(n >= {2 * lag + 4}, {lag}, -1)"
-    rows = values.select("series_id", F.col("y"), F.size("y").alias("n"), F.expr("transform(y, v -> v - aggregate(y, 0D, (s, x) -> s + x) / size(y))").alias("z")).repartition(spread(values.sparkSession), "series_id")
+    rows = dealt(values.select("series_id", F.col("y"), F.size("y").alias("n"), F.expr("transform(y, v -> v - aggregate(y, 0D, (s, x) -> s + x) / size(y))").alias("z")))
     rows = rows.withColumn("most", F.expr(f"cast({most} AS INT)")).where("most >= 0 AND array_max(y) > array_min(y)").withColumn("dz", F.expr("slice(transform(z, (v, i) -> v - get(z, i - 1)), 2, size(z))"))
     if lag is None:
         # The corner after each lag is swept in gives its AIC; the first least one is taken.
@@ -105,8 +105,8 @@ def _forward(n: str, budget: str, max_vif: float) -> str:
 def condition_arrays(ext: DataFrame, names: list[str]) -> DataFrame:
     """``series_id, past, future, use``: rows in order (``idx, y, valid, x``), and the places in ``x`` of the conditions that are complete over history and horizon and vary (CTX11); no series without any."""
     x = F.array(*[F.col(c).cast("double") for c in names])
-    rows = ext.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", "ahead", F.col("y").cast("double").alias("y"), F.col("valid").cast("int").alias("valid"), x.alias("x")))).alias("r")).repartition(spread(ext.sparkSession), "series_id")
-    rows = rows.select("series_id", F.expr("filter(r, e -> e.ahead = 0)").alias("past"), F.expr("filter(r, e -> e.ahead > 0)").alias("future"), "r")
+    rows = ext.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", "ahead", F.col("y").cast("double").alias("y"), F.col("valid").cast("int").alias("valid"), x.alias("x")))).alias("r"))
+    rows = dealt(rows).select("series_id", F.expr("filter(r, e -> e.ahead = 0)").alias("past"), F.expr("filter(r, e -> e.ahead > 0)").alias("future"), "r")
     whole = "forall(r, e -> e.x[j] IS NOT NULL AND NOT isnan(e.x[j]) AND abs(e.x[j]) < double('infinity'))"
     moved = "aggregate(transform(past, e -> e.x[j]), named_struct('s', 0D, 'ss', 0D), (a, v) -> named_struct('s', a.s + (v - past[0].x[j]), 'ss', a.ss + (v - past[0].x[j]) * (v - past[0].x[j])), a -> a.ss / size(past) - (a.s / size(past)) * (a.s / size(past)))"
     use = f"filter(sequence(0, {len(names) - 1}), j -> size(past) > 0 AND {whole} AND {moved} > 1e-24D)"

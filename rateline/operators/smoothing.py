@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..staging import spread
+from ..staging import dealt
 from . import backtest as T
 
 
@@ -153,16 +153,17 @@ def _errors(trend: bool, w: str, g: str, start: str) -> str:
     return f"aggregate({w}, {own}, (m, v) -> transform(array({new}), e -> named_struct('e', e, 'e2', m.e, 's1', m.s1 + e, 's2', m.s2 + e * e, 'n', m.n + 1D))[0], m -> {end})"
 
 
-def whole_series(fit: DataFrame) -> DataFrame:
-    """``series_id, y, valid, n, n_rel``: a row a series, its values in order.
+def whole_series(fit: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """``series_id, y, valid, n, n_rel``: a row a series, its values in order; with ``own`` its columns too, and only its series.
 
     The rows are dealt to as many tasks as the session has for a shuffle: they
     are small, but the work on each is not, and by their size alone they would
     be merged into a few tasks.
     """
     rows = fit.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("y").cast("double").alias("y"), F.col("valid").cast("int").alias("valid")))).alias("r"))
-    rows = rows.repartition(spread(fit.sparkSession), "series_id")
-    return rows.select("series_id", F.col("r.y").alias("y"), F.col("r.valid").alias("valid"), F.size("r").alias("n"), F.aggregate("r.valid", F.lit(0), lambda s, v: s + v).alias("n_rel"))
+    more = [] if own is None else [c for c in own.columns if c != "series_id"]
+    rows = dealt(rows if own is None else rows.join(own, "series_id"))
+    return rows.select("series_id", *more, F.col("r.y").alias("y"), F.col("r.valid").alias("valid"), F.size("r").alias("n"), F.aggregate("r.valid", F.lit(0), lambda s, v: s + v).alias("n_rel"))
 
 
 #: A straight line through the first ``o`` values by least squares: ``at`` the value at place 0, and ``slope``.
@@ -228,7 +229,7 @@ def smoothed_folds(fit: DataFrame, which: list[T.Candidate], cfg: EngineConfig =
 def smoothed_forecasts(fit: DataFrame, chosen: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """``series_id, model, step, point, sigma, grows`` of the chosen smoothed models over the whole history (SEL10); none for a series too short for its model."""
     own = chosen.where(F.col("model").isin(*FORMS)).groupBy("series_id").agg(F.collect_set("model").alias("models"))
-    rows, made = whole_series(fit).join(own, "series_id"), []
+    rows, made = whole_series(fit, own), []
     for name in FORMS:
         least, _, grows = T.FITTED[name]
         last = F.when(F.array_contains("models", name) & (F.col("n") >= max(least, 3)), F.col("n"))

@@ -143,12 +143,12 @@ def run_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = star_schema.load(spark, sf_dir)
     p = P.build_series(raw, CFG)
     obs = staged(p.observations, "observations")
-    series = staged(p.series.join(B.descriptive(B.applicable_rows(obs), CFG).select("series_id", "pattern_class"), "series_id"), "series")
+    series = staged(P.series_of(obs, raw.consumption).join(B.descriptive(B.applicable_rows(obs), CFG).select("series_id", "pattern_class"), "series_id"), "series")
     driver = staged(p.driver, "driver")
-    fit = P.fit_targets(obs)
+    fit = staged(P.fit_targets(obs), "fit")
     known = run.operating_conditions(fit, series, driver, raw.calendar, CFG)
     known.ext, known.diagnosis = staged(known.ext, "conditions"), staged(known.diagnosis, "diagnosis")
-    rated = run.with_rates(series, raw)
+    rated = staged(run.with_rates(series, raw), "rated")
     flat = staged(run.single_levels(fit, rated, raw, obs, CFG), "levels")
     scored = staged(run.scored_candidates(fit, rated, CFG, known), "scored")
     chosen = staged(run.selections(rated, flat, scored, CFG), "winners")

@@ -218,7 +218,7 @@ def _stages(spark: SparkSession, raw: RawTables, store: Repository, cfg: EngineC
     store.append("validation_result", run_id, V.preparation(obs))
     callbacks.at("analyse", 0.2)
     profile = B.profile(obs, cfg).join(B.decomposition(B.applicable_rows(obs), cfg.season), "series_id", "left")
-    series = store.replace("series", scoped(p.series, raw, cfg).join(profile.select("series_id", "pattern_class", "forecastability", "data_quality", "break_period", "adi", "cv2", "cv", "autocorr_lag1", "outlier_pct", "missing_pct", "trend_strength", "seasonal_strength", "stationary"), "series_id", "left"))
+    series = store.replace("series", scoped(P.series_of(obs, raw.consumption), raw, cfg).join(profile.select("series_id", "pattern_class", "forecastability", "data_quality", "break_period", "adi", "cv2", "cv", "autocorr_lag1", "outlier_pct", "missing_pct", "trend_strength", "seasonal_strength", "stationary"), "series_id", "left"))
     driver = store.replace("driver", p.driver)
     store.replace("item", raw.items)
     store.replace("standard_rate", raw.standard_rates)
@@ -230,7 +230,7 @@ def _stages(spark: SparkSession, raw: RawTables, store: Repository, cfg: EngineC
         known.ext = store.append("condition", run_id, known.ext).drop("run_id")
         known.diagnosis = store.replace("series_context", known.diagnosis)
     callbacks.at("select", 0.4)
-    rated = with_rates(series, raw)
+    rated = staged(with_rates(series, raw), "rated")
     flat = store.append("flat", run_id, single_levels(fit, rated, raw, obs, cfg)).drop("run_id")
     scored = store.append("validation", run_id, scored_candidates(fit, rated, cfg, known)).drop("run_id")
     chosen = store.append("winner", run_id, selections(rated, flat, scored, cfg)).drop("run_id")  # forecasts and reasons read it again

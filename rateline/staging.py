@@ -25,6 +25,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of much work each, one a series, dealt out in turn to ``spread`` tasks. By key, the exchange would be dropped wherever the rows lie by that key already, and what is left of it merged into one task."""
+    return rows.repartition(spread(rows.sparkSession))
+
+
 def spread(spark: SparkSession) -> int:
     """Tasks for a stage of few rows and much work, which must not be merged by their bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
