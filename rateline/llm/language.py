@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ HASH_BITS, EPOCHS, RUN, BATCH, SEED = 16, 4, 32, 64, 7
 #: A word is of the lexicon if so many training documents have it.
 LEXICON_DOCS = 3
 BLOCK, BATCH_WORDS, CACHE_WORDS = 64, 400_000, 300_000
+#: N-grams whose buckets a worker keeps, and new words whose features are summed together.
+CACHE_GRAMS, NEW_WORDS = 500_000, 20_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,6 +46,16 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
+class Buckets(dict):
+    """The bucket of each n-gram seen so far: few n-grams make up all words, so most are hashed once."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= CACHE_GRAMS:
+            self.clear()
+        at = self[gram] = xxhash.xxh32_intdigest(gram) & ((1 << HASH_BITS) - 1)
+        return at
+
+
 @dataclass
 class Field:
     """A trained field: weights of hashed features for each label, transitions, and the lexicon."""
@@ -53,35 +66,46 @@ class Field:
     first: np.ndarray
     lexicon: frozenset[str]
     cache: dict[str, int] = field(default_factory=dict)
-    known: list[np.ndarray] = field(default_factory=list)
+    buckets: Buckets = field(default_factory=Buckets)
+    #: Scores of the words in ``cache``, by their numbers; there is room for more.
+    scores: np.ndarray | None = None
 
     def features(self, word: str) -> list[int]:
         """Buckets of a word's features: prefixes and suffixes of 1 to 3, n-grams of 2 and 3 with the word's ends, the word itself if it is of the lexicon, and a constant."""
-        w, mask, h = f"^{word}$", (1 << HASH_BITS) - 1, xxhash.xxh32_intdigest
-        found = {w[i : i + 2] for i in range(len(w) - 1)} | {w[i : i + 3] for i in range(len(w) - 2)} | {"p" + word[:n] for n in (1, 2, 3)} | {"s" + word[-n:] for n in (1, 2, 3)} | {""}
+        w = f"^{word}$"
+        found = [w[i : i + 2] for i in range(len(w) - 1)]
+        found += [w[i : i + 3] for i in range(len(w) - 2)]
+        found += ["p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:], ""]
         if word in self.lexicon:
-            found.add("=" + word)
-        return [h(f) & mask for f in sorted(found)]
+            found.append("=" + word)
+        return list(map(self.buckets.__getitem__, dict.fromkeys(found)))
+
+    def _score(self, words: list[str]) -> None:
+        """Distinct words that are not in the cache, into it; their weights are summed together."""
+        used = len(self.cache)
+        if self.scores is None or used + len(words) > len(self.scores):
+            room = np.empty((2 * (used + len(words)), len(self.labels)), np.float32)
+            if used:
+                room[:used] = self.scores[:used]
+            self.scores = room
+        for lo in range(0, len(words), NEW_WORDS):
+            own = words[lo : lo + NEW_WORDS]
+            found = list(map(self.features, own))
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+            self.scores[used : used + len(own)] = np.add.reduceat(self.weights[flat], np.cumsum(size) - size, axis=0)
+            self.cache.update(zip(own, range(used, used + len(own))))
+            used += len(own)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each word for each label."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-            self.known.clear()
         at = list(map(self.cache.get, words))
         if None in at:
-            for i, (w, a) in enumerate(zip(words, at)):
-                if a is None:
-                    if (a := self.cache.get(w)) is None:
-                        a = self.cache[w] = len(self.known)
-                        self.known.append(self.weights[self.features(w)].sum(0))
-                    at[i] = a
-        return np.array([self.known[a] for a in at], np.float32) if len(at) < 1000 else self._table()[np.array(at)]
-
-    def _table(self) -> np.ndarray:
-        if len(getattr(self, "_rows", ())) != len(self.known):
-            self._rows = np.array(self.known, np.float32)
-        return self._rows
+            self._score(list(dict.fromkeys(w for w, a in zip(words, at) if a is None)))
+            at = list(map(self.cache.__getitem__, words))
+        return self.scores[np.array(at)]
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Each word's probabilities of the labels, by forward-backward over each whole text (none may be empty)."""
