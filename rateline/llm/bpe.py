@@ -55,6 +55,7 @@ class Encoder:
 
             self.lib = Tokenizer.from_file(path)
             self.size = self.lib.get_vocab_size()
+            self.bytes_of: np.ndarray | None = None
             self.lib.no_truncation()
             self.lib.no_padding()
             if cut:
@@ -73,6 +74,15 @@ class Encoder:
             return
         if kinds == BYTE_LEVEL and steps[0]["use_regex"] and norm is None:
             self.cuts = self.spaced = True
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            held = self.lib.get_vocab(with_added_tokens=False)
+            if held.keys() >= set(ByteLevel.alphabet()):  # no byte is left out, so tokens cover the text
+                # a character of a token is a byte of the text, but for added tokens, which stand as they are
+                self.bytes_of = np.zeros(1 + max(self.lib.get_vocab().values()), np.int64)
+                self.bytes_of[list(held.values())] = list(map(len, held))
+                for i, t in self.lib.get_added_tokens_decoder().items():
+                    self.bytes_of[i] = len(t.content.encode())
         elif kinds == SPLIT_LEVEL and steps[0].get("invert") and not steps[1]["use_regex"] and norm and [n["type"] for n in norm.get("normalizers", [])] == NORMALIZED and norm["normalizers"][1]["pattern"].get("Regex") == r"\s+" and r"[^\s" in steps[0]["pattern"]["Regex"]:
             self.cuts = True  # only what is no white space is matched at all
 
@@ -91,17 +101,26 @@ class Encoder:
         One call encodes all but the first and the last, strung together: each
         of these begins with a white space, or gets one, and ends with a
         visible character, so they may be strung as a text may be cut. Which
-        ids are whose is told by the library's offsets.
+        ids are whose is told by the bytes of tokens where no normal form
+        changes the text, and else by the library's offsets, which cost more.
         """
         new = {p: self._library(p) for p in (pieces[0], pieces[-1])}
         own = [p for p in dict.fromkeys(pieces) if p not in new]
         if own:
             space = "" if own[0][0] in " \n\t\r" else " "
-            e = self.lib.encode(space.join(own), add_special_tokens=False)
-            sizes, width = list(map(len, own)), self.dtype.itemsize
+            width, strung = self.dtype.itemsize, space.join(own)
+            if self.bytes_of is not None:
+                got = np.array(self.lib.encode_batch_fast([strung], add_special_tokens=False)[0].ids, self.dtype)
+                sizes = np.fromiter(map(len, own if strung.isascii() else map(str.encode, own)), np.int64, len(own))
+                to = np.cumsum(self.bytes_of[got])
+                starts = to - self.bytes_of[got]
+            else:
+                e = self.lib.encode(strung, add_special_tokens=False)
+                got = np.array(e.ids, self.dtype)
+                sizes = np.fromiter(map(len, own), np.int64, len(own))
+                starts = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e))[::2]
             ends = np.cumsum(sizes) + len(space) * np.arange(1, len(own) + 1)
-            starts = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e))[::2]
-            cuts, ids = (width * np.searchsorted(starts, ends)).tolist(), np.array(e.ids, self.dtype).tobytes()
+            cuts, ids = (width * np.searchsorted(starts, ends)).tolist(), got.tobytes()
             new.update(zip(own, [ids[x:y] for x, y in zip([0, *cuts], cuts)]))
         if len(self.kept) + len(new) > CACHE_PIECES:
             self.kept.clear()

@@ -1,7 +1,10 @@
 """Scores of words, ids of strung pieces and classes of anchors, each against a plain way."""
 
 import numpy as np
+
+from rateline.llm import bpe as B
 from rateline.llm import language as L
+from rateline.llm import suffix_dedup
 
 
 def test_new_words_are_scored_together_and_each_gram_is_hashed_once(monkeypatch):
@@ -17,3 +20,25 @@ def test_new_words_are_scored_together_and_each_gram_is_hashed_once(monkeypatch)
         assert np.allclose(got, [m.weights[m.features(w)].sum(0) for w in own], atol=1e-5)
     assert len(asked) == len(set(asked))
     assert len(m.features("banana")) == len(dict.fromkeys(["^b", "ba", "an", "na", "a$", "^ba", "ban", "ana", "nan", "na$", "pb", "pba", "pban", "sa", "sna", "sana", "", "=banana"]))
+
+
+def test_strung_pieces_are_parted_by_the_bytes_of_tokens():
+    e = B.Encoder(B.vocabulary("byte_bpe_50k.json"))
+    special = next(iter(e.lib.get_added_tokens_decoder().values())).content
+    assert e.bytes_of is not None
+    for text in ("Zürich ß naïve 你好 🙂🙂 end", f"a {special} b{special}c {special}", "one  two\n\tthree one two", "ǅ x y é é ﬁ"):
+        for _ in range(2):  # the second time from the cache
+            assert e.ids(text).tolist() == e.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_anchors_of_a_task_are_classed_whatever_the_order_of_documents(spark):
+    passage = "a passage of well over fifty bytes that stands in several documents, as it is"
+    docs = [(9, "x" * 20 + passage), (2, passage + "y" * 9), (5, passage), (7, "nothing of it here, but long enough to have an anchor of its own")]
+    for own in (docs, docs[::-1]):
+        rows = spark.createDataFrame(own, "doc long, text string").coalesce(1)
+        found = suffix_dedup._found(rows).collect()
+        assert {r["doc"] for r in found if r["c"] is not None} == {9, 2, 7} or {r["doc"] for r in found if r["c"] is not None} == {9, 2, 5, 7}
+        classes = [r["c"] for r in found if r["c"] is not None]
+        assert len(classes) == len(set(classes))
+        got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_spans(rows.withColumnRenamed("doc", "doc_id")).collect()}
+        assert got == {2: 0, 5: len(passage), 7: 0, 9: len(passage)}
