@@ -11,6 +11,11 @@ whole, since at such a cut
   without a break only, and no added token has white space in it or at its
   sides (checked when a file is loaded).
 
+Of new pieces most are a word with or without punctuation behind it. These are
+the matches of both patterns as they stand, so the library's model gets the
+word by itself, without the library's search for matches, which takes several
+times as long as the model.
+
 Ids of short pieces are kept in a bounded cache. Other files, and texts with
 characters that Python and the library might tell from white space differently,
 go to the library whole.
@@ -24,14 +29,21 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 #: Characters whose class is the same in every Unicode version at hand.
 PLAIN = r"\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ſЀ-џ‐-―‘-‟…€"
 _ODD = re.compile(f"[^{PLAIN}]")
 _PIECE = re.compile(r"\s*\S+|\s+")
+#: Of plain characters those that are letters, and a word with the punctuation behind it.
+LETTERS, MARKS = "".join(c for c in map(chr, range(0x530)) if c.isalpha() and not _ODD.match(c)), r"!-/:-@\[-`{-~"
+_WORD = re.compile(f"([ \t\n\r]?)([{LETTERS}]+)([{MARKS}]*)")
+_IN_WORD = re.compile(f"[{LETTERS}]*[{MARKS}]*")
 _ASCII_CUT = re.compile(r"(?<=[!-~])(?=[ \n])")
-#: Pieces whose ids a worker keeps, and how long a kept one may be; the cache is emptied when it is full.
+#: Pieces whose ids a worker keeps, and how long a kept one may be. Half of them are new or used since the other half was full; then the other half is forgotten.
 CACHE_PIECES, CACHE_CHARS = 600_000, 48
+#: Bytes of text whose pieces are told apart together.
+TOGETHER = 2 << 20
 #: The pattern of the byte-level step where the file does not name one, and the steps before a named one.
 BYTE_LEVEL = ["ByteLevel"]
 SPLIT_LEVEL, NORMALIZED = ["Split", "ByteLevel"], ["NFC", "Replace", "Lowercase"]
@@ -45,6 +57,7 @@ class Encoder:
         self.path, self.kind = path, "sentencepiece" if path.endswith(".model") else "tokenizers"
         self.cuts = self.spaced = False
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if self.kind == "sentencepiece":
             import sentencepiece
 
@@ -56,12 +69,25 @@ class Encoder:
             self.lib = Tokenizer.from_file(path)
             self.size = self.lib.get_vocab_size()
             self.bytes_of: np.ndarray | None = None
+            self.words = False
             self.lib.no_truncation()
             self.lib.no_padding()
             if cut:
                 with open(path, encoding="utf-8") as f:
                     self._look(json.load(f))
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        if self.cuts and self.words:
+            from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
+
+            look = ByteLevel(add_prefix_space=False, use_regex=False)
+            # how the byte-level step writes a character, the model alone, and how much of a match a token is
+            self.written = {ord(c): look.pre_tokenize_str(c)[0][0] for c in LETTERS + " \t\n\r"}
+            self.matcher = Tokenizer(self.lib.model)
+            self.matcher.pre_tokenizer = CharDelimiterSplit("\n")
+            held = self.lib.get_vocab(with_added_tokens=False)
+            self.chars_of = np.zeros(1 + max(held.values()), np.int64)
+            self.chars_of[list(held.values())] = [len(t) - self.tail * t.endswith("</w>") for t in held]
 
     def _look(self, spec: dict) -> None:
         """Whether this file's texts may be cut, and whether white space before a piece matters."""
@@ -69,13 +95,13 @@ class Encoder:
         steps, added = pre.get("pretokenizers", [pre]), spec.get("added_tokens", [])
         if model.get("type") != "BPE" or model.get("dropout") or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added):
             return
+        from tokenizers.pre_tokenizers import ByteLevel
+
         kinds = [s.get("type") for s in steps]
         if any(s.get("add_prefix_space") for s in steps):
             return
         if kinds == BYTE_LEVEL and steps[0]["use_regex"] and norm is None:
             self.cuts = self.spaced = True
-            from tokenizers.pre_tokenizers import ByteLevel
-
             held = self.lib.get_vocab(with_added_tokens=False)
             if held.keys() >= set(ByteLevel.alphabet()):  # no byte is left out, so tokens cover the text
                 # a character of a token is a byte of the text, but for added tokens, which stand as they are
@@ -85,6 +111,9 @@ class Encoder:
                     self.bytes_of[i] = len(t.content.encode())
         elif kinds == SPLIT_LEVEL and steps[0].get("invert") and not steps[1]["use_regex"] and norm and [n["type"] for n in norm.get("normalizers", [])] == NORMALIZED and norm["normalizers"][1]["pattern"].get("Regex") == r"\s+" and r"[^\s" in steps[0]["pattern"]["Regex"]:
             self.cuts = True  # only what is no white space is matched at all
+        end = model.get("end_of_word_suffix") or ""
+        self.tail = len(end)
+        self.words = end in ("", "</w>") and not model.get("continuing_subword_prefix") and self.lib.get_vocab(with_added_tokens=False).keys() >= {c + e for c in ByteLevel.alphabet() for e in {"", end}} and not any(_IN_WORD.fullmatch(t["content"]) for t in added)
 
     def _pieces(self, text: str) -> list[str]:
         if _ODD.search(text):
@@ -95,19 +124,50 @@ class Encoder:
         ids = self.lib.encode(text, num_threads=1) if self.kind == "sentencepiece" else self.lib.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
+    def _parts(self, lead: str, word: str, marks: str) -> list[str]:
+        """The matches of the pattern in a word with white space before it, which only a space is matched with, and then not by all layouts, and punctuation behind it."""
+        own = [lead + word] if lead == " " and self.spaced else [lead, word] if lead and self.spaced else [word]
+        return [*own, marks] if marks else own
+
+    def _matches(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of single matches of the pattern, in one call of the library's model. Tokens cover a match, so their lengths tell which are whose."""
+        asked = [(p if self.spaced else p.lower()).translate(self.written) for p in parts]
+        got = np.array(self.matcher.encode_batch_fast(["\n".join(asked)], add_special_tokens=False)[0].ids, self.dtype)
+        width, ends = self.dtype.itemsize, np.cumsum(np.fromiter(map(len, asked), np.int64, len(asked)))
+        cuts, ids = (width * (np.searchsorted(np.cumsum(self.chars_of[got]), ends) + 1)).tolist(), got.tobytes()
+        return dict(zip(parts, [ids[x:y] for x, y in zip([0, *cuts], cuts)]))
+
     def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are not kept, into the cache if they are short.
 
-        One call encodes all but the first and the last, strung together: each
-        of these begins with a white space, or gets one, and ends with a
-        visible character, so they may be strung as a text may be cut. Which
+        Words are settled by themselves. One call encodes all others that begin
+        with a white space, or may get one, and end with a visible character:
+        they may be strung together as a text may be cut. Which
         ids are whose is told by the bytes of tokens where no normal form
         changes the text, and else by the library's offsets, which cost more.
         """
-        new = {p: self._library(p) for p in (pieces[0], pieces[-1])}
-        own = [p for p in dict.fromkeys(pieces) if p not in new]
+        new, own, words = {}, [], {}
+        if len(self.kept) + len(pieces) > CACHE_PIECES // 2:
+            self.kept, self.older = {}, self.kept
+        for p in dict.fromkeys(pieces):
+            if (got := self.older.get(p)) is not None:
+                new[p] = got
+            elif self.words and (m := _WORD.fullmatch(p)):
+                words[p] = self._parts(*m.groups())
+            elif (p[0] in " \n\t\r" or not self.spaced) and p[-1] > " " and not _ODD.match(p[-1]):
+                own.append(p)
+            else:
+                new[p] = self._library(p)
+        if words:
+            known = {}
+            for x in dict.fromkeys(chain.from_iterable(words.values())):
+                known[x] = self.kept.get(x) or self.older.get(x)
+            if None in known.values():
+                known.update(self._matches([x for x, g in known.items() if g is None]))
+            new.update((p, known[x[0]] if len(x) == 1 else b"".join([known[y] for y in x])) for p, x in words.items())
+            self.kept.update((x, g) for x, g in known.items() if len(x) <= CACHE_CHARS)
         if own:
-            space = "" if own[0][0] in " \n\t\r" else " "
+            space = "" if self.spaced else " "
             width, strung = self.dtype.itemsize, space.join(own)
             if self.bytes_of is not None:
                 got = np.array(self.lib.encode_batch_fast([strung], add_special_tokens=False)[0].ids, self.dtype)
@@ -122,8 +182,6 @@ class Encoder:
             ends = np.cumsum(sizes) + len(space) * np.arange(1, len(own) + 1)
             cuts, ids = (width * np.searchsorted(starts, ends)).tolist(), got.tobytes()
             new.update(zip(own, [ids[x:y] for x, y in zip([0, *cuts], cuts)]))
-        if len(self.kept) + len(new) > CACHE_PIECES:
-            self.kept.clear()
         self.kept.update(new if max(map(len, new)) <= CACHE_CHARS else {p: i for p, i in new.items() if len(p) <= CACHE_CHARS})
         return new
 
@@ -138,6 +196,64 @@ class Encoder:
             got = [new[p] if g is None else g for p, g in zip(pieces, got)]
         return b"".join(got)
 
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """``packed`` of each text. Pieces are told apart and their ids put together for many texts at once."""
+        if not self.cuts:
+            return [self._library(t) for t in texts]
+        out = [b""] * len(texts)
+        groups: dict[bool, list[int]] = {False: [], True: []}
+        held = {False: 0, True: 0}
+
+        def settle(odd: bool) -> None:
+            for i, ids in zip(groups[odd], self._together([texts[i] for i in groups[odd]], odd) if groups[odd] else ()):
+                out[i] = ids
+            groups[odd], held[odd] = [], 0
+
+        for i, t in enumerate(texts):
+            if len(t) > TOGETHER:
+                out[i] = self.packed(t)
+            elif t:
+                odd = _ODD.search(t) is not None
+                groups[odd].append(i)
+                held[odd] += len(t)
+                if held[odd] >= TOGETHER:
+                    settle(odd)
+        settle(False)
+        settle(True)
+        return out
+
+    def _together(self, texts: list[str], odd: bool) -> list[bytes]:
+        """``packed`` of texts that are not empty, all with or all without characters that are not plain. They are cut as ``_pieces`` cuts."""
+        data = [t.encode() for t in texts]
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        starts = np.append(0, ends[:-1])
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        space = (flat == 32) | (flat == 10)
+        if odd:
+            visible = (flat > 32) & (flat < 127)
+        else:
+            space |= (flat == 9) | (flat == 13)
+            visible = ~space
+            if not self.spaced:  # one kind of white space makes fewer unlike pieces
+                flat = np.where(space, np.uint8(32), flat)
+        cut = np.zeros(len(flat), bool)
+        cut[1:] = space[1:] & visible[:-1]
+        cut[starts] = True
+        at = np.flatnonzero(cut)
+        told = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(at, len(flat)).astype(np.int32)), pa.py_buffer(flat)]).dictionary_encode()
+        which, pieces = told.indices.to_numpy(), told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.kept.get, pieces))
+        if None in got:
+            new = self._encoded([p for p, g in zip(pieces, got) if g is None])
+            got = [new[p] if g is None else g for p, g in zip(pieces, got)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        first, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        before = np.append(0, np.cumsum(n))
+        ids = np.frombuffer(b"".join(got), self.dtype)[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
+        bounds = (self.dtype.itemsize * before[np.append(np.searchsorted(at, starts), len(at))]).tolist()
+        packed = ids.tobytes()
+        return [packed[x:y] for x, y in zip(bounds, bounds[1:])]
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), dtype=self.dtype)
 

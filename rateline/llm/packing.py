@@ -110,8 +110,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | N
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                ids = enc.ids(t or "").astype("<u4").tobytes() + tail
+            for i, packed in enumerate(enc.packed_all([t or "" for t in batch.column(1).to_pylist()])):
+                ids = np.frombuffer(packed, enc.dtype).astype("<u4").tobytes() + tail
                 at, n, piece = 0, len(ids) // 4, 0
                 while at < n:
                     to = at + ((n - at) % capacity or capacity)

@@ -1,6 +1,7 @@
 """Scores of words, ids of strung pieces and classes of anchors, each against a plain way."""
 
 import numpy as np
+import pytest
 
 from rateline.llm import bpe as B
 from rateline.llm import language as L
@@ -31,6 +32,27 @@ def test_strung_pieces_are_parted_by_the_bytes_of_tokens():
             assert e.ids(text).tolist() == e.lib.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_encoded_together_ask_the_model_for_each_word_once(name, monkeypatch):
+    e, plain = B.Encoder(B.vocabulary(name)), B.Encoder(B.vocabulary(name), cut=False)
+    texts = ["Zürich lies there, naïve Zürich lies.", "", " there\n\tlies Zürich, it's <|endoftext|> 12 b", "naïve\nnaïve### ", "你好 é é lies, naïve", "ſ Ñ. don't' 'LL \r\n x"]
+    want = [plain.packed(t) for t in texts]
+    for together in (B.TOGETHER, 20):
+        monkeypatch.setattr(B, "TOGETHER", together)
+        assert e.packed_all(texts) == want
+    asked = []
+
+    class Matcher:
+        def encode_batch_fast(self, texts, add_special_tokens, lib=e.matcher):
+            asked.extend(w for t in texts for w in t.split("\n"))
+            return lib.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    e = B.Encoder(B.vocabulary(name))
+    e.matcher, e.lib = Matcher(), None  # words and punctuation do not need the rest of the library
+    assert e.packed_all([" there, naïve lies", " naïve. there lies### lies,"] * 9) == [plain.packed(t) for t in (" there, naïve lies", " naïve. there lies### lies,")] * 9
+    assert len(asked) == len(set(asked)) == 6
+
+
 def test_anchors_of_a_task_are_classed_whatever_the_order_of_documents(spark):
     passage = "a passage of well over fifty bytes that stands in several documents, as it is"
     docs = [(9, "x" * 20 + passage), (2, passage + "y" * 9), (5, passage), (7, "nothing of it here, but long enough to have an anchor of its own")]
