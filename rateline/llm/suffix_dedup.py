@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ BEFORE = SPAN - GRAM
 WIDE = BEFORE + SPAN
 #: Window starts that are looked at together, anchors that a task combines together, and rows that are sorted together at least.
 PIECE, HELD, SORTED = 1 << 20, 1 << 20, 200_000
+#: Bytes of text whose anchors are sought together, and what parts the texts then.
+SOUGHT, GAP = 1 << 18, bytes(SPAN)
 #: Neighbourhoods of one gram, and of one gram and context, that are sorted together at most.
 CROWD, CONTEXT_CROWD = 2_000, 50_000
 #: Bytes beside the gram that equal strings share on one side at least.
@@ -78,14 +81,16 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return _mixed(g)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and gram hashes of the anchors of a byte array."""
+def anchors(data: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and gram hashes of the anchors of a byte array; of several texts in one, those in windows that are whole in a text (``whole``, for each window's start)."""
     windows = len(data) - SPAN + 1
     at, hashes = [], []
     for lo in range(0, max(0, windows), PIECE):
         hi = min(windows, lo + PIECE)
         g = _grams(data[lo : hi + SPAN - 1])
         least = _slide(g, SPAN - GRAM + 1, np.minimum)
+        if whole is not None:
+            least = np.where(whole[lo:hi], least, np.uint64(0))
         edge = np.zeros(BEFORE, np.uint64)
         most = _slide(np.concatenate([edge, least, edge]), SPAN - GRAM + 1, np.maximum)
         own = np.flatnonzero(most == g)
@@ -99,11 +104,31 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, np.concatenate(hashes)[first]
 
 
-def _around(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbourhoods, padded with zeros, and how far each really reaches before and from the anchor."""
-    padded = np.zeros(len(data) + WIDE, np.uint8)
-    padded[BEFORE : BEFORE + len(data)] = data
-    return np.lib.stride_tricks.sliding_window_view(padded, WIDE)[at], np.minimum(at, BEFORE), np.minimum(len(data) - at, SPAN)
+def _joined(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in one array with zeros before, between and behind them, and where they start and how long they are."""
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    return np.frombuffer(GAP.join([b"", *data, b""]), np.uint8), np.cumsum(sizes + SPAN) - sizes, sizes
+
+
+def _around(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbourhoods of places in joined texts, padded with zeros, and how far each really reaches before and from the anchor."""
+    return np.lib.stride_tricks.sliding_window_view(flat, WIDE)[start + at - BEFORE], np.minimum(at, BEFORE), np.minimum(size - at, SPAN)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes, each as one value."""
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, rows.size + 1, WIDE, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _rows(near: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The other way round."""
+    return np.frombuffer(b"".join(near.to_numpy(zero_copy_only=False) if isinstance(near, pa.Array) else near.to_numpy()), np.uint8).reshape(-1, WIDE)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many structs each row of a column of lists has (null: none), and the structs' fields, one row after another."""
+    flat = column.flatten()
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), [flat.field(i).to_numpy(zero_copy_only=False) for i in range(2)]
 
 
 def _hashed(rows: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -158,21 +183,39 @@ def _found(docs: DataFrame) -> DataFrame:
                 third = pa.nulls(n, pa.int64()) if cs is None else pa.array(cs[s].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(gs[s].view(np.int64)), third, *(pa.array(x[s].astype(np.int64)) for x in rest[: len(names) - 2])], names=names)
 
+    def found(data: list[bytes], of: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+        flat, start, size = _joined(data)
+        whole = np.zeros(len(flat) - SPAN + 1, bool)
+        for x, n in zip(start.tolist(), size.tolist()):
+            whole[x : x + n - SPAN + 1] = True
+        at, g = anchors(flat, whole)
+        which = np.searchsorted(start, at, "right") - 1
+        at = at - start[which]
+        rows, left, right = _around(flat, start[which], size[which], at)
+        doc, rid = np.array(of, np.int64)[which].T
+        return g, _class(rows, left, right), doc, rid, at, left * 64 + right
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
+            data, of, sought = [], [], 0
             for doc, text, rid in zip(columns[0], columns[1], columns[-1] if several else columns[0]):
-                if not text or len(data := np.frombuffer(text.encode(), np.uint8)) < SPAN:
-                    continue
-                at, g = anchors(data)
-                rows, left, right = _around(data, at)
-                held.append((g, _class(rows, left, right), np.full(len(at), doc, np.int64), np.full(len(at), rid, np.int64), at, left * 64 + right))
-                size += len(at)
+                if text and len(own := text.encode()) >= SPAN:
+                    data.append(own)
+                    of.append((doc, rid))
+                    sought += len(own)
+                if sought >= SOUGHT:
+                    held.append(found(data, of))
+                    size += len(held[-1][0])
+                    data, of, sought = [], [], 0
                 if size >= HELD:
                     yield from combined(*map(np.concatenate, zip(*held)))
                     held, size = [], 0
+            if data:
+                held.append(found(data, of))
+                size += len(held[-1][0])
         if held:
             yield from combined(*map(np.concatenate, zip(*held)))
 
@@ -218,7 +261,7 @@ def _by_strings(near: DataFrame) -> DataFrame:
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, rid, at, reach = (batch.column(i).to_numpy() for i in range(4))
-            rows = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, WIDE)
+            rows = _rows(batch.column(4))
             for o in range(BEFORE + 1):
                 own = np.flatnonzero((reach // 64 >= o) & (reach % 64 >= SPAN - o))
                 h = _hashed(rows[own, BEFORE - o : BEFORE - o + SPAN], np.full(len(own), o + 1))
@@ -235,7 +278,7 @@ def _edges(near: DataFrame) -> DataFrame:
 
     def spans(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        rows = np.frombuffer(b"".join(t["near"].to_pylist()), np.uint8).reshape(-1, WIDE)
+        rows = _rows(t["near"])
         reach, at = t["reach"].to_numpy(), t["at"].to_numpy()
         least, most = repeated(rows, reach // 64, reach % 64, t["doc"].to_numpy())
         own = least >= 0
@@ -304,20 +347,20 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, doc, text, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data = np.frombuffer(text.encode(), np.uint8)
-                for lo in range(0, len(own), 50_000):
-                    some = own[lo : lo + 50_000]
-                    at, reach = np.array([p["a"] for p in some], np.int64), np.array([p["reach"] for p in some], np.int64)
-                    near, left, right = _around(data, at)
-                    g = _grams(near[:, BEFORE : BEFORE + GRAM])[:, 0]
-                    plain, many = np.flatnonzero(reach < REACH), np.flatnonzero(reach >= REACH)
-                    which, keys = _contexts(near[many], left[many], right[many], g[many])
-                    to, ks = np.concatenate([plain, many[which]]), np.concatenate([g[plain], keys]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ks), pa.array(np.full(len(to), doc)), pa.array(np.full(len(to), rid)), pa.array(at[to]), pa.array(reach[to] % REACH), pa.array([r.tobytes() for r in near[to]], pa.binary()), pa.array(np.arange(len(to)) >= len(plain))],
-                        names=["k", "doc", "rid", "at", "reach", "near", "context"],
-                    )
+            counts, (places_, reaches) = _lists(batch.column(3))
+            flat, start, size = _joined([t.encode() for t in batch.column(2).to_pylist()])
+            which, rids, docs_ = np.repeat(np.arange(len(counts)), counts), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo in range(0, len(which), 50_000):
+                own, at, reach = (x[lo : lo + 50_000] for x in (which, places_, reaches))
+                near, left, right = _around(flat, start[own], size[own], at)
+                g = _grams(near[:, BEFORE : BEFORE + GRAM])[:, 0]
+                plain, many = np.flatnonzero(reach < REACH), np.flatnonzero(reach >= REACH)
+                some, keys = _contexts(near[many], left[many], right[many], g[many])
+                to, ks = np.concatenate([plain, many[some]]), np.concatenate([g[plain], keys]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ks), pa.array(docs_[own[to]]), pa.array(rids[own[to]]), pa.array(at[to]), pa.array(reach[to] % REACH), _binary(near[to]), pa.array(np.arange(len(to)) >= len(plain))],
+                    names=["k", "doc", "rid", "at", "reach", "near", "context"],
+                )
 
     near = distinct.join(places, "rid").select("rid", "doc", "text", "places").mapInArrow(neighbourhoods, "k long, doc long, rid long, at long, reach long, near binary, context boolean")
     near = written(near, "neighbourhoods")
@@ -333,9 +376,11 @@ def dedup_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = (text or "").encode()
-                _, a, b = _merged(np.zeros(len(own or ()), np.int64), np.array([s["a"] for s in own or ()], np.int64), np.array([s["b"] for s in own or ()], np.int64))
+            counts, (starts, stops) = _lists(batch.column(2))
+            of, a_, b_ = _merged(np.repeat(np.arange(len(counts)), counts), starts, stops)
+            bounds = np.searchsorted(of, np.arange(len(counts) + 1)).tolist()
+            for text, lo, hi in zip(batch.column(1).to_pylist(), bounds, bounds[1:]):
+                data, a, b = (text or "").encode(), a_[lo:hi], b_[lo:hi]
                 ends = [0, *(x for s in zip(a.tolist(), b.tolist()) for x in s), len(data)]
                 out.append((len(data), int((b - a).sum()), len(a), b"".join(data[x:y] for x, y in zip(ends[::2], ends[1::2]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary())))] if out else [batch.column(0), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])

@@ -64,3 +64,24 @@ def test_anchors_of_a_task_are_classed_whatever_the_order_of_documents(spark):
         assert len(classes) == len(set(classes))
         got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_spans(rows.withColumnRenamed("doc", "doc_id")).collect()}
         assert got == {2: 0, 5: len(passage), 7: 0, 9: len(passage)}
+
+
+def test_anchors_of_joined_texts_are_those_of_each_text(monkeypatch):
+    rng = np.random.default_rng(8)
+    data = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (50, 51, 300, 84, 1000, 50)] + [b"-" * 120, bytes(60), bytes(rng.integers(0, 256, 400, dtype=np.uint8))]
+    for piece in (suffix_dedup.PIECE, 70):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        flat, start, size = suffix_dedup._joined(data)
+        whole = np.zeros(len(flat) - suffix_dedup.SPAN + 1, bool)
+        for x, n in zip(start, size):
+            whole[x : x + n - suffix_dedup.SPAN + 1] = True
+        at, g = suffix_dedup.anchors(flat, whole)
+        which = np.searchsorted(start, at, "right") - 1
+        for i, own in enumerate(data):
+            places, hashes = suffix_dedup.anchors(np.frombuffer(own, np.uint8))
+            assert np.array_equal(at[which == i] - start[i], places) and np.array_equal(g[which == i], hashes)
+            rows, left, right = suffix_dedup._around(flat, start[which][which == i], size[which][which == i], places)
+            padded = bytes(suffix_dedup.BEFORE) + own + bytes(suffix_dedup.SPAN)
+            assert [r.tobytes() for r in rows] == [padded[p : p + suffix_dedup.WIDE] for p in places]
+            assert left.tolist() == [min(p, suffix_dedup.BEFORE) for p in places] and right.tolist() == [min(len(own) - p, suffix_dedup.SPAN) for p in places]
+            assert suffix_dedup._rows(suffix_dedup._binary(rows)).tolist() == rows.tolist()
