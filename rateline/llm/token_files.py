@@ -82,10 +82,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
             idx_out.write(np.array([0], "<u8").tobytes())
             for batch in batches:
                 sizes = []
-                for t in batch.column(1):
-                    ids = enc.packed(t.as_py() or "") + tail
-                    ids_out.write(ids)
-                    sizes.append(len(ids) // width)
+                for ids in enc.packed_all([t or "" for t in batch.column(1).to_pylist()]):
+                    ids_out.write(ids + tail)
+                    sizes.append((len(ids) + len(tail)) // width)
                 ends = at + np.cumsum(sizes, dtype=np.int64)
                 idx_out.write(ends.astype("<u8").tobytes())
                 key_out.write(batch.column(0).fill_null(NULL_KEY).to_numpy().astype("<i8").tobytes())
