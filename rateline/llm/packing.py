@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary
+from .bpe import encoder, packed_batches, vocabulary
 from .common import small_batches, table, written
 
 #: A table of counts by partition and length is broadcast up to this size, and joined by key beyond it; and what a row of it takes once it is hashed.
@@ -108,9 +108,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(vocabulary(tokenizer)), TaskContext.get().partitionId(), Counter()
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch, all_ids in packed_batches(enc.packed_all, batches, 1):
             rows = []
-            for i, packed in enumerate(enc.packed_all([t or "" for t in batch.column(1).to_pylist()])):
+            for i, packed in enumerate(all_ids):
                 ids = np.frombuffer(packed, enc.dtype).astype("<u4").tobytes() + tail
                 at, n, piece = 0, len(ids) // 4, 0
                 while at < n:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import Encoder, encoder, vocabulary
+from .bpe import Encoder, encoder, packed_batches, vocabulary
 from .common import small_batches, table
 
 CHUNK_CHARS, OVERLAP_CHARS = 65_536, 512
@@ -91,9 +91,11 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary(tokenizer))
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            counts = [0 if not t else sum(map(len, resynchronised(enc, t, chunk, overlap))) for t in texts]
+        huge = lambda t: len(t) > chunk + overlap and enc.kind == "tokenizers"
+        at = len(keep)
+        for batch, ids in packed_batches(lambda texts: enc.packed_all(["" if huge(t) else t for t in texts]), batches, at):
+            texts = batch.column(at).to_pylist()
+            counts = [sum(map(len, resynchronised(enc, t, chunk, overlap))) if t and huge(t) else len(i) // enc.dtype.itemsize for t, i in zip(texts, ids)]
             n_bytes = [0 if not t else len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],

@@ -53,6 +53,40 @@ def test_texts_encoded_together_ask_the_model_for_each_word_once(name, monkeypat
     assert len(asked) == len(set(asked)) == 6
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_numbers_white_space_and_joined_words_need_no_search_for_matches(name, monkeypatch):
+    """Only an apostrophe before a letter, and characters of no known class, go to the library as texts."""
+    plain = B.Encoder(B.vocabulary(name), cut=False)
+    texts = ["On 12.5.2024,  a-b (x_y)\n\n\tz9 Größe/größe", "", " \n", "x\t7\r\n", "3 \n4 ### 'quoted' '12"]
+    want = [plain.packed(t) for t in texts]
+    e, lib = B.Encoder(B.vocabulary(name)), plain.lib
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return lib.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    e.lib = Library()
+    assert e.packed_all(texts) == want and asked == [" 'quoted"]
+    other = "it's a\u0301 x"
+    assert e.packed_all([other, *texts]) == [plain.packed(other), *want] and asked == [" 'quoted", "'s", " a\u0301"]
+    monkeypatch.setattr(B, "CACHE_PIECES", 3)
+    for _ in range(2):
+        assert e.packed_all(texts) == want and len(e.kept) == len(e.kept_ids) <= 3
+
+
+def test_batches_are_encoded_in_groups_and_given_back_as_they_were(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "TOGETHER", 30)
+    batches = [pa.RecordBatch.from_pydict({"i": [i, i + 1], "t": [t, None]}, schema=pa.schema([("i", pa.int64()), ("t", pa.string())])) for i, t in enumerate(["a b", "c" * 40, "", "d"])] + [pa.RecordBatch.from_pydict({"i": pa.array([], pa.int64()), "t": pa.array([], pa.string())})]
+    calls = []
+    got = list(B.packed_batches(lambda texts: calls.append(texts) or [t.encode() for t in texts], iter(batches), 1))
+    assert [b.to_pydict() for b, _ in got] == [b.to_pydict() for b in batches]
+    assert [ids for _, ids in got] == [[b"a b", b""], [b"c" * 40, b""], [b"", b""], [b"d", b""], []] and len(calls) == 2
+
+
 def test_anchors_of_a_task_are_classed_whatever_the_order_of_documents(spark):
     passage = "a passage of well over fifty bytes that stands in several documents, as it is"
     docs = [(9, "x" * 20 + passage), (2, passage + "y" * 9), (5, passage), (7, "nothing of it here, but long enough to have an anchor of its own")]
