@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary
+from .bpe import encoder, packed_batches, vocabulary
 from .common import KeyRanges, partitions_for, scratch, small_batches, table, written
 
 NULL_KEY = -(1 << 63)
@@ -80,9 +80,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         n = at = 0
         with where.open_output_stream(f"{stem}.bin{own}") as ids_out, where.open_output_stream(f"{stem}.idx{own}") as idx_out, where.open_output_stream(f"{stem}.key{own}") as key_out:
             idx_out.write(np.array([0], "<u8").tobytes())
-            for batch in batches:
+            for batch, all_ids in packed_batches(enc.packed_all, batches, 1):
                 sizes = []
-                for ids in enc.packed_all([t or "" for t in batch.column(1).to_pylist()]):
+                for ids in all_ids:
                     ids_out.write(ids + tail)
                     sizes.append((len(ids) + len(tail)) // width)
                 ends = at + np.cumsum(sizes, dtype=np.int64)
