@@ -195,13 +195,13 @@ class Words:
         self.kept, self.kept_ids = words.take(some), ids.take(some)
 
 
-def in_order(one: np.ndarray, whole: pa.Array, others: list[bytes]) -> pa.Array:
+def in_order(one: np.ndarray, whole: pa.Array, others: pa.Array) -> pa.Array:
     """Ids in the order of pieces: those of which ``one`` is true, and the others."""
-    if not others:
+    if not len(others):
         return whole
     place = np.empty(len(one), np.int64)
     place[one], place[~one] = np.arange(len(whole)), len(whole) + np.arange(len(others))
-    return pa.concat_arrays([whole, pa.array(others, pa.binary())]).take(pa.array(place))
+    return pa.concat_arrays([whole, others]).take(pa.array(place))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[pa.RecordBatch]]:
@@ -297,7 +297,7 @@ class Encoder(Words):
         got = np.array(self.matcher.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], self.dtype)
         cuts = np.append(0, np.searchsorted(np.cumsum(self.bytes_of[got]), ends, "right"))
         others = pieces.filter(pa.array(~one)).to_pylist()
-        return in_order(one, binaries(got, self.dtype.itemsize * cuts), [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(others, add_special_tokens=False)] if others else [])
+        return in_order(one, binaries(got, self.dtype.itemsize * cuts), pa.array([np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(others, add_special_tokens=False)] if others else [], pa.binary()))
 
     def packed(self, text: str) -> bytes:
         """The ids of the whole text, packed as ``dtype``."""

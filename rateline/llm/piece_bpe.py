@@ -22,12 +22,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PLAIN, vocabulary
+from .bpe import ByteLetters, Words, binaries, byte_characters, in_order, packed_batches, parts_of, single, vocabulary
 from .common import small_batches, table
 
 #: A character that no byte is mapped to: the piece that the format demands for what is unknown, which no text can hold.
@@ -39,21 +39,13 @@ MODEL_TYPE, VOCAB_SIZE, UNK_ID, BOS_ID, EOS_ID, PAD_ID, TYPE_BPE = 3, 4, 40, 41,
 NAME, DUMMY_PREFIX, FEWER_SPACES, ESCAPED_SPACES = 1, 3, 4, 5
 #: Letters and digits that Unicode has had since version 17 only, and the library of the rank files does not know.
 NEWER = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+#: The pattern that the cuts of ``Words`` hold for.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A character that is no letter, digit or white space, in their place while a text is cut.
 NO_LETTER = "\uffff"
-#: Stretches of text whose ids a worker keeps, and how long a kept one may be; the cache is emptied when it is full.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
-_ODD, _STRETCH, _ASCII_CUT = re.compile(f"[^{PLAIN}]"), re.compile(r"\s*\S+|\s+"), re.compile(r"(?<=[!-~])(?=[ \n])")
 _CACHED: dict[tuple[str, str | None], "PieceBPE"] = {}
 
 
-def byte_characters() -> str:
-    """256 visible characters, one a byte: a byte that is one in Latin-1 stands for itself, the others are numbered from U+0100 on."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return "".join(chr(b if b in visible else next(others)) for b in range(256))
-
-
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
     """(token, rank) of a rank file, in the order of rank."""
     with open(path, "rb") as f:
@@ -95,31 +87,32 @@ def serialise(ranks: list[tuple[bytes, int]]) -> bytes:
     return b"".join([*(piece(*r) for r in ranks), unknown, _field(TRAINER, b"".join(_field(*x) for x in trainer)), _field(NORMALIZER, b"".join(_field(*x) for x in normalizer))])
 
 
-class PieceBPE:
+class PieceBPE(Words):
     """``packed(text)``: ids as little-endian 32-bit integers; ``text_of(ids)``: the bytes of them."""
 
     def __init__(self, path: str, pattern: str | None = None):
         import regex
         import sentencepiece
 
+        super().__init__()
         if pattern is None:
             import public_tokenizers
 
             pattern = public_tokenizers.PATTERN
-            self.cuts = True  # what this pattern matches never goes on from a visible character over a white space, and it does not look back
-        else:
-            self.cuts = False
+        self.cuts = pattern == CUT
         ranks = read_ranks(path)
         letters = byte_characters()
         self.pattern = regex.compile(pattern)
         self.newer = re.compile("[" + "".join("-".join(chr(int(c, 16)) for c in span.split("-")) for span in NEWER.split()) + "]")
-        self.letters = {b: letters[b] for b in range(256)}
+        self.letters = ByteLetters(letters, True)
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.rank = np.array([r for _, r in ranks], "<i4")
-        self.whole = {token: np.array([rank], "<i4").tobytes() for token, rank in ranks}
         back = {c: b for b, c in enumerate(letters)}
-        self.bytes_of = {int(self.rank[i]): bytes(map(back.__getitem__, self.lib.id_to_piece(i))) for i in range(len(ranks))}
-        self.kept: dict[str, bytes] = {}
+        held = {r: bytes(map(back.__getitem__, self.lib.id_to_piece(i))) for i, r in enumerate(self.rank.tolist())}
+        # the bytes of each rank, null where no token has it; all tokens with their packed ranks
+        self.tokens = pa.array([held.get(r) for r in range(ranks[-1][1] + 1)], pa.binary())
+        self.whole = pa.array([token for token, _ in ranks], pa.binary())
+        self.whole_ids = binaries(self.rank.view(np.uint8), 4 * np.arange(len(ranks) + 1))
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
@@ -127,31 +120,45 @@ class PieceBPE:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(self.newer.sub(NO_LETTER, text))]
 
-    def _encoded(self, stretches: list[str]) -> list[bytes]:
-        """Ids of each stretch: all pre-tokens that are no tokens themselves go to the library in one call."""
-        words = [[w.encode() for w in self.split(s)] for s in stretches]
-        new = list(dict.fromkeys(w for w in chain.from_iterable(words) if w not in self.whole))
-        ids: list[list[int]] = self.lib.encode([w.decode("latin-1").translate(self.letters) for w in new], num_threads=1) if new else []
-        flat, ends = self.rank[np.fromiter(chain.from_iterable(ids), np.int64)].tobytes(), (4 * np.cumsum([len(i) for i in ids])).tolist()
-        of = dict(zip(new, (flat[a:b] for a, b in zip([0, *ends], ends))))
-        return [b"".join([self.whole.get(w) or of[w] for w in own]) for own in words]
+    def _matches(self, found: pa.Array) -> pa.Array:
+        """The packed ids of pre-tokens: those that are no tokens themselves go to the library in one call."""
+        at = pc.index_in(found, value_set=self.whole)
+        token = at.is_valid().to_numpy(zero_copy_only=False)
+        text, _ = self.letters.strung(*parts_of(found.filter(pa.array(~token))))
+        ids: list[list[int]] = self.lib.encode(text.split("\n"), num_threads=1) if text else []
+        flat = self.rank[np.fromiter(chain.from_iterable(ids), np.int64)]
+        made = binaries(flat, 4 * np.cumsum([0, *map(len, ids)]))
+        return in_order(token, self.whole_ids.take(at.drop_null()), made)
+
+    def _new(self, pieces: pa.Array) -> pa.Array:
+        one = single(*parts_of(pieces))
+        texts = pieces.filter(pa.array(~one)).to_pylist()
+        return in_order(one, self._matches(pieces.filter(pa.array(one)).cast(pa.binary())), self._split(texts) if texts else pa.array([], pa.binary()))
+
+    def _split(self, texts: list[str]) -> pa.Array:
+        """The packed ids of texts of several pre-tokens."""
+        words = [[w.encode() for w in self.split(t)] for t in texts]
+        told = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+        flat, bounds = parts_of(self._matches(told.dictionary).take(told.indices))
+        return binaries(flat, bounds[np.cumsum([0, *map(len, words)])])
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        return super().packed_all(texts) if self.cuts else [i.as_py() for i in self._split(texts)]
 
     def packed(self, text: str) -> bytes:
-        if not self.cuts:
-            return self._encoded([text])[0]
-        stretches = _ASCII_CUT.split(text) if _ODD.search(text) else _STRETCH.findall(text)
-        got = list(map(self.kept.get, stretches))
-        if None in got:
-            new = list(dict.fromkeys(s for s, g in zip(stretches, got) if g is None))
-            made = dict(zip(new, self._encoded(new)))
-            if len(self.kept) + len(new) > CACHE_PIECES:
-                self.kept.clear()
-            self.kept.update((s, i) for s, i in made.items() if len(s) <= CACHE_CHARS)
-            got = [made[s] if g is None else g for s, g in zip(stretches, got)]
-        return b"".join(got)
+        return self.packed_all([text])[0]
+
+    def texts_of(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where those from each of ``bounds`` on begin."""
+        found = self.tokens.take(pa.array(ids))
+        if found.null_count:
+            raise ValueError("an id is no rank")
+        flat, at = parts_of(found)
+        return flat, at[bounds]
 
     def text_of(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        return self.texts_of(ids, np.zeros(1, np.int64))[0].tobytes()
 
 
 def piece_bpe(path: str, pattern: str | None = None) -> PieceBPE:
@@ -176,8 +183,7 @@ def encode(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_bpe(vocabulary(ranks), pattern)
-        for batch in batches:
-            own = [model.packed(t) if t else b"" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        for batch, own in packed_batches(model.packed_all, batches, len(keep)):
             ends = np.cumsum([0, *(len(i) // 4 for i in own)]).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<i4")))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), arrays], names=[*keep, ids])
@@ -200,10 +206,12 @@ def decode(rows: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", ids: str
             flat = column.flatten()
             if flat.null_count:
                 raise ValueError("an array of ids holds a null")
-            flat, sizes = flat.to_numpy(), np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
-            ends = np.cumsum(sizes)
-            own = [model.text_of(flat[a:b]) if ok else None for a, b, ok in zip(ends - sizes, ends, column.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(own, pa.binary())], names=[*keep, decoded])
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            flat, bounds = model.texts_of(flat.to_numpy(), np.append(0, np.cumsum(sizes, dtype=np.int64)))
+            own = binaries(flat, bounds)
+            if column.null_count:
+                own = pc.if_else(column.is_valid(), own, None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), own], names=[*keep, decoded])
 
     return rows.select(*keep).mapInArrow(run, rows.select(*keep).schema.add(decoded, "binary"))
 

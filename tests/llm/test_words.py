@@ -5,6 +5,7 @@ import pytest
 
 from rateline.llm import bpe as B
 from rateline.llm import language as L
+from rateline.llm import piece_bpe as P
 from rateline.llm import suffix_dedup
 
 
@@ -76,6 +77,29 @@ def test_numbers_white_space_and_joined_words_need_no_search_for_matches(name, m
         assert e.packed_all(texts) == want and len(e.kept) == len(e.kept_ids) <= 3
 
 
+def test_pre_tokens_of_a_rank_file_are_matched_and_decoded_together(monkeypatch):
+    """Only what may be several matches is searched for them, and the library is asked for each word once."""
+    m = P.PieceBPE(B.vocabulary("byte_bpe_multi_50k.tiktoken"))
+    texts = ["Xqzvj 12.5,  Xqzvj-Größzqx\n\n\tXqzvj", "", " \n", "it's Xqzvj a\u0301"] * 2
+    want = [m._split([t])[0].as_py() for t in texts]
+    searched, asked, lib = [], [], m.lib
+
+    class Library:
+        def encode(self, words, num_threads):
+            asked.extend(words)
+            return lib.encode(words, num_threads=num_threads)
+
+    m.lib = Library()
+    monkeypatch.setattr(m, "split", lambda t, f=m.split: searched.append(t) or f(t))
+    assert m.packed_all(texts) == want and searched == ["'s", " a\u0301"] and len(asked) == len(set(asked))
+    ids = np.frombuffer(b"".join(want), "<i4")
+    flat, at = m.texts_of(ids, np.append(0, np.cumsum([len(w) // 4 for w in want])))
+    assert [flat[x:y].tobytes().decode() for x, y in zip(at, at[1:])] == texts
+    for wrong in (-1, 1 << 20):
+        with pytest.raises(IndexError):
+            m.text_of(np.array([wrong], "<i4"))
+
+
 def test_batches_are_encoded_in_groups_and_given_back_as_they_were(monkeypatch):
     import pyarrow as pa
 
